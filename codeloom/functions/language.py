@@ -27,25 +27,34 @@ def preprocess(code):
     return strip_strings(strip_comments(code))
 
 
+def match_counts(clean, mode="literal", table=None):
+    return {
+        lang: F.regexp_count(clean, F.lit(pattern))
+        for lang, pattern in patterns(mode, table).items()
+    }
+
+
 def language_scores(code, mode="literal", table=None):
     """Struct with one match count per language, on code without comments and strings."""
-    clean = preprocess(code)
-    return F.struct(
-        *[
-            F.regexp_count(clean, F.lit(pattern)).alias(lang)
-            for lang, pattern in patterns(mode, table).items()
-        ]
-    )
-
-
-def best_language(scores, table=None):
-    """Language with the highest count; the first listed wins ties, ``unknown`` at zero."""
-    names = list(table or params.LANGUAGE_PATTERNS)
-    top = F.greatest(*[scores[n] for n in names])
-    chain = F.when(top <= 0, params.UNKNOWN_LANGUAGE)
-    for name in names:
-        chain = chain.when(scores[name] == top, name)
-    return chain
+    counts = match_counts(preprocess(code), mode, table)
+    return F.struct(*[n.alias(lang) for lang, n in counts.items()])
+
+
+def detect_language(code, mode="literal", table=None):
+    """Language with most matches; the first listed wins ties, ``unknown`` without any match.
+
+    The cleaned text is bound once as a lambda variable, so a filter on the result, into which
+    the optimizer copies the whole expression, still cleans and scans each text only once.
+    """
+
+    def best(clean):
+        ranked = [F.struct(F.lit(0), F.lit(0), F.lit(params.UNKNOWN_LANGUAGE))]
+        for place, (lang, n) in enumerate(match_counts(clean, mode, table).items(), 1):
+            ranked.append(F.struct(n, F.lit(-place), F.lit(lang)))
+        named = [r.cast("struct<n:int,place:int,language:string>") for r in ranked]
+        return F.array_max(F.array(*named))["language"]
+
+    return F.get(F.transform(F.array(preprocess(code)), best), F.lit(0))
 
 
 def extension_language(path):
@@ -59,8 +68,7 @@ def extension_language(path):
 
 def with_language(df, code="text", path=None, out="language", mode="literal", table=None):
     """Add the detected language; the extension of ``path``, when known, takes precedence."""
-    scored = df.withColumn("_scores", language_scores(F.col(code), mode, table))
-    by_content = best_language(F.col("_scores"), table)
+    language = detect_language(F.col(code), mode, table)
     if path is not None:
-        by_content = F.coalesce(extension_language(F.col(path)), by_content)
-    return scored.withColumn(out, by_content).drop("_scores")
+        language = F.coalesce(extension_language(F.col(path)), language)
+    return df.withColumn(out, language)

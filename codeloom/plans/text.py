@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codeloom import params
 from codeloom.functions import scoring
 from codeloom.functions.language import (
-    best_language,
+    detect_language,
     extension_language,
     language_scores,
     preprocess,
@@ -225,11 +225,10 @@ def support(spark, folder):
     """,
 )
 def distribution(spark, folder):
-    files = corpus(spark, folder).select(
+    named = corpus(spark, folder).select(
         F.coalesce(extension_language(F.col("path")), F.lit("none")).alias("by_extension"),
-        language_scores(F.col("text")).alias("s"),
+        detect_language(F.col("text")).alias("by_content"),
     )
-    named = files.select("by_extension", best_language(F.col("s")).alias("by_content"))
     counted = named.groupBy("by_extension", "by_content").agg(F.count("*").alias("files"))
     return counted.withColumn("disagree", F.col("by_extension") != F.col("by_content"))
 

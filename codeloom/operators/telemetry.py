@@ -3,6 +3,10 @@
 from pyspark.sql import functions as F
 
 
+def event_name(event_type):
+    return F.when(event_type == "error", "error").otherwise("completion")
+
+
 def telemetry(events):
     """(event_name, ts, status, user): editor events in telemetry form.
 
@@ -14,7 +18,7 @@ def telemetry(events):
         "ts",
         "user_id",
         "value",
-        F.when(F.col("event_type") == "error", "error").otherwise("completion").alias("event_name"),
+        event_name(F.col("event_type")).alias("event_name"),
         F.when(k >= 50, "success").otherwise("failure").alias("status"),
     )
 

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from codeloom import params
-from codeloom.functions.text import is_relevant, lines
+from codeloom.functions.text import lines
 
 
 def indented(code):
@@ -39,11 +39,15 @@ def has_dangerous_text(code, fragments=None):
     return reduce(lambda a, b: a | b, found)
 
 
-def completion_score(prompt, completion, valid, depth):
-    """0 for code that does not parse, else 1.0 to 5.0."""
+def completion_score(relevant, completion, valid, depth):
+    """0 for code that does not parse, else 1.0 to 5.0.
+
+    ``relevant`` says whether prompt and completion share a word (``is_relevant``); computed
+    before the Python stage, it spares sending the prompt through it.
+    """
     score = (
         F.lit(1.0)
-        + points(is_relevant(prompt, completion), 1.0)
+        + points(relevant, 1.0)
         + style_score(completion)
         + complexity_score(completion, depth)
         + points(~has_dangerous_text(completion), 1.0)

@@ -37,7 +37,7 @@ def trigger_character(prefix, characters=(".",)):
 
 def words(text):
     """Lower-cased words in order (Unicode letters, digits, underscore)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({params.WORD_PATTERN})"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), params.NON_WORD_PATTERN, -1), "")
 
 
 def keywords(text):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom import params
 from codeloom.functions.text import words
 from codeloom.operators.candidates import rank
+from codeloom.session import materialise
 from codeloom.skew import skew_join
 
 CONTEXT = ""  # stands for "any word" in the lookup table; never a word itself
@@ -28,29 +29,23 @@ class Bigrams:
     counts: DataFrame
 
     @classmethod
-    def train(cls, texts, text="text"):
-        """Words are paired inside their row and counted per task before the one shuffle."""
-        pairs = texts.select(words(F.col(text)).alias("w")).select(F.inline(neighbours(F.col("w"))))
-        return cls(pairs.groupBy("prev", "tok").agg(F.count("*").alias("c")))
-
-    def vocabulary_size(self):
-        """Number of distinct words in the bigrams, as a scalar column."""
-        both = self.counts.select(F.explode(F.array("prev", "tok")).alias("w"))
-        return both.groupBy("w").agg(F.lit(1).alias("one")).agg(F.count("*")).scalar()
+    def train(cls, texts, text="text", store=True):
+        """Words are paired inside their row and counted per task before the one shuffle.
 
-    def terms(self):
-        """(prev, tok, term): what a bigram and its context add to an add-one log-probability.
-
-        ln((c + 1) / (n + V)) is ln(c + 1) - ln(n + V); an unseen bigram has c = 0 and an
-        unseen context n = 0, so leaving both out of the table costs nothing but a constant.
+        The counts are read several times by every use of the model, so they are written once
+        to the shared folder; ``store=False`` leaves them a lazy plan.
         """
-        v = self.vocabulary_size().cast("double")
-        seen = self.counts.select("prev", "tok", F.ln(F.col("c") + 1.0).alias("term"))
-        contexts = self.counts.groupBy("prev").agg(F.sum("c").alias("n"))
-        shift = F.ln(v) - F.ln(F.col("n") + v)
-        return seen.unionByName(
-            contexts.select("prev", F.lit(CONTEXT).alias("tok"), shift.alias("term"))
+        pairs = texts.select(words(F.col(text)).alias("w")).select(F.inline(neighbours(F.col("w"))))
+        counts = pairs.groupBy("prev", "tok").agg(F.count("*").alias("c"))
+        return cls(materialise(counts, "bigrams") if store else counts)
+
+    def contexts(self):
+        """(w, n): how often each word of the model is followed by another one."""
+        ends = F.array(
+            F.struct(F.col("prev").alias("w"), F.col("c").alias("n")),
+            F.struct(F.col("tok").alias("w"), F.lit(0).cast("long").alias("n")),
         )
+        return self.counts.select(F.inline(ends)).groupBy("w").agg(F.sum("n").alias("n"))
 
     def score(self, candidates, key, completion, prompt=None, out="score"):
         """Mean log-probability of the words of each candidate; null for a text without words.
@@ -71,11 +66,16 @@ class Bigrams:
             "pair.prev",
             F.explode(F.array(F.col("pair.tok"), F.lit(CONTEXT))).alias("tok"),
         )
-        found = skew_join(wanted, self.terms(), ["prev", "tok"], [*key, "pos"])
-        mean = F.sum(F.coalesce("term", F.lit(0.0))) / (F.count("*") / 2)
-        return found.groupBy(*key).agg(
-            (mean - F.ln(self.vocabulary_size().cast("double"))).alias(out)
+        contexts = self.contexts()
+        known = self.counts.unionByName(
+            contexts.select(F.col("w").alias("prev"), F.lit(CONTEXT).alias("tok"), F.col("n").alias("c"))
         )
+        found = skew_join(wanted, known, ["prev", "tok"], [*key, "pos"])
+        # Add-one smoothing: ln((c + 1) / (n + V)), with c and n zero when unseen.
+        seen = F.coalesce("c", F.lit(0))
+        size = contexts.agg(F.count("*")).scalar()
+        term = F.when(F.col("tok") == CONTEXT, -F.ln(seen + size)).otherwise(F.ln(seen + 1))
+        return found.groupBy(*key).agg((F.sum(term) / (F.count("*") / 2)).alias(out))
 
     def continuations(self, k=params.TOP_K, p=params.TOP_P):
         """(prev, tok, p): the truncated next-word distribution of every context."""

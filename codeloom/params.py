@@ -32,7 +32,7 @@ LANGUAGE_PATTERNS = {
 
 COMMENT_PATTERN = r"#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/"
 STRING_PATTERN = r"\"[^\n]*?\"|'[^\n]*?'"
-WORD_PATTERN = r"[\p{L}\p{N}_]+"
+NON_WORD_PATTERN = r"[^\p{L}\p{N}_]+"
 WORD_CLASS = r"[\p{L}\p{N}_]"
 SPACE_CLASS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 DANGEROUS_TEXT = ["eval(", "exec(", "__import__"]

@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 from codeloom import params
 from codeloom.functions import scoring
 from codeloom.functions.language import with_language
-from codeloom.functions.text import surrounding_lines
+from codeloom.functions.text import is_relevant, surrounding_lines
 from codeloom.operators import analysis as rules
 from codeloom.operators.candidates import rank
 from codeloom.operators.features import feature_table, of_kind, python_features, register_functions
 from codeloom.plans.registry import query, text_literal
 from codeloom.plans.sql import CODE, ISSUES, PARSED, PYTHON, PYTHON_PARSED, words_sql
 from codeloom.plans.text import corpus
-from codeloom.sources.tables import read_table
+from codeloom.sources.corpus import code_corpus
+from codeloom.sources.tables import documents
 
 
 def python_files(spark, folder):
@@ -404,12 +405,14 @@ def completion_scores(spark, folder):
 
 
 def scored_files(spark, folder):
-    docs = read_table(spark, folder, "documents")
-    both = corpus(spark, folder).join(docs.select("doc_id", F.col("text").alias("prompt")), "doc_id")
-    keep = ["doc_id", "source", "prompt", "text"]
-    return python_features(both, keep=keep).withColumn(
+    docs = documents(spark, folder, "source", F.col("text").alias("prompt"))
+    files = code_corpus(docs, "prompt").withColumn(
+        "relevant", is_relevant(F.col("prompt"), F.col("text"))
+    )
+    features = python_features(files, keep=["doc_id", "source", "relevant", "text"])
+    return features.withColumn(
         "score",
-        scoring.completion_score(F.col("prompt"), F.col("text"), F.col("valid"), F.col("depth")),
+        scoring.completion_score(F.col("relevant"), F.col("text"), F.col("valid"), F.col("depth")),
     )
 
 

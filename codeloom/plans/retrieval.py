@@ -6,7 +6,7 @@ from codeloom import params
 from codeloom.operators import retrieval
 from codeloom.plans.registry import query
 from codeloom.plans.sql import words_sql
-from codeloom.sources.tables import read_table
+from codeloom.sources.tables import documents, read_table
 
 D = params.EMBEDDING_DIM
 
@@ -25,7 +25,7 @@ def hashed_sql(name, table, key):
     f"WITH {hashed_sql('e', 'documents', 'doc_id')} SELECT id AS doc_id, dim, round(x, 6) AS x FROM e",
 )
 def hash_embedding(spark, folder):
-    docs = read_table(spark, folder, "documents")
+    docs = documents(spark, folder)
     vectors = retrieval.embed(docs, "doc_id")
     long = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
     return long.where("x <> 0").withColumn("x", F.round("x", 6))
@@ -67,7 +67,7 @@ hits AS (SELECT query_id, doc_id, round(2 - 2 * dot, 6) AS distance,
 
 
 def hits(spark, folder):
-    docs = read_table(spark, folder, "documents")
+    docs = documents(spark, folder)
     items = read_table(spark, folder, "benchmark")
     return retrieval.nearest(
         retrieval.embed(docs, "doc_id"),

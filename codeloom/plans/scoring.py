@@ -9,7 +9,7 @@ from codeloom.operators.ngrams import Bigrams, log_softmax, mean_log_prob, trunc
 from codeloom.plans.registry import query
 from codeloom.plans.sql import PAIRS, words_sql
 from codeloom.sources.dialogue import conversation_pairs
-from codeloom.sources.tables import read_table
+from codeloom.sources.tables import documents, read_table
 
 BIGRAM_SQL = f"""
 w AS (SELECT {words_sql('text')} AS w FROM documents),
@@ -21,13 +21,13 @@ v AS (SELECT count(*) AS v FROM (SELECT prev FROM b UNION SELECT tok FROM b))
 """
 
 
-def model(spark, folder):
-    return Bigrams.train(read_table(spark, folder, "documents"))
+def model(spark, folder, store=True):
+    return Bigrams.train(documents(spark, folder), store=store)
 
 
 @query("bigram_counts", f"WITH {BIGRAM_SQL} SELECT prev, tok, c FROM b")
 def bigram_counts(spark, folder):
-    return model(spark, folder).counts
+    return model(spark, folder, store=False).counts
 
 
 @query(

@@ -35,7 +35,7 @@ from codeloom.plans.sql import (
 from codeloom.skew import skew_join
 from codeloom.sources.corpus import code_corpus
 from codeloom.sources.dialogue import conversation_pairs
-from codeloom.sources.tables import explode_lines, notification, read_table
+from codeloom.sources.tables import documents, explode_lines, notification, read_table, spread
 
 # A cursor for every document: somewhere in its lines, or one line past the end.
 CURSOR_LINE = "cast(n_chars % (size(split(text, '\\n')) + 1) as int)"
@@ -53,7 +53,7 @@ SCORE_COLUMNS = ", ".join(f"s_{n}::int AS {n}" for n in params.LANGUAGE_PATTERNS
 
 
 def cursors(spark, folder):
-    return read_table(spark, folder, "documents").select(
+    return documents(spark, folder, "text", "n_chars").select(
         "doc_id",
         "text",
         F.expr(CURSOR_LINE).alias("line"),
@@ -62,7 +62,7 @@ def cursors(spark, folder):
 
 
 def corpus(spark, folder):
-    return code_corpus(read_table(spark, folder, "documents"))
+    return code_corpus(documents(spark, folder, "source"))
 
 
 @query(
@@ -73,8 +73,7 @@ def corpus(spark, folder):
     """,
 )
 def line_explode(spark, folder):
-    docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    return explode_lines(docs)
+    return explode_lines(documents(spark, folder))
 
 
 @query(
@@ -137,13 +136,13 @@ def triggers(spark, folder):
     """,
 )
 def comments(spark, folder):
-    docs = read_table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select("doc_id", strip_comments(F.col("text")).alias("clean"))
 
 
 @query("preprocess_pages", f"SELECT page_id, {clean_sql('html')} AS clean FROM pages")
 def preprocess_pages(spark, folder):
-    pages = read_table(spark, folder, "pages")
+    pages = spread(read_table(spark, folder, "pages").select("page_id", "html"), "page_id")
     return pages.select("page_id", preprocess(F.col("html")).alias("clean"))
 
 
@@ -180,8 +179,7 @@ def detect(spark, folder):
     """,
 )
 def detect_documents(spark, folder):
-    docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    return with_language(docs).groupBy("language").agg(F.count("*").alias("n"))
+    return with_language(documents(spark, folder)).groupBy("language").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -275,7 +273,7 @@ def keyword_match(spark, folder):
     wanted = read_table(spark, folder, "benchmark").select(
         F.explode(keywords(F.col("text"))).alias("word")
     ).distinct()
-    found = read_table(spark, folder, "documents").select(
+    found = documents(spark, folder).select(
         "doc_id", F.explode(keywords(F.col("text"))).alias("word")
     )
     matched = skew_join(found, wanted, "word", ["doc_id"], "left_semi")

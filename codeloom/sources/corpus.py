@@ -32,8 +32,8 @@ TEMPLATES = [
 EXTENSIONS = [".py", ".js", ".java", ".rb", ".go", ".rs", ".txt"]
 
 
-def code_corpus(documents):
-    """(doc_id, source, path, text): one code file per document."""
+def code_corpus(documents, *keep):
+    """(doc_id, source, path, text) and ``keep``: one code file per document."""
     pick = F.element_at(
         F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("doc_id") % len(TEMPLATES) + 1).cast("int")
     )
@@ -47,4 +47,5 @@ def code_corpus(documents):
         "source",
         F.concat("source", F.lit("/file_"), key, extension).alias("path"),
         F.replace(pick, F.lit("{id}"), key).alias("text"),
+        *keep,
     )

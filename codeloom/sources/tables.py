@@ -21,6 +21,24 @@ def read_table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df, key):
+    """Spread a scan that comes in fewer splits than there are cores (one large row group).
+
+    Only for work that is heavy per row. A scan with enough splits, the normal case on a
+    cluster, is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def documents(spark, folder, *columns):
+    """The document table, ready for work that is heavy per text."""
+    table = read_table(spark, folder, "documents")
+    return spread(table.select("doc_id", *(columns or ["text"])), "doc_id")
+
+
 def read_sources(spark, path, glob=None):
     """One row per source file: (path, text). Line ends become a single newline."""
     reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)

@@ -41,10 +41,8 @@ def documents(spark, folder, *columns):
 
 def read_sources(spark, path, glob=None):
     """One row per source file: (path, text). Line ends become a single newline."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(
         F.col("_metadata.file_path").alias("path"),
         F.regexp_replace("value", r"\r\n?", "\n").alias("text"),
     )

@@ -178,6 +178,11 @@ def issue_dictionary(issues):
     return F.struct(*[members(c).alias(c) for c in params.ISSUE_CATEGORIES])
 
 
+def count_of(category, issues="issues"):
+    """Number of issues of one category."""
+    return F.size(F.filter(issues, lambda i: i["category"] == category)).cast("long")
+
+
 def issue_label(n):
     """Prefix shown in front of a suggestion when its file has issues."""
     return F.when(n > 0, F.format_string("(%d issues) ", n)).otherwise(F.lit(""))

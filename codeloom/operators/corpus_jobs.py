@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom import params
 from codeloom.functions.text import lines
-from codeloom.operators.analysis import report, security_issues
+from codeloom.operators.analysis import count_of, report, security_issues
 from codeloom.operators.features import of_kind
 
 
@@ -63,12 +63,9 @@ def issue_hotspots(analysed, code="text"):
 
     One aggregate by language; the ranking sees languages x categories rows only.
     """
-    def members(category):
-        return F.size(F.filter("issues", lambda i: i["category"] == category))
-
     per_language = analysed.groupBy("language").agg(
         F.sum(F.size(lines(F.col(code)))).alias("lines"),
-        *[F.sum(members(c)).alias(c) for c in params.ISSUE_CATEGORIES],
+        *[F.sum(count_of(c)).alias(c) for c in params.ISSUE_CATEGORIES],
     )
     long = per_language.unpivot(["language", "lines"], params.ISSUE_CATEGORIES, "category", "issues")
     rated = long.where(F.col("issues") > 0).withColumn(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codeloom import params
 from codeloom.functions.text import words
 from codeloom.operators.candidates import rank
+from codeloom.session import materialise
 
 QUERY_BLOCK = 4096  # query vectors held by a task at once; more are searched block by block
 
@@ -112,8 +113,12 @@ def query_blocks(queries, block):
 
 
 def with_snippets(hits, snippets, key="snippet_id", text="text"):
-    """Attach the snippet text. ``hits`` has at most k rows per query, so it is the small side."""
-    return snippets.select(key, text).join(F.broadcast(hits), key)
+    """Attach the snippet text.
+
+    The hits are written first, so the search runs once and Spark knows their size: a few
+    queries' hits are broadcast and the texts stay where they are.
+    """
+    return snippets.select(key, text).join(materialise(hits, "hits"), key)
 
 
 def prompts(hits_with_text, queries, query_key="query_id", query="query", text="text"):

@@ -1,8 +1,7 @@
 """Rate limit, throttle, debounce and cache decisions over request tables.
 
-Times are integer microseconds. Every operator cuts the requests of one key into time blocks,
-so a key with very many requests is shared out over tasks; what a block needs from outside is
-found by duplicating rows of the block before or by a small per-block summary.
+Times are integer microseconds. A key with very many requests is cut into time slices and so
+shared out over tasks; what a slice needs from outside comes from a small per-slice summary.
 """
 
 from collections import deque
@@ -13,9 +12,11 @@ from pyspark.sql import functions as F
 
 from codeloom import params
 from codeloom.session import materialise
-from codeloom.skew import skew_join
+from codeloom.skew import ROWS_PER_TASK, skew_join, slice_number, time_slices
 
 SECOND = 1000000
+CHUNK_PERIODS = 4
+MIN_TIME, MAX_TIME = -(1 << 62), 1 << 62
 
 
 def user_key(user):
@@ -24,44 +25,60 @@ def user_key(user):
 
 
 def throttle(requests, key, t, row_id, limit=params.THROTTLE_LIMIT,
-             window=params.THROTTLE_WINDOW_S * SECOND):
-    """Requests with ``delay``: the wait until fewer than ``limit`` arrivals are in the window.
-
-    Arrivals count whether delayed or not, in (t, row_id) order. Each request is placed in its
-    block and, as history, in the next one, plus a marker where its window opens. A running
-    count gives the arrivals between marker and request; a backward running value gives the
-    first arrival after the marker. Both are linear in the rows; a sliding frame would not be.
+             window=params.THROTTLE_WINDOW_S * SECOND, rows=ROWS_PER_TASK):
+    """(key, row_id, t, arrivals, delay): the wait until fewer than ``limit`` arrivals are left.
+
+    Arrivals in the last ``window`` count whether delayed or not, in (t, row_id) order. Each
+    request is joined by a marker where its window opens. A running count gives the arrivals
+    between marker and request, a backward running value the first arrival after the marker;
+    both are linear in the rows, which a sliding frame is not. A hot key is cut into time
+    slices: a head row brings in the count of earlier slices, a tail row the next arrival.
     """
-    block = F.floor(F.col(t) / F.lit(window)).cast("long")
-    def place(blk, at, kind):
-        return F.struct(blk.alias("_blk"), at.alias("_t"), F.lit(kind).alias("_kind"))
-
-    now = F.col(t)
-    roles = F.array(
-        place(block, now, "own"),
-        place(block + 1, now, "past"),
-        place(block, now - F.lit(window), "opens"),
+    def place(at, kind):
+        return F.struct(at.cast("long").alias("_t"), F.lit(kind).alias("_kind"))
+
+    slices = time_slices(requests, key, t, rows)
+    roles = F.array(place(F.col(t), "own"), place(F.col(t) - F.lit(window), "opens"))
+    placed = (
+        requests.select(key, F.col(row_id).alias("_id"), F.inline(roles))
+        .join(slices, key, "left")
+        .withColumn("_blk", slice_number(F.col("_t")))
+        .withColumn("_weight", (F.col("_kind") == "own").cast("long"))
+        .withColumn("_seen", F.when(F.col("_kind") == "own", F.col("_t")))
+    )
+    summary = placed.where("_width is not null").groupBy(key, "_blk").agg(
+        F.sum("_weight").alias("_weight"), F.min("_seen").alias("_seen")
+    )
+    timeline = Window.partitionBy(key)
+    earlier = timeline.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    later = timeline.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    outside = summary.select(
+        key,
+        "_blk",
+        F.sum("_weight").over(earlier).alias("_before"),
+        F.last("_seen", ignorenulls=True).over(later).alias("_after"),
     )
-    placed = requests.select(key, F.col(row_id).alias("_id"), F.inline(roles))
-    arrival = F.col("_kind") != "opens"
+    head = edge("head", F.lit(MIN_TIME), weight=F.col("_before"))
+    tail = edge("tail", F.lit(MAX_TIME), seen=F.col("_after"))
+    edges = outside.select(key, "_blk", F.inline(F.array(head, tail)))
+    both = placed.drop("_width").unionByName(edges, allowMissingColumns=True)
     part = Window.partitionBy(key, "_blk")
     # A request that leaves exactly when the window opens sorts before the marker.
-    late = (~arrival).cast("int")
+    late = (F.col("_kind") == "opens").cast("int")
     forward = part.orderBy("_t", late, "_id").rowsBetween(Window.unboundedPreceding, -1)
     backward = part.orderBy(F.desc("_t"), late.desc(), F.desc("_id")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    counted = placed.select(
+    own = F.col("_kind") == "own"
+    counted = both.select(
         key,
-        "_blk",
         "_id",
         "_t",
         "_kind",
-        F.coalesce(F.sum(arrival.cast("long")).over(forward), F.lit(0)).alias("_n"),
-        F.last(F.when(arrival, F.col("_t")), ignorenulls=True).over(backward).alias("_oldest"),
-    ).where("_kind <> 'past'")
-    own = F.col("_kind") == "own"
-    decided = counted.groupBy(key, "_blk", "_id").agg(
+        F.coalesce(F.sum("_weight").over(forward), F.lit(0)).alias("_n"),
+        F.last("_seen", ignorenulls=True).over(backward).alias("_oldest"),
+    ).where(F.col("_kind").isin("own", "opens"))
+    decided = counted.groupBy(key, "_id").agg(
         F.max(F.when(own, F.col("_t"))).alias(t),
         (F.max(F.when(own, F.col("_n"))) - F.max(F.when(~own, F.col("_n")))).alias("arrivals"),
         F.max(F.when(~own, F.col("_oldest"))).alias("_oldest"),
@@ -76,6 +93,19 @@ def throttle(requests, key, t, row_id, limit=params.THROTTLE_LIMIT,
     )
 
 
+def edge(kind, at, weight=None, seen=None):
+    """One head or tail row of a slice."""
+    def known(value):
+        return (F.lit(None) if value is None else value).cast("long")
+
+    return F.struct(
+        at.cast("long").alias("_t"),
+        F.lit(kind).alias("_kind"),
+        known(weight).alias("_weight"),
+        known(seen).alias("_seen"),
+    )
+
+
 def debounce(events, key, t, row_id, gap=params.DEBOUNCE_MS * 1000):
     """The events no other event of the same key follows within ``gap``.
 
@@ -153,36 +183,32 @@ def folded(rows, states, limit, period, emit, row_id_type="bigint"):
 
 
 def rate_limit(requests, key, t, row_id, limit=params.RATE_LIMIT,
-               period=params.RATE_PERIOD_S * SECOND, chunk_periods=256):
+               period=params.RATE_PERIOD_S * SECOND, rows=ROWS_PER_TASK):
     """Requests with ``allowed``: fewer than ``limit`` allowed ones in the last ``period``.
 
     Denied requests do not count, so a decision depends on earlier decisions. Almost all of
     that chain can be avoided:
 
-    * a request whose ``limit``-th predecessor is at least ``period`` old is allowed, whatever
+    * a request with fewer than ``limit`` arrivals in the last ``period`` is allowed, whatever
       was decided before;
     * the other requests form clusters separated by ``period`` without such requests. Before a
       cluster everything is allowed, so each cluster can be decided on its own;
-    * a long cluster is cut into chunks. All chunks are folded from a guessed queue, then those
-      whose guess differs from what the chunk before ended with are folded again, until all
-      agree. The result is exact, and a task never sees more than one chunk of a key.
+    * a cluster of a hot key is cut into chunks of a few periods. All chunks are folded from a
+      guessed queue, then those whose guess differs from what the chunk before ended with are
+      folded again, until all agree. The result is exact.
     """
     period = int(period)
     base = requests.select(
         user_key(F.col(key)).alias("_key"), F.col(t).alias("_t"), F.col(row_id).alias("_id")
-    ).withColumn("_blk", F.floor(F.col("_t") / F.lit(period)).cast("long"))
-    placed = base.select(
-        "_key", "_t", "_id",
-        F.inline(F.array(
-            F.struct(F.col("_blk").alias("_blk"), F.lit(True).alias("_own")),
-            F.struct((F.col("_blk") + 1).alias("_blk"), F.lit(False).alias("_own")),
-        )),
     )
-    order = Window.partitionBy("_key", "_blk").orderBy("_t", "_id")
-    older = F.lag("_t", limit).over(order)
-    marked = placed.withColumn(
-        "_open", F.coalesce(older > F.col("_t") - F.lit(period), F.lit(False))
-    ).where("_own").drop("_own")
+    counted = throttle(base, "_key", "_t", "_id", limit, period, rows)
+    marked = counted.select(
+        "_key",
+        "_t",
+        "_id",
+        F.floor(F.col("_t") / F.lit(period)).cast("long").alias("_blk"),
+        (F.col("arrivals") >= limit).alias("_open"),
+    )
     marked = materialise(marked, "requests")
 
     spans = marked.where("_open").groupBy("_key", "_blk").agg(
@@ -197,20 +223,25 @@ def rate_limit(requests, key, t, row_id, limit=params.RATE_LIMIT,
     spans = spans.withColumn(
         "_c0", F.last(F.when(F.col("_starts"), F.col("_first")), ignorenulls=True).over(begun)
     )
-    chunk = F.floor(F.col("_blk") / F.lit(chunk_periods)).cast("long").alias("_chunk")
-    inside = spans.select("_key", "_blk", "_c0", chunk, F.lit(True).alias("_own"))
+    # Chunks are no shorter than a few periods: a wrong guess is forgotten within one.
+    length = F.greatest(F.ceil(F.col("_width") / F.lit(period)), F.lit(CHUNK_PERIODS)).cast("long")
+    chunk = F.coalesce(F.floor(F.col("_blk") / F.when(F.col("_width") > 0, length)).cast("long"), F.lit(0))
+    spans = spans.join(time_slices(marked, "_key", "_t", rows), "_key", "left").withColumn(
+        "_chunk", chunk
+    )
+    inside = spans.select("_key", "_blk", "_c0", "_chunk", F.lit(True).alias("_own"))
     before = spans.where("_starts").select(
-        "_key", (F.col("_blk") - 1).alias("_blk"), "_c0", chunk, F.lit(False).alias("_own")
+        "_key", (F.col("_blk") - 1).alias("_blk"), "_c0", "_chunk", F.lit(False).alias("_own")
     )
-    rows = (
+    chained = (
         marked.join(inside.unionByName(before), ["_key", "_blk"])
         .where(F.col("_own") | (F.col("_t") > F.col("_c0") - F.lit(period)))
         .select(*UNIT, "_t", "_id", "_own")
     )
-    rows = materialise(rows, "contested")
-    states = agree(rows, limit, period)
+    chained = materialise(chained, "contested")
+    states = agree(chained, limit, period)
     kind = requests.schema[row_id].dataType.simpleString()
-    denied = folded(rows, states, limit, period, "denied", kind).select(
+    denied = folded(chained, states, limit, period, "denied", kind).select(
         F.col("_id").alias(row_id), F.lit(False).alias("allowed")
     )
     return requests.join(denied, row_id, "left").withColumn(

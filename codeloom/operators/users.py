@@ -5,22 +5,22 @@ from pyspark.sql import functions as F
 from codeloom import params
 from codeloom.functions.text import fingerprint
 from codeloom.operators.candidates import rank
-from codeloom.skew import last_before, skew_join
+from codeloom.skew import ROWS_PER_TASK, last_before, skew_join
 
 SECOND = 1000000
-DAY = 86400 * SECOND
 
 
-def session_gate(requests, auth_events, user="user_id", t="t", row_id="event_id", block=DAY):
+def session_gate(requests, auth_events, user="user_id", t="t", row_id="event_id",
+                 rows=ROWS_PER_TASK):
     """Requests whose user's newest earlier auth event is a sign-in.
 
-    ``auth_events`` has ``status`` "in" or "out". An as-of lookup in time blocks.
+    ``auth_events`` has ``status`` "in" or "out". An as-of lookup.
     """
     both = requests.withColumn("_request", F.lit(True)).unionByName(
         auth_events.select(user, t, row_id, "status").withColumn("_request", F.lit(False)),
         allowMissingColumns=True,
     )
-    seen = last_before(both, user, t, row_id, "status", block, "_status")
+    seen = last_before(both, user, t, row_id, "status", "_status", rows)
     return seen.where(F.col("_request") & (F.col("_status") == "in")).drop(
         "_request", "_status", "status"
     )
@@ -35,7 +35,7 @@ def issue_tokens(attempts, users, order_col, row_id):
 
 
 def token_validity(requests, tokens, user="user_id", t="t", row_id="event_id",
-                   lifetime=params.TOKEN_LIFETIME_S * SECOND, block=DAY):
+                   lifetime=params.TOKEN_LIFETIME_S * SECOND, rows=ROWS_PER_TASK):
     """Requests with ``issued`` (newest token at or before the request) and ``valid``.
 
     All tokens live equally long, so some token covers the request exactly when the newest
@@ -50,7 +50,7 @@ def token_validity(requests, tokens, user="user_id", t="t", row_id="event_id",
         F.struct(F.lit(0).alias("kind"), F.col(row_id).cast("long").alias("id")).alias("_place"),
     )
     both = asked.unionByName(given, allowMissingColumns=True)
-    seen = last_before(both, user, t, "_place", "_issued", block, "issued")
+    seen = last_before(both, user, t, "_place", "_issued", "issued", rows)
     kept = seen.where(F.col("_place.kind") == 1).drop("_place", "_issued")
     return kept.withColumn(
         "valid", F.coalesce(F.col(t) < F.col("issued") + F.lit(lifetime), F.lit(False))

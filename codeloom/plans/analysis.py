@@ -259,10 +259,12 @@ def analyse_corpus(spark, folder):
     """,
 )
 def counts(spark, folder):
-    long = rules.issue_table(analysed(spark, folder))
-    wide = long.groupBy("doc_id").pivot("category", params.ISSUE_CATEGORIES).count().na.fill(0)
-    total = sum((F.col(c) for c in params.ISSUE_CATEGORIES[1:]), F.col(params.ISSUE_CATEGORIES[0]))
-    return wide.withColumn("label", rules.issue_label(total))
+    """Issues per category of every file that has any; counted inside the row of the file."""
+    listed = analysed(spark, folder).where(F.size("issues") > 0)
+    per_category = [rules.count_of(c).alias(c) for c in params.ISSUE_CATEGORIES]
+    return listed.select(
+        "doc_id", *per_category, rules.issue_label(F.size("issues")).alias("label")
+    )
 
 
 @query(

@@ -80,7 +80,7 @@ def limit_sql(limit, period):
 @query("rate_limit", limit_sql(3, DAY))
 def rate_limit(spark, folder):
     decided = traffic.rate_limit(
-        requests(spark, folder), "user_id", "t", "event_id", 3, DAY, chunk_periods=8
+        requests(spark, folder), "user_id", "t", "event_id", 3, DAY
     )
     return decided.select("event_id", "allowed")
 

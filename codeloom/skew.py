@@ -3,52 +3,88 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 64
-SALTS = 32
+ROWS_PER_TASK = 1000000  # a key with more rows than this is shared out over several tasks
+HOT_KEYS = 10000  # longest list of hot keys; no further key has more than 1/10,000 of the rows
+MAX_SHARES = 4096
 
 
-def skew_join(fact: DataFrame, lookup: DataFrame, keys, spread, how="left") -> DataFrame:
-    """Join ``fact`` with ``lookup`` (at most one row per key), spreading the hottest keys.
+def hot_keys(df: DataFrame, keys, rows=ROWS_PER_TASK, *extra) -> DataFrame:
+    """(keys, ``_n``, extra): the keys with more than ``rows`` rows and over how many tasks.
 
-    The ``HOT_KEYS`` most frequent keys of ``fact`` are salted by a hash of the ``spread``
-    columns and their lookup rows repeated ``SALTS`` times. The list of hot keys has at most
-    ``HOT_KEYS`` rows whatever the data, so it is safe to broadcast. The salt is a function of
-    the row, so a re-run task writes the same partitions.
+    Counts are combined per task before the shuffle, and the list is at most ``HOT_KEYS``
+    rows long whatever the data, so it is safe to broadcast.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = (
-        fact.groupBy(*keys)
-        .count()
-        .orderBy(F.desc("count"), *keys)
+    count = F.count("*")
+    shares = F.least(F.ceil(F.col("_count") / F.lit(rows)), F.lit(MAX_SHARES)).cast("int")
+    return (
+        df.groupBy(*keys)
+        .agg(count.alias("_count"), *extra)
+        .where(F.col("_count") > rows)
+        .orderBy(F.desc("_count"), *keys)
         .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
+        .withColumn("_n", shares)
+        .drop("_count")
     )
-    hot = F.broadcast(hot)
-    has_null = F.lit(False)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """True when Spark's own size estimate lets it broadcast ``df``."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
+def skew_join(fact: DataFrame, lookup: DataFrame, keys, spread, how="left",
+              rows=ROWS_PER_TASK) -> DataFrame:
+    """Join ``fact`` with ``lookup`` (at most one row per key), sharing out hot keys.
+
+    A lookup small enough for Spark to broadcast needs no shuffle and is joined as it is.
+    Otherwise rows of a hot key get a salt from a hash of the ``spread`` columns, and its
+    lookup row is repeated once per salt: in all one copy per ``rows`` rows of the fact. The
+    salt is a function of the row, so a task that runs again writes the same partitions.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if fits_broadcast(lookup):
+        return fact.join(lookup, keys, how)
+    hot = F.broadcast(hot_keys(fact, keys, rows))
+    no_key = F.lit(False)
     for key in keys:
-        has_null = has_null | F.col(key).isNull()
-    slot = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    salted = fact.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | has_null, slot).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.drop("_hot").join(repeated, [*keys, "_salt"], how).drop("_salt")
+        no_key = no_key | F.col(key).isNull()
+    shares = F.coalesce("_n", F.when(no_key, F.lit(MAX_SHARES)), F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread), shares).cast("int")
+    salted = fact.join(hot, keys, "left").withColumn("_salt", salt).drop("_n")
+    salts = F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)
+    repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_n")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def time_slices(df: DataFrame, key, t, rows=ROWS_PER_TASK) -> DataFrame:
+    """(key, ``_width``): hot keys and the length of the time slices they are cut into."""
+    span = (F.max(t) - F.min(t) + 1).alias("_span")
+    hot = hot_keys(df, [key], rows, span)
+    width = F.greatest(F.ceil(F.col("_span") / F.col("_n")), F.lit(1)).cast("long")
+    return F.broadcast(hot.select(key, width.alias("_width")))
+
 
+def slice_number(t, width="_width"):
+    """Slice of a time; all times of a key that is not hot are in slice 0."""
+    return F.coalesce(F.floor(t / F.col(width)).cast("long"), F.lit(0))
 
-def last_before(events: DataFrame, key, t, order, value, block, alias) -> DataFrame:
+
+def last_before(events: DataFrame, key, t, order, value, alias, rows=ROWS_PER_TASK) -> DataFrame:
     """Add ``alias``: the newest non-null ``value`` of the same key strictly before the row.
 
-    Rows are ordered by (``t``, ``order``); ``t`` is a non-negative integer, ``block`` the
-    length of the time slices one key is cut into. A slice is one window partition; what it
-    needs from earlier slices is carried in as one extra row taken from a per-slice summary,
-    so the rows of a hot key are shared out over as many tasks as it has slices.
+    Rows are ordered by (``t``, ``order``); ``t`` is a non-negative integer. A key is one
+    window partition, a hot key one per time slice. What a slice needs from earlier ones is
+    carried in as one extra row, taken from a per-slice summary.
     """
-    cut = events.withColumn("_blk", F.floor(F.col(t) / F.lit(block)).cast("long"))
+    cut = events.join(time_slices(events, key, t, rows), key, "left").withColumn(
+        "_blk", slice_number(F.col(t))
+    )
     stamp = F.when(F.col(value).isNotNull(), F.struct(t, order))
-    summary = cut.groupBy(key, "_blk").agg(F.max_by(value, stamp).alias("_v"))
+    summary = cut.where("_width is not null").groupBy(key, "_blk").agg(
+        F.max_by(value, stamp).alias("_v")
+    )
     earlier = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         key,
@@ -57,14 +93,18 @@ def last_before(events: DataFrame, key, t, order, value, block, alias) -> DataFr
         F.lit(-1).cast(cut.schema[t].dataType).alias(t),
         F.lit(True).alias("_carry"),
     ).where(F.col(value).isNotNull())
-    rows = cut.withColumn("_carry", F.lit(False)).unionByName(carry, allowMissingColumns=True)
+    both = (
+        cut.drop("_width")
+        .withColumn("_carry", F.lit(False))
+        .unionByName(carry, allowMissingColumns=True)
+    )
     within = (
         Window.partitionBy(key, "_blk")
         .orderBy(t, order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        rows.withColumn(alias, F.last(value, ignorenulls=True).over(within))
+        both.withColumn(alias, F.last(value, ignorenulls=True).over(within))
         .where(~F.col("_carry"))
         .drop("_blk", "_carry")
     )

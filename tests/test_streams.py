@@ -42,7 +42,7 @@ def pairs(df, *columns):
 
 def test_rate_limit(spark, parts, batch):
     out = run_append(live.rate_limit(stream(spark, parts), limit=1, period=24 * HOUR), "t_limit")
-    want = traffic.rate_limit(batch, "user_id", "t", "event_id", 1, 24 * HOUR, chunk_periods=4)
+    want = traffic.rate_limit(batch, "user_id", "t", "event_id", 1, 24 * HOUR)
     assert pairs(out, "event_id", "allowed") == pairs(want, "event_id", "allowed")
 
 

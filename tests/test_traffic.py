@@ -42,12 +42,12 @@ def limited(rows, limit, period):
     return out
 
 
-@pytest.mark.parametrize("limit,period,chunk", [(2, 60, 1), (3, 200, 2), (1, 7, 256), (5, 40, 3), (40, 60, 2)])
-def test_rate_limit(spark, limit, period, chunk):
-    rows = arrivals(limit)
-    df = spark.createDataFrame(rows, SCHEMA)
-    out = traffic.rate_limit(df, "user_id", "t", "event_id", limit, period, chunk_periods=chunk)
-    assert {r["event_id"]: r["allowed"] for r in out.collect()} == limited(rows, limit, period)
+@pytest.mark.parametrize("limit,period,rows", [(2, 60, 50), (3, 200, 10), (1, 7, 10**6), (5, 40, 100), (40, 60, 30)])
+def test_rate_limit(spark, limit, period, rows):
+    asked = arrivals(limit)
+    df = spark.createDataFrame(asked, SCHEMA)
+    out = traffic.rate_limit(df, "user_id", "t", "event_id", limit, period, rows)
+    assert {r["event_id"]: r["allowed"] for r in out.collect()} == limited(asked, limit, period)
 
 
 def test_rate_limit_small_case(spark):
@@ -57,8 +57,9 @@ def test_rate_limit_small_case(spark):
     assert [r["allowed"] for r in out] == [True, True, False, True, False, True]
 
 
-@pytest.mark.parametrize("limit,window", [(2, 60), (5, 11), (30, 100)])
-def test_throttle(spark, limit, window):
+@pytest.mark.parametrize("slice_rows", [7, 100, 10**6])
+@pytest.mark.parametrize("limit,window", [(2, 60), (5, 11), (30, 900)])
+def test_throttle(spark, limit, window, slice_rows):
     rows = [(u or "anonymous", t, i) for u, t, i in arrivals(window)]
     expected = {}
     for events in by_user(rows).values():
@@ -68,7 +69,7 @@ def test_throttle(spark, limit, window):
             expected[i] = (len(seen), window - (t - seen[0]) if len(seen) >= limit else 0)
             seen.append(t)
     df = spark.createDataFrame(rows, SCHEMA)
-    out = traffic.throttle(df, "user_id", "t", "event_id", limit, window).collect()
+    out = traffic.throttle(df, "user_id", "t", "event_id", limit, window, slice_rows).collect()
     assert {r["event_id"]: (r["arrivals"], r["delay"]) for r in out} == expected
 
 
@@ -86,12 +87,13 @@ def test_debounce(spark):
     assert {r["event_id"] for r in out.collect()} == expected
 
 
-def test_last_before_crosses_empty_blocks(spark):
+@pytest.mark.parametrize("slice_rows", [3, 50, 10**6])
+def test_last_before_crosses_slices(spark, slice_rows):
     rng = random.Random(3)
     rows = [("k" if rng.random() < 0.7 else "m", rng.randrange(100000), i, rng.choice([None, None, str(i)]))
             for i in range(800)]
     df = spark.createDataFrame(rows, "k string, t long, i long, v string")
-    out = {r["i"]: r["before"] for r in last_before(df, "k", "t", "i", "v", 500, "before").collect()}
+    out = {r["i"]: r["before"] for r in last_before(df, "k", "t", "i", "v", "before", slice_rows).collect()}
     for k, t, i, _ in rows:
         earlier = [(a, b, v) for q, a, b, v in rows if q == k and (a, b) < (t, i) and v is not None]
         assert out[i] == (max(earlier)[2] if earlier else None)
@@ -100,26 +102,29 @@ def test_last_before_crosses_empty_blocks(spark):
 def test_session_gate(spark):
     auth = spark.createDataFrame([(1, 5, 100, "in"), (1, 20, 101, "out"), (2, 1, 102, "in")], "user_id int, t long, event_id long, status string")
     asked = spark.createDataFrame([(1, 4, 0), (1, 6, 1), (1, 21, 2), (2, 9000, 3), (3, 7, 4)], "user_id int, t long, event_id long")
-    assert sorted(r["event_id"] for r in session_gate(asked, auth, block=10).collect()) == [1, 3]
+    assert sorted(r["event_id"] for r in session_gate(asked, auth, rows=1).collect()) == [1, 3]
 
 
 def test_token_validity(spark):
     tokens = spark.createDataFrame([(1, 0, 50)], "user_id int, t long, event_id long")
     asked = spark.createDataFrame([(1, 0, 1), (1, 3599, 2), (1, 3600, 3), (2, 5, 4)], "user_id int, t long, event_id long")
-    out = token_validity(asked, tokens, lifetime=3600, block=1000)
+    out = token_validity(asked, tokens, lifetime=3600, rows=1)
     assert {r["event_id"]: r["valid"] for r in out.collect()} == {1: True, 2: True, 3: False, 4: False}
 
 
+@pytest.mark.parametrize("salted", [True, False])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_skew_join_matches_plain_join(spark, how):
+def test_skew_join_matches_plain_join(spark, how, salted):
     fact = spark.range(3000).select(
         F.col("id").alias("row"),
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 200).alias("k"),
     )
     lookup = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = skew_join(fact, lookup, "k", ["row"], how)
     want = fact.join(lookup, "k", how)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if salted else "10m")
+    got = skew_join(fact, lookup, "k", ["row"], how, rows=100)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_register(spark):

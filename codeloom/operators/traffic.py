@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom import params
 from codeloom.session import materialise
-from codeloom.skew import ROWS_PER_TASK, skew_join, slice_number, time_slices
+from codeloom.skew import ROWS_PER_TASK, skew_join, slice_number, with_width
 
 SECOND = 1000000
 CHUNK_PERIODS = 4
@@ -37,11 +37,10 @@ def throttle(requests, key, t, row_id, limit=params.THROTTLE_LIMIT,
     def place(at, kind):
         return F.struct(at.cast("long").alias("_t"), F.lit(kind).alias("_kind"))
 
-    slices = time_slices(requests, key, t, rows)
     roles = F.array(place(F.col(t), "own"), place(F.col(t) - F.lit(window), "opens"))
+    arrivals = requests.select(key, F.col(row_id).alias("_id"), F.inline(roles))
     placed = (
-        requests.select(key, F.col(row_id).alias("_id"), F.inline(roles))
-        .join(slices, key, "left")
+        with_width(arrivals, key, t, rows, requests)
         .withColumn("_blk", slice_number(F.col("_t")))
         .withColumn("_weight", (F.col("_kind") == "own").cast("long"))
         .withColumn("_seen", F.when(F.col("_kind") == "own", F.col("_t")))
@@ -226,9 +225,7 @@ def rate_limit(requests, key, t, row_id, limit=params.RATE_LIMIT,
     # Chunks are no shorter than a few periods: a wrong guess is forgotten within one.
     length = F.greatest(F.ceil(F.col("_width") / F.lit(period)), F.lit(CHUNK_PERIODS)).cast("long")
     chunk = F.coalesce(F.floor(F.col("_blk") / F.when(F.col("_width") > 0, length)).cast("long"), F.lit(0))
-    spans = spans.join(time_slices(marked, "_key", "_t", rows), "_key", "left").withColumn(
-        "_chunk", chunk
-    )
+    spans = with_width(spans, "_key", "_t", rows, marked).withColumn("_chunk", chunk)
     inside = spans.select("_key", "_blk", "_c0", "_chunk", F.lit(True).alias("_own"))
     before = spans.where("_starts").select(
         "_key", (F.col("_blk") - 1).alias("_blk"), "_c0", "_chunk", F.lit(False).alias("_own")

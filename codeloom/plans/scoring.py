@@ -9,7 +9,7 @@ from codeloom.operators.ngrams import Bigrams, log_softmax, mean_log_prob, trunc
 from codeloom.plans.registry import query
 from codeloom.plans.sql import PAIRS, words_sql
 from codeloom.sources.dialogue import conversation_pairs
-from codeloom.sources.tables import documents, read_table
+from codeloom.sources.tables import conversations, documents, read_table
 
 BIGRAM_SQL = f"""
 w AS (SELECT {words_sql('text')} AS w FROM documents),
@@ -61,7 +61,7 @@ RANK_SQL = f"""
 @query("bigram_rank_topn", RANK_SQL)
 def rank_conversations(spark, folder):
     """Per conversation the relevant completions of highest mean log-probability."""
-    pairs = conversation_pairs(read_table(spark, folder, "conversations"))
+    pairs = conversation_pairs(conversations(spark, folder))
     relevant = pairs.where(is_relevant(F.col("prompt"), F.col("completion")))
     scored = model(spark, folder).score(relevant, ["conv_id", "turn"], "completion", "prompt")
     rounded = scored.withColumn("score", F.round("score", 6))
@@ -105,7 +105,7 @@ next AS (SELECT prev, tok, c / sum(c) OVER (PARTITION BY prev) AS p FROM s WHERE
     """,
 )
 def next_tokens(spark, folder):
-    asked = read_table(spark, folder, "conversations").where(F.col("role") == "user")
+    asked = conversations(spark, folder).where(F.col("role") == "user")
     best = model(spark, folder).extend(asked, ["conv_id", "turn"], "text")
     return best.withColumn("logp", F.round("logp", 6))
 

@@ -35,7 +35,7 @@ from codeloom.plans.sql import (
 from codeloom.skew import skew_join
 from codeloom.sources.corpus import code_corpus
 from codeloom.sources.dialogue import conversation_pairs
-from codeloom.sources.tables import documents, explode_lines, notification, read_table, spread
+from codeloom.sources.tables import conversations, documents, explode_lines, notification, read_table, spread
 
 # A cursor for every document: somewhere in its lines, or one line past the end.
 CURSOR_LINE = "cast(n_chars % (size(split(text, '\\n')) + 1) as int)"
@@ -236,7 +236,7 @@ def distribution(spark, folder):
     f"SELECT conv_id, turn, len(list_distinct({words_sql('text')}))::int AS keywords FROM conversations",
 )
 def keyword_set(spark, folder):
-    turns = read_table(spark, folder, "conversations")
+    turns = conversations(spark, folder)
     return turns.select("conv_id", "turn", F.size(keywords(F.col("text"))).alias("keywords"))
 
 
@@ -250,7 +250,7 @@ def keyword_set(spark, folder):
     """,
 )
 def relevance(spark, folder):
-    pairs = conversation_pairs(read_table(spark, folder, "conversations"))
+    pairs = conversation_pairs(conversations(spark, folder))
     both = F.array_intersect(keywords(F.col("prompt")), keywords(F.col("completion")))
     return pairs.select(
         "conv_id",
@@ -297,7 +297,7 @@ def keyword_match(spark, folder):
     """,
 )
 def style(spark, folder):
-    turns = read_table(spark, folder, "conversations").select(
+    turns = conversations(spark, folder).select(
         F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
     )
     files = corpus(spark, folder).select(F.lit("file").alias("kind"), F.col("doc_id").alias("id"), "text")
@@ -329,7 +329,7 @@ def danger(spark, folder):
     """,
 )
 def completion_items(spark, folder):
-    pairs = conversation_pairs(read_table(spark, folder, "conversations"))
+    pairs = conversation_pairs(conversations(spark, folder))
     known = with_language(pairs, "prompt")
     return known.select(
         "conv_id",
@@ -351,7 +351,7 @@ def completion_items(spark, folder):
     """,
 )
 def envelope(spark, folder):
-    pairs = conversation_pairs(read_table(spark, folder, "conversations"))
+    pairs = conversation_pairs(conversations(spark, folder))
     message = notification(
         "textDocument/completion",
         uri=F.concat(F.lit("conv/"), F.col("conv_id")),

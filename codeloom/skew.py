@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK = 1000000  # a key with more rows than this is shared out over several tasks
 HOT_KEYS = 10000  # longest list of hot keys; no further key has more than 1/10,000 of the rows
 MAX_SHARES = 4096
+BYTES_PER_ROW = 32
 
 
 def hot_keys(df: DataFrame, keys, rows=ROWS_PER_TASK, *extra) -> DataFrame:
@@ -27,24 +28,33 @@ def hot_keys(df: DataFrame, keys, rows=ROWS_PER_TASK, *extra) -> DataFrame:
     )
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a plan; file sizes at the leaves, never too small a join."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    """True when Spark's own size estimate lets it broadcast ``df``."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+    """True when Spark's size estimate lets it broadcast ``df``."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(df) <= conf.autoBroadcastJoinThreshold()
+
+
+def may_be_hot(df: DataFrame, rows) -> bool:
+    """False for an input so small that one task could take all of it."""
+    return estimated_bytes(df) > rows * BYTES_PER_ROW
 
 
 def skew_join(fact: DataFrame, lookup: DataFrame, keys, spread, how="left",
               rows=ROWS_PER_TASK) -> DataFrame:
     """Join ``fact`` with ``lookup`` (at most one row per key), sharing out hot keys.
 
-    A lookup small enough for Spark to broadcast needs no shuffle and is joined as it is.
-    Otherwise rows of a hot key get a salt from a hash of the ``spread`` columns, and its
+    A lookup small enough for Spark to broadcast needs no shuffle and is joined as it is, and
+    so is a fact table one task could take whole. Otherwise rows of a hot key get a salt from a hash of the ``spread`` columns, and its
     lookup row is repeated once per salt: in all one copy per ``rows`` rows of the fact. The
     salt is a function of the row, so a task that runs again writes the same partitions.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if fits_broadcast(lookup):
+    if fits_broadcast(lookup) or not may_be_hot(fact, rows):
         return fact.join(lookup, keys, how)
     hot = F.broadcast(hot_keys(fact, keys, rows))
     no_key = F.lit(False)
@@ -58,12 +68,18 @@ def skew_join(fact: DataFrame, lookup: DataFrame, keys, spread, how="left",
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def time_slices(df: DataFrame, key, t, rows=ROWS_PER_TASK) -> DataFrame:
-    """(key, ``_width``): hot keys and the length of the time slices they are cut into."""
+def with_width(df: DataFrame, key, t, rows=ROWS_PER_TASK, of=None) -> DataFrame:
+    """Add ``_width``: the length of the time slices a hot key is cut into, else null.
+
+    Keys are counted in ``of`` (default ``df``).
+    """
+    of = df if of is None else of
+    if not may_be_hot(of, rows):
+        return df.withColumn("_width", F.lit(None).cast("long"))
     span = (F.max(t) - F.min(t) + 1).alias("_span")
-    hot = hot_keys(df, [key], rows, span)
+    hot = hot_keys(of, [key], rows, span)
     width = F.greatest(F.ceil(F.col("_span") / F.col("_n")), F.lit(1)).cast("long")
-    return F.broadcast(hot.select(key, width.alias("_width")))
+    return df.join(F.broadcast(hot.select(key, width.alias("_width"))), key, "left")
 
 
 def slice_number(t, width="_width"):
@@ -78,9 +94,7 @@ def last_before(events: DataFrame, key, t, order, value, alias, rows=ROWS_PER_TA
     window partition, a hot key one per time slice. What a slice needs from earlier ones is
     carried in as one extra row, taken from a per-slice summary.
     """
-    cut = events.join(time_slices(events, key, t, rows), key, "left").withColumn(
-        "_blk", slice_number(F.col(t))
-    )
+    cut = with_width(events, key, t, rows).withColumn("_blk", slice_number(F.col(t)))
     stamp = F.when(F.col(value).isNotNull(), F.struct(t, order))
     summary = cut.where("_width is not null").groupBy(key, "_blk").agg(
         F.max_by(value, stamp).alias("_v")

@@ -39,6 +39,10 @@ def documents(spark, folder, *columns):
     return spread(table.select("doc_id", *(columns or ["text"])), "doc_id")
 
 
+def conversations(spark, folder):
+    return spread(read_table(spark, folder, "conversations"), "conv_id")
+
+
 def read_sources(spark, path, glob=None):
     """One row per source file: (path, text). Line ends become a single newline."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)

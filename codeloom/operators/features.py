@@ -132,7 +132,7 @@ def of_kind(kind, facts="facts"):
     return F.filter(facts, lambda f: f["kind"] == kind)
 
 
-@udtf(returnType="module string, line int")
+@udtf(returnType="module string, line int", useArrow=True)
 class PyImports:
     """SQL table function ``py_imports(code)``: one row per import entry."""
 

@@ -10,6 +10,7 @@ from codeloom import params
 from codeloom.functions.text import words
 from codeloom.operators.candidates import rank
 from codeloom.session import materialise
+from codeloom.skew import skew_join
 
 QUERY_BLOCK = 4096  # query vectors held by a task at once; more are searched block by block
 
@@ -134,8 +135,13 @@ def prompts(hits_with_text, queries, query_key="query_id", query="query", text="
     )
 
 
+def encode_snippets(texts, text="text", dim=params.EMBEDDING_DIM):
+    """Texts with ``snippet_id``, the content key, and ``embedding``; equal texts share both."""
+    keyed = texts.withColumn("snippet_id", F.md5(text))
+    distinct = keyed.select("snippet_id", text).dropDuplicates(["snippet_id"])
+    return skew_join(keyed, embed(distinct, "snippet_id", text, dim), "snippet_id", [text])
+
+
 def add_snippets(existing, new_texts, text="text", dim=params.EMBEDDING_DIM):
-    """Snippet set plus new texts, encoded; the id is the content key, not a position."""
-    fresh = new_texts.withColumn("snippet_id", F.md5(text))
-    coded = embed(fresh.select("snippet_id", text).dropDuplicates(["snippet_id"]), "snippet_id", text, dim)
-    return existing.unionByName(fresh.join(coded, "snippet_id", "left"))
+    """The snippet set with new texts, encoded on the way in."""
+    return existing.unionByName(encode_snippets(new_texts, text, dim))

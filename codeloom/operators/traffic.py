@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom import params
 from codeloom.session import materialise
-from codeloom.skew import ROWS_PER_TASK, skew_join, slice_number, with_width
+from codeloom.skew import ROWS_PER_TASK, may_be_hot, skew_join, slice_number, with_width
 
 SECOND = 1000000
 CHUNK_PERIODS = 4
@@ -45,22 +45,9 @@ def throttle(requests, key, t, row_id, limit=params.THROTTLE_LIMIT,
         .withColumn("_weight", (F.col("_kind") == "own").cast("long"))
         .withColumn("_seen", F.when(F.col("_kind") == "own", F.col("_t")))
     )
-    summary = placed.where("_width is not null").groupBy(key, "_blk").agg(
-        F.sum("_weight").alias("_weight"), F.min("_seen").alias("_seen")
-    )
-    timeline = Window.partitionBy(key)
-    earlier = timeline.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    later = timeline.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
-    outside = summary.select(
-        key,
-        "_blk",
-        F.sum("_weight").over(earlier).alias("_before"),
-        F.last("_seen", ignorenulls=True).over(later).alias("_after"),
-    )
-    head = edge("head", F.lit(MIN_TIME), weight=F.col("_before"))
-    tail = edge("tail", F.lit(MAX_TIME), seen=F.col("_after"))
-    edges = outside.select(key, "_blk", F.inline(F.array(head, tail)))
-    both = placed.drop("_width").unionByName(edges, allowMissingColumns=True)
+    both = placed.drop("_width")
+    if may_be_hot(requests, rows):
+        both = both.unionByName(slice_edges(placed, key), allowMissingColumns=True)
     part = Window.partitionBy(key, "_blk")
     # A request that leaves exactly when the window opens sorts before the marker.
     late = (F.col("_kind") == "opens").cast("int")
@@ -92,6 +79,25 @@ def throttle(requests, key, t, row_id, limit=params.THROTTLE_LIMIT,
     )
 
 
+def slice_edges(placed, key):
+    """Head and tail rows of the slices of hot keys."""
+    summary = placed.where("_width is not null").groupBy(key, "_blk").agg(
+        F.sum("_weight").alias("_weight"), F.min("_seen").alias("_seen")
+    )
+    timeline = Window.partitionBy(key)
+    earlier = timeline.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    later = timeline.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    outside = summary.select(
+        key,
+        "_blk",
+        F.sum("_weight").over(earlier).alias("_before"),
+        F.last("_seen", ignorenulls=True).over(later).alias("_after"),
+    )
+    head = edge("head", F.lit(MIN_TIME), weight=F.col("_before"))
+    tail = edge("tail", F.lit(MAX_TIME), seen=F.col("_after"))
+    return outside.select(key, "_blk", F.inline(F.array(head, tail)))
+
+
 def edge(kind, at, weight=None, seen=None):
     """One head or tail row of a slice."""
     def known(value):

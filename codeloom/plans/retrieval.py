@@ -111,11 +111,7 @@ def append_snippets(spark, folder):
     def texts(name):
         return read_table(spark, folder, name).select(F.lit(name).alias("origin"), "text")
 
-    empty = texts("documents").limit(0).select(
-        "origin", "text", F.md5("text").alias("snippet_id"),
-        F.array().cast("array<double>").alias("embedding"),
-    )
-    stored = retrieval.add_snippets(empty, texts("documents"))
+    stored = retrieval.encode_snippets(texts("documents"))
     grown = retrieval.add_snippets(stored, texts("benchmark"))
     used = F.size(F.filter(F.coalesce("embedding", F.array()), lambda x: x != 0))
     return grown.select("snippet_id", "origin", used.alias("used"))

@@ -16,7 +16,6 @@ from codeloom.functions.text import (
     is_relevant,
     keywords,
     line_prefix,
-    lines,
     prefix_context,
     strip_comments,
     surrounding_lines,

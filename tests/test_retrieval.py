@@ -46,7 +46,6 @@ def test_embedding_and_prompt(spark):
 
 def test_added_snippets_keep_content_keys(spark):
     texts = spark.createDataFrame([("a b",), ("c",)], "text string")
-    empty = spark.createDataFrame([], "text string, snippet_id string, embedding array<double>")
-    once = retrieval.add_snippets(empty, texts)
+    once = retrieval.encode_snippets(texts)
     twice = retrieval.add_snippets(once, texts)
     assert twice.count() == 4 and twice.select("snippet_id").distinct().count() == 2

@@ -132,14 +132,16 @@ def marked_issue(parts, source, message):
     return hit
 
 
-def analyse(df, code="text", keep=("doc_id",)):
+def analyse(df, code="text", keep=("doc_id",), unsafe_functions=None, unsafe_modules=None,
+            text_rules=None, languages=None):
     """Whole-file analysis: language, then the issues of every rule that applies, in rule order.
 
     Python files get syntax and exception-clause errors, JavaScript and Java files the line
-    rules; the security rules see every file that parses. The result keeps the features.
+    rules; the security rules see every file that parses. The result keeps the features. The
+    rule tables and the language patterns can be replaced by the caller's own.
     """
-    languages = with_language(df, code)
-    features = python_features(languages, code, [*keep, "language", code])
+    known = with_language(df, code, table=languages)
+    features = python_features(known, code, [*keep, "language", code])
     none = F.array().cast(f"array<{ISSUE}>")
     python_only = F.when(
         F.col("language") == "python", F.concat(syntax_issues(), except_issues())
@@ -148,15 +150,15 @@ def analyse(df, code="text", keep=("doc_id",)):
         "issues",
         F.concat(
             python_only,
-            text_rule_issues(F.col(code), F.col("language")),
-            static_security_issues(),
+            text_rule_issues(F.col(code), F.col("language"), text_rules),
+            static_security_issues(unsafe_functions, unsafe_modules),
         ),
     )
 
 
-def static_security_issues():
+def static_security_issues(functions=None, modules=None):
     """All security issues of a file in the order of the syntax walk."""
-    found = F.concat(unsafe_calls(), unsafe_imports(), large_strings())
+    found = F.concat(unsafe_calls(functions), unsafe_imports(modules), large_strings())
     return F.array_sort(found, lambda a, b: a["ord"] - b["ord"])
 
 

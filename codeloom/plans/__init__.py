@@ -10,6 +10,7 @@ def load():
         ingest,
         retrieval,
         scoring,
+        serving,
         streams,
         text,
         traffic,

@@ -119,11 +119,15 @@ def activity(spark, folder, *types):
     """,
 )
 def session_gate(spark, folder):
-    clicks = activity(spark, folder, "click").select("event_id", "user_id", "ts", "t")
+    return signed_in_clicks(spark, folder).select("event_id", "user_id", "ts")
+
+
+def signed_in_clicks(spark, folder):
+    clicks = activity(spark, folder, "click").select("event_id", "user_id", "ts", "t", "props")
     auth = activity(spark, folder, "signup", "error").withColumn(
         "status", F.when(F.col("event_type") == "signup", "in").otherwise("out")
     )
-    return users.session_gate(clicks, auth).drop("t")
+    return users.session_gate(clicks, auth)
 
 
 TOKEN_SQL = """

@@ -62,3 +62,12 @@ def test_analysis_order_and_routing(spark):
     }
     lists = done.where("doc_id = 1").select(issue_dictionary(F.col("issues")).alias("d")).first()["d"]
     assert [len(lists[c]) for c in ("errors", "warnings", "style_issues", "security_issues")] == [1, 0, 0, 3]
+
+
+def test_own_rule_tables(spark):
+    rows = spark.createDataFrame([(1, "import os\nos.system(x)\nimport pickle")], "doc_id long, text string")
+    own = analyse(rows, unsafe_functions={"os.system": "runs a command"}, unsafe_modules={"os": "system access"})
+    assert [(r["source"], r["message"]) for r in issue_table(own).orderBy("place").collect()] == [
+        ("import", "Importing potentially unsafe module 'os': system access"),
+        ("call", "Potentially unsafe use of 'os.system': runs a command"),
+    ]

@@ -77,9 +77,13 @@ class Bigrams:
         term = F.when(F.col("tok") == CONTEXT, -F.ln(seen + size)).otherwise(F.ln(seen + 1))
         return found.groupBy(*key).agg((F.sum(term) / (F.count("*") / 2)).alias(out))
 
-    def continuations(self, k=params.TOP_K, p=params.TOP_P):
-        """(prev, tok, p): the truncated next-word distribution of every context."""
-        return truncate(self.counts, ["prev"], "c", "tok", k, p)
+    def continuations(self, k=params.TOP_K, p=params.TOP_P, after=None):
+        """(prev, tok, p): the truncated next-word distribution of every context.
+
+        ``after`` (prev) limits the work to some contexts.
+        """
+        counts = self.counts if after is None else self.counts.join(after, "prev", "left_semi")
+        return truncate(counts, ["prev"], "c", "tok", k, p)
 
     def extend(self, prompts, key, prompt="prompt", steps=1, beams=params.STREAM_SUGGESTIONS,
                k=params.TOP_K, p=params.TOP_P):

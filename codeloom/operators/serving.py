@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from codeloom import params
 from codeloom.functions import scoring
 from codeloom.functions.language import detect_language
-from codeloom.functions.text import is_relevant, prefix_context
+from codeloom.functions.text import keywords, prefix_context, words
 from codeloom.operators.candidates import rank
 from codeloom.operators.features import python_features
+from codeloom.session import materialise
 from codeloom.skew import skew_join
 
 
@@ -24,39 +25,44 @@ def contexts(requests, documents, key="doc_id", row_id="event_id"):
 
 
 def suggestions(asked, model, row_id="event_id", n=params.STREAM_SUGGESTIONS):
-    """The ``n`` best valid candidates of twice as many generated ones, as completion items.
+    """The ``n`` best valid candidates of twice as many generated ones per request.
 
-    Candidates that do not parse are dropped, the rest ranked by log-probability and then by
-    score. Prompts are made distinct first, so a popular cursor is generated for only once.
+    What can follow a word, and whether it parses, does not depend on the request: both are
+    worked out once per word. A request then picks up one short list by its last word and
+    orders it by log-probability and score inside its row.
     """
-    keyed = asked.withColumn("prompt_key", F.md5("prompt"))
-    prompts = keyed.groupBy("prompt_key").agg(
-        F.first("prompt").alias("prompt"), F.first("language").alias("language")
-    )
-    made = model.extend(
-        prompts, ["prompt_key"], "prompt", beams=n * params.OVERSAMPLING
-    ).drop("rank")
-    related = made.join(prompts, "prompt_key").select(
-        "prompt_key",
-        "completion",
-        "logp",
+    light = asked.select(
+        row_id,
         "language",
-        is_relevant(F.col("prompt"), F.col("completion")).alias("relevant"),
+        keywords(F.col("prompt")).alias("keywords"),
+        F.element_at(words(F.col("prompt")), -1).alias("prev"),
     )
-    features = python_features(
-        related, "completion", ["prompt_key", "completion", "logp", "language", "relevant"]
+    light = materialise(light, "prompts")
+    likely = model.continuations(after=light.select("prev").distinct())
+    pool = rank(likely, ["prev"], "tok", n=n * params.OVERSAMPLING, score="p", out="_place")
+    parsed = python_features(pool.select("tok").distinct(), "tok", ["tok"]).where("valid")
+    score = scoring.completion_score(F.lit(False), F.col("tok"), F.col("valid"), F.col("depth"))
+    scored = parsed.select("tok", score.alias("score"))
+    listed = (
+        skew_join(pool, scored, "tok", ["prev"], "inner")
+        .groupBy("prev")
+        .agg(F.collect_list(F.struct("tok", F.ln("p").alias("logp"), "score")).alias("found"))
     )
-    score = scoring.completion_score(
-        F.col("relevant"), F.col("completion"), F.col("valid"), F.col("depth")
+    served = skew_join(light, listed, "prev", [row_id], "inner")
+    ordered = F.array_sort(
+        F.transform(
+            "found",
+            lambda c: F.struct(
+                (-c["logp"]).alias("cost"),
+                (-c["score"] - F.array_contains("keywords", c["tok"]).cast("int")).alias("loss"),
+                c["tok"].alias("completion"),
+            ),
+        )
     )
-    valid = features.withColumn("score", score).where("score > 0")
-    order = F.struct("logp", "score").alias("order")
-    best = rank(valid.select("*", order), ["prompt_key"], "completion", n=n, score="order")
-    listed = best.groupBy("prompt_key").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "completion", "language"))).alias("items")
+    best = F.slice(ordered, 1, n)
+    return served.select(row_id, "language", F.posexplode(best).alias("place", "c")).select(
+        row_id, "language", (F.col("place") + 1).alias("rank"), "c.completion"
     )
-    served = skew_join(keyed.drop("prompt", "language"), listed, "prompt_key", [row_id], "inner")
-    return served.select(row_id, F.inline("items"))
 
 
 def completion_items(suggested):

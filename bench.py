@@ -20,7 +20,7 @@ HEADLINE = (
     "next_token_candidates log_softmax hash_embedding knn_l2 rag_prompt session_gate_asof "
     "token_interval_join login_issue permission_check register_unique profile_merge profile_vector "
     "personal_rerank throttle_delay debounce rate_limit cache_split telemetry_sliding ingest_pylint "
-    "ingest_bandit stream_rate_limit stream_debounce"
+    "ingest_bandit serve_completions stream_rate_limit stream_debounce"
 ).split()
 
 

@@ -13,6 +13,7 @@ from codeloom.session import materialise
 from codeloom.skew import skew_join
 
 QUERY_BLOCK = 4096  # query vectors held by a task at once; more are searched block by block
+MATRIX_CELLS = 1 << 21  # distances a task works on at once
 
 
 def embed(texts, key, text="text", dim=params.EMBEDDING_DIM, out="embedding"):
@@ -42,20 +43,26 @@ def task_search(query_ids, matrix, k, key, vector):
     taken term by term, so equal vectors get equal distances.
     """
     squares = (matrix**2).sum(axis=1)
+    step = max(1, MATRIX_CELLS // len(matrix))
+
+    def nearest_of(rows, ids):
+        near = (rows**2).sum(axis=1)[:, None] + squares[None, :] - 2.0 * rows @ matrix.T
+        slack = 1e-9 * (1.0 + np.abs(near).max())
+        last = min(k, len(rows)) - 1
+        i, j = np.nonzero(near <= np.partition(near, last, axis=0)[last] + slack)
+        distance = np.concatenate(
+            [((rows[a] - matrix[b]) ** 2).sum(axis=1) for a, b in pieces(i, j)]
+        )
+        return best_rows(pd.DataFrame({"q": j, "id": ids[i], "distance": distance}), k)
 
     def run(batches):
         found = None
         for batch in batches:
-            rows = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            near = (rows**2).sum(axis=1)[:, None] + squares[None, :] - 2.0 * rows @ matrix.T
-            slack = 1e-9 * (1.0 + np.abs(near).max())
-            cut = np.partition(near, min(k, len(rows)) - 1, axis=0)[min(k, len(rows)) - 1]
-            i, j = np.nonzero(near <= cut[None, :] + slack)
-            distance = np.concatenate(
-                [((rows[a] - matrix[b]) ** 2).sum(axis=1) for a, b in pieces(i, j)]
-            )
-            hits = pd.DataFrame({"q": j, "id": batch[key].to_numpy()[i], "distance": distance})
-            found = best_rows(hits if found is None else pd.concat([found, hits]), k)
+            vectors, ids = batch[vector].to_numpy(), batch[key].to_numpy()
+            for start in range(0, len(ids), step):
+                rows = np.stack(vectors[start : start + step]).astype(np.float64)
+                hits = nearest_of(rows, ids[start : start + step])
+                found = hits if found is None else best_rows(pd.concat([found, hits]), k)
         if found is not None:
             yield pd.DataFrame(
                 {"query_id": query_ids[found["q"]], key: found["id"], "distance": found["distance"]}

@@ -7,7 +7,6 @@ from codeloom.functions import scoring
 from codeloom.functions.language import with_language
 from codeloom.functions.text import is_relevant, surrounding_lines
 from codeloom.operators import analysis as rules
-from codeloom.operators.candidates import rank
 from codeloom.operators.features import feature_table, of_kind, python_features, register_functions
 from codeloom.plans.registry import query, text_literal
 from codeloom.plans.sql import CODE, ISSUES, PARSED, PYTHON, PYTHON_PARSED, words_sql
@@ -420,13 +419,12 @@ def scored_files(spark, folder):
 
 @query(
     "filter_completions",
-    f"""
-    WITH {CODE}, {SCORE_SQL}
-    SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id))::int AS place
-    FROM scored WHERE score > 0 QUALIFY place <= 10
-    """,
+    f"WITH {CODE}, {SCORE_SQL} SELECT source, doc_id FROM scored WHERE score > 0",
 )
 def filter_completions(spark, folder):
-    """Valid completions of one source by descending score; the ten best are kept."""
-    kept = scored_files(spark, folder).where(F.col("score") > 0).select("source", "doc_id", "score")
-    return rank(kept, ["source"], "doc_id", n=10, out="place").drop("score")
+    """Valid completions per source by descending score, then without the score.
+
+    A distributed sort: its ranges cut through a source with very many completions.
+    """
+    kept = scored_files(spark, folder).where(F.col("score") > 0)
+    return kept.orderBy("source", F.desc("score"), "doc_id").select("source", "doc_id")

@@ -24,7 +24,7 @@ def read_table(spark, folder, name):
 def spread(df, key):
     """Spread a scan that comes in fewer splits than there are cores (one large row group).
 
-    Only for work that is heavy per row. A scan with enough splits, the normal case on a
+    Only for plain scans, before work that is heavy per row. A scan with enough splits, the normal case on a
     cluster, is returned as it is: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -52,12 +52,13 @@ def read_sources(spark, path, glob=None):
     )
 
 
-def stream_events(spark, folder, glob="*.parquet", schema=EVENT_SCHEMA, files_per_trigger=None):
-    """Editor events as a stream over parquet files; the schema is never inferred."""
+def stream_events(spark, folder, glob="*.parquet", schema=EVENT_SCHEMA, files_per_trigger=64):
+    """Editor events as a stream over parquet files; the schema is never inferred.
+
+    ``files_per_trigger`` bounds a micro-batch, and with it what one key can bring to one task.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
 def stream_json(spark, folder, schema):

@@ -60,22 +60,29 @@ class Bigrams:
         pairs = candidates.select(
             *key, F.posexplode(neighbours(tokens)).alias("pos", "pair")
         )
+        # Written once: counted for hot keys and joined without reading the texts again.
+        pairs = materialise(pairs.select(*key, "pos", "pair.*"), "pairs")
         wanted = pairs.select(
-            *key,
-            "pos",
-            "pair.prev",
-            F.explode(F.array(F.col("pair.tok"), F.lit(CONTEXT))).alias("tok"),
+            *key, "pos", "prev", F.explode(F.array(F.col("tok"), F.lit(CONTEXT))).alias("tok")
         )
+        # Add-one smoothing: ln((c + 1) / (n + V)) is ln(c + 1) - ln((n + V) / V) - ln(V). The
+        # first two are zero for what the corpus has not seen, so an inner join finds them all,
+        # and it may broadcast either side: a short list of candidates leaves the model in place.
         contexts = self.contexts()
-        known = self.counts.unionByName(
-            contexts.select(F.col("w").alias("prev"), F.lit(CONTEXT).alias("tok"), F.col("n").alias("c"))
+        size = contexts.agg(F.count("*").cast("double")).scalar()
+        known = self.counts.select("prev", "tok", F.ln(F.col("c") + 1.0).alias("term")).unionByName(
+            contexts.where("n > 0").select(
+                F.col("w").alias("prev"),
+                F.lit(CONTEXT).alias("tok"),
+                (-F.ln((F.col("n") + size) / size)).alias("term"),
+            )
+        )
+        found = skew_join(wanted, known, ["prev", "tok"], [*key, "pos"], "inner")
+        sums = found.select(*key, "term", F.lit(0).alias("n")).unionByName(
+            pairs.select(*key, F.lit(0.0).alias("term"), F.lit(1).alias("n"))
         )
-        found = skew_join(wanted, known, ["prev", "tok"], [*key, "pos"])
-        # Add-one smoothing: ln((c + 1) / (n + V)), with c and n zero when unseen.
-        seen = F.coalesce("c", F.lit(0))
-        size = contexts.agg(F.count("*")).scalar()
-        term = F.when(F.col("tok") == CONTEXT, -F.ln(seen + size)).otherwise(F.ln(seen + 1))
-        return found.groupBy(*key).agg((F.sum(term) / (F.count("*") / 2)).alias(out))
+        mean = F.sum("term") / F.sum("n") - F.ln(size)
+        return sums.groupBy(*key).agg(mean.alias(out))
 
     def continuations(self, k=params.TOP_K, p=params.TOP_P, after=None):
         """(prev, tok, p): the truncated next-word distribution of every context.

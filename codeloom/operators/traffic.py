@@ -2,6 +2,7 @@
 
 Times are integer microseconds. A key with very many requests is cut into time slices and so
 shared out over tasks; what a slice needs from outside comes from a small per-slice summary.
+Operators that join on a key want it filled: see ``user_key``.
 """
 
 from collections import deque
@@ -115,17 +116,32 @@ def debounce(events, key, t, row_id, gap=params.DEBOUNCE_MS * 1000):
     """The events no other event of the same key follows within ``gap``.
 
     In a block of length ``gap`` only the last event can fire, and it fires when the next
-    block does not start within ``gap``; so one mergeable aggregate per block is enough.
+    block does not start within ``gap``; so two mergeable aggregates per block are enough.
     """
     key = list(key)
     blocks = events.withColumn("_blk", F.floor(F.col(t) / F.lit(gap)).cast("long"))
     ends = blocks.groupBy(*key, "_blk").agg(
         F.max(F.struct(t, row_id)).alias("_last"), F.min(t).alias("_first")
     )
-    following = ends.select(*key, (F.col("_blk") - 1).alias("_blk"), F.col("_first").alias("_next"))
-    joined = ends.join(following, [*key, "_blk"], "left")
+    none = F.lit(None)
+    both = ends.select(
+        *key,
+        F.inline(
+            F.array(
+                block_end(F.col("_blk"), F.col("_last"), none.cast("long")),
+                block_end(F.col("_blk") - 1, none.cast(ends.schema["_last"].dataType), F.col("_first")),
+            )
+        ),
+    )
+    merged = both.groupBy(*key, "_blk").agg(F.max("_last").alias("_last"), F.max("_next").alias("_next"))
     quiet = F.col("_next").isNull() | (F.col("_next") >= F.col(f"_last.{t}") + F.lit(gap))
-    return joined.where(quiet).select(*key, f"_last.{t}", f"_last.{row_id}")
+    fired = merged.where(F.col("_last").isNotNull() & quiet)
+    return fired.select(*key, f"_last.{t}", f"_last.{row_id}")
+
+
+def block_end(block, last, following):
+    """What a block knows of its own last event, or of the first event of the next block."""
+    return F.struct(block.alias("_blk"), last.alias("_last"), following.cast("long").alias("_next"))
 
 
 def fold(limit, period, emit):

@@ -71,7 +71,7 @@ def skew_join(fact: DataFrame, lookup: DataFrame, keys, spread, how="left",
 def with_width(df: DataFrame, key, t, rows=ROWS_PER_TASK, of=None) -> DataFrame:
     """Add ``_width``: the length of the time slices a hot key is cut into, else null.
 
-    Keys are counted in ``of`` (default ``df``).
+    Keys are counted in ``of`` (default ``df``); a missing key is a key like any other.
     """
     of = df if of is None else of
     if not may_be_hot(of, rows):
@@ -79,7 +79,8 @@ def with_width(df: DataFrame, key, t, rows=ROWS_PER_TASK, of=None) -> DataFrame:
     span = (F.max(t) - F.min(t) + 1).alias("_span")
     hot = hot_keys(of, [key], rows, span)
     width = F.greatest(F.ceil(F.col("_span") / F.col("_n")), F.lit(1)).cast("long")
-    return df.join(F.broadcast(hot.select(key, width.alias("_width"))), key, "left")
+    listed = F.broadcast(hot.select(F.col(key).alias("_hot"), width.alias("_width")))
+    return df.join(listed, F.col(key).eqNullSafe(F.col("_hot")), "left").drop("_hot")
 
 
 def slice_number(t, width="_width"):

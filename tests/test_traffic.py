@@ -60,7 +60,7 @@ def test_rate_limit_small_case(spark):
 @pytest.mark.parametrize("slice_rows", [7, 100, 10**6])
 @pytest.mark.parametrize("limit,window", [(2, 60), (5, 11), (30, 900)])
 def test_throttle(spark, limit, window, slice_rows):
-    rows = [(u or "anonymous", t, i) for u, t, i in arrivals(window)]
+    rows = [(None if u == "u0" else u or "u1", t, i) for u, t, i in arrivals(window)]
     expected = {}
     for events in by_user(rows).values():
         seen = []
@@ -77,7 +77,7 @@ def test_debounce(spark):
     times = [0, 100, 350, 650, 900]
     df = spark.createDataFrame([("u", t, i) for i, t in enumerate(times)], SCHEMA)
     assert sorted(r["t"] for r in traffic.debounce(df, ["user_id"], "t", "event_id", 300).collect()) == [350, 900]
-    rows = [(u or "anonymous", t, i) for u, t, i in arrivals(9, n=300)]
+    rows = arrivals(9, n=300)
     expected = set()
     for events in by_user(rows).values():
         for a, b in zip(events, [*events[1:], (10**9, 0)]):
@@ -90,7 +90,7 @@ def test_debounce(spark):
 @pytest.mark.parametrize("slice_rows", [3, 50, 10**6])
 def test_last_before_crosses_slices(spark, slice_rows):
     rng = random.Random(3)
-    rows = [("k" if rng.random() < 0.7 else "m", rng.randrange(100000), i, rng.choice([None, None, str(i)]))
+    rows = [(None if rng.random() < 0.7 else "m", rng.randrange(100000), i, rng.choice([None, None, str(i)]))
             for i in range(800)]
     df = spark.createDataFrame(rows, "k string, t long, i long, v string")
     out = {r["i"]: r["before"] for r in last_before(df, "k", "t", "i", "v", "before", slice_rows).collect()}

@@ -92,8 +92,14 @@ def nearest(snippets, queries, k=params.RETRIEVAL_K, key="snippet_id", vector="e
     kind = snippets.schema[key].dataType.simpleString()
     query_kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_kind}, `{key}` {kind}, distance double"
+    first = queries.limit(block + 1).collect()
+    blocks = [first] if first else []
+    if len(first) > block:
+        # Several passes: neither side is computed again for each of them.
+        queries, snippets = materialise(queries, "queries"), materialise(snippets, "snippets")
+        blocks = query_blocks(queries, block)
     found = None
-    for rows in query_blocks(queries, block):
+    for rows in blocks:
         ids = np.array([r["query_id"] for r in rows], dtype=object)
         matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
         part = snippets.mapInPandas(task_search(ids, matrix, k, key, vector), schema)
@@ -105,11 +111,6 @@ def nearest(snippets, queries, k=params.RETRIEVAL_K, key="snippet_id", vector="e
 
 def query_blocks(queries, block):
     """Lists of at most ``block`` query rows, by hash of the query id."""
-    first = queries.limit(block + 1).collect()
-    if len(first) <= block:
-        if first:
-            yield first
-        return
     parts = math.ceil(queries.count() / (block / 2))
     slot = F.pmod(F.xxhash64("query_id"), F.lit(parts))
     for part in range(parts):

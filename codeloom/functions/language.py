@@ -28,10 +28,30 @@ def preprocess(code):
 
 
 def match_counts(clean, mode="literal", table=None):
-    return {
-        lang: F.regexp_count(clean, F.lit(pattern))
-        for lang, pattern in patterns(mode, table).items()
-    }
+    """Matches per language.
+
+    With literal anchors an opening construct can only match at the start of the text. Joined
+    behind one anchor those alternatives are tried once, not at every position; only what may
+    stand elsewhere is searched for. The two never overlap in the standard patterns.
+    """
+    table = table or params.LANGUAGE_PATTERNS
+    if mode != "literal":
+        return {
+            lang: F.regexp_count(clean, F.lit(pattern))
+            for lang, pattern in patterns(mode, table).items()
+        }
+    counts = {}
+    for lang, pattern in table.items():
+        elsewhere, *openings = ("|" + pattern).split("|{BOL}")
+        parts = {"all": "|".join(openings), "rest": elsewhere.strip("|")}
+        filled = patterns(mode, parts)
+        n = F.lit(0)
+        if openings:
+            n = n + F.rlike(clean, F.lit(rf"\A(?:{filled['all']})")).cast("int")
+        if filled["rest"]:
+            n = n + F.regexp_count(clean, F.lit(filled["rest"]))
+        counts[lang] = n
+    return counts
 
 
 def language_scores(code, mode="literal", table=None):

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import micros
 from codeloom.operators import traffic
-from codeloom.operators.users import merge_updates
+from codeloom.operators.telemetry import telemetry, windowed_counts
+from codeloom.operators.users import merge_updates, session_gate
 from codeloom.plans.users import updates
 from codeloom.sources.tables import read_table, stream_events, stream_json
 from codeloom.streaming import operators as live
@@ -71,3 +72,28 @@ def test_json_stream(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"completion": "x", "rating": 0.5}\n{"completion": "y"}\n')
     feedback = stream_json(spark, str(tmp_path / "in"), "completion string, rating double")
     assert pairs(run_append(feedback, "t_json"), "completion") == [("x",), ("y",)]
+
+
+def test_session_gate(spark, parts, batch):
+    kind = (
+        F.when(F.col("event_type") == "signup", "in")
+        .when(F.col("event_type") == "error", "out")
+        .when(F.col("event_type") == "click", "request")
+    )
+    out = run_append(
+        live.session_gate(stream(spark, parts).withColumn("kind", kind).where("kind is not null")), "t_gate"
+    )
+    known = batch.withColumn("status", kind)
+    want = session_gate(
+        known.where("status = 'request'").select("user_id", "t", "event_id"),
+        known.where("status in ('in', 'out')"),
+    )
+    assert pairs(out, "event_id") == pairs(want, "event_id")
+
+
+def test_telemetry_windows(spark, parts, batch):
+    out = run_append(live.telemetry_windows(stream(spark, parts), "6 hours", "3 hours"), "t_windows")
+    want = windowed_counts(telemetry(batch), "6 hours", "3 hours").withColumn("start", micros(F.col("start")))
+    closed = batch.agg(F.max("t")).first()[0] // 1000 * 1000 - HOUR
+    want = want.where(F.col("start") + 6 * HOUR <= closed)
+    assert pairs(out, "start", "event_name", "n") == pairs(want, "start", "event_name", "n")

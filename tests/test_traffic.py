@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import traffic
 from codeloom.operators.users import session_gate, token_validity
 from codeloom.skew import last_before, skew_join
-from codeloom.sources.tables import register
+from codeloom.sources.tables import append_users, lookup_users, register
 
 SCHEMA = "user_id string, t long, event_id long"
 
@@ -139,3 +139,12 @@ def test_cache(spark):
     out = traffic.cache_lookup(asked, cached, ["key"], ["ts"], "event_id", F.upper("key"))
     assert {(r["event_id"], r["hit"], r["computes"], r["result"]) for r in out.collect()} == {
         (0, True, False, "old"), (1, False, True, "B"), (2, False, False, "B")}
+
+
+def test_user_table(spark, tmp_path):
+    path = str(tmp_path / "users")
+    tries = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "username string, ts int, event_id int")
+    append_users(register(spark.createDataFrame([], "username string"), tries), path)
+    found = lookup_users(spark.read.parquet(path), ["b", "x"])
+    assert [(r["username"], r["event_id"]) for r in found.collect()] == [("b", 2)]
+    assert "In(username" in found._jdf.queryExecution().toString()

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact, langid, toxicity
+from codeloom.llm import bpe, exact, langid, near, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,6 +48,14 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 @query(
     r"""
     SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

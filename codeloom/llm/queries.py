@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact, langid, near, toxicity
+from codeloom.llm import bpe, decontaminate, exact, langid, near, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,6 +69,50 @@ def op7_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query(
+    r"""
+    WITH item_words AS (
+        SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+        FROM benchmark),
+    item_places AS (
+        SELECT item_id, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS h
+        FROM item_words, range(1, len(w) - 3) AS r(i) WHERE len(w) >= 5),
+    number AS (SELECT count(DISTINCT item_id) AS items FROM item_places),
+    weights AS (
+        SELECT h, CAST(least(greatest(round(16 * ln(1 + (SELECT items FROM number) / count(DISTINCT item_id))), 1), 255)
+            AS BIGINT) AS w
+        FROM item_places GROUP BY h),
+    known AS (SELECT item_id, n, h, w, count(*) AS c FROM item_places JOIN weights USING (h) GROUP BY ALL),
+    totals AS (SELECT item_id, sum(w * c) AS total FROM known GROUP BY item_id),
+    doc_words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+        FROM documents),
+    doc_places AS (
+        SELECT doc_id, len(w) - 4 AS m, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS h
+        FROM doc_words, range(1, len(w) - 3) AS r(i) WHERE len(w) >= 5),
+    hits AS (SELECT doc_id, item_id, m, n, pos, h, w, c FROM doc_places JOIN known USING (h)),
+    starts AS (
+        SELECT DISTINCT doc_id, item_id, m, n, s
+        FROM hits, range(greatest(pos - n + 5, 0), pos + 1) AS r(s)),
+    counted AS (
+        SELECT s.doc_id, s.item_id, s.m, s.n, s.s, h.h, h.w, h.c, count(*) AS seen
+        FROM starts AS s JOIN hits AS h
+            ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND h.pos BETWEEN s.s AND s.s + s.n - 5
+        GROUP BY ALL),
+    sums AS (
+        SELECT doc_id, item_id, s, sum(w * least(seen, c)) AS common,
+               any_value(total) + sum(w * greatest(seen - c, 0)) + (least(any_value(n) - 4, any_value(m) - s) - sum(seen))
+                   * CAST(least(greatest(round(16 * ln(1 + (SELECT items FROM number))), 1), 255) AS BIGINT) AS whole
+        FROM counted JOIN totals USING (item_id) GROUP BY doc_id, item_id, s)
+    SELECT doc_id, item_id, max(CAST(common AS DOUBLE) / whole) AS similarity
+    FROM sums WHERE common * 100 >= whole * 80 GROUP BY doc_id, item_id
+    """
+)
+def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 @query()
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

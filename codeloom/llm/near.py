@@ -9,13 +9,14 @@ left is checked on the full sets.
 Nothing is expanded into pairs of a group. Texts with equal sets are one node. A band's bucket first
 compares all members with its smallest id, then those outside the found component with another
 member; what still has members of different components is compared block by block inside tasks,
-and only pairs that pass the pruning leave them. A pair in one component needs no further look.
+and only links leave them. A pair in one component needs no further look.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ from codeloom.session import materialise
 BANDS, ROWS = 48, 6
 BATCH = 48  # minima per step of the sequential test
 MISS = 1e-6
-BLOCK = 512  # members of a bucket compared at once
-ROWS_PER_SHARD = 20_000
+BLOCK = 2048  # members of a bucket compared at once
+ROWS_PER_SHARD = 4_000
+HELD = 4_000_000  # shingles a task remembers
 CHUNK = 512
 
 _draw = np.random.default_rng(20)
@@ -152,11 +154,12 @@ def labelled(members, labels):
     return materialise(named.join(mixed.where("lo <> hi").select("key", "n"), "key"), "mixed")
 
 
-def in_blocks(mixed, found, percent) -> DataFrame:
-    """Pairs (a, b) of different label that share a bucket and survive the sequential test.
+def in_blocks(mixed, found, words, percent) -> DataFrame:
+    """Links (a, b) of different label among the members of a bucket.
 
-    A bucket is cut into blocks; a group compares two of them, and only in the first band that the
-    two texts share, so a pair comes out once.
+    A bucket is cut into blocks; a group compares two of them, a pair only in the first band that
+    its texts share. Pairs that survive the sequential test are checked on the spot, so a task
+    gives out links only, however many members are almost similar enough.
     """
     kind = found.schema["id"].dataType.simpleString()
     least = least_matches(percent)
@@ -164,12 +167,12 @@ def in_blocks(mixed, found, percent) -> DataFrame:
     rows = mixed.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(found.select("id", "bands"), "id")
+    rows = rows.join(found, "id")
     n = shares(mixed, ROWS_PER_SHARD)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n)))
 
     def compare(keys, band, label, own, same):
-        """Index pairs of one group."""
+        """Index pairs of one group that survive the sequential test."""
         first = np.arange(len(keys)) if same else np.flatnonzero(own == own.min())
         low = minima(keys)
         for x in first.tolist():
@@ -182,18 +185,33 @@ def in_blocks(mixed, found, percent) -> DataFrame:
                     yield x, y
 
     def run(table):
-        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        cache, sets, held = WordHashes(), {}, 0
+        order = [("key", "ascending"), ("i", "ascending"), ("j", "ascending")]
+        table = table.take(pc.sort_indices(table, order)).combine_chunks()
         number = lambda c: table.column(c).to_numpy()
         key, i, j, own = number("key"), number("i"), number("j"), number("own")
         label = table.column("label").dictionary_encode().combine_chunks().indices.to_numpy()
+        ids = table.column("id").combine_chunks()
+        node = ids.dictionary_encode().indices.to_numpy()
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
         a, b = [], []
+
+        def set_of(row):
+            nonlocal held
+            if node[row] not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                sets[node[row]] = shingle_set(table.column("text")[row].as_py(), words, cache)
+                held += len(sets[node[row]])
+            return sets[node[row]]
+
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             for x, y in compare(bands[lo:hi], int(key[lo] >> 48), label[lo:hi], own[lo:hi], i[lo] == j[lo]):
-                a.append(lo + x)
-                b.append(lo + y)
-        ids = table.column("id").combine_chunks()
+                if linked(set_of(lo + x), set_of(lo + y), percent):
+                    a.append(lo + x)
+                    b.append(lo + y)
         return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
     return rows.groupBy("shard").applyInArrow(run, f"a {kind}, b {kind}")
@@ -210,8 +228,8 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=8
     items = texts(df, key, text)
     marks = materialise(signatures(items, words), "signatures")
     sets = marks.where("n > 0 and id is not null")
-    first = sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    nodes = sets.join(first.withColumnRenamed("rep", "id"), ["f1", "f2", "id"], "left_semi")
+    first = materialise(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "sets")
+    nodes = sets.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
     members = nodes.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     members = materialise(members.join(shared.where("leader <> last"), "key").select("key", "id", "leader"), "members")
@@ -231,9 +249,7 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=8
     second = materialise(second.join(led, ["a", "b"], "left_anti"), "pairs")
     edges = edges.union(check(second))
     mixed = labelled(mixed, components(edges))
-    rest = in_blocks(mixed, found, percent)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialise(rest.join(led.union(second), ["a", "b"], "left_anti"), "pairs")
-    linked_to = components(edges.union(check(rest)))
+    edges = edges.union(materialise(in_blocks(mixed, found, words, percent), "edges"))
+    linked_to = components(edges)
     whole = marks.join(first, ["f1", "f2"], "left").join(linked_to.withColumnRenamed("id", "rep"), "rep", "left")
     return whole.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")).alias("component_id"))

@@ -10,12 +10,14 @@ import base64
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 PIECE = 1 << 16  # characters encoded at once
+ROWS = 128  # texts of an output batch
 CUT = re.compile(r"[!-~](?=[ \n])")
 
 
@@ -100,7 +102,8 @@ def encode(df: DataFrame, ranks_path, pattern, text="text", ids="ids", offsets=N
     """
     ranks = read_ranks(ranks_path)
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks, pattern))
-    sizes = {rank: len(token) for rank, token in ranks.items()}
+    sizes = np.zeros(max(ranks, default=0) + 1, np.int64)
+    sizes[list(ranks)] = [len(token) for token in ranks.values()]
     taken = [c for c in df.columns if c.lower() not in {ids.lower(), (offsets or ids).lower()} or c == text]
     source = df.select(*taken, F.col(text).cast("string").alias("_text"))
     kept = [c for c in taken if c.lower() not in {ids.lower(), (offsets or ids).lower()}]
@@ -113,26 +116,22 @@ def encode(df: DataFrame, ranks_path, pattern, text="text", ids="ids", offsets=N
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = load(spec.value)
-        for batch in batches:
-            found, starts = [], []
-            for value in batch.column(batch.schema.get_field_index("_text")).to_pylist():
-                own = []
-                for piece in pieces(value or ""):
-                    if piece:
-                        own.extend(tokenizer.encode(piece, add_special_tokens=False).ids)
-                found.append(own)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                found, starts = [], []
+                for value in batch.column(batch.schema.get_field_index("_text")).to_pylist():
+                    parts = [tokenizer.encode(p, add_special_tokens=False).ids for p in pieces(value or "") if p]
+                    own = np.array([i for part in parts for i in part], np.int32)
+                    found.append(own)
+                    if offsets:
+                        starts.append((np.cumsum(sizes[own]) - sizes[own]).astype(np.int32))
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                columns.append(pa.array(found, pa.list_(pa.int32())))
                 if offsets:
-                    at, places = 0, []
-                    for i in own:
-                        places.append(at)
-                        at += sizes[i]
-                    starts.append(places)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            columns.append(pa.array(found, pa.list_(pa.int32())))
-            if offsets:
-                columns.append(pa.array(starts, pa.list_(pa.int32())))
-            names = [*kept, ids, *([offsets] if offsets else [])]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns.append(pa.array(starts, pa.list_(pa.int32())))
+                names = [*kept, ids, *([offsets] if offsets else [])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return source.mapInArrow(run, schema)
 

@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import materialise
+
 SAMPLE = 20_000  # expected number of labelled rows the lexicon is learned from
 PATTERNS = 2_000  # longest lexicon
 PREFIXES = range(4, 8)  # lengths of the word beginnings that may become patterns
 ODDS = 2.0  # least log odds of a pattern
 CHUNK = 1 << 20
+HELD = 100_000  # pattern counts a task holds before it sends them on
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOK_ALIKES = {
@@ -192,22 +195,25 @@ def learn(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", toxic="
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     drawn = rows.where(draw < share).join(marks.where(draw < share), "id").select("text", "y")
+    drawn = materialise(drawn, "labelled")
 
     def count(batches):
         toxic_in, clean_in, seen = Counter(), Counter(), [0, 0]
+
+        def told():
+            names = list(toxic_in.keys() | clean_in.keys())
+            rows = [*names, None], [*(toxic_in[n] for n in names), seen[0]], [*(clean_in[n] for n in names), seen[1]]
+            return pd.DataFrame({"pattern": pd.Series(rows[0], dtype=object), "toxic": rows[1], "clean": rows[2]})
+
         for pdf in batches:
             for value, y in zip(pdf["text"], pdf["y"]):
                 own = {p for part in chunks(value) for p in patterns_of(fold(part))}
                 (toxic_in if y else clean_in).update(own)
                 seen[0 if y else 1] += 1
-        names = list(toxic_in.keys() | clean_in.keys())
-        yield pd.DataFrame(
-            {
-                "pattern": [*names, None],
-                "toxic": [*(toxic_in[n] for n in names), seen[0]],
-                "clean": [*(clean_in[n] for n in names), seen[1]],
-            }
-        )
+                if len(toxic_in) + len(clean_in) > HELD:
+                    yield told()
+                    toxic_in, clean_in, seen = Counter(), Counter(), [0, 0]
+        yield told()
 
     told = drawn.mapInPandas(count, "pattern string, toxic bigint, clean bigint")
     told = told.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

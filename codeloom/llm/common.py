@@ -60,3 +60,8 @@ def shares(df: DataFrame, rows: int) -> int:
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text) of any table, whatever else it holds."""
     return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+
+
+def sent_if_small(df: DataFrame, rows=200_000) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most ``rows`` (short) rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

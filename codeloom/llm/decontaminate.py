@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import passages
+from codeloom.llm.common import sent_if_small
 from codeloom.session import materialise
 
 BITS, RADIUS, PERCENT = 64, 20, 80
@@ -76,18 +77,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", item
     an id can leak too; their id is null.
     """
     rows, marks, vocabulary = item_tables(benchmark, item, "text")
-    found = materialise(passages.hits(docs, vocabulary, key, text), "hits")
+    found = materialise(passages.hits(docs, sent_if_small(vocabulary), key, text), "hits")
     inside = passages.windows(found).groupBy(*WINDOW, "size", "h", "w").agg(F.count("*").alias("seen"))
     inside = materialise(inside, "windows")
     own = inside.withColumn("weight", F.col("w") * F.col("seen")).groupBy(*WINDOW).agg(fingerprint(w="weight").alias("mark"))
     cut = own.select(*WINDOW, "mark", F.inline(blocks()))
-    keyed = marks.select("item", "piece", "n", "total", F.col("mark").alias("wanted"), "items", F.inline(blocks()))
+    keyed = sent_if_small(marks, 200_000 // (RADIUS + 1))
+    keyed = keyed.select("item", "piece", "n", "total", F.col("mark").alias("wanted"), "items", F.inline(blocks()))
     pairs = cut.join(keyed, ["n", "block", "value"])
     pairs = pairs.where(F.bit_count(F.col("mark").bitwiseXOR(F.col("wanted"))) <= RADIUS)
     pairs = pairs.select(*WINDOW, "item", "piece", "total", "items").distinct()
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in WINDOW]
     both = inside.alias("l").join(pairs.alias("r"), same).select("l.*", "item", "piece", "total", "items")
-    both = both.join(rows.select("item", "piece", "n", "h", "count"), ["item", "piece", "n", "h"])
+    both = both.join(sent_if_small(rows).select("item", "piece", "n", "h", "count"), ["item", "piece", "n", "h"])
     sums = both.groupBy(*WINDOW, "size", "item", "piece", "total", "items").agg(
         F.sum(F.col("w") * F.least("seen", "count")).alias("common"),
         F.sum(F.col("w") * F.greatest(F.col("seen") - F.col("count"), F.lit(0))).alias("more"),

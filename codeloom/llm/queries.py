@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, exact, langid, near, toxicity
+from codeloom.llm import bpe, decontaminate, exact, langid, licenses, near, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -113,6 +113,37 @@ def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+@query(
+    r"""
+    WITH template(license, body) AS (VALUES {templates}),
+    template_words AS (
+        SELECT *, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM template),
+    known AS (
+        SELECT DISTINCT license, body, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS h
+        FROM template_words, range(1, len(w) - 3) AS r(i)),
+    totals AS (SELECT license, body, count(*) AS total FROM known GROUP BY ALL),
+    doc_words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w
+        FROM documents),
+    places AS (
+        SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS h
+        FROM doc_words, range(1, len(w) - 3) AS r(i) WHERE len(w) >= 5),
+    hits AS (SELECT doc_id, license, body, n, pos, h FROM places JOIN known USING (h)),
+    starts AS (SELECT DISTINCT doc_id, license, body, n, s FROM hits, range(greatest(pos - n + 5, 0), pos + 1) AS r(s)),
+    counted AS (
+        SELECT s.doc_id, s.license, s.body, s.s, count(DISTINCT h.h) AS common
+        FROM starts AS s JOIN hits AS h ON s.doc_id = h.doc_id AND s.license = h.license AND s.body = h.body
+            AND h.pos BETWEEN s.s AND s.s + s.n - 5
+        GROUP BY ALL)
+    SELECT doc_id, license, max(CAST(common AS DOUBLE) / total) AS share
+    FROM counted JOIN totals USING (license, body) WHERE common * 100 >= total * 80 GROUP BY doc_id, license
+    """.format(templates=", ".join(f"('{n}', '{t}')" for n, t in licenses.TEMPLATES))
+)
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.licenses(table(spark, folder, "documents"), licenses.template_table(spark))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query()
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

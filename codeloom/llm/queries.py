@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, exact, langid, licenses, near, toxicity
+from codeloom.llm import bpe, decontaminate, exact, langid, licenses, near, repeats, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,6 +56,11 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op4_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
+
+
 @query(
     r"""
     SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

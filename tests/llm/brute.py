@@ -39,3 +39,22 @@ def near_components(docs, size, percent):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {k: (len(sets[k]), root(k)) for k in docs}
+
+
+def repeated_bytes(docs, width):
+    """id -> (bytes, removed, runs, what stays) of a dict of texts."""
+    seen = {}
+    data = {k: (v or "").encode() for k, v in docs.items()}
+    for own in data.values():
+        for i in range(len(own) - width + 1):
+            piece = own[i : i + width]
+            seen[piece] = seen.get(piece, 0) + 1
+    result = {}
+    for k, own in data.items():
+        gone = bytearray(len(own))
+        for i in range(len(own) - width + 1):
+            if seen[own[i : i + width]] > 1:
+                gone[i : i + width] = b"\x01" * width
+        starts = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        result[k] = (len(own), sum(gone), starts, bytes(c for c, g in zip(own, gone) if not g))
+    return result

@@ -1,8 +1,8 @@
 """Near-duplicate texts: MinHash bands, sequential Bayesian pruning, exact check, components.
 
-A text's set is its distinct word shingles. BANDS x ROWS minima of 8 bits are kept; texts that agree
-on a whole band are candidates. At similarity 0.8 a pair shares no band with a probability of
-(1 - 0.8^6)^48, about 5e-7. The bands of a candidate pair are compared BATCH minima at a time; the
+A text's set is its distinct word shingles. 48 bands of 6 minima of 8 bits are kept (see Bands); texts
+that agree on a whole band are candidates. At similarity 0.8 a pair shares no band with a probability of
+(1 - 0.8^6)^48, about 5e-7. The bands of a candidate pair are compared 48 minima at a time; the
 pair is dropped once the posterior probability of reaching the threshold is below MISS, and what is
 left is checked on the full sets.
 
@@ -25,37 +25,39 @@ from codeloom.llm.common import WordHashes, shares, shingle_set, texts
 from codeloom.llm.components import components
 from codeloom.session import materialise
 
-BANDS, ROWS = 48, 6
-BATCH = 48  # minima per step of the sequential test
 MISS = 1e-6
 BLOCK = 2048  # members of a bucket compared at once
 ROWS_PER_SHARD = 4_000
 HELD = 4_000_000  # shingles a task remembers
 CHUNK = 512
 
-_draw = np.random.default_rng(20)
-FACTOR = (_draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-FLIP = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 
+class Bands:
+    """Number of bands, minima in each (at most 6), and minima per step of the sequential test."""
 
-def band_keys(items):
-    """Band keys of a sorted set of hashes: six minima of 8 bits, and the band's number above."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    x = (items >> np.uint64(32)).astype(np.uint32)
-    for start in range(0, len(x), CHUNK):
-        np.minimum(low, ((x[None, start : start + CHUNK] ^ FLIP) * FACTOR).min(1), out=low)
-    bytes_of = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).reshape(BANDS, ROWS)
-    packed = np.zeros((BANDS, 8), np.uint8)
-    packed[:, :ROWS] = bytes_of
-    return packed.view("<u8")[:, 0].astype(np.int64) | (np.arange(BANDS, dtype=np.int64) << 48)
+    def __init__(self, bands=48, rows=6, batch=48):
+        self.bands, self.rows, self.batch = bands, rows, batch
+        draw = np.random.default_rng(20)
+        self.factor = (draw.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.flip = draw.integers(0, 1 << 32, bands * rows, dtype=np.uint32)[:, None]
 
+    def keys(self, items):
+        """Band keys of a sorted set of hashes: minima of 8 bits, and the band's number above."""
+        low = np.full(self.bands * self.rows, 0xFFFFFFFF, np.uint32)
+        x = (items >> np.uint64(32)).astype(np.uint32)
+        for start in range(0, len(x), CHUNK):
+            np.minimum(low, ((x[None, start : start + CHUNK] ^ self.flip) * self.factor).min(1), out=low)
+        packed = np.zeros((self.bands, 8), np.uint8)
+        packed[:, : self.rows] = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).reshape(self.bands, -1)
+        return packed.view("<u8")[:, 0].astype(np.int64) | (np.arange(self.bands, dtype=np.int64) << 48)
 
-def minima(keys):
-    """The 8-bit minima of an array (n, BANDS) of band keys."""
-    return np.ascontiguousarray(keys.astype("<i8")).view(np.uint8).reshape(len(keys), BANDS, 8)[:, :, :ROWS].reshape(len(keys), -1)
+    def minima(self, keys):
+        """The 8-bit minima of an array (n, bands) of band keys."""
+        octets = np.ascontiguousarray(keys.astype("<i8")).view(np.uint8)
+        return octets.reshape(len(keys), self.bands, 8)[:, :, : self.rows].reshape(len(keys), -1)
 
 
-def least_matches(percent, miss=MISS):
+def least_matches(percent, scheme, miss=MISS):
     """For each step, the fewest equal minima with which a pair may still reach the threshold.
 
     Prior: similarity uniform on [0, 1]; a minimum agrees with probability s + (1 - s) / 256.
@@ -63,7 +65,7 @@ def least_matches(percent, miss=MISS):
     s = (np.arange(4000) + 0.5) / 4000
     p = s + (1 - s) / 256
     least = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(scheme.batch, scheme.bands * scheme.rows + 1, scheme.batch):
         m = np.arange(n + 1)[:, None]
         like = m * np.log(p) + (n - m) * np.log1p(-p)
         like = np.exp(like - like.max(1, keepdims=True))
@@ -72,11 +74,11 @@ def least_matches(percent, miss=MISS):
     return least
 
 
-def may_link(a, b, least):
+def may_link(a, b, least, batch):
     """Which row pairs of two arrays of minima survive all steps."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for step, fewest in enumerate(least):
-        part = slice(step * BATCH, (step + 1) * BATCH)
+        part = slice(step * batch, (step + 1) * batch)
         matches[alive] += (a[alive, part] == b[alive, part]).sum(1)
         alive = alive[matches[alive] >= fewest]
     return alive
@@ -88,7 +90,7 @@ def linked(a, b, percent):
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signatures(items: DataFrame, words, keep_text=False) -> DataFrame:
+def signatures(items: DataFrame, words, scheme, keep_text=False) -> DataFrame:
     """(id, n, f1, f2, bands): size and 128-bit fingerprint of the set, and its band keys."""
     kind = items.schema["id"].dataType.simpleString()
     kept = ["text"] if keep_text else []
@@ -103,7 +105,7 @@ def signatures(items: DataFrame, words, keep_text=False) -> DataFrame:
                 n.append(len(own))
                 f1.append((mark >> 64) - (1 << 63))
                 f2.append((mark & ((1 << 64) - 1)) - (1 << 63))
-                bands.append(band_keys(own) if len(own) else [])
+                bands.append(scheme.keys(own) if len(own) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64())), *([batch.column(1)] if kept else [])],
@@ -114,12 +116,12 @@ def signatures(items: DataFrame, words, keep_text=False) -> DataFrame:
     return items.select("id", "text").mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, found: DataFrame, words, percent) -> DataFrame:
+def verify(pairs: DataFrame, found: DataFrame, words, percent, scheme) -> DataFrame:
     """The pairs (a, b) that survive the sequential test and reach the similarity on full sets."""
     kind = found.schema["id"].dataType.simpleString()
     side = lambda c: found.select(F.col("id").alias(c), F.col("bands").alias(f"bands_{c}"), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "bands_a", "bands_b", "text_a", "text_b")
-    least = least_matches(percent)
+    least = least_matches(percent, scheme)
 
     def run(batches):
         cache, sets = WordHashes(), {}
@@ -134,9 +136,9 @@ def verify(pairs: DataFrame, found: DataFrame, words, percent) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(i).flatten().to_numpy().reshape(-1, BANDS) for i in (2, 3)]
+            keys = [batch.column(i).flatten().to_numpy().reshape(-1, scheme.bands) for i in (2, 3)]
             hits = []
-            for i in may_link(minima(keys[0]), minima(keys[1]), least).tolist():
+            for i in may_link(scheme.minima(keys[0]), scheme.minima(keys[1]), least, scheme.batch).tolist():
                 a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 own = set_of(a, batch.column(4)[i].as_py())
                 if linked(own, shingle_set(batch.column(5)[i].as_py(), words, cache), percent):
@@ -154,7 +156,7 @@ def labelled(members, labels):
     return materialise(named.join(mixed.where("lo <> hi").select("key", "n"), "key"), "mixed")
 
 
-def in_blocks(mixed, found, words, percent) -> DataFrame:
+def in_blocks(mixed, found, words, percent, scheme) -> DataFrame:
     """Links (a, b) of different label among the members of a bucket.
 
     A bucket is cut into blocks; a group compares two of them, a pair only in the first band that
@@ -162,7 +164,7 @@ def in_blocks(mixed, found, words, percent) -> DataFrame:
     gives out links only, however many members are almost similar enough.
     """
     kind = found.schema["id"].dataType.simpleString()
-    least = least_matches(percent)
+    least = least_matches(percent, scheme)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = mixed.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -174,14 +176,14 @@ def in_blocks(mixed, found, words, percent) -> DataFrame:
     def compare(keys, band, label, own, same):
         """Index pairs of one group that survive the sequential test."""
         first = np.arange(len(keys)) if same else np.flatnonzero(own == own.min())
-        low = minima(keys)
+        low = scheme.minima(keys)
         for x in first.tolist():
             rest = np.arange(x + 1, len(keys)) if same else np.flatnonzero(own != own[x])
             rest = rest[label[rest] != label[x]]
             if len(rest):
                 shared = (keys[rest] == keys[x]).argmax(1)
                 rest = rest[shared == band]
-                for y in rest[may_link(np.broadcast_to(low[x], (len(rest), low.shape[1])), low[rest], least)].tolist():
+                for y in rest[may_link(np.broadcast_to(low[x], (len(rest), low.shape[1])), low[rest], least, scheme.batch)].tolist():
                     yield x, y
 
     def run(table):
@@ -193,7 +195,7 @@ def in_blocks(mixed, found, words, percent) -> DataFrame:
         label = table.column("label").dictionary_encode().combine_chunks().indices.to_numpy()
         ids = table.column("id").combine_chunks()
         node = ids.dictionary_encode().indices.to_numpy()
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, scheme.bands)
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
         a, b = [], []
 
@@ -217,7 +219,7 @@ def in_blocks(mixed, found, words, percent) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=80) -> DataFrame:
+def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=80, scheme=None) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``df``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased. Texts are linked when
@@ -225,8 +227,8 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=8
     reachable. A text without words has no shingles and only its own id; so has a row without an id
     (null). Rows that repeat an id are separate texts; each gets the component of its own text.
     """
-    items = texts(df, key, text)
-    marks = materialise(signatures(items, words), "signatures")
+    items, scheme = texts(df, key, text), scheme or Bands()
+    marks = materialise(signatures(items, words, scheme), "signatures")
     sets = marks.where("n > 0 and id is not null")
     first = materialise(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "sets")
     nodes = sets.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
@@ -234,11 +236,11 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=8
     shared = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     members = materialise(members.join(shared.where("leader <> last"), "key").select("key", "id", "leader"), "members")
     wanted = members.select("id").distinct()
-    found = signatures(items.join(wanted, "id", "left_semi"), words, keep_text=True)
+    found = signatures(items.join(wanted, "id", "left_semi"), words, scheme, keep_text=True)
     found = materialise(found.where("n > 0").select("id", "bands", "text"), "candidates")
 
     def check(pairs):
-        return materialise(verify(pairs, found, words, percent), "edges")
+        return materialise(verify(pairs, found, words, percent, scheme), "edges")
 
     led = materialise(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     edges = check(led)
@@ -249,7 +251,7 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=8
     second = materialise(second.join(led, ["a", "b"], "left_anti"), "pairs")
     edges = edges.union(check(second))
     mixed = labelled(mixed, components(edges))
-    edges = edges.union(materialise(in_blocks(mixed, found, words, percent), "edges"))
+    edges = edges.union(materialise(in_blocks(mixed, found, words, percent, scheme), "edges"))
     linked_to = components(edges)
     whole = marks.join(first, ["f1", "f2"], "left").join(linked_to.withColumnRenamed("id", "rep"), "rep", "left")
     return whole.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")).alias("component_id"))

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, exact, html, langid, licenses, near, repeats, toxicity
+from codeloom.llm import bpe, decontaminate, exact, html, langid, licenses, near, paragraphs, repeats, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,6 +61,12 @@ def op4_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeats(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
 
 
+@query()
+def op5_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    found = paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+    return found.withColumnRenamed("id", "doc_id").drop("spans")
+
+
 @query()
 def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact, langid
+from codeloom.llm import bpe, decontaminate, exact, langid, near
 
 
 def language(spark, docs, sf_dir):
@@ -26,6 +26,20 @@ def exact_copies(spark, docs, sf_dir):
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
+def near_copies(spark, docs, sf_dir):
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8), the smallest doc_id."""
+    found = near.near_duplicates(docs, words=5, percent=80)
+    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+
+
+def benchmark_leaks(spark, docs, sf_dir):
+    """Drops documents that hold a passage of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = decontaminate.leaks(docs, benchmark).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
 def tokens(spark, docs, sf_dir):
     """Adds token ids and the decoded text: doc_id, lang, source, ids, n_tokens, text."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -6,6 +6,8 @@ from codeloom.session import run_dir
 STAGES = [
     ("language", stages.language),
     ("exact", stages.exact_copies),
+    ("near", stages.near_copies),
+    ("benchmark", stages.benchmark_leaks),
     ("tokens", stages.tokens),
 ]
 

@@ -51,32 +51,33 @@ class CuckooFilter:
         mark, a, b = self.places(hashes)
         return (self.table[a] == mark[:, None]).any(1) | (self.table[b] == mark[:, None]).any(1)
 
+    def place(self, mark, bucket):
+        """Puts fingerprints into free slots of their buckets; gives back those that found none."""
+        order = np.argsort(bucket, kind="stable")
+        mark, bucket = mark[order], bucket[order]
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
+        rank = np.arange(len(bucket)) - np.repeat(start, np.diff(np.r_[start, len(bucket)]))
+        for slot in range(SLOTS):  # the r-th newcomer of a bucket takes its r-th free slot
+            free = self.table[bucket, slot] == 0
+            fits = free & (rank == 0)
+            self.table[bucket[fits], slot] = mark[fits]
+            rank = np.where(free, rank - 1, rank)
+            mark, bucket, rank = mark[~fits], bucket[~fits], rank[~fits]
+        return mark, bucket
+
     def insert(self, hashes):
         """Places all fingerprints at once, pushing out others for at most MAX_KICKS rounds."""
-        mark, bucket, _ = self.places(hashes)
+        mark, first, _ = self.places(hashes)
+        mark, bucket = self.place(mark, first)
+        mark, bucket = self.place(mark, self.other(bucket, mark))
         for turn in range(MAX_KICKS):
             if not len(mark):
                 return
-            order = np.argsort(bucket, kind="stable")
-            mark, bucket = mark[order], bucket[order]
-            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rank = np.arange(len(bucket)) - np.repeat(start, np.diff(np.r_[start, len(bucket)]))
-            for slot in range(SLOTS):  # the r-th newcomer of a bucket takes its r-th free slot
-                free = (self.table[bucket] == 0) & (np.arange(SLOTS) == slot)
-                fits = free.any(1) & (rank == 0)
-                self.table[bucket[fits], slot] = mark[fits]
-                rank = np.where(free.any(1), rank - 1, rank)
-                mark, bucket, rank = mark[~fits], bucket[~fits], rank[~fits]
-            if turn % 2 == 0:  # who found no place tries its other bucket before it pushes
-                bucket = self.other(bucket, mark)
-                continue
-            pushes = (rank >= 0) & (rank < 1)
-            first = np.r_[True, bucket[1:] != bucket[:-1]] if len(bucket) else pushes
-            slot = (mark.astype(np.int64) + turn) % SLOTS
-            out = self.table[bucket[first], slot[first]].copy()
-            self.table[bucket[first], slot[first]] = mark[first]
-            moved = self.other(bucket[first], out)
-            mark, bucket = np.r_[out, mark[~first]], np.r_[moved, bucket[~first]]
+            head = np.r_[True, bucket[1:] != bucket[:-1]]  # one newcomer of a bucket pushes at a time
+            at, slot = bucket[head], (mark[head].astype(np.int64) + turn) % SLOTS
+            out = self.table[at, slot].copy()
+            self.table[at, slot] = mark[head]
+            mark, bucket = self.place(np.r_[out, mark[~head]], np.r_[self.other(at, out), bucket[~head]])
         if len(mark):
             raise Overflow
 

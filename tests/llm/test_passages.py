@@ -31,7 +31,7 @@ def test_leaks(spark):
         (8, ""),
         (None, " ".join(items[0])),
         (0, fill(30)),
-        (11, fill(2000) + " " + " ".join(items[3]) + " " + fill(2000) + " ".join(items[0])),
+        (11, fill(2000) + " " + " ".join(items[3]) + " " + fill(2000) + " " + " ".join(items[0])),
     ]
     df = spark.createDataFrame([(*d, 1.0) for d in docs], "doc_id bigint, text string, similarity double").repartition(3)
     table = spark.createDataFrame(bench, "item_id bigint, text string, n string")

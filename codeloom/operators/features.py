@@ -20,15 +20,25 @@ RESULT = (
     f"depth int, depth_full int, facts array<{FACT}>"
 )
 NESTING = (ast.For, ast.While, ast.If)
+TOO_DEEP = "..."
+
+
+def source_text(node):
+    """Source of an expression; a placeholder for one nested too deeply to be written out."""
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return TOO_DEEP
 
 
 def dotted(node):
     """``a.b.c`` for names and attributes; source text for anything else."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return dotted(node.value) + "." + node.attr
-    return ast.unparse(node)
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    parts.append(node.id if isinstance(node, ast.Name) else source_text(node))
+    return ".".join(reversed(parts))
 
 
 def nesting(tree):
@@ -85,15 +95,20 @@ def node_facts(node, order):
 
 
 def parse(code):
-    """One result row for one file."""
+    """One result row for one file; a file that can't be analysed has ``error_class`` and no facts."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(code)
+        return (True, None, None, None, None, *nesting(tree), facts_of(tree))
     except SyntaxError as error:
         return False, "SyntaxError", str(error), error.lineno, error.offset, None, None, []
     except (ValueError, RecursionError, MemoryError) as error:
         return False, type(error).__name__, str(error), None, None, None, None, []
+
+
+def facts_of(tree):
+    """All facts of a syntax tree, breadth first."""
     facts, leftmost = [], {}
     for order, node in enumerate(ast.walk(tree)):
         if hasattr(node, "lineno") and node.col_offset < leftmost.get(node.lineno, 1 << 30):
@@ -101,7 +116,7 @@ def parse(code):
             leftmost[node.lineno] = node.col_offset
             facts.append(fact(node, order, "node", type(node).__name__))
         facts.extend(node_facts(node, order))
-    return (True, None, None, None, None, *nesting(tree), facts)
+    return facts
 
 
 def python_features(df, code="text", keep=("doc_id",)):

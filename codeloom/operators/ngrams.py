@@ -9,8 +9,8 @@ from codeloom import params
 from codeloom.functions.text import words
 from codeloom.operators.candidates import rank
 from codeloom.session import materialise
-from codeloom.skew import skew_join
 
+LOGIT_STEP = 512
 CONTEXT = ""  # stands for "any word" in the lookup table; never a word itself
 
 
@@ -77,7 +77,7 @@ class Bigrams:
                 (-F.ln((F.col("n") + size) / size)).alias("term"),
             )
         )
-        found = skew_join(wanted, known, ["prev", "tok"], [*key, "pos"], "inner")
+        found = wanted.join(known, ["prev", "tok"])
         sums = found.select(*key, "term", F.lit(0).alias("n")).unionByName(
             pairs.select(*key, F.lit(0.0).alias("term"), F.lit(1).alias("n"))
         )
@@ -112,7 +112,7 @@ class Bigrams:
             F.lit(0.0).alias("logp"),
         ).where(F.col("prev").isNotNull())
         for _ in range(steps):
-            grown = skew_join(beam, per_context, ["prev"], key, "inner").select(
+            grown = beam.join(per_context, "prev").select(
                 *key, "path", "logp", F.inline("next")
             )
             step = grown.select(
@@ -147,16 +147,24 @@ def truncate(weights, group, weight, item, k=params.TOP_K, p=params.TOP_P):
 
 
 def log_softmax(logits, group, logit, spread, out="logp"):
-    """Log-softmax within each group by two mergeable aggregates instead of a group window."""
+    """Log-softmax within each group, without a group window.
+
+    The logits are stored once. Peak and scaled sum are one aggregate each, combined per task before
+    the shuffle: sums are taken per step of LOGIT_STEP, within which exp cannot overflow, and the
+    few steps of a group are scaled to its highest one afterwards. ``spread`` is kept for callers;
+    adaptive execution splits a hot group's part of the join.
+    """
     group = list(group)
-    peak = logits.groupBy(*group).agg(F.max(logit).alias("_max"))
-    shifted = skew_join(logits, peak, group, spread, "inner")
-    mass = shifted.groupBy(*group).agg(
-        F.sum(F.exp(F.col(logit) - F.col("_max"))).alias("_mass"), F.max("_max").alias("_max")
+    logits = materialise(logits, "logits")
+    level = F.floor(F.col(logit) / LOGIT_STEP) * LOGIT_STEP
+    parts = logits.groupBy(*group, level.alias("_level")).agg(F.sum(F.exp(F.col(logit) - level)).alias("_part"))
+    peak = F.max("_level")
+    mass = parts.groupBy(*group).agg(
+        peak.alias("_max"), F.collect_list(F.struct("_level", "_part")).alias("_parts")
     )
-    both = skew_join(logits, mass, group, spread, "inner")
-    value = F.col(logit) - F.col("_max") - F.ln("_mass")
-    return both.withColumn(out, value).drop("_max", "_mass")
+    scaled = F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x["_part"] * F.exp(x["_level"] - F.col("_max")))
+    mass = materialise(mass.select(*group, (F.col("_max") + F.ln(scaled)).alias("_log_mass")), "mass")
+    return logits.join(mass, group).withColumn(out, F.col(logit) - F.col("_log_mass")).drop("_log_mass")
 
 
 def mean_log_prob(token_logps, key, logp="logp", out="score"):

@@ -10,26 +10,34 @@ from codeloom import params
 from codeloom.functions.text import words
 from codeloom.operators.candidates import rank
 from codeloom.session import materialise
-from codeloom.skew import skew_join
 
 QUERY_BLOCK = 4096  # query vectors held by a task at once; more are searched block by block
 MATRIX_CELLS = 1 << 21  # distances a task works on at once
 
 
-def embed(texts, key, text="text", dim=params.EMBEDDING_DIM, out="embedding"):
-    """Feature-hashed, L2-normalised word counts; null for a text without words.
+def with_embedding(texts, text="text", dim=params.EMBEDDING_DIM, out="embedding"):
+    """Add the feature-hashed, L2-normalised word counts; null for a text without words.
 
-    The words of a text sit in one task, which sends a single row of counts to the shuffle.
+    Counted inside the row: the sorted bucket numbers hold every bucket once more than it occurs,
+    so the counts are the gaps between first places. No explode, no shuffle. Explode the vector with
+    an outer generator only, and filter before: a filter on it would be moved below and count anew
+    for every element.
     """
-    bucket = F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int") % dim
-    hashed = texts.select(key, F.explode(words(F.col(text))).alias("word")).select(
-        key, bucket.alias("b")
-    )
-    counts = hashed.groupBy(key).agg(*[F.count_if(F.col("b") == i).alias(f"c{i}") for i in range(dim)])
-    vector = F.array(*[F.col(f"c{i}").cast("double") for i in range(dim)])
-    square = sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(1, dim)), F.col("c0") * F.col("c0"))
-    norm = F.sqrt(square.cast("double"))
-    return counts.select(key, F.transform(vector, lambda x: x / norm).alias(out))
+    bucket = lambda word: F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int") % dim
+    hashed = F.transform(words(F.col(text)), bucket)
+    ordered = F.sort_array(F.concat(hashed, F.sequence(F.lit(0), F.lit(dim))))
+    place = lambda i: F.array_position("_ordered", i)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (place(i + 1) - place(i) - 1).cast("double"))
+    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
+    counted = texts.withColumn("_ordered", ordered).withColumn("_counts", counts).withColumn("_norm", norm)
+    unit = F.when(F.col("_norm") > 0, F.transform("_counts", lambda x: x / F.col("_norm")))
+    return counted.withColumn(out, unit).drop("_ordered", "_counts", "_norm")
+
+
+def embed(texts, key, text="text", dim=params.EMBEDDING_DIM, out="embedding"):
+    """(key, vector) of every text that has words."""
+    told = texts.select(key, text).where(F.size(words(F.col(text))) > 0)
+    return with_embedding(told, text, dim, out).select(key, out)
 
 
 def best_rows(found, k):
@@ -145,9 +153,7 @@ def prompts(hits_with_text, queries, query_key="query_id", query="query", text="
 
 def encode_snippets(texts, text="text", dim=params.EMBEDDING_DIM):
     """Texts with ``snippet_id``, the content key, and ``embedding``; equal texts share both."""
-    keyed = texts.withColumn("snippet_id", F.md5(text))
-    distinct = keyed.select("snippet_id", text).dropDuplicates(["snippet_id"])
-    return skew_join(keyed, embed(distinct, "snippet_id", text, dim), "snippet_id", [text])
+    return with_embedding(texts.withColumn("snippet_id", F.md5(text)), text, dim)
 
 
 def add_snippets(existing, new_texts, text="text", dim=params.EMBEDDING_DIM):

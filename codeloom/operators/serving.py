@@ -9,7 +9,6 @@ from codeloom.functions.text import keywords, prefix_context, words
 from codeloom.operators.candidates import rank
 from codeloom.operators.features import python_features
 from codeloom.session import materialise
-from codeloom.skew import skew_join
 
 
 def contexts(requests, documents, key="doc_id", row_id="event_id"):
@@ -17,7 +16,7 @@ def contexts(requests, documents, key="doc_id", row_id="event_id"):
 
     ``line`` and ``character`` of the cursor may come from either side.
     """
-    placed = skew_join(requests, documents, key, [row_id], "inner")
+    placed = requests.join(documents, key)
     cut = placed.withColumn(
         "prompt", prefix_context(F.col("text"), F.col("line"), F.col("character"))
     ).drop("text")
@@ -44,11 +43,11 @@ def suggestions(asked, model, row_id="event_id", n=params.STREAM_SUGGESTIONS):
     score = scoring.completion_score(F.lit(False), F.col("tok"), F.col("valid"), F.col("depth"))
     scored = parsed.select("tok", score.alias("score"))
     listed = (
-        skew_join(pool, scored, "tok", ["prev"], "inner")
+        pool.join(scored, "tok")
         .groupBy("prev")
         .agg(F.collect_list(F.struct("tok", F.ln("p").alias("logp"), "score")).alias("found"))
     )
-    served = skew_join(light, listed, "prev", [row_id], "inner")
+    served = light.join(listed, "prev")
     ordered = F.array_sort(
         F.transform(
             "found",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom import params
 from codeloom.session import materialise
-from codeloom.skew import ROWS_PER_TASK, may_be_hot, skew_join, slice_number, with_width
+from codeloom.skew import ROWS_PER_TASK, null_safe_join, slice_number, with_width
 
 SECOND = 1000000
 CHUNK_PERIODS = 4
@@ -38,6 +38,7 @@ def throttle(requests, key, t, row_id, limit=params.THROTTLE_LIMIT,
     def place(at, kind):
         return F.struct(at.cast("long").alias("_t"), F.lit(kind).alias("_kind"))
 
+    requests = materialise(requests.select(key, t, row_id), "requests")
     roles = F.array(place(F.col(t), "own"), place(F.col(t) - F.lit(window), "opens"))
     arrivals = requests.select(key, F.col(row_id).alias("_id"), F.inline(roles))
     placed = (
@@ -46,9 +47,7 @@ def throttle(requests, key, t, row_id, limit=params.THROTTLE_LIMIT,
         .withColumn("_weight", (F.col("_kind") == "own").cast("long"))
         .withColumn("_seen", F.when(F.col("_kind") == "own", F.col("_t")))
     )
-    both = placed.drop("_width")
-    if may_be_hot(requests, rows):
-        both = both.unionByName(slice_edges(placed, key), allowMissingColumns=True)
+    both = placed.drop("_width").unionByName(slice_edges(placed, key), allowMissingColumns=True)
     part = Window.partitionBy(key, "_blk")
     # A request that leaves exactly when the window opens sorts before the marker.
     late = (F.col("_kind") == "opens").cast("int")
@@ -302,18 +301,20 @@ def cache_lookup(requests, cached, key, order, row_id, compute, result="result")
     """Requests with ``hit``, ``computes`` and ``result``.
 
     Keys are made distinct before the cache is asked. A missing key is computed once, at its
-    first request (``computes``), and every request of the key gets that result.
+    first request (``computes``), and every request of the key gets that result. A missing part of
+    a key is a value like any other, and a stored null is a hit.
     """
     key = list(key)
     wanted = requests.groupBy(*key).agg(F.min_by(row_id, F.struct(*order)).alias("_first"))
-    known = cached.select(*key, F.col(result).alias("_known"))
-    looked = wanted.join(known, key, "left").select(
+    known = cached.select(*key, F.col(result).alias("_known"), F.lit(True).alias("_cached"))
+    found = F.coalesce("_cached", F.lit(False))
+    looked = null_safe_join(wanted, known, key, "left").select(
         *key,
         "_first",
-        F.col("_known").isNotNull().alias("hit"),
-        F.coalesce("_known", compute).alias(result),
+        found.alias("hit"),
+        F.when(found, F.col("_known")).otherwise(compute).alias(result),
     )
-    served = skew_join(requests, looked, key, [row_id], "inner")
+    served = null_safe_join(requests, looked, key)
     first = (F.col("_first") == F.col(row_id)) & ~F.col("hit")
     return served.withColumn("computes", first).drop("_first")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codeloom import params
 from codeloom.functions.text import fingerprint
 from codeloom.operators.candidates import rank
-from codeloom.skew import ROWS_PER_TASK, last_before, skew_join
+from codeloom.skew import ROWS_PER_TASK, last_before, null_safe_join
 
 SECOND = 1000000
 
@@ -29,7 +29,7 @@ def session_gate(requests, auth_events, user="user_id", t="t", row_id="event_id"
 def issue_tokens(attempts, users, order_col, row_id):
     """Login attempts with ``issued_at``: null for an unknown user or a wrong secret."""
     known = users.select("username", "secret_digest")
-    checked = skew_join(attempts, known, "username", [row_id])
+    checked = attempts.join(known, "username", "left")
     right = F.sha2("secret", 256) == F.col("secret_digest")
     return checked.withColumn("issued_at", F.when(right, F.col(order_col))).drop("secret_digest")
 
@@ -75,7 +75,7 @@ def security_event(event_type, message):
 def check_permissions(requests, users, permission, row_id):
     """Requests with ``permitted``; unknown users and missing lists have no permission."""
     known = users.select("username", "permissions")
-    joined = skew_join(requests, known, "username", [row_id])
+    joined = requests.join(known, "username", "left")
     held = F.array_contains(F.coalesce("permissions", F.array().cast("array<string>")), permission)
     return joined.withColumn("permitted", held).drop("permissions")
 
@@ -129,7 +129,7 @@ def profile_vector(preferences, coding_patterns):
 def get_or_create(requests, profile, user="user_id", row_id="event_id"):
     """Requests with the maps of their user's profile; empty maps for a new user."""
     empty = F.create_map().cast("map<string,string>")
-    joined = skew_join(requests, profile, user, [row_id])
+    joined = null_safe_join(requests, profile, user, "left")
     return joined.withColumn(
         "preferences", F.coalesce("preferences", empty)
     ).withColumn("coding_patterns", F.coalesce("coding_patterns", empty))

@@ -27,7 +27,7 @@ def hashed_sql(name, table, key):
 def hash_embedding(spark, folder):
     docs = documents(spark, folder)
     vectors = retrieval.embed(docs, "doc_id")
-    long = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("dim", "x"))
     return long.where("x <> 0").withColumn("x", F.round("x", 6))
 
 

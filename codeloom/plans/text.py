@@ -31,7 +31,6 @@ from codeloom.plans.sql import (
     scores_sql,
     words_sql,
 )
-from codeloom.skew import skew_join
 from codeloom.sources.corpus import code_corpus
 from codeloom.sources.dialogue import conversation_pairs
 from codeloom.sources.tables import conversations, documents, explode_lines, notification, read_table, spread
@@ -275,7 +274,7 @@ def keyword_match(spark, folder):
     found = documents(spark, folder).select(
         "doc_id", F.explode(keywords(F.col("text"))).alias("word")
     )
-    matched = skew_join(found, wanted, "word", ["doc_id"], "left_semi")
+    matched = found.join(wanted, "word", "left_semi")
     return matched.groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 

@@ -11,7 +11,6 @@ from codeloom.operators import users
 from codeloom.operators.traffic import user_key
 from codeloom.plans.registry import query
 from codeloom.plans.traffic import requests
-from codeloom.skew import skew_join
 from codeloom.sources.tables import read_table, register
 
 USERS_SQL = """
@@ -58,7 +57,7 @@ def attempts(spark, folder):
 def user_lookup(spark, folder):
     known = user_rows(spark, folder).select("id", "username")
     asked = attempts(spark, folder).select("event_id", "username")
-    return skew_join(asked, known, "username", ["event_id"], "inner")
+    return asked.join(known, "username")
 
 
 @query(

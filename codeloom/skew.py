@@ -3,84 +3,52 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.session import materialise
+
 ROWS_PER_TASK = 1000000  # a key with more rows than this is shared out over several tasks
-HOT_KEYS = 10000  # longest list of hot keys; no further key has more than 1/10,000 of the rows
-MAX_SHARES = 4096
-BYTES_PER_ROW = 32
+SENT_ROWS = 100000  # longest list of hot keys sent to every task; a longer one is joined by shuffle
+
+
+def sent_if_short(df: DataFrame, rows=SENT_ROWS) -> DataFrame:
+    """A stored table, marked for broadcast after its rows are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def hot_keys(df: DataFrame, keys, rows=ROWS_PER_TASK, *extra) -> DataFrame:
     """(keys, ``_n``, extra): the keys with more than ``rows`` rows and over how many tasks.
 
-    Counts are combined per task before the shuffle, and the list is at most ``HOT_KEYS``
-    rows long whatever the data, so it is safe to broadcast.
+    Counts are combined per task before the shuffle. The list is stored.
     """
-    count = F.count("*")
-    shares = F.least(F.ceil(F.col("_count") / F.lit(rows)), F.lit(MAX_SHARES)).cast("int")
-    return (
-        df.groupBy(*keys)
-        .agg(count.alias("_count"), *extra)
-        .where(F.col("_count") > rows)
-        .orderBy(F.desc("_count"), *keys)
-        .limit(HOT_KEYS)
-        .withColumn("_n", shares)
-        .drop("_count")
-    )
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan; file sizes at the leaves, never too small a join."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_count"), *extra).where(F.col("_count") > rows)
+    return materialise(counted.withColumn("_n", F.ceil(F.col("_count") / F.lit(rows))).drop("_count"), "hot-keys")
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when Spark's size estimate lets it broadcast ``df``."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return estimated_bytes(df) <= conf.autoBroadcastJoinThreshold()
-
-
-def may_be_hot(df: DataFrame, rows) -> bool:
-    """False for an input so small that one task could take all of it."""
-    return estimated_bytes(df) > rows * BYTES_PER_ROW
-
+def same(left, right, keys):
+    """Equality of the keys of two aliased tables; a missing key equals a missing one."""
+    match = F.lit(True)
+    for key in keys:
+        match = match & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+    return match
 
-def skew_join(fact: DataFrame, lookup: DataFrame, keys, spread, how="left",
-              rows=ROWS_PER_TASK) -> DataFrame:
-    """Join ``fact`` with ``lookup`` (at most one row per key), sharing out hot keys.
 
-    A lookup small enough for Spark to broadcast needs no shuffle and is joined as it is, and
-    so is a fact table one task could take whole. Otherwise rows of a hot key get a salt from a hash of the ``spread`` columns, and its
-    lookup row is repeated once per salt: in all one copy per ``rows`` rows of the fact. The
-    salt is a function of the row, so a task that runs again writes the same partitions.
-    """
+def null_safe_join(fact: DataFrame, lookup: DataFrame, keys, how="inner") -> DataFrame:
+    """Join in which a missing key is a key like any other; the fact's key columns stay."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if fits_broadcast(lookup) or not may_be_hot(fact, rows):
-        return fact.join(lookup, keys, how)
-    hot = F.broadcast(hot_keys(fact, keys, rows))
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    shares = F.coalesce("_n", F.when(no_key, F.lit(MAX_SHARES)), F.lit(1))
-    salt = F.pmod(F.xxhash64(*spread), shares).cast("int")
-    salted = fact.join(hot, keys, "left").withColumn("_salt", salt).drop("_n")
-    salts = F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)
-    repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_n")
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    added = [F.col(f"r.{c}") for c in lookup.columns if c not in keys]
+    return fact.alias("l").join(lookup.alias("r"), same("l", "r", keys), how).select("l.*", *added)
 
 
 def with_width(df: DataFrame, key, t, rows=ROWS_PER_TASK, of=None) -> DataFrame:
     """Add ``_width``: the length of the time slices a hot key is cut into, else null.
 
-    Keys are counted in ``of`` (default ``df``); a missing key is a key like any other.
+    Keys are counted in ``of`` (default ``df``), which should be stored; a missing key is a key like
+    any other.
     """
     of = df if of is None else of
-    if not may_be_hot(of, rows):
-        return df.withColumn("_width", F.lit(None).cast("long"))
     span = (F.max(t) - F.min(t) + 1).alias("_span")
-    hot = hot_keys(of, [key], rows, span)
-    width = F.greatest(F.ceil(F.col("_span") / F.col("_n")), F.lit(1)).cast("long")
-    listed = F.broadcast(hot.select(F.col(key).alias("_hot"), width.alias("_width")))
-    return df.join(listed, F.col(key).eqNullSafe(F.col("_hot")), "left").drop("_hot")
+    width = F.greatest(F.ceil(F.col("_span") / F.col("_n")), F.lit(1)).cast("long").alias("_width")
+    hot = sent_if_short(hot_keys(of, [key], rows, span)).select(key, width)
+    return null_safe_join(df, hot, key, "left")
 
 
 def slice_number(t, width="_width"):
@@ -91,11 +59,12 @@ def slice_number(t, width="_width"):
 def last_before(events: DataFrame, key, t, order, value, alias, rows=ROWS_PER_TASK) -> DataFrame:
     """Add ``alias``: the newest non-null ``value`` of the same key strictly before the row.
 
-    Rows are ordered by (``t``, ``order``); ``t`` is a non-negative integer. A key is one
-    window partition, a hot key one per time slice. What a slice needs from earlier ones is
-    carried in as one extra row, taken from a per-slice summary.
+    Rows are ordered by (``t``, ``order``). A key is one window partition, a hot key one per time
+    slice. What a slice needs from earlier ones is carried in as one extra row, taken from a
+    per-slice summary, that stands before all others of the slice. The input is stored, so
+    counting its keys does not compute it again.
     """
-    cut = with_width(events, key, t, rows).withColumn("_blk", slice_number(F.col(t)))
+    cut = with_width(materialise(events, "events"), key, t, rows).withColumn("_blk", slice_number(F.col(t)))
     stamp = F.when(F.col(value).isNotNull(), F.struct(t, order))
     summary = cut.where("_width is not null").groupBy(key, "_blk").agg(
         F.max_by(value, stamp).alias("_v")
@@ -105,7 +74,6 @@ def last_before(events: DataFrame, key, t, order, value, alias, rows=ROWS_PER_TA
         key,
         "_blk",
         F.last("_v", ignorenulls=True).over(earlier).alias(value),
-        F.lit(-1).cast(cut.schema[t].dataType).alias(t),
         F.lit(True).alias("_carry"),
     ).where(F.col(value).isNotNull())
     both = (
@@ -115,7 +83,7 @@ def last_before(events: DataFrame, key, t, order, value, alias, rows=ROWS_PER_TA
     )
     within = (
         Window.partitionBy(key, "_blk")
-        .orderBy(t, order)
+        .orderBy(F.desc("_carry"), t, order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (

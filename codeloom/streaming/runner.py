@@ -1,6 +1,7 @@
 """Running a stream over everything available, into tables of the shared folder."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from codeloom.functions.text import micros
 from codeloom.session import run_dir
@@ -37,5 +38,7 @@ def run_update(df, name, timeout=600):
     def save(batch, epoch):
         batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
 
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{path}/rows/epoch=-1")  # no batch may come
     finish(df.writeStream.outputMode("update").foreachBatch(save), path, timeout)
-    return df.sparkSession.read.parquet(f"{path}/rows")
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("epoch", IntegerType())]))
+    return rows.option("basePath", f"{path}/rows").parquet(f"{path}/rows")

@@ -37,6 +37,13 @@ def test_unreadable_sources():
     assert parse("")[0] is True
 
 
+def test_deep_expressions_give_a_row():
+    chain = parse("x" + ".a" * 1200 + "()")
+    assert chain[0] is True and [f[1] for f in chain[-1] if f[0] == "call"] == ["x" + ".a" * 1200]
+    for code in ("class K(" + "+".join("a" * 990) + "): pass", "@" + "+".join("a" * 990) + "\ndef f(): pass"):
+        assert len(parse(code)) == 8
+
+
 def test_first_node_of_a_position():
     (first, *_) = facts("x = f(1)\n", "node")
     assert first[1:4] == ("Assign", 1, 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import traffic
 from codeloom.operators.users import session_gate, token_validity
-from codeloom.skew import last_before, skew_join
+from codeloom.skew import last_before
 from codeloom.sources.tables import append_users, lookup_users, register
 
 SCHEMA = "user_id string, t long, event_id long"
@@ -112,19 +112,21 @@ def test_token_validity(spark):
     assert {r["event_id"]: r["valid"] for r in out.collect()} == {1: True, 2: True, 3: False, 4: False}
 
 
-@pytest.mark.parametrize("salted", [True, False])
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_skew_join_matches_plain_join(spark, how, salted):
-    fact = spark.range(3000).select(
-        F.col("id").alias("row"),
-        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 200).alias("k"),
-    )
-    lookup = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    want = fact.join(lookup, "k", how)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if salted else "10m")
-    got = skew_join(fact, lookup, "k", ["row"], how, rows=100)
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+@pytest.mark.parametrize("rows", [5, 10**6])
+def test_look_back_with_negative_times_and_a_missing_hot_key(spark, rows):
+    asked = [(None, -100 + 2 * i, i, f"v{i}" if i % 7 == 0 else None) for i in range(50)]
+    asked += [(3, t, 100 + t, "w" if t == -1 else None) for t in (-1, 0, 5)]
+    df = spark.createDataFrame(asked, "k int, t long, id long, v string")
+    got = {r["id"]: r["last"] for r in last_before(df, "k", "t", "id", "v", "last", rows).collect()}
+    want = {i: f"v{(i - 1) // 7 * 7}" if i else None for i in range(50)} | {99: None, 100: "w", 105: "w"}
+    assert got == want
+
+
+def test_many_hot_keys(spark):
+    """More hot keys than are sent to every task: none is left out."""
+    df = spark.range(60000).selectExpr("id % 20000 AS k", "id AS t", "id", "id DIV 20000 AS v")
+    found = last_before(df, "k", "t", "id", "v", "last", 2)
+    assert found.where("coalesce(last, -1) <> v - 1").count() == 0 and found.count() == 60000
 
 
 def test_register(spark):
@@ -141,6 +143,14 @@ def test_cache(spark):
         (0, True, False, "old"), (1, False, True, "B"), (2, False, False, "B")}
 
 
+def test_cache_with_missing_keys_and_stored_nulls(spark):
+    asked = spark.createDataFrame([(None, 1, 0), (None, 2, 1), ("n", 3, 2), ("x", 4, 3)], "key string, ts int, event_id int")
+    cached = spark.createDataFrame([("n", None)], "key string, result string")
+    out = traffic.cache_lookup(asked, cached, ["key"], ["ts"], "event_id", F.lit("new"))
+    assert {(r["event_id"], r["hit"], r["computes"], r["result"]) for r in out.collect()} == {
+        (0, False, True, "new"), (1, False, False, "new"), (2, True, False, None), (3, False, True, "new")}
+
+
 def test_user_table(spark, tmp_path):
     path = str(tmp_path / "users")
     tries = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "username string, ts int, event_id int")

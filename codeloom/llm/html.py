@@ -5,7 +5,8 @@ what markup declares as something else. All other visible blocks of a host's pag
 page by page, into token streams, and their suffixes are sorted; only their first RUN tokens
 matter, so suffixes that agree on them form a group, and a group with PAGES distinct pages is a
 substring that the host repeats. Tokens that such substrings cover are boilerplate. On a page without
-an article element, the runs of tokens that are left in blocks not declared as boilerplate are the text.
+an article element, the runs of tokens that are left in blocks not declared as boilerplate are the text;
+pages with one only add evidence of what their host repeats.
 """
 
 import html
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import STEP, mix
 from codeloom.session import materialise
 
 RUN = 5  # tokens of the shortest repeated substring
@@ -164,8 +166,26 @@ def blocks(page):
     return found
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(t1, t2, id, url, host, has_article, main, other, marks) of (t1, t2, id, url, host, html)."""
+def token_hashes(other):
+    return [xxhash.xxh3_64_intdigest(w) for text in other for w in text.split()]
+
+
+def heads_of(host, tokens):
+    """Hashes of the first RUN tokens of each suffix of a page's stream, told apart by host."""
+    n = max(len(tokens) - RUN + 1, 0)
+    own = np.array(tokens, np.uint64)
+    head = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
+    for i in range(RUN):
+        head = mix((head ^ own[i : i + n]) * STEP)
+    return head.view(np.int64)
+
+
+def evidence(pages: DataFrame) -> DataFrame:
+    """(t1, t2, id, url, heads, bare, other, marks) of (t1, t2, id, url, host, html).
+
+    ``heads`` are those of the text outside the article; the blocks themselves stay for pages
+    without an article only.
+    """
     kind = pages.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -173,57 +193,55 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             for first in range(0, batch.num_rows, 64):
                 own = batch.slice(first, 64)
                 columns = [[], [], [], []]
-                for page in own.column(5).to_pylist():
+                for host, page in zip(own.column(4).to_pylist(), own.column(5).to_pylist()):
                     found = blocks(page)
-                    article = any(a for _, a, _ in found)
-                    columns[0].append(article)
-                    columns[1].append("\n\n".join(t for t, a, d in found if a and not d))
+                    bare = not any(a for _, a, _ in found)
                     rest = [(t, bool(d)) for t, a, d in found if not a or d]
-                    columns[2].append([t for t, _ in rest])
-                    columns[3].append([d for _, d in rest])
-                kinds = [pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_())]
+                    columns[0].append(heads_of(host, token_hashes([t for t, _ in rest])))
+                    columns[1].append(bare)
+                    columns[2].append([t for t, _ in rest] if bare else [])
+                    columns[3].append([d for _, d in rest] if bare else [])
+                kinds = [pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_())]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-                names = ["t1", "t2", "id", "url", "host", "has_article", "main", "other", "marks"]
-                yield pa.RecordBatch.from_arrays([*own.columns[:5], *arrays], names)
+                names = ["t1", "t2", "id", "url", "heads", "bare", "other", "marks"]
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], *arrays], names)
 
-    schema = f"t1 bigint, t2 bigint, id {kind}, url string, host string, has_article boolean, main string"
+    schema = f"t1 bigint, t2 bigint, id {kind}, url string, heads array<bigint>, bare boolean"
     return pages.mapInArrow(run, f"{schema}, other array<string>, marks array<boolean>")
 
 
-def suffixes(parsed: DataFrame) -> DataFrame:
-    """(t1, t2, host, pos, head): every suffix of a page's token stream, by its first RUN tokens."""
+def article_texts(pages: DataFrame) -> DataFrame:
+    """(id, url, text, n_chars) of the pages that have an article."""
+    kind = pages.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens = [xxhash.xxh3_64_intdigest(w) for b in row["other"] for w in b.split()]
-                n = len(tokens) - RUN + 1
-                if n > 0:
-                    own = np.array(tokens, np.uint64)
-                    head = np.zeros(n, np.uint64)
-                    for i in range(RUN):
-                        head = (head ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-                        head ^= head >> np.uint64(29)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, row["t1"])), pa.array(np.full(n, row["t2"])), pa.array([row["host"]] * n, pa.string()),
-                         pa.array(np.arange(n, dtype=np.int32)), pa.array(head.view(np.int64))],
-                        ["t1", "t2", "host", "pos", "head"],
-                    )
-
-    return parsed.select("t1", "t2", "host", "other").mapInArrow(run, "t1 bigint, t2 bigint, host string, pos int, head bigint")
-
-
-def repeated_places(parsed: DataFrame) -> DataFrame:
-    """(t1, t2, places): where a page's stream has a substring that PAGES pages of its host hold."""
-    rows = materialise(suffixes(parsed), "suffixes")
-    page = F.struct("t1", "t2")
-    shared = rows.groupBy("host", "head").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= PAGES)
-    found = rows.join(materialise(shared.select("host", "head"), "shared"), ["host", "head"])
-    return found.groupBy("t1", "t2").agg(F.collect_set("pos").alias("places"))
+            for first in range(0, batch.num_rows, 64):
+                own, rows, texts = batch.slice(first, 64), [], []
+                for i, page in enumerate(own.column(5).to_pylist()):
+                    found = blocks(page)
+                    if any(a for _, a, _ in found):
+                        rows.append(i)
+                        texts.append("\n\n".join(t for t, a, d in found if a and not d))
+                kept = own.take(pa.array(rows, pa.int64()))
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(2), kept.column(3), pa.array(texts, pa.string()), sizes], ["id", "url", "text", "n_chars"]
+                )
+
+    return pages.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
+
+
+def repeated_heads(known: DataFrame) -> DataFrame:
+    """(head): beginnings of suffixes that PAGES pages of a host share."""
+    heads = known.select(F.hash("t1", "t2").alias("page"), F.explode_outer(F.array_distinct("heads")).alias("head"))
+    shared = heads.where("head is not null").groupBy("head")
+    shared = shared.agg(F.count("*").alias("pages"), F.min("page").alias("lo"), F.max("page").alias("hi"))
+    return shared.where((F.col("pages") >= PAGES) & (F.col("lo") != F.col("hi"))).select("head")
 
 
 def unique_runs(other, marks, places):
-    """What is left of the blocks that aren't declared boilerplate without covered tokens; how many are covered."""
+    """What is left of the blocks that aren't declared boilerplate without covered tokens."""
     kept, at = [], 0
     covered = {p + i for p in places or () for i in range(RUN)}
     for text, mark in zip(other, marks):
@@ -232,36 +250,37 @@ def unique_runs(other, marks, places):
         at += len(words)
         if own and not mark:
             kept.append(" ".join(own))
-    return "\n\n".join(kept), len(covered)
+    return "\n\n".join(kept)
 
 
 def main_text(df: DataFrame, key="page_id", url="url", page="html") -> DataFrame:
-    """(id, url, text, n_chars, n_repeated) of every row of ``df``.
+    """(id, url, text, n_chars) of every row of ``df``.
 
-    ``n_repeated`` counts the page's tokens outside the article that its host repeats. Null and empty
-    pages have an empty text; a null url is a host of its own. Character references are decoded, each
-    run of white space is one space, blocks are joined by two line ends. Unclosed elements end where
-    their parent ends, a paragraph also where the next block begins. Repeated rows count as one page
-    for repetition and are all returned.
+    Null and empty pages have an empty text; a null url is a host of its own. Character references are
+    decoded, each run of white space is one space, blocks are joined by two line ends. Unclosed
+    elements end where their parent ends, a paragraph also where the next block begins. Repeated rows
+    are all returned; alone they don't make their own text boilerplate. A page is parsed twice, which
+    costs less than storing its text.
     """
     rows = df.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
     rows = rows.select(
         F.xxhash64(F.col("id").cast("string"), "url").alias("t1"), F.xxhash64("html").alias("t2"), "id", "url", host.alias("host"), "html"
     )
-    parsed = materialise(parsed_pages(rows), "parsed")
-    places = materialise(repeated_places(parsed), "places")
-    joined = parsed.join(places, ["t1", "t2"], "left").select("id", "url", "has_article", "main", "other", "marks", "places")
+    known = materialise(evidence(rows), "evidence")
+    shared = materialise(repeated_heads(known), "shared")
+    bare = known.where("bare")
+    heads = bare.select("t1", "t2", F.posexplode_outer("heads").alias("pos", "head"))
+    places = heads.join(shared, "head").groupBy("t1", "t2").agg(F.collect_set("pos").alias("places"))
+    joined = bare.join(places, ["t1", "t2"], "left").select("id", "url", "other", "marks", "places")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts, repeated = [], []
-            for row in batch.select(["has_article", "main", "other", "marks", "places"]).to_pylist():
-                left, number = unique_runs(row["other"], row["marks"], row["places"])
-                texts.append(row["main"] if row["has_article"] else left)
-                repeated.append(number)
-            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "url", "text", "n_chars", "n_repeated"])
-
-    return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint, n_repeated bigint")
+            rows = batch.select(["other", "marks", "places"]).to_pylist()
+            texts = [unique_runs(r["other"], r["marks"], r["places"]) for r in rows]
+            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "url", "text", "n_chars"])
+
+    left = joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
+    return article_texts(rows).unionByName(left)

@@ -16,9 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from codeloom.llm.common import worker_state
+
 PIECE = 1 << 16  # characters encoded at once
 ROWS = 128  # texts of an output batch
 CUT = re.compile(r"[!-~](?=[ \n])")
+WORD = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+PIECES_KEPT = 250_000  # pieces remembered by a Python worker
 
 
 def byte_table():
@@ -70,7 +75,14 @@ def tokenizer_json(ranks, pattern):
 
 
 def pieces(text):
-    """Cuts a text where a match of the split pattern always ends."""
+    """Cuts a text where a match of the split pattern always ends.
+
+    Usually that is before the white space of every word. With white space beyond the ASCII four,
+    whose runs must stay whole, it is every PIECE characters after printable ASCII.
+    """
+    if not ODD_SPACE.search(text):
+        yield from WORD.findall(text)
+        return
     start = 0
     while len(text) - start > PIECE:
         cut = CUT.search(text, start + PIECE)
@@ -81,17 +93,26 @@ def pieces(text):
     yield text[start:]
 
 
-_loaded = {}
+class Pieces(dict):
+    """Ids of a piece, as bytes of 32-bit numbers; remembers short pieces, so a common word is encoded once by a worker."""
 
+    def __init__(self, spec):
+        from tokenizers import Tokenizer
 
-def load(spec):
-    from tokenizers import Tokenizer
+        self.encode = Tokenizer.from_str(spec).encode
 
-    key = hash(spec)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Tokenizer.from_str(spec)
-    return _loaded[key]
+    def __missing__(self, piece):
+        ids = np.array(self.encode(piece, add_special_tokens=False).ids, np.int32).tobytes()
+        if len(piece) <= 40 and len(self) < PIECES_KEPT:
+            self[piece] = ids
+        return ids
+
+
+def load(spec):
+    state = worker_state()
+    if state.get("bpe_spec") != spec:
+        state.update(bpe_spec=spec, bpe=Pieces(spec))
+    return state["bpe"]
 
 
 def encode(df: DataFrame, ranks_path, pattern, text="text", ids="ids", offsets=None) -> DataFrame:
@@ -115,14 +136,13 @@ def encode(df: DataFrame, ranks_path, pattern, text="text", ids="ids", offsets=N
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = load(spec.value)
+        known = load(spec.value)
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(first, ROWS)
                 found, starts = [], []
                 for value in batch.column(batch.schema.get_field_index("_text")).to_pylist():
-                    parts = [tokenizer.encode(p, add_special_tokens=False).ids for p in pieces(value or "") if p]
-                    own = np.array([i for part in parts for i in part], np.int32)
+                    own = np.frombuffer(b"".join(map(known.__getitem__, pieces(value or ""))), np.int32)
                     found.append(own)
                     if offsets:
                         starts.append((np.cumsum(sizes[own]) - sizes[own]).astype(np.int32))
@@ -154,8 +174,10 @@ def decode(df: DataFrame, ranks_path, ids="ids", out="decoded") -> DataFrame:
 
     @F.arrow_udf("binary")
     def joined(column: pa.Array) -> pa.Array:
-        at, edges, flat = sent.value.__getitem__, column.offsets.to_pylist(), column.values.to_numpy()
+        at, edges, flat = sent.value.__getitem__, column.offsets.to_numpy(), column.values.to_numpy()
         own = (b"".join(map(at, flat[a:b].tolist())) for a, b in zip(edges, edges[1:]))
+        if not column.null_count:
+            return pa.array(own, pa.binary(), size=len(column))
         return pa.array([v if known else None for v, known in zip(own, column.is_valid().to_pylist())], pa.binary())
 
     return df.withColumn(out, joined(F.col(ids)))

@@ -1,6 +1,8 @@
 """Word and shingle hashing shared by the near-duplicate operators, and small table helpers."""
 
 import math
+import sys
+import types
 
 import numpy as np
 import xxhash
@@ -22,6 +24,11 @@ class WordHashes(dict):
         return value
 
 
+def worker_state():
+    """A dict of this Python worker that outlives its tasks; functions come anew with each task."""
+    return sys.modules.setdefault("_codeloom_state", types.ModuleType("_codeloom_state")).__dict__
+
+
 def mix(x):
     """Spreads 64-bit values evenly (in numpy, wrapping)."""
     x = (x ^ (x >> np.uint64(30))) * M1

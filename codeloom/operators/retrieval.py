@@ -11,7 +11,8 @@ from codeloom.functions.text import words
 from codeloom.operators.candidates import rank
 from codeloom.session import materialise
 
-QUERY_BLOCK = 4096  # query vectors held by a task at once; more are searched block by block
+PACK_ROWS = 20000  # snippet vectors a task holds at once
+QUERY_BATCH = 4096  # query vectors compared with a pack at once
 MATRIX_CELLS = 1 << 21  # distances a task works on at once
 
 
@@ -44,16 +45,15 @@ def best_rows(found, k):
     return found.sort_values(["q", "distance", "id"], kind="stable").groupby("q").head(k)
 
 
-def task_search(query_ids, matrix, k, key, vector):
-    """A mapInPandas function keeping the ``k`` nearest rows of one task per query.
+def pack_search(k, key, vector):
+    """A mapInPandas function over rows sorted by (pack, side): the snippets of a pack, then queries.
 
-    Matrix products pick the rows that can be among the nearest; their distances are then
+    A task holds one pack and one batch of queries at a time, and gives out ``k`` rows per query
+    and pack. Matrix products pick the rows that can be among the nearest; their distances are then
     taken term by term, so equal vectors get equal distances.
     """
-    squares = (matrix**2).sum(axis=1)
-    step = max(1, MATRIX_CELLS // len(matrix))
 
-    def nearest_of(rows, ids):
+    def nearest_of(rows, ids, matrix, squares):
         near = (rows**2).sum(axis=1)[:, None] + squares[None, :] - 2.0 * rows @ matrix.T
         slack = 1e-9 * (1.0 + np.abs(near).max())
         last = min(k, len(rows)) - 1
@@ -63,18 +63,29 @@ def task_search(query_ids, matrix, k, key, vector):
         )
         return best_rows(pd.DataFrame({"q": j, "id": ids[i], "distance": distance}), k)
 
+    def search(ids, rows, asked):
+        matrix = np.stack(asked[vector].to_numpy()).astype(np.float64)
+        squares, found = (matrix**2).sum(axis=1), None
+        step = max(1, MATRIX_CELLS // len(matrix))
+        for start in range(0, len(ids), step):
+            hits = nearest_of(rows[start : start + step], ids[start : start + step], matrix, squares)
+            found = hits if found is None else best_rows(pd.concat([found, hits]), k)
+        names = asked["query_id"].to_numpy()
+        return pd.DataFrame({"query_id": names[found["q"]], key: found["id"], "distance": found["distance"]})
+
     def run(batches):
-        found = None
+        pack, ids, rows = None, [], []
         for batch in batches:
-            vectors, ids = batch[vector].to_numpy(), batch[key].to_numpy()
-            for start in range(0, len(ids), step):
-                rows = np.stack(vectors[start : start + step]).astype(np.float64)
-                hits = nearest_of(rows, ids[start : start + step])
-                found = hits if found is None else best_rows(pd.concat([found, hits]), k)
-        if found is not None:
-            yield pd.DataFrame(
-                {"query_id": query_ids[found["q"]], key: found["id"], "distance": found["distance"]}
-            )
+            for (number, side), part in batch.groupby(["pack", "side"], sort=True):
+                if number != pack:
+                    pack, ids, rows = number, [], []
+                if side == 0:
+                    ids.append(part[key].to_numpy())
+                    rows.append(np.stack(part[vector].to_numpy()).astype(np.float64))
+                elif ids:
+                    ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
+                    for start in range(0, len(part), QUERY_BATCH):
+                        yield search(ids[0], rows[0], part.iloc[start : start + QUERY_BATCH])
 
     return run
 
@@ -86,49 +97,28 @@ def pieces(i, j, size=1 << 16):
 
 
 def nearest(snippets, queries, k=params.RETRIEVAL_K, key="snippet_id", vector="embedding",
-            query_key="query_id", query_vector="embedding", block=QUERY_BLOCK):
+            query_key="query_id", query_vector="embedding", pack_rows=PACK_ROWS):
     """(query_id, key, distance, rank): the ``k`` nearest snippets by squared L2 distance.
 
-    Exact. Each task keeps ``k`` rows per query, the shuffle carries only those, and no pair
-    table exists. Query vectors reach the tasks in blocks of at most ``block``; the number of
-    queries is checked first, and a larger set takes one pass over the snippets per block.
+    Exact. Snippets are dealt into packs of about ``pack_rows``; the queries go to every pack by
+    shuffle and pass it batch by batch, so the snippets move once, nothing reaches the driver and no
+    pair table exists. Only ``k`` rows per query and pack are shuffled on. A query id that repeats
+    is asked once, with its smallest vector.
     """
-    queries = queries.select(
-        F.col(query_key).alias("query_id"), F.col(query_vector).alias("vector")
-    ).where("vector is not null")
-    snippets = snippets.select(key, vector).where(F.col(vector).isNotNull())
-    kind = snippets.schema[key].dataType.simpleString()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_kind}, `{key}` {kind}, distance double"
-    first = queries.limit(block + 1).collect()
-    blocks = [first] if first else []
-    if len(first) > block:
-        # Several passes: neither side is computed again for each of them.
-        queries, snippets = materialise(queries, "queries"), materialise(snippets, "snippets")
-        blocks = query_blocks(queries, block)
-    found = None
-    for rows in blocks:
-        ids = np.array([r["query_id"] for r in rows], dtype=object)
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-        part = snippets.mapInPandas(task_search(ids, matrix, k, key, vector), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = snippets.sparkSession.createDataFrame([], schema)
+    asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias(vector))
+    asked = asked.where(F.col(vector).isNotNull()).groupBy("query_id").agg(F.min(vector).alias(vector))
+    stored = materialise(snippets.select(key, vector), "snippets").where(F.col(vector).isNotNull())
+    asked = asked.select("query_id", F.col(vector).cast(stored.schema[vector].dataType).alias(vector))
+    packs = max(1, math.ceil(stored.count() / pack_rows))
+    dealt = stored.select(F.pmod(F.xxhash64(key), F.lit(packs)).cast("int").alias("pack"), F.lit(0).alias("side"), key, vector)
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"), F.lit(1).alias("side"), "query_id", vector)
+    both = dealt.unionByName(sent, allowMissingColumns=True).repartition(packs, "pack").sortWithinPartitions("pack", "side")
+    kind = stored.schema[key].dataType.simpleString()
+    query_kind = asked.schema["query_id"].dataType.simpleString()
+    found = both.mapInPandas(pack_search(k, key, vector), f"query_id {query_kind}, `{key}` {kind}, distance double")
     return rank(found.withColumn("_near", -F.col("distance")), ["query_id"], key, n=k, score="_near").drop("_near")
 
 
-def query_blocks(queries, block):
-    """Lists of at most ``block`` query rows, by hash of the query id."""
-    parts = math.ceil(queries.count() / (block / 2))
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    for part in range(parts):
-        rows = queries.where(slot == part).limit(block + 1).collect()
-        if len(rows) > block:
-            raise ValueError("query ids repeat; give every query its own id")
-        if rows:
-            yield rows
-
-
 def with_snippets(hits, snippets, key="snippet_id", text="text"):
     """Attach the snippet text.
 

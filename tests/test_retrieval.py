@@ -13,11 +13,12 @@ def vectors(spark, n, seed, copies=0):
     return rows, spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
 
 
-@pytest.mark.parametrize("block", [4096, 6])
-def test_nearest_is_exact(spark, block):
+@pytest.mark.parametrize("pack", [20000, 30])
+def test_nearest_is_exact(spark, pack):
     rows, snippets = vectors(spark, 300, 1, copies=40)
     asked, queries = vectors(spark, 20, 1)
-    near = retrieval.nearest(snippets, queries, 7, "id", "v", "id", "v", block=block).collect()
+    queries = queries.union(queries)  # a repeated query is asked once
+    near = retrieval.nearest(snippets, queries, 7, "id", "v", "id", "v", pack_rows=pack).collect()
     got = {}
     for r in sorted(near, key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append(r["id"])

@@ -187,7 +187,7 @@ def folded(rows, states, limit, period, emit, row_id_type="bigint"):
     """Run ``fold`` over chunk rows, each chunk starting from its row in ``states``."""
     heads = states.select(
         *UNIT,
-        F.lit(-1).cast("long").alias("_t"),
+        F.lit(MIN_TIME).cast("long").alias("_t"),
         F.lit("0").cast(rows.schema["_id"].dataType).alias("_id"),
         F.col("_entry").alias("_state"),
     )
@@ -203,7 +203,7 @@ def folded(rows, states, limit, period, emit, row_id_type="bigint"):
 
 
 def rate_limit(requests, key, t, row_id, limit=params.RATE_LIMIT,
-               period=params.RATE_PERIOD_S * SECOND, rows=ROWS_PER_TASK):
+               period=params.RATE_PERIOD_S * SECOND, rows=ROWS_PER_TASK, rounds=None):
     """Requests with ``allowed``: fewer than ``limit`` allowed ones in the last ``period``.
 
     Denied requests do not count, so a decision depends on earlier decisions. Almost all of
@@ -214,8 +214,11 @@ def rate_limit(requests, key, t, row_id, limit=params.RATE_LIMIT,
     * the other requests form clusters separated by ``period`` without such requests. Before a
       cluster everything is allowed, so each cluster can be decided on its own;
     * a cluster of a hot key is cut into chunks of a few periods. All chunks are folded from a
-      guessed queue, then those whose guess differs from what the chunk before ended with are
-      folded again, until all agree. The result is exact.
+      guessed queue. While a chunk's guess differs from what the one before ended with, the
+      cluster's chunks are merged in pairs and folded again, so the rounds are at most one more
+      than the logarithm of its chunks. The result is exact.
+
+    ``rounds``, a list, gets a number for every round.
     """
     period = int(period)
     base = requests.select(
@@ -257,7 +260,7 @@ def rate_limit(requests, key, t, row_id, limit=params.RATE_LIMIT,
         .select(*UNIT, "_t", "_id", "_own")
     )
     chained = materialise(chained, "contested")
-    states = agree(chained, limit, period)
+    chained, states = agree(chained, limit, period, rounds)
     kind = requests.schema[row_id].dataType.simpleString()
     denied = folded(chained, states, limit, period, "denied", kind).select(
         F.col("_id").alias(row_id), F.lit(False).alias("allowed")
@@ -267,34 +270,39 @@ def rate_limit(requests, key, t, row_id, limit=params.RATE_LIMIT,
     )
 
 
-def agree(rows, limit, period):
-    """The right starting queue of every chunk: fold, compare with the neighbour, repair."""
+def agree(rows, limit, period, rounds=None):
+    """Rows and the right starting queue of every chunk: fold, compare neighbours, merge in pairs."""
     ordered = Window.partitionBy("_key", "_c0").orderBy("_chunk")
-    chunks = rows.select(*UNIT).distinct()
     empty = F.array().cast("array<bigint>")
-    states = chunks.select(*UNIT, empty.alias("_entry"))
-    follows = F.lag("_chunk").over(ordered)
-    if chunks.select(follows.alias("p")).where("p is not null").isEmpty():
-        return states
-    exits = folded(rows, states, limit, period, "exit")
-    states = materialise(states.join(exits, UNIT), "chunks")
+    states = rows.select(*UNIT).distinct().withColumn("_entry", empty)
+    if states.select(F.lag("_chunk").over(ordered).alias("p")).where("p is not null").isEmpty():
+        return rows, states
+    cluster, done = ["_key", "_c0"], []
     while True:
+        exits = folded(rows, states, limit, period, "exit")
         # Only times still inside the period at the first row of the chunk matter.
         starts = rows.groupBy(*UNIT).agg(F.min("_t").alias("_start"))
         handed = F.coalesce(F.lag("_exit").over(ordered), empty)
-        linked = states.withColumn("_handed", handed).join(starts, UNIT)
+        linked = states.join(exits, UNIT).withColumn("_handed", handed).join(starts, UNIT)
         linked = linked.withColumn(
             "_handed", F.filter("_handed", lambda x: F.col("_start") - x < F.lit(period))
         )
         linked = materialise(linked, "links")
-        wrong = linked.where("_handed <> _entry")
+        if rounds is not None:
+            rounds.append(len(rounds) + 1)
+        wrong = materialise(linked.where("_handed <> _entry").select(*cluster).distinct(), "wrong")
+        done.append((rows.join(wrong, cluster, "left_anti"), linked.join(wrong, cluster, "left_anti")))
         if wrong.isEmpty():
-            return states.select(*UNIT, "_entry")
-        repaired = wrong.select(*UNIT, F.col("_handed").alias("_entry"))
-        again = folded(rows.join(repaired.select(*UNIT), UNIT, "left_semi"), repaired, limit, period, "exit")
-        fixed = repaired.join(again, UNIT)
-        kept = linked.where("_handed = _entry").select(*UNIT, "_entry", "_exit")
-        states = materialise(kept.unionByName(fixed), "chunks")
+            break
+        merged = F.shiftright("_chunk", 1)
+        rows = materialise(rows.join(wrong, cluster, "left_semi").withColumn("_chunk", merged), "contested")
+        halved = linked.join(wrong, cluster, "left_semi").withColumn("_half", merged)
+        halved = halved.groupBy(*cluster, "_half").agg(F.min_by("_handed", "_chunk").alias("_entry"))
+        states = materialise(halved.withColumnRenamed("_half", "_chunk").select(*UNIT, "_entry"), "chunks")
+    decided, queues = done[0][0], done[0][1].select(*UNIT, "_entry")
+    for more, state in done[1:]:
+        decided, queues = decided.unionByName(more), queues.unionByName(state.select(*UNIT, "_entry"))
+    return decided, queues
 
 
 def cache_lookup(requests, cached, key, order, row_id, compute, result="result"):

@@ -50,6 +50,15 @@ def test_rate_limit(spark, limit, period, rows):
     assert {r["event_id"]: r["allowed"] for r in out.collect()} == limited(asked, limit, period)
 
 
+def test_rate_limit_rounds_grow_with_the_logarithm(spark):
+    """Every chunk starts from the exit of the one before: no guess is right."""
+    asked = [("u", -50_000 + 999 * i, i) for i in range(400)]
+    rounds = []
+    out = traffic.rate_limit(spark.createDataFrame(asked, SCHEMA), "user_id", "t", "event_id", 1, 1000, 25, rounds)
+    assert {r["event_id"]: r["allowed"] for r in out.collect()} == limited(asked, 1, 1000)
+    assert 2 <= len(rounds) <= 6
+
+
 def test_rate_limit_small_case(spark):
     times = [0, 10, 20, 60, 65, 70]
     df = spark.createDataFrame([("u", t, i) for i, t in enumerate(times)], SCHEMA)

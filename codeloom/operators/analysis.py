@@ -10,15 +10,21 @@ from codeloom.operators.features import of_kind, python_features
 ISSUE = "struct<ord:int,category:string,source:string,issue_type:string,line:int,col:int,message:string>"
 
 # Line rules for languages without a parser here: (source, language, text before the reported
-# position, reported text, message); a message with %s names the reported identifier.
+# position, reported text, message); a message with %s names the reported identifier. Without a
+# text before, the rule reports blocks of that keyword that no catch or finally follows. Rules read
+# the code with comments, strings and template strings blanked out.
 TEXT_RULES = [
     ("var", "javascript", r"(\b(?:var|let)\s+)", r"([A-Za-z_$][\w$]*\s*;)", params.UNINITIALISED_VARIABLE),
     ("catch", "javascript", r"()", r"(\bcatch\s*\{)", params.CATCH_WITHOUT_PARAMETER),
-    ("try", "javascript", r"()", r"(\btry\s*\{[^{}]*\}(?!\s*(?:catch|finally)\b))", params.EMPTY_TRY),
-    ("try", "java", r"()", r"(\btry\s*\{[^{}]*\}(?!\s*(?:catch|finally)\b))", params.EMPTY_TRY),
+    ("try", "javascript", None, "try", params.EMPTY_TRY),
+    ("try", "java", None, "try", params.EMPTY_TRY),
     ("catch", "java", r"()", r"(\bcatch\s*(?:\(\s*\))?\s*\{)", params.CATCH_WITHOUT_TYPE),
 ]
 MARK = "\x01"
+BLANKED = (
+    r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
+)
 
 
 def issue(ord, category, source, issue_type, line, col, message):
@@ -101,20 +107,88 @@ def large_strings(limit=params.LARGE_STRING_LENGTH):
     )
 
 
+def bound(value, body):
+    """``body`` of a column that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blanked(text):
+    """The code with every character of comments and strings, and every mark, as a space."""
+    parts = F.split(text, BLANKED, -1)
+    gaps = F.transform(F.regexp_extract_all(text, F.lit(BLANKED), 0), lambda t: F.regexp_replace(t, r"[^\n]", " "))
+    code = bound(F.struct(parts.alias("p"), gaps.alias("g")), lambda x: F.array_join(
+        F.zip_with(x["p"], x["g"], lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), ""
+    ))
+    return F.translate(code, MARK, " ")
+
+
+def marked_blocks(code, word):
+    """The code with a mark before every ``word`` block that no catch or finally follows.
+
+    Braces are matched by one walk over them that keeps the open blocks on a stack.
+    """
+    token = rf"\b{word}\s*\{{|\{{|\}}(?:\s*(?:catch|finally)\b)?"
+
+    def walk(state, t):
+        top = F.element_at(state["open"], -1)
+        closing = F.startswith(t["text"], F.lit("}"))
+        hit = closing & (F.size(state["open"]) > 0) & (top >= 0) & (t["text"] == "}")
+        opened = F.when(F.startswith(t["text"], F.lit(word)), t["at"]).otherwise(F.lit(-1))
+        rest = F.slice(state["open"], F.lit(1), F.greatest(F.size(state["open"]) - 1, F.lit(0)))
+        return F.struct(
+            F.when(closing, rest).otherwise(F.concat(state["open"], F.array(opened))).alias("open"),
+            F.when(hit, F.concat(state["found"], F.array(top))).otherwise(state["found"]).alias("found"),
+        )
+
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("open"), none.alias("found"))
+
+    def marked(x):
+        numbered = F.transform(x["t"], lambda t, i: F.struct(t.alias("text"), i.alias("at")))
+        found = F.aggregate(numbered, start, walk, lambda s: s["found"])
+
+        def joined(f):
+            signed = F.transform(x["t"], lambda t, i: F.concat(F.when(F.array_contains(f, i), MARK).otherwise(""), t))
+            return F.array_join(F.zip_with(x["p"], signed, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
+
+        return bound(found, joined)
+
+    pieces = F.struct(F.split(code, token, -1).alias("p"), F.regexp_extract_all(code, F.lit(token), 0).alias("t"))
+    return bound(pieces, marked)
+
+
 def text_rule_issues(text, language, rules=None):
     """Issues of the line rules that belong to the language of the row.
 
     Each hit is preceded by a mark; the text before the k-th mark gives line and column.
     """
     none = F.array().cast(f"array<{ISSUE}>")
-    found = []
-    for source, lang, before, reported, message in rules or TEXT_RULES:
-        parts = F.split(F.regexp_replace(text, before + reported, f"$1{MARK}$2"), MARK, -1)
-        hits = F.transform(
-            F.slice(parts, F.lit(1), F.size(parts) - 1), marked_issue(parts, source, message)
-        )
-        found.append(F.when(language == lang, hits).otherwise(none))
-    return F.concat(*found)
+    rules = rules or TEXT_RULES
+
+    def issues(code):
+        found = []
+        for source, lang, before, reported, message in rules:
+            if before is None:
+                marked = marked_blocks(code, reported)
+            else:
+                marked = F.regexp_replace(code, before + reported, f"$1{MARK}$2")
+
+            hits = bound(F.split(marked, MARK, -1), marked_issues(source, message))
+            found.append(F.when(language == lang, hits).otherwise(none))
+        return F.concat(*found)
+
+    known = language.isin(sorted({rule[1] for rule in rules}))
+    return F.when(known, bound(blanked(text), issues)).otherwise(none)
+
+
+def marked_issues(source, message):
+    """The issues at all marks, from the parts between them."""
+
+    def hits(parts):
+        later = F.slice(parts, F.lit(1), F.size(parts) - 1)
+        return F.transform(later, marked_issue(parts, source, message))
+
+    return hits
 
 
 def marked_issue(parts, source, message):

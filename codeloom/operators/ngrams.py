@@ -39,6 +39,14 @@ class Bigrams:
         counts = pairs.groupBy("prev", "tok").agg(F.count("*").alias("c"))
         return cls(materialise(counts, "bigrams") if store else counts)
 
+    def save(self, path):
+        """Store the model; it is trained once and loaded by every job that scores."""
+        self.counts.write.parquet(path)
+
+    @classmethod
+    def load(cls, spark, path):
+        return cls(spark.read.schema("prev string, tok string, c long").parquet(path))
+
     def contexts(self):
         """(w, n): how often each word of the model is followed by another one."""
         ends = F.array(
@@ -102,16 +110,17 @@ class Bigrams:
         if steps <= 0 or beams <= 0:
             raise ValueError("steps and beams must be positive")
         key = list(key)
-        per_context = self.continuations(k, p).groupBy("prev").agg(
-            F.collect_list(F.struct("tok", "p")).alias("next")
-        )
         beam = prompts.select(
             *key,
             F.element_at(words(F.col(prompt)), -1).alias("prev"),
             F.array().cast("array<string>").alias("path"),
             F.lit(0.0).alias("logp"),
         ).where(F.col("prev").isNotNull())
-        for _ in range(steps):
+        for step in range(steps):
+            beam = materialise(beam, "beam") if step else beam
+            # Only the words that end a beam are looked up; the rest of the model is not ranked.
+            found = self.continuations(k, p, after=beam.select("prev").distinct())
+            per_context = found.groupBy("prev").agg(F.collect_list(F.struct("tok", "p")).alias("next"))
             grown = beam.join(per_context, "prev").select(
                 *key, "path", "logp", F.inline("next")
             )

@@ -9,6 +9,7 @@ from codeloom.plans.scoring import BIGRAM_SQL, CONTINUATIONS_SQL
 from codeloom.plans.sql import words_sql
 from codeloom.plans.traffic import DAY, HOUR, limit_sql, throttle_sql
 from codeloom.plans.users import PROFILE_SQL, updates
+from codeloom.session import materialise
 from codeloom.sources.tables import documents, notification, read_table, stream_events
 from codeloom.streaming import operators as live
 from codeloom.streaming.runner import run_append, run_update, with_event_time
@@ -147,7 +148,7 @@ def change_position(spark, folder):
 def suggest_on_change(spark, folder):
     """A notification per change and candidate continuation of the changed document."""
     docs = documents(spark, folder)
-    candidates = Bigrams.train(docs).extend(docs, ["doc_id"], "text", beams=3)
+    candidates = materialise(Bigrams.train(docs).extend(docs, ["doc_id"], "text", beams=3), "candidates")
     stream = last_change(changes(stream_events(spark, folder, "events.parquet")))
     changed = stream.withColumn("doc_id", F.substring_index("uri", "/", -1).cast("long"))
     offered = live.suggest_on_change(changed, candidates)

@@ -78,3 +78,16 @@ def test_own_rule_tables(spark):
         ("import", "Importing potentially unsafe module 'os': system access"),
         ("call", "Potentially unsafe use of 'os.system': runs a command"),
     ]
+
+
+def test_text_rules_read_code_only(spark):
+    from codeloom.operators.analysis import text_rule_issues
+
+    code = (
+        "function f() {\n// var x;\nvar s = 'let y;';\n/* try { a } */ var z;\ntry { if (a) { b(); } }\n"
+        "try { c({}); } catch (e) { try { d(); } finally { } }\n\x01let q;\nvar t = `try { }`; // catch {\n}\n"
+    )
+    rows = spark.createDataFrame([(1, code, "javascript"), (2, code, "python"), (3, "", "java")], "id int, text string, language string")
+    found = rows.select("id", F.explode(text_rule_issues(F.col("text"), F.col("language"))).alias("i"))
+    got = sorted((r["id"], r["line"], r["col"], r["source"]) for r in found.select("id", "i.*").collect())
+    assert got == [(1, 4, 20, "var"), (1, 5, 0, "try"), (1, 7, 5, "var")]

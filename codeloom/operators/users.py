@@ -80,6 +80,18 @@ def check_permissions(requests, users, permission, row_id):
     return joined.withColumn("permitted", held).drop("permissions")
 
 
+def check_token_permissions(requests, tokens, users, permission, user="user_id", t="t", row_id="event_id",
+                            lifetime=params.TOKEN_LIFETIME_S * SECOND, rows=ROWS_PER_TASK):
+    """Requests with ``permitted``: the token is verified first, then its user's permissions.
+
+    Without a valid token nothing is permitted. ``requests`` also has ``username``, the owner of
+    the token.
+    """
+    verified = token_validity(requests, tokens, user, t, row_id, lifetime, rows)
+    checked = check_permissions(verified, users, permission, row_id)
+    return checked.withColumn("permitted", F.col("valid") & F.col("permitted"))
+
+
 def merge_updates(updates, user="user_id", order=("ts", "event_id")):
     """Newest value per (user, dictionary, key); merged per task before the shuffle."""
     return updates.groupBy(user, "dictionary", "key").agg(

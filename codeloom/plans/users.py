@@ -158,6 +158,23 @@ def token_interval(spark, folder):
     )
 
 
+@query(
+    "token_permission_check",
+    f"""
+    WITH {USERS_SQL}, {TOKEN_SQL}
+    SELECT event_id, coalesce(ts < issued + INTERVAL 1 HOUR, false) AND coalesce(list_contains(permissions, 'read'), false) AS permitted
+    FROM asked LEFT JOIN users ON users.username = 'Customer#' || lpad(user_id::varchar, 9, '0')
+    """,
+)
+def token_permission_check(spark, folder):
+    """Clicks by the permissions of the user whose token they carry; an expired token has none."""
+    clicks = activity(spark, folder, "click").select("event_id", "user_id", "t")
+    named = clicks.withColumn("username", F.format_string("Customer#%09d", "user_id"))
+    tokens = activity(spark, folder, "signup").select("event_id", "user_id", "t")
+    checked = users.check_token_permissions(named, tokens, user_rows(spark, folder), "read")
+    return checked.select("event_id", "permitted")
+
+
 @query(
     "auth_outcome",
     f"""

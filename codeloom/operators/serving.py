@@ -6,9 +6,13 @@ from codeloom import params
 from codeloom.functions import scoring
 from codeloom.functions.language import detect_language
 from codeloom.functions.text import keywords, prefix_context, words
+from codeloom.operators.analysis import analyse
 from codeloom.operators.candidates import rank
 from codeloom.operators.features import python_features
+from codeloom.operators.traffic import cache_lookup
+from codeloom.operators.users import personal_rank
 from codeloom.session import materialise
+from codeloom.skew import null_safe_join
 
 
 def contexts(requests, documents, key="doc_id", row_id="event_id"):
@@ -64,6 +68,40 @@ def suggestions(asked, model, row_id="event_id", n=params.STREAM_SUGGESTIONS):
     )
 
 
+def with_issues(prompts, row_id="event_id"):
+    """Prompts with ``issues``: the messages of the whole-file analysis of the context, in order."""
+    found = analyse(prompts, "prompt", [row_id])
+    messages = F.array_join(F.transform("issues", lambda i: i["message"]), "\n")
+    return prompts.join(found.select(row_id, messages.alias("issues")), row_id)
+
+
+def inline_completions(prompts, model, profile, cached, user="user_id", row_id="event_id",
+                       n=params.INLINE_SUGGESTIONS):
+    """(row_id, rank, completion, computes): the inline path of a suggestion request.
+
+    The cache key is the user, the context and the context's issues; ``cached`` has these columns
+    and ``found``, an array of (rank, completion). A key that it lacks is computed once, at its first
+    request (``computes``): twice ``n`` candidates are generated, filtered and ranked, the user's
+    accepted and rejected patterns move them, and ``n`` are kept for every request of the key.
+    """
+    key = [user, "context", "issues"]
+    asked = with_issues(prompts, row_id).withColumn("context", F.md5("prompt"))
+    asked = materialise(asked.select(row_id, user, "context", "issues", "prompt", "language"), "requests")
+    empty = F.lit(None).cast(cached.schema["found"].dataType)
+    looked = materialise(cache_lookup(asked, cached, key, [row_id], row_id, empty, "found"), "looked")
+    wanted = looked.where("computes")
+    fresh = suggestions(wanted.select(row_id, "prompt", "language"), model, row_id, n)
+    fresh = fresh.join(wanted.select(row_id, *key), row_id)
+    moved = personal_rank(
+        fresh.withColumn("score", -F.col("rank").cast("double")).drop("rank"), profile,
+        F.col("completion"), [row_id], "completion", bonus=float(n), n=n, user=user, row_id=row_id,
+    )
+    lists = moved.groupBy(*key).agg(F.collect_list(F.struct("rank", "completion")).alias("_fresh"))
+    served = null_safe_join(looked, lists, key, "left")
+    best = F.coalesce("found", "_fresh")
+    return served.select(row_id, "computes", F.inline(best)).select(row_id, "rank", "completion", "computes")
+
+
 def completion_items(suggested):
     """Item columns of a suggestion: label, kind, detail, insert_text."""
     return suggested.select(

@@ -10,15 +10,15 @@ from codeloom.operators import serving
 from codeloom.plans.registry import list_literal, query
 from codeloom.plans.scoring import BIGRAM_SQL, CONTINUATIONS_SQL, model
 from codeloom.plans.sql import BEST_SQL, clean_sql, scores_sql, words_sql
-from codeloom.plans.users import signed_in_clicks
+from codeloom.plans.users import profile_rows, signed_in_clicks
+from codeloom.session import materialise
 from codeloom.sources.tables import documents
 
 KEYWORDS = [k for k in keyword.kwlist if k.islower()]
 
 
-@query(
-    "serve_completions",
-    f"""
+SERVED_SQL = f"""
+
     WITH {BIGRAM_SQL}, {CONTINUATIONS_SQL},
     st AS (SELECT user_id, ts, event_type = 'signup' AS signed_in FROM events WHERE event_type IN ('signup', 'error')),
     e AS (SELECT event_id, (props->>'k')::bigint AS doc_id, r.user_id::int AS ch
@@ -34,6 +34,12 @@ KEYWORDS = [k for k in keyword.kwlist if k.islower()]
             regexp_matches(tok, '^[a-z_][a-z0-9_]*$') AS snake FROM g
           WHERE (regexp_matches(tok, '^[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*$') AND NOT list_contains({list_literal(KEYWORDS)}, tok))
              OR regexp_matches(tok, '^(?:0(?:_?0)*|[1-9](?:_?[0-9])*)$'))
+"""
+
+
+@query(
+    "serve_completions",
+    f"""{SERVED_SQL}
     SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY logp DESC, relevant DESC, snake DESC, tok))::int AS rank,
            tok AS label, {params.SNIPPET_KIND} AS kind, 'Code suggestion (' || language || ')' AS detail, tok AS insert_text
     FROM valid QUALIFY rank <= {params.STREAM_SUGGESTIONS}
@@ -52,3 +58,26 @@ def serve_completions(spark, folder):
     prompts = serving.contexts(asked, docs)
     served = serving.completion_items(serving.suggestions(prompts, model(spark, folder)))
     return served.select("event_id", "rank", "label", "kind", "detail", "insert_text")
+
+
+@query(
+    "inline_completions",
+    f"""{SERVED_SQL.replace('<= 10)', '<= 6)')},
+    u AS (SELECT q.event_id, min(q.event_id) OVER (PARTITION BY user_id, prompt) = q.event_id AS computes
+          FROM q JOIN events USING (event_id))
+    SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY logp DESC, relevant DESC, snake DESC, tok))::int AS rank,
+           tok AS completion, computes
+    FROM valid JOIN u USING (event_id) QUALIFY rank <= {params.INLINE_SUGGESTIONS}
+    """,
+)
+def inline_completions(spark, folder):
+    """Signed-in clicks through language, issues, cache, profile, generation, filter and ranking."""
+    docs = documents(spark, folder).withColumn(
+        "line", F.floor(F.size(lines(F.col("text"))) / 2).cast("int")
+    )
+    clicks = signed_in_clicks(spark, folder).select(
+        "event_id", "user_id", F.from_json("props", "k long")["k"].alias("doc_id"), F.col("user_id").cast("int").alias("character")
+    )
+    prompts = materialise(serving.contexts(clicks, docs), "contexts")
+    nothing = spark.createDataFrame([], "user_id bigint, context string, issues string, found array<struct<rank:int,completion:string>>")
+    return serving.inline_completions(prompts, model(spark, folder), profile_rows(spark, folder), nothing)

@@ -393,7 +393,8 @@ SCORE_SQL = f"""
 scored AS (
   SELECT code.doc_id, code.source, code.t,
     CASE WHEN code.t NOT IN {PARSED} THEN 0.0::double
-    ELSE (CASE WHEN code.t IN (6, 7) THEN 2.5 WHEN code.t IN (8, 11, 22) THEN 3.0 WHEN code.t = 23 THEN 4.0 ELSE 3.5 END)::double
+    ELSE (CASE WHEN code.t IN (6, 7) THEN 2.0 WHEN code.t IN (11, 22) THEN 2.5 WHEN code.t = 23 THEN 3.5 ELSE 3.0 END)::double
+       + (CASE WHEN length(code.text) < 100 THEN 0.5 ELSE 0.0 END)::double
        + (CASE WHEN list_has_any({words_sql('d.text')}, {words_sql('code.text')}) THEN 1.0 ELSE 0.0 END)::double END AS score
   FROM code JOIN documents d USING (doc_id))
 """
@@ -406,7 +407,7 @@ def completion_scores(spark, folder):
 
 
 def scored_files(spark, folder):
-    docs = documents(spark, folder, "source", F.col("text").alias("prompt"))
+    docs = documents(spark, folder, "source", "text").withColumn("prompt", F.col("text"))
     files = code_corpus(docs, "prompt").withColumn(
         "relevant", is_relevant(F.col("prompt"), F.col("text"))
     )

@@ -3,14 +3,16 @@
 from codeloom import params
 from codeloom.functions.language import patterns
 from codeloom.plans.registry import list_literal, text_literal
-from codeloom.sources.corpus import EXTENSIONS, TEMPLATES
+from codeloom.sources.corpus import COMMENTS, EXTENSIONS, TEMPLATES
 
 # code(doc_id, source, path, text, t): the code corpus with its template number.
 CODE = f"""
 code AS (
   SELECT doc_id, source, doc_id % {len(TEMPLATES)} AS t, length(doc_id::varchar) AS l,
          source || '/file_' || doc_id || {list_literal(EXTENSIONS)}[doc_id % {len(EXTENSIONS)} + 1] AS path,
-         replace({list_literal(TEMPLATES)}[doc_id % {len(TEMPLATES)} + 1], '{{id}}', doc_id::varchar) AS text
+         replace({list_literal(TEMPLATES)}[doc_id % {len(TEMPLATES)} + 1], '{{id}}', doc_id::varchar)
+           || array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)),
+                lambda x: {list_literal(COMMENTS)}[doc_id % {len(COMMENTS)} + 1] || x), chr(10)) || chr(10) AS text
   FROM documents)
 """
 

@@ -60,7 +60,7 @@ def cursors(spark, folder):
 
 
 def corpus(spark, folder):
-    return code_corpus(documents(spark, folder, "source"))
+    return code_corpus(documents(spark, folder, "source", "text"))
 
 
 @query(

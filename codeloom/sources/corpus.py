@@ -1,4 +1,8 @@
-"""A code corpus whose expected analysis is known, derived row by row from ``documents``."""
+"""A code corpus whose expected analysis is known, derived row by row from ``documents``.
+
+A file is a template followed by the whole text of its document, as line comments of its language
+(as plain text after prose), so every text is read, stripped and parsed.
+"""
 
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ TEMPLATES = [
     "import os\nif os.a:\n    pass\nelif os.b:\n    pass\nelif os.c_{id}:\n    pass\n",
     "    # only a comment {id}\n",
 ]
+# What begins each line of the document's text after the template.
+COMMENTS = ["# "] * 15 + ["// "] * 2 + ["# "] + ["// "] * 2 + ["# ", "", "# ", "    # "]
 EXTENSIONS = [".py", ".js", ".java", ".rb", ".go", ".rs", ".txt"]
 
 
@@ -41,11 +47,15 @@ def code_corpus(documents, *keep):
         F.array(*[F.lit(e) for e in EXTENSIONS]),
         (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"),
     )
+    prefix = F.element_at(
+        F.array(*[F.lit(c) for c in COMMENTS]), (F.col("doc_id") % len(COMMENTS) + 1).cast("int")
+    )
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.concat(prefix, x)), "\n")
     key = F.col("doc_id").cast("string")
     return documents.select(
         "doc_id",
         "source",
         F.concat("source", F.lit("/file_"), key, extension).alias("path"),
-        F.replace(pick, F.lit("{id}"), key).alias("text"),
+        F.concat(F.replace(pick, F.lit("{id}"), key), body, F.lit("\n")).alias("text"),
         *keep,
     )

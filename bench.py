@@ -10,7 +10,7 @@ import os
 import time
 
 from codeloom.plans import load
-from codeloom.session import local_session
+from codeloom.session import clear_runs, local_session
 
 HEADLINE = (
     "lang_detect language_distribution strip_comments preprocess_pages line_explode prefix_context "
@@ -20,14 +20,18 @@ HEADLINE = (
     "next_token_candidates log_softmax hash_embedding knn_l2 rag_prompt session_gate_asof "
     "token_interval_join login_issue permission_check register_unique profile_merge profile_vector "
     "personal_rerank throttle_delay debounce rate_limit cache_split telemetry_sliding ingest_pylint "
-    "ingest_bandit serve_completions stream_rate_limit stream_debounce"
+    "ingest_bandit serve_completions stream_rate_limit stream_debounce inline_completions append_snippets "
+    "two_token_candidates retrieve_snippets stream_suggest_on_change stream_throttle throttle_default "
+    "rate_limit_hourly token_permission_check"
 ).split()
 
 
 def timed(plan, spark, folder):
     start = time.perf_counter()
     plan(spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    taken = time.perf_counter() - start
+    clear_runs(spark)
+    return taken
 
 
 def main():

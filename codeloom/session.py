@@ -42,9 +42,20 @@ def shared_dir(spark):
     return path
 
 
+RUNS = []  # folders this process has asked for
+
+
 def run_dir(spark, name):
     """A new, unused folder below the shared folder for one run."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    RUNS.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return RUNS[-1]
+
+
+def clear_runs(spark):
+    """Remove the intermediate folders of this process, once its results are written elsewhere."""
+    while RUNS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(RUNS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, name):

@@ -97,3 +97,26 @@ def test_telemetry_windows(spark, parts, batch):
     closed = batch.agg(F.max("t")).first()[0] // 1000 * 1000 - HOUR
     want = want.where(F.col("start") + 6 * HOUR <= closed)
     assert pairs(out, "start", "event_name", "n") == pairs(want, "start", "event_name", "n")
+
+
+def test_runs_can_be_cleared(spark):
+    from codeloom import session
+
+    kept = session.RUNS[:]
+    session.RUNS.clear()
+    stored = session.materialise(spark.range(3), "short")
+    assert stored.count() == 3
+    (path,) = session.RUNS
+    session.clear_runs(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs) and not session.RUNS
+    session.RUNS.extend(kept)
+
+
+def test_update_stream_without_rows(spark, tmp_path):
+    from codeloom.streaming.runner import run_update
+
+    spark.createDataFrame([], "user_id bigint, n int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id bigint, n int").parquet(str(tmp_path / "in"))
+    found = run_update(stream.groupBy("user_id").count(), "nothing")
+    assert found.count() == 0 and found.columns == ["user_id", "count", "epoch"]

@@ -6,7 +6,7 @@ from codeloom import params
 from codeloom.functions import scoring
 from codeloom.functions.language import detect_language
 from codeloom.functions.text import keywords, prefix_context, words
-from codeloom.operators.analysis import analyse
+from codeloom.operators.analysis import analyse, suggested_fix
 from codeloom.operators.candidates import rank
 from codeloom.operators.features import python_features
 from codeloom.operators.traffic import cache_lookup
@@ -102,6 +102,28 @@ def inline_completions(prompts, model, profile, cached, user="user_id", row_id="
     return served.select(row_id, "computes", F.inline(best)).select(row_id, "rank", "completion", "computes")
 
 
+def fixes_and_completions(files, model, key="doc_id", n=params.STREAM_SUGGESTIONS):
+    """(key, place, kind, label, insert_text): fixes of a file's issues, then completions of its end.
+
+    ``files`` has text and language. Completions are generated, checked and ranked as for requests.
+    """
+    found = analyse(files.select(key, "text"), "text", [key])
+    fixes = F.filter(F.transform("issues", lambda i: suggested_fix(i["message"], i["line"])), lambda f: f.isNotNull())
+    fixed = found.select(key, F.posexplode(fixes).alias("i", "item")).withColumn("kind", F.lit("error_fix"))
+    asked = files.select(key, "language", F.col("text").alias("prompt"))
+    offered = suggestions(asked, model, key, n)
+    offered = offered.select(key, F.col("rank").alias("i"), F.col("completion").alias("item"), F.lit("completion").alias("kind"))
+    listed = fixed.unionByName(offered).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct((F.col("kind") == "completion").alias("last"), "i", "kind", "item"))).alias("items")
+    )
+    rows = listed.select(key, F.posexplode("items").alias("at", "s"))
+    fix = F.col("s.kind") == "error_fix"
+    label = F.concat(F.when(fix, params.FIX_LABEL_PREFIX).otherwise(params.COMPLETION_LABEL_PREFIX), "s.item")
+    return rows.select(
+        key, (F.col("at") + 1).alias("place"), "s.kind", label.alias("label"), F.when(~fix, F.col("s.item")).alias("insert_text")
+    )
+
+
 def completion_items(suggested):
     """Item columns of a suggestion: label, kind, detail, insert_text."""
     return suggested.select(

@@ -5,11 +5,14 @@ import keyword
 from pyspark.sql import functions as F
 
 from codeloom import params
+from codeloom.functions.language import with_language
 from codeloom.functions.text import lines
 from codeloom.operators import serving
+from codeloom.plans.analysis import FIXES_SQL
 from codeloom.plans.registry import list_literal, query
 from codeloom.plans.scoring import BIGRAM_SQL, CONTINUATIONS_SQL, model
-from codeloom.plans.sql import BEST_SQL, clean_sql, scores_sql, words_sql
+from codeloom.plans.sql import BEST_SQL, CODE, clean_sql, scores_sql, words_sql
+from codeloom.plans.text import corpus
 from codeloom.plans.users import profile_rows, signed_in_clicks
 from codeloom.session import materialise
 from codeloom.sources.tables import documents
@@ -81,3 +84,30 @@ def inline_completions(spark, folder):
     prompts = materialise(serving.contexts(clicks, docs), "contexts")
     nothing = spark.createDataFrame([], "user_id bigint, context string, issues string, found array<struct<rank:int,completion:string>>")
     return serving.inline_completions(prompts, model(spark, folder), profile_rows(spark, folder), nothing)
+
+
+@query(
+    "fixes_and_completions",
+    f"""
+    WITH {CODE}, {FIXES_SQL}, {BIGRAM_SQL}, {CONTINUATIONS_SQL},
+    l AS (SELECT doc_id, text AS prompt, list_extract({words_sql('text')}, -1) AS prev FROM code),
+    g AS (SELECT doc_id, prompt, tok, ln(p) AS logp FROM l JOIN next USING (prev)
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ln(p) DESC, tok) <= 10),
+    valid AS (SELECT doc_id, tok, logp, list_contains({words_sql('prompt')}, tok) AS relevant,
+            regexp_matches(tok, '^[a-z_][a-z0-9_]*$') AS snake FROM g
+          WHERE (regexp_matches(tok, '^[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*$') AND NOT list_contains({list_literal(KEYWORDS)}, tok))
+             OR regexp_matches(tok, '^(?:0(?:_?0)*|[1-9](?:_?[0-9])*)$')),
+    best AS (SELECT doc_id, tok, row_number() OVER (PARTITION BY doc_id ORDER BY logp DESC, relevant DESC, snake DESC, tok) AS place
+             FROM valid QUALIFY place <= {params.STREAM_SUGGESTIONS}),
+    tagged AS (SELECT doc_id, 0 AS kind_ord, place, fix AS item, 'error_fix' AS kind FROM fixes
+               UNION ALL SELECT doc_id, 1, place, tok, 'completion' FROM best)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind_ord, place))::int AS place, kind,
+           CASE kind WHEN 'error_fix' THEN '{params.FIX_LABEL_PREFIX}' ELSE '{params.COMPLETION_LABEL_PREFIX}' END || item AS label,
+           CASE kind WHEN 'completion' THEN item END AS insert_text
+    FROM tagged
+    """,
+)
+def fixes_and_completions(spark, folder):
+    """Per file the fixes of its issues, then the generated completions of its end."""
+    files = materialise(with_language(corpus(spark, folder)).select("doc_id", "text", "language"), "files")
+    return serving.fixes_and_completions(files, model(spark, folder))

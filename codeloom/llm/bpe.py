@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from codeloom.llm.common import worker_state
+from codeloom.llm.common import text_batches, worker_state
 
 PIECE = 1 << 16  # characters encoded at once
 ROWS = 128  # texts of an output batch
 CUT = re.compile(r"[!-~](?=[ \n])")
 WORD = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-PIECES_KEPT = 250_000  # pieces remembered by a Python worker
+PIECES_KEPT = 150_000  # pieces remembered by a Python worker
 
 
 def byte_table():
@@ -121,6 +121,7 @@ def encode(df: DataFrame, ranks_path, pattern, text="text", ids="ids", offsets=N
     Columns of those names are replaced. A null or empty text has no tokens. Special tokens do not
     exist: their spelling is ordinary text. The rank file is read on the driver and sent along.
     """
+    text_batches(df.sparkSession)
     ranks = read_ranks(ranks_path)
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json(ranks, pattern))
     sizes = np.zeros(max(ranks, default=0) + 1, np.int64)

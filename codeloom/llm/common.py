@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS_KEPT = 1 << 20  # words remembered by one Python worker
+WORDS_KEPT = 1 << 18  # words remembered by one Python worker
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,6 +59,18 @@ def shingle_set(text, size, cache):
     return np.unique(shingles(word_hashes(text, cache), size))
 
 
+def text_batches(spark, rows=2000, size=8 << 20):
+    """Bounds what the JVM and a Python worker hold of texts at once: Arrow batches by rows and bytes.
+
+    A setting of the session, which the operators on texts need; smaller values are left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        own = spark.conf.get(name, None)
+        if own is None or not 0 < int(own.rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 def shares(df: DataFrame, rows: int) -> int:
     """Number of parts of about ``rows`` rows; ``df`` should be a stored table."""
     return max(1, math.ceil(df.count() / rows))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import STEP, mix
+from codeloom.llm.common import STEP, mix, text_batches
 from codeloom.session import materialise
 
 RUN = 5  # tokens of the shortest repeated substring
@@ -262,6 +262,7 @@ def main_text(df: DataFrame, key="page_id", url="url", page="html") -> DataFrame
     are all returned; alone they don't make their own text boilerplate. A page is parsed twice, which
     costs less than storing its text.
     """
+    text_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
     rows = rows.select(

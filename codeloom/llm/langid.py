@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from codeloom.llm.common import text_batches
+
 DIMENSIONS = 2048
 PER_LANGUAGE = 500  # expected number of training documents of a language
 LANGUAGES = 64  # the most frequent ones are learned
@@ -122,6 +124,7 @@ def train(df: DataFrame, key="doc_id", text="text", lang="lang", per_language=PE
     About ``per_language`` rows of each of the LANGUAGES most frequent languages are drawn by a hash
     of the id; their feature vectors, at most LANGUAGES * per_language * 8 KB, go to the driver.
     """
+    text_batches(df.sparkSession)
     rows = df.where(F.col(lang).isNotNull()).select(
         F.col(key).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")
     )
@@ -173,6 +176,7 @@ def predict(df: DataFrame, model, key="doc_id", text="text", keep=None) -> DataF
     ``und`` with score 0 for a text that is null or has no letter, and for all when nothing was
     learned. Rows are kept as they are, repeated ones too.
     """
+    text_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     own = [F.col(key).alias("id")] if keep is None else [F.col(c) for c in keep]
     names = ("lang_pred", "score") if keep is None else ("lang_pred_", "score_")

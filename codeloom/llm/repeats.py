@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import mix, shares
+from codeloom.llm.common import mix, shares, text_batches
 from codeloom.session import materialise
 
 WIDTH, GRAM = 200, 64
@@ -266,6 +266,7 @@ def repeats(df: DataFrame, key="doc_id", text="text", width=WIDTH, gram=GRAM, bu
     compared window by window. A row that repeats another one is a text like any other, so all its strings of
     ``width`` bytes are repeated. Rows without an id are texts too.
     """
+    text_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     named = [F.xxhash64(F.col("id").cast("string")).alias("t1"), F.xxhash64("text").alias("t2")]
     rows = rows.select(*named, "id", "text")
@@ -273,8 +274,8 @@ def repeats(df: DataFrame, key="doc_id", text="text", width=WIDTH, gram=GRAM, bu
     flat = table.select("t1", "t2", F.inline_outer(F.arrays_zip("bucket", "content", "start", "length")))
     flat = flat.where("bucket is not null")
     same = flat.groupBy("bucket").agg(F.min("content").alias("c1"), F.max("content").alias("c2"), F.count("*").alias("times"))
-    same = same.where("times > 1").selectExpr("bucket", "c1 <> c2 as mixed")
-    shared = materialise(flat.join(same, "bucket"), "shared")
+    same = materialise(same.where("times > 1").selectExpr("bucket", "c1 <> c2 as mixed"), "buckets")
+    shared = materialise(flat.join(same, "bucket"), "shared")  # apart, so a hot bucket can be split
     place = F.struct("t1", "t2", "start", "length")
     kinds = shared.where("mixed").groupBy("bucket", "content").agg(F.count("*").alias("times"), F.min(place).alias("p"))
     kinds = materialise(kinds, "kinds")

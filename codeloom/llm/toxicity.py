@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import text_batches
 from codeloom.session import materialise
 
 SAMPLE = 20_000  # expected number of labelled rows the lexicon is learned from
@@ -189,6 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", toxic="
     what reaches the driver is the lexicon (PATTERNS), its phrases and a number per sampled row.
     Rows without a label or an id teach nothing; an id with both labels counts once for each.
     """
+    text_batches(docs.sparkSession)
     marks = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull())
     marks = marks.select(F.col(key).alias("id"), F.col(toxic).cast("int").alias("y")).distinct()
     share = min(1.0, SAMPLE / max(1, marks.count()))
@@ -255,6 +257,7 @@ def score(docs: DataFrame, model, key="doc_id", text="text") -> DataFrame:
     Null and empty texts match nothing and get the score of a text without matches. ``matched`` is
     the normalised sum of weights. Rows are kept as they are, repeated ones too.
     """
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

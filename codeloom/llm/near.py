@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WordHashes, shares, shingle_set, texts
+from codeloom.llm.common import WordHashes, shares, shingle_set, text_batches, texts
 from codeloom.llm.components import components
 from codeloom.session import materialise
 
@@ -33,37 +33,60 @@ CHUNK = 512
 
 
 class Bands:
-    """Number of bands, minima in each (at most 6), and minima per step of the sequential test."""
+    """Number of bands, minima in each, minima per step of the sequential test, bytes of a minimum.
 
-    def __init__(self, bands=48, rows=6, batch=48):
-        self.bands, self.rows, self.batch = bands, rows, batch
+    A band key holds a band's minima in its low six bytes, and the band's number above.
+    """
+
+    def __init__(self, bands=48, rows=6, batch=48, octets=1):
+        self.bands, self.rows, self.batch, self.octets = bands, rows, batch, octets
+        self.kind = np.dtype(f"<u{octets}")
         draw = np.random.default_rng(20)
         self.factor = (draw.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.flip = draw.integers(0, 1 << 32, bands * rows, dtype=np.uint32)[:, None]
 
+    def short(self, low):
+        return ((low * np.uint32(0x9E3779B1)) >> np.uint32(32 - 8 * self.octets)).astype(self.kind)
+
+    def packed(self, sets):
+        return np.zeros((sets, self.bands, 8 // self.octets), self.kind)
+
+    def numbered(self, packed):
+        return packed.view("<u8")[:, :, 0].astype(np.int64) | (np.arange(self.bands, dtype=np.int64) << 48)
+
     def keys(self, items):
-        """Band keys of a sorted set of hashes: minima of 8 bits, and the band's number above."""
+        """Band keys of a sorted set of hashes."""
         low = np.full(self.bands * self.rows, 0xFFFFFFFF, np.uint32)
         x = (items >> np.uint64(32)).astype(np.uint32)
         for start in range(0, len(x), CHUNK):
             np.minimum(low, ((x[None, start : start + CHUNK] ^ self.flip) * self.factor).min(1), out=low)
-        packed = np.zeros((self.bands, 8), np.uint8)
-        packed[:, : self.rows] = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).reshape(self.bands, -1)
-        return packed.view("<u8")[:, 0].astype(np.int64) | (np.arange(self.bands, dtype=np.int64) << 48)
+        packed = self.packed(1)
+        packed[0, :, : self.rows] = self.short(low).reshape(self.bands, -1)
+        return self.numbered(packed)[0]
+
+    def keys_of_groups(self, items, starts):
+        """Band keys (groups, bands) of many sets of hashes that follow one another."""
+        x = (items >> np.uint64(32)).astype(np.uint32)
+        low = np.empty((self.bands * self.rows, len(starts)), np.uint32)
+        for i in range(self.bands * self.rows):
+            np.minimum.reduceat((x ^ self.flip[i]) * self.factor[i], starts, out=low[i])
+        packed = self.packed(len(starts))
+        packed[:, :, : self.rows] = self.short(low).T.reshape(len(starts), self.bands, self.rows)
+        return self.numbered(packed)
 
     def minima(self, keys):
-        """The 8-bit minima of an array (n, bands) of band keys."""
-        octets = np.ascontiguousarray(keys.astype("<i8")).view(np.uint8)
-        return octets.reshape(len(keys), self.bands, 8)[:, :, : self.rows].reshape(len(keys), -1)
+        """The minima of an array (n, bands) of band keys."""
+        parts = np.ascontiguousarray(keys.astype("<i8")).view(self.kind)
+        return parts.reshape(len(keys), self.bands, -1)[:, :, : self.rows].reshape(len(keys), -1)
 
 
 def least_matches(percent, scheme, miss=MISS):
     """For each step, the fewest equal minima with which a pair may still reach the threshold.
 
-    Prior: similarity uniform on [0, 1]; a minimum agrees with probability s + (1 - s) / 256.
+    Prior: similarity uniform on [0, 1]; a minimum of 8 bits agrees with probability s + (1 - s) / 256.
     """
     s = (np.arange(4000) + 0.5) / 4000
-    p = s + (1 - s) / 256
+    p = s + (1 - s) / 256**scheme.octets
     least = []
     for n in range(scheme.batch, scheme.bands * scheme.rows + 1, scheme.batch):
         m = np.arange(n + 1)[:, None]
@@ -227,16 +250,26 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=8
     reachable. A text without words has no shingles and only its own id; so has a row without an id
     (null). Rows that repeat an id are separate texts; each gets the component of its own text.
     """
+    text_batches(df.sparkSession)
     items, scheme = texts(df, key, text), scheme or Bands()
     marks = materialise(signatures(items, words, scheme), "signatures")
+    bands = marks.where("n > 0 and id is not null").select("id", "bands")
+    return near_groups(marks.drop("bands"), bands, lambda ids: items.join(ids, "id", "left_semi"), words, percent, scheme)
+
+
+def near_groups(marks, bands, texts_of, words, percent, scheme) -> DataFrame:
+    """(id, n_shingles, component_id) from stored marks (id, n, f1, f2) and band keys (id, bands).
+
+    ``texts_of`` gives (id, text) for a table of ids; it is asked for candidates only.
+    """
     sets = marks.where("n > 0 and id is not null")
     first = materialise(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "sets")
-    nodes = sets.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    nodes = bands.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
     members = nodes.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     members = materialise(members.join(shared.where("leader <> last"), "key").select("key", "id", "leader"), "members")
     wanted = members.select("id").distinct()
-    found = signatures(items.join(wanted, "id", "left_semi"), words, scheme, keep_text=True)
+    found = signatures(texts_of(wanted), words, scheme, keep_text=True)
     found = materialise(found.where("n > 0").select("id", "bands", "text"), "candidates")
 
     def check(pairs):

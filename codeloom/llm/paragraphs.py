@@ -1,7 +1,7 @@
 """Repeated paragraphs inside documents, by MinHash bands, exact check and components.
 
 A paragraph is a line of at least LINE words. Paragraphs whose five-word shingles are similar are
-linked (10 bands of 3 minima: a pair at similarity 0.8 shares none with a probability below 0.001),
+linked (8 bands of 3 minima: a pair at similarity 0.8 shares none with a probability of 0.003),
 checked exactly, and joined into components; the first one of a component stays.
 
 A passage pasted into the middle of a line is no paragraph of its own. So lines are also cut where
@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import STEP, WordHashes, mix
-from codeloom.llm.near import Bands, near_duplicates
+from codeloom.llm.common import STEP, WordHashes, mix, shingles, text_batches, worker_state
+from codeloom.llm.near import Bands, near_groups
 from codeloom.llm.repeats import covered, cut_spans, slide
 from codeloom.session import materialise
 
-LINE, RUN, REACH = 15, 20, 6
-SCHEME = Bands(10, 3, 10)
+LINE, RUN, REACH, WORDS = 15, 20, 6, 5
+LINES, CUTS = ["lo", "hi", "size", "f1", "f2", "bands"], ["c", "cut_lo", "cut_hi", "words"]
+SCHEME = Bands(8, 3, 24, 2)
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
 
@@ -31,94 +32,148 @@ INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
 def words_of(data):
     """Byte spans of the words of a text, and the number of the line each is in."""
     points = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.r_[True, WHITE[points], True].astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    white = np.ones(len(points) + 2, bool)
+    white[1:-1] = WHITE[points]
+    start, end = np.flatnonzero(white[:-1] & ~white[1:]), np.flatnonzero(~white[:-1] & white[1:])
     return start, end, np.searchsorted(np.flatnonzero(points == 10), start)
 
 
-def parts_of(data, cache):
-    """(lo, hi) of lines of LINE words or more; (hash, lo, hi, words) of the cuts of a text."""
-    start, end, line = words_of(data)
-    if not len(start):
-        return [], []
-    own = np.fromiter(map(cache.__getitem__, data.lower().split()), np.uint64, len(start))
-    new = np.r_[True, line[1:] != line[:-1]]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(start)] - 1
-    long = last - first + 1 >= LINE
-    lines = list(zip(start[first[long]].tolist(), end[last[long]].tolist()))
+def powers(size):
+    """Powers of STEP and their inverses up to ``size``, kept by the worker for texts of usual length."""
+    state = worker_state()
+    if len(state.get("powers", ((),))[0]) <= size:
+        both = []
+        for base in (STEP, INVERSE):
+            row = np.full(max(size + 1, 1 << 15), base, np.uint64)
+            row[0] = 1
+            both.append(np.multiply.accumulate(row))
+        if size > 1 << 20:
+            return both
+        state["powers"] = both
+    return state["powers"]
+
+
+def prefix_hash(values):
+    """Sums of values times powers of STEP, and the inverse powers: hashes of runs by one difference."""
+    up, down = powers(len(values))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return total, down
+
+
+def cuts_of(own, line, start, end):
+    """(hash, lo, hi, words) arrays of the cuts of a text, from its words' hashes, lines and spans."""
+    new = np.ones(len(own), bool)
+    np.not_equal(line[1:], line[:-1], out=new[1:])
     if len(own) > 2 * REACH + 1:
         pair = mix(own[:-1] + own[1:] * STEP)
         low = slide(pair, 2 * REACH + 1)
         new[REACH : REACH + len(low)] |= pair[REACH : REACH + len(low)] == low
     first = np.flatnonzero(new)
-    after = np.r_[first[1:], len(own)]
-    up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(own), STEP)])
-    total = np.r_[np.uint64(0), np.cumsum(own * up[:-1])]
-    down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(own), INVERSE)])
+    after = np.append(first[1:], len(own))
+    total, down = prefix_hash(own)
     size = after - first
     value = mix((total[after] - total[first]) * down[first] + size.astype(np.uint64)).view(np.int64)
-    return lines, list(zip(value.tolist(), start[first].tolist(), end[after - 1].tolist(), size.tolist()))
+    return value, start[first], end[after - 1], size
+
+
+def lines_of(own, line, start, end):
+    """(lo, hi, n, f1, f2, bands) of the lines with LINE words or more, all of a text at once.
+
+    f1 and f2 are hashes of a line's words in order: equal lines are one node.
+    """
+    new = np.ones(len(own) + 1, bool)
+    np.not_equal(line[1:], line[:-1], out=new[1:-1])
+    edge = np.flatnonzero(new)
+    long = np.flatnonzero(np.diff(edge) >= LINE)
+    if not len(long):
+        return None
+    first, after = edge[long], edge[long + 1]
+    count = after - first - WORDS + 1
+    at = np.cumsum(count) - count
+    mark = shingles(own, WORDS)[np.repeat(first - at, count) + np.arange(count.sum())]
+    prints = []
+    for values in (own, mix(own)):
+        total, down = prefix_hash(values)
+        prints.append(mix((total[after] - total[first]) * down[first] + count.astype(np.uint64)).view(np.int64))
+    return start[first], end[after - 1], count, *prints, SCHEME.keys_of_groups(mark, at)
 
 
 def document_parts(rows: DataFrame) -> DataFrame:
-    """(t1, t2, id, n, sha, lines, cuts) of (t1, t2, id, text)."""
+    """(t1, t2, id, n, sha, line columns, cut columns) of (t1, t2, id, text); columns are arrays."""
     kind = rows.schema["id"].dataType.simpleString()
-    line = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    cut = pa.list_(pa.struct([("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("words", pa.int32())]))
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds += [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                own = batch.slice(first, 128)
-                n, sha, lines, cuts = [], [], [], []
+            for begin in range(0, batch.num_rows, 128):
+                own = batch.slice(begin, 128)
+                n, sha, columns = [], [], [[] for _ in kinds]
                 for value in own.column(3).to_pylist():
                     data = (value or "").encode()
-                    a, b = parts_of(data, cache)
                     n.append(len(data))
                     sha.append(hashlib.sha256(data).hexdigest())
-                    lines.append([{"lo": lo, "hi": hi} for lo, hi in a])
-                    cuts.append([{"c": c, "lo": lo, "hi": hi, "words": w} for c, lo, hi, w in b])
-                arrays = [pa.array(n, pa.int64()), pa.array(sha), pa.array(lines, line), pa.array(cuts, cut)]
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], *arrays], ["t1", "t2", "id", "n", "sha", "lines", "cuts"])
+                    start, end, line = words_of(data)
+                    hashes = np.fromiter(map(cache.__getitem__, data.lower().split()), np.uint64, len(start))
+                    lines = lines_of(hashes, line, start, end) if len(start) else None
+                    cuts = cuts_of(hashes, line, start, end) if len(start) else [[]] * 4
+                    for column, found in zip(columns, [*(lines or [[]] * 6), *cuts]):
+                        column.append(list(found) if column is columns[5] else found)
+                arrays = [pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds)]
+                names = ["t1", "t2", "id", "n", "sha", *LINES, *CUTS]
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(n, pa.int64()), pa.array(sha), *arrays], names)
 
-    schema = f"t1 bigint, t2 bigint, id {kind}, n bigint, sha string, lines array<struct<lo: int, hi: int>>, "
-    return rows.mapInArrow(run, schema + "cuts array<struct<c: bigint, lo: int, hi: int, words: int>>")
+    lines = "lo array<int>, hi array<int>, size array<bigint>, f1 array<bigint>, f2 array<bigint>, bands array<array<bigint>>"
+    cuts = "c array<bigint>, cut_lo array<int>, cut_hi array<int>, words array<int>"
+    return rows.mapInArrow(run, f"t1 bigint, t2 bigint, id {kind}, n bigint, sha string, {lines}, {cuts}")
 
 
 def line_texts(rows: DataFrame) -> DataFrame:
-    """(id, text): every line of LINE words, named by a hash of its document and place."""
+    """(id, text) of wanted lines: rows are (text, wanted), an array of (name, lo, hi)."""
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
+            for begin in range(0, batch.num_rows, 64):
                 out = []
-                for t1, t2, _, value in zip(*(c.to_pylist() for c in batch.slice(first, 128).columns)):
-                    data = (value or "").encode()
-                    start, end, line = words_of(data)
-                    edge = np.flatnonzero(np.diff(line, prepend=-1, append=-1) != 0) if len(line) else np.zeros(0, int)
-                    for a, b in zip(edge.tolist(), edge[1:].tolist()):
-                        if b - a >= LINE:
-                            lo, hi = int(start[a]), int(end[b - 1])
-                            out.append((t1, t2, lo, hi, data[lo:hi].decode()))
-                columns = list(zip(*out)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["t1", "t2", "lo", "hi", "text"])
-
-    found = rows.mapInArrow(run, "t1 bigint, t2 bigint, lo int, hi int, text string")
-    return found.select(F.xxhash64("t1", "t2", "lo").alias("id"), "text")
-
-
-def repeated_lines(rows, parts):
-    """(t1, t2, lo, hi) of the lines of a component that aren't its first one."""
-    groups = near_duplicates(line_texts(rows), "id", "text", words=5, percent=80, scheme=SCHEME)
+                for value, wanted in zip(*(c.to_pylist() for c in batch.slice(begin, 64).columns)):
+                    data = value.encode()
+                    out.extend((w["name"], data[w["lo"] : w["hi"]].decode()) for w in wanted)
+                columns = list(zip(*out)) or [[]] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], ["id", "text"])
+
+    return rows.select("text", "wanted").mapInArrow(run, "id bigint, text string")
+
+
+def repeated_lines(rows, parts, cut_texts):
+    """(t1, t2, lo, hi) of the lines of a component that aren't its first one, and the texts concerned.
+
+    The texts of candidate lines and those of ``cut_texts`` (t1, t2) are fetched together, once.
+    """
+    texts = []
+
+    def flat(*columns):  # zips the columns in use only: a zip is not pruned
+        found = parts.select("t1", "t2", "id", F.inline_outer(F.arrays_zip("lo", *columns))).where("lo is not null")
+        return found.withColumn("name", F.xxhash64("t1", "t2", "lo"))
+
+    marks = flat("size", "f1", "f2").select(F.col("name").alias("id"), F.col("size").alias("n"), "f1", "f2")
+    bands = flat("bands").select(F.col("name").alias("id"), "bands")
+
+    def wanted_texts(names):
+        places = flat("hi").select("t1", "t2", "lo", "hi", "name").join(names.withColumnRenamed("id", "name"), "name", "left_semi")
+        asked = places.groupBy("t1", "t2").agg(F.collect_set(F.struct("name", "lo", "hi")).alias("wanted"))
+        asked = asked.join(cut_texts, ["t1", "t2"], "full")
+        texts.append(materialise(rows.join(asked, ["t1", "t2"]).select("t1", "t2", "text", "wanted"), "texts"))
+        return line_texts(texts[0].where("wanted is not null")).distinct()
+
+    groups = near_groups(marks, bands, wanted_texts, WORDS, 80, SCHEME)
     groups = materialise(groups.select(F.col("id").alias("name"), "component_id").distinct(), "groups")
-    sizes = groups.groupBy("component_id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    groups = groups.join(materialise(sizes, "sizes").select("component_id"), "component_id", "left_semi")
-    places = parts.select("t1", "t2", "id", F.inline("lines"))
-    places = places.select(F.xxhash64("t1", "t2", "lo").alias("name"), "id", "t1", "t2", "lo", "hi")
-    return not_first(materialise(places.join(groups, "name"), "lines"), "component_id", "t1", "t2", "lo", "hi")
+    sizes = groups.where("name <> component_id").select("component_id").distinct()  # a lone line is its own component
+    groups = groups.join(materialise(sizes, "sizes"), "component_id", "left_semi")
+    places = flat("hi").select("name", "id", "t1", "t2", "lo", "hi")
+    found = materialise(places.join(groups, "name"), "lines")
+    return not_first(found, "component_id", "t1", "t2", "lo", "hi"), texts[0]
 
 
 def not_first(places, group, *columns):
@@ -129,26 +184,23 @@ def not_first(places, group, *columns):
 
 
 def repeated_cuts(parts):
-    """(t1, t2, lo, hi, words) of the cuts that also stand somewhere before."""
-    flat = parts.select("t1", "t2", "id", F.inline("cuts"))
+    """(t1, t2, k, lo, hi, words) of the cuts, number k of their text, that also stand somewhere before."""
+    flat = parts.select("t1", "t2", "id", F.posexplode_outer(F.arrays_zip(*CUTS)).alias("k", "x"))
+    flat = flat.where("x is not null").select("t1", "t2", "id", "k", "x.c", F.col("x.cut_lo").alias("lo"), "x.cut_hi", "x.words")
     many = flat.groupBy("c").agg(F.count("*").alias("times")).where("times > 1").select("c")
     places = materialise(flat.join(materialise(many, "many"), "c"), "cuts")
-    return not_first(places, "c", "t1", "t2", "lo", "hi", "words")
+    return not_first(places, "c", "t1", "t2", "k", "lo", "cut_hi", "words")
 
 
-def long_runs(cuts, all_cuts):
-    """Byte spans of runs of neighbouring cuts with RUN words or more."""
-    at = {lo: (hi, words) for lo, hi, words in cuts}
-    spans, open_at, held, before = [], None, 0, None
-    for lo, hi in [*all_cuts, (None, None)]:
-        if lo in at:
-            open_at = lo if open_at is None else open_at
-            held, before = held + at[lo][1], hi
-        elif open_at is not None:
-            if held >= RUN:
-                spans.append((open_at, before))
-            open_at, held = None, 0
-    return spans
+def long_runs(cuts):
+    """Byte spans of runs of neighbouring cuts (k, lo, hi, words) with RUN words or more."""
+    runs = []  # first byte, last byte, words, last number
+    for k, lo, hi, words in sorted(cuts):
+        if runs and k == runs[-1][3] + 1:
+            runs[-1][1:] = [hi, runs[-1][2] + words, k]
+        else:
+            runs.append([lo, hi, words, k])
+    return [(lo, hi) for lo, hi, words, _ in runs if words >= RUN]
 
 
 def repeated_paragraphs(df: DataFrame, key="doc_id", text="text") -> DataFrame:
@@ -158,23 +210,25 @@ def repeated_paragraphs(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     id come last. Null counts as empty. A row that repeats another one with its id is the same
     document. ``spans`` are the removed bytes (lo, hi) of the text in UTF-8.
     """
+    text_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.select(F.xxhash64(F.col("id").cast("string")).alias("t1"), F.xxhash64("text").alias("t2"), "id", "text")
     parts = materialise(document_parts(rows), "parts")
-    place = F.struct("lo", "hi")
-    lines = repeated_lines(rows, parts).groupBy("t1", "t2").agg(F.collect_set(place).alias("a"))
-    cuts = repeated_cuts(parts).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "words")).alias("b"))
+    cut = F.struct("k", "lo", F.col("cut_hi").alias("hi"), "words")
+    cuts = repeated_cuts(parts).groupBy("t1", "t2").agg(F.collect_set(cut).alias("b"))
+    cuts = materialise(cuts, "cuts")
+    lines, texts = repeated_lines(rows, parts, cuts.select("t1", "t2"))
+    lines = lines.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("a"))
     found = materialise(lines.join(cuts, ["t1", "t2"], "full"), "found")
-    every = F.transform("cuts", lambda c: F.struct(c["lo"].alias("lo"), c["hi"].alias("hi"))).alias("every")
-    joined = rows.join(found, ["t1", "t2"]).join(parts.select("t1", "t2", every), ["t1", "t2"])
+    joined = texts.join(found, ["t1", "t2"]).select("t1", "t2", "text", "a", "b")
 
     def finish(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 128) for b in batches for i in range(0, max(b.num_rows, 1), 128)):
             out = []
-            for row in batch.select(["t1", "t2", "text", "a", "b", "every"]).to_pylist():
+            for row in batch.to_pylist():
                 data = row["text"].encode()
                 spans = {(s["lo"], s["hi"]) for s in row["a"] or []}
-                spans |= set(long_runs([tuple(c.values()) for c in row["b"] or []], [tuple(c.values()) for c in row["every"]]))
+                spans |= set(long_runs([tuple(c.values()) for c in row["b"] or []]))
                 gone = covered(spans, len(data))
                 digest = hashlib.sha256(cut_spans(data, gone)).hexdigest()
                 pairs = [{"lo": lo, "hi": hi} for lo, hi in gone]

@@ -21,7 +21,7 @@ def test_line_signatures_match_those_of_each_line():
     lo, hi, n, _, _, bands = paragraphs.lines_of(own, line, start, end)
     for i in range(len(lo)):
         found = shingle_set(data[lo[i] : hi[i]].decode(), 5, cache)
-        assert len(found) == n[i] and (paragraphs.SCHEME.keys(found) == bands[i]).all()
+        assert len(found) <= n[i] and (paragraphs.SCHEME.keys(found) == bands[i]).all()
     assert paragraphs.long_runs([(1, 0, 5, 10), (2, 6, 9, 11), (4, 20, 25, 19), (6, 30, 35, 20)]) == [(0, 9), (30, 35)]
 
 

@@ -11,11 +11,15 @@ lies beyond RADIUS = 20 with a probability of about 2 in 10,000. Candidates are
     sum of w * max(count in window, count in item) + w0 * shingles foreign to the item
 
 with w = round(16 ln(1 + items / items with the shingle)), at most 255, and w0 that of one item.
+
+Items of over passages.LONGEST words are compared whole, too. Storing each of their windows would grow
+with the square of their length, so they are retrieved by their heaviest shingles (of more than
+100 - PERCENT % of their weight, one of which any match holds) and their windows are running sums.
 """
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import passages
@@ -52,10 +56,13 @@ def blocks(mark="mark"):
     )
 
 
-def item_tables(benchmark: DataFrame, key="item_id", text="text"):
-    """Stored tables of item shingles, of the vocabulary, and of item fingerprints by block."""
+def item_tables(benchmark: DataFrame, key="item_id", text="text", pieces=True):
+    """Stored tables of item shingles, of the vocabulary, and of item fingerprints by block.
+
+    The vocabulary of items that are too long for stored windows has n = 0.
+    """
     items = benchmark.select(F.col(key).alias("item"), F.col(text).cast("string").alias("text"))
-    rows = materialise(passages.known(items.where(F.col("item").isNotNull())), "items")
+    rows = materialise(passages.known(items.where(F.col("item").isNotNull()), pieces), "items")
     number = rows.select(F.count_distinct("item").alias("items"))
     df = rows.groupBy("h").agg(F.count_distinct("item").alias("df"))
     weights = df.join(F.broadcast(number)).select("h", rarity(F.col("df")).alias("w"))  # one row
@@ -64,20 +71,44 @@ def item_tables(benchmark: DataFrame, key="item_id", text="text"):
     marks = marks.agg(F.sum("weight").alias("total"), fingerprint(w="weight").alias("mark"))
     marks = materialise(marks.join(F.broadcast(number)), "marks")
     least = marks.groupBy("n").agg(F.ceil(F.min("total") * PERCENT / 100).cast("bigint").alias("least"))
-    vocabulary = materialise(rows.select("h", "n", "w").distinct().join(least, "n"), "vocabulary")
-    return rows, marks, vocabulary
+    vocabulary = rows.where(F.col("n") <= passages.LONGEST).select("h", "n", "w").distinct().join(least, "n")
+    long = rows.where(F.col("n") > passages.LONGEST).select("h", F.lit(0).alias("n"), "w", F.lit(0).cast("bigint").alias("least"))
+    return rows, marks, materialise(vocabulary.unionByName(long.distinct()), "vocabulary")
+
+
+def whole_items(found, rows, marks):
+    """(id, item, similarity) of the windows that match an item of over LONGEST words, from its hits."""
+    rows = materialise(rows.where(F.col("n") > passages.LONGEST), "long")
+    if rows.isEmpty():
+        return None
+    order = Window.partitionBy("item", "piece", "n").orderBy(F.desc("w"), "h")
+    above = F.coalesce(F.sum(F.col("w") * F.col("count")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heavy = rows.withColumn("above", above).join(marks.select("item", "piece", "n", "total", "items"), ["item", "piece", "n"])
+    heavy = heavy.where(F.col("above") * 100 <= F.col("total") * (100 - PERCENT)).select("item", "piece", "n", "total", "items", "h")
+    heavy = sent_if_small(materialise(heavy, "heavy"))
+    pairs = found.drop("n").join(heavy, "h").select("id", "body", "item", "piece", "n", "total", "items")
+    pairs = materialise(pairs.distinct(), "pairs")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("id", "body")]
+    both = found.drop("n", "w", "least").alias("l").join(pairs.alias("r"), same).select("l.*", "item", "piece", "n", "total", "items")
+    both = both.join(sent_if_small(rows), ["item", "piece", "n", "h"])
+    sums = passages.sliding(both)
+    whole = F.col("total") + F.col("more") + (F.col("size") - F.col("own")) * rarity(F.lit(1))
+    sums = sums.withColumn("whole", whole).where(F.col("common") * 100 >= F.col("whole") * PERCENT)
+    return sums.select("id", "item", (F.col("common") / F.col("whole")).alias("similarity"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", item="item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", item="item_id", pieces=True) -> DataFrame:
     """(id, item, similarity) of every document that holds a benchmark item, the best window of each.
 
     Null and empty texts, and items with fewer than five words or without an id, match nothing; a
-    repeated item id counts once per different text. Repeated rows give one row. An item of over
-    256 words is compared in pieces of equal length, and one piece makes a leak. Documents without
-    an id can leak too; their id is null.
+    repeated item id counts once per different text. Repeated rows give one row. Documents without
+    an id can leak too; their id is null. With ``pieces`` an item of over 256 words is compared in
+    pieces of equal length, and one piece makes a leak; without, every item is compared whole.
     """
-    rows, marks, vocabulary = item_tables(benchmark, item, "text")
-    found = materialise(passages.hits(docs, sent_if_small(vocabulary), key, text), "hits")
+    rows, marks, vocabulary = item_tables(benchmark, item, "text", pieces)
+    hits = materialise(passages.hits(docs, sent_if_small(vocabulary), key, text), "hits")
+    long = None if pieces else whole_items(hits.where("n = 0"), rows, marks)
+    found = hits.where("n > 0")
     inside = passages.windows(found).groupBy(*WINDOW, "size", "h", "w").agg(F.count("*").alias("seen"))
     inside = materialise(inside, "windows")
     own = inside.withColumn("weight", F.col("w") * F.col("seen")).groupBy(*WINDOW).agg(fingerprint(w="weight").alias("mark"))
@@ -97,4 +128,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", item
     )
     whole = F.col("total") + F.col("more") + (F.col("size") - F.col("own")) * rarity(F.lit(1))
     sums = sums.withColumn("whole", whole).where(F.col("common") * 100 >= F.col("whole") * PERCENT)
-    return sums.groupBy("id", "item").agg(F.max(F.col("common") / F.col("whole")).alias("similarity"))
+    sums = sums.select("id", "item", (F.col("common") / F.col("whole")).alias("similarity"))
+    both = sums if long is None else sums.unionByName(long)
+    return both.groupBy("id", "item").agg(F.max("similarity").alias("similarity"))

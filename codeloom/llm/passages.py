@@ -6,11 +6,11 @@ stands, ``windows`` all stretches of a passage's length that hold enough of them
 left out cannot reach the share asked for, so nothing is lost before the comparison.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-LONGEST = 256  # words of a passage; longer ones are cut into pieces
+LONGEST = 256  # words of a passage; longer ones are cut into pieces, if their caller wants pieces
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -38,12 +38,17 @@ def hashed(df: DataFrame, *keep) -> DataFrame:
     )
 
 
-def known(passages: DataFrame) -> DataFrame:
+def known(passages: DataFrame, pieces=True) -> DataFrame:
     """(item, piece, n, h, count) of passages (item, text): pieces of n words and their shingles.
 
-    Passages with fewer than five words have no shingle and are left out.
+    Passages with fewer than five words have no shingle and are left out. Without ``pieces`` a
+    passage is whole however long it is; a number tells the texts of an item of equal length apart.
     """
     rows = passages.select("item", words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
+    if not pieces:
+        rows = rows.distinct().select("item", F.xxhash64("words").alias("piece"), F.size("words").alias("n"), "words")
+        rows = hashed(rows, "item", "piece", "n").select("item", "piece", "n", F.explode_outer("sh").alias("h"))
+        return rows.groupBy("item", "piece", "n", "h").agg(F.count("*").alias("count"))
     cut = F.greatest(F.ceil(F.size("words") / LONGEST), F.lit(1)).cast("int")
     length = F.ceil(F.size("words") / cut).cast("int")
     rows = rows.select("item", "words", length.alias("step"), F.posexplode(F.sequence(F.lit(0), cut - 1)).alias("piece", "_"))
@@ -88,3 +93,34 @@ def windows(found: DataFrame) -> DataFrame:
     kept = F.filter("known", lambda x: inside(x, F.col("start")))
     size = F.least(F.col("n") - SHINGLE + 1, F.col("m") - F.col("start")).alias("size")
     return rows.select("id", "body", "n", "start", size, F.inline_outer(kept)).drop("pos")
+
+
+def sliding(found: DataFrame) -> DataFrame:
+    """(id, item, total, items, common, more, own, size): sums of the windows that may be the best.
+
+    From (id, body, m, item, piece, n, total, items, pos, h, w, count), the places of an item's shingles in a
+    text. An occurrence of h counts as common in the windows that hold it but not the count-th one
+    before it, and as more in the others that hold it. Both are stretches of window starts, so sums
+    over all windows are running sums over the ends of stretches, linear in the places however long the
+    item is. Between two ends only the size changes; it falls, so the last start there is the best.
+    """
+    key = ["id", "body", "m", "item", "piece", "n", "total", "items"]
+    places = found.groupBy(*key, "h", "w", "count").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    before = lambda i: F.coalesce(F.get("at", (i - F.col("count")).cast("int")), F.lit(-1))
+    stretch = F.transform("at", lambda p, i: F.struct(p.alias("pos"), before(i).alias("before")))
+    rows = places.select(*key, "w", F.explode_outer(stretch).alias("x")).select(*key, "w", "x.pos", "x.before")
+    first = F.greatest(F.col("pos") - F.col("n") + SHINGLE, F.lit(0))
+    shared = F.greatest(first, F.col("before") + 1)
+    end = lambda at, own, common, more: F.struct(
+        at.alias("start"), F.lit(own).alias("own"), (F.col("w") * common).alias("common"), (F.col("w") * more).alias("more")
+    )
+    ends = F.array(end(first, 1, 0, 1), end(shared, 0, 1, -1), end(F.col("pos") + 1, -1, -1, 0))
+    ends = rows.select(*key, F.explode_outer(ends).alias("x")).groupBy(*key, F.col("x.start").alias("start"))
+    ends = ends.agg(*[F.sum(f"x.{c}").alias(c) for c in ("own", "common", "more")])
+    order = Window.partitionBy(*key).orderBy("start")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = ends.select(
+        *key, F.lead("start").over(order).alias("next"), *[F.sum(c).over(upto).alias(c) for c in ("own", "common", "more")]
+    )
+    size = F.least(F.col("n") - SHINGLE + 1, F.col("m") - F.col("next") + 1).alias("size")
+    return sums.where("own > 0").select("id", "item", "total", "items", "common", "more", "own", size)

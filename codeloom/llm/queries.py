@@ -125,7 +125,7 @@ def op7_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), pieces=False)
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 

@@ -36,7 +36,7 @@ def near_copies(spark, docs, sf_dir):
 def benchmark_leaks(spark, docs, sf_dir):
     """Drops documents that hold a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontaminate.leaks(docs, benchmark).select(F.col("id").alias("doc_id")).distinct()
+    leaked = decontaminate.leaks(docs, benchmark, pieces=False).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -9,35 +9,56 @@ from codeloom.llm import bpe, decontaminate, exact, langid, near
 def language(spark, docs, sf_dir):
     """Drops documents whose text is null or has no letter; fills in a language that is not given.
 
-    Languages are learned from ``docs`` itself. Rows without an id cannot be told apart and go.
+    Languages are learned from ``docs`` itself; ``und`` is filled in if none is given at all. Rows
+    without an id go.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
     found = langid.predict(docs, langid.train(docs), keep=docs.columns)
     lang = F.coalesce("lang", "lang_pred_").alias("lang")
-    return found.where(F.col("lang_pred_") != langid.UNKNOWN).select(
-        *[lang if c == "lang" else F.col(c) for c in docs.columns]
-    )
+    letter = (F.col("lang_pred_") != langid.UNKNOWN) | F.col("text").rlike(r"\p{L}")
+    return found.where(letter).select(*[lang if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def row_key(docs):
+    """Column that tells rows of different texts apart and sorts like doc_id.
+
+    doc_id itself, unless it repeats; then a string of doc_id and a hash of the text.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return F.col("doc_id")
+    own = F.col("doc_id").cast("string")
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        number = F.col("doc_id").cast("bigint")  # hexadecimal digits with the sign turned sort like numbers
+        own = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(own, F.lit("\0"), F.sha2(F.col("text").cast("binary"), 256))
 
 
 def exact_copies(spark, docs, sf_dir):
-    """Keeps the row with the smallest doc_id of equal texts; of rows repeated with that id, one."""
+    """Keeps the row with the smallest doc_id of equal texts; of rows repeated with that id and text, one."""
     found = exact.exact_duplicates(docs)
-    keep = found.where("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    keep = found.where("kept").select(F.col("id").alias("doc_id"), F.col("text_sha256").alias("_text")).distinct()
+    digest = F.sha2(exact.normal(F.col("text").cast("string")).cast("binary"), 256)
+    rows = docs.withColumn("_text", digest).join(keep, ["doc_id", "_text"], "left_semi")
+    return rows.dropDuplicates(["_text"]).select(*docs.columns)
 
 
 def near_copies(spark, docs, sf_dir):
-    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8), the smallest doc_id."""
-    found = near.near_duplicates(docs, words=5, percent=80)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8), the smallest doc_id.
+
+    Different texts under one doc_id are documents of their own.
+    """
+    rows = docs.withColumn("_row", row_key(docs))
+    found = near.near_duplicates(rows, key="_row", words=5, percent=80)
+    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_row")).distinct()
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark, docs, sf_dir):
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark; other texts under their doc_id stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontaminate.leaks(docs, benchmark, pieces=False).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_row", row_key(docs))
+    leaked = decontaminate.leaks(rows, benchmark, key="_row", pieces=False).select(F.col("id").alias("_row")).distinct()
+    return rows.join(leaked, "_row", "left_anti").select(*docs.columns)
 
 
 def tokens(spark, docs, sf_dir):

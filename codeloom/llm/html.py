@@ -4,9 +4,10 @@ A page becomes blocks of text. Blocks inside the article (or main) element are i
 what markup declares as something else. All other visible blocks of a host's pages are concatenated,
 page by page, into token streams, and their suffixes are sorted; only their first RUN tokens
 matter, so suffixes that agree on them form a group, and a group with PAGES distinct pages is a
-substring that the host repeats. Tokens that such substrings cover are boilerplate. On a page without
-an article element, the runs of tokens that are left in blocks not declared as boilerplate are the text;
-pages with one only add evidence of what their host repeats.
+substring that the host repeats, if these are a SHARE of the host's pages, too. Pages of the same visible
+text count once. Blocks that such substrings cover from end to end are boilerplate; a block of which
+only a part is repeated stays whole. On a page without an article element, the blocks that are left and
+not declared as boilerplate are the text; pages with one only add evidence of what their host repeats.
 """
 
 import html
@@ -22,7 +23,8 @@ from codeloom.llm.common import STEP, mix, text_batches
 from codeloom.session import materialise
 
 RUN = 5  # tokens of the shortest repeated substring
-PAGES = 3  # distinct pages of the host that make a substring boilerplate
+PAGES = 3  # distinct pages of the host that make a substring boilerplate, at least
+SHARE = 0.1  # of the host's distinct pages that make it so
 
 #: Fixed values of the markup language and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,6 +168,11 @@ def blocks(page):
     return found
 
 
+def signed(text):
+    """64-bit hash of a text as a signed number."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def token_hashes(other):
     return [xxhash.xxh3_64_intdigest(w) for text in other for w in text.split()]
 
@@ -181,10 +188,10 @@ def heads_of(host, tokens):
 
 
 def evidence(pages: DataFrame) -> DataFrame:
-    """(t1, t2, id, url, heads, bare, other, marks) of (t1, t2, id, url, host, html).
+    """(t1, t2, id, url, site, content, heads, bare, other, marks) of (t1, t2, id, url, host, html).
 
-    ``heads`` are those of the text outside the article; the blocks themselves stay for pages
-    without an article only.
+    ``site`` and ``content`` are hashes of the host and of the visible text, ``heads`` those of the text outside
+    the article; the blocks themselves stay for pages without an article only.
     """
     kind = pages.schema["id"].dataType.simpleString()
 
@@ -192,21 +199,23 @@ def evidence(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 own = batch.slice(first, 64)
-                columns = [[], [], [], []]
+                columns = [[] for _ in range(6)]
                 for host, page in zip(own.column(4).to_pylist(), own.column(5).to_pylist()):
                     found = blocks(page)
                     bare = not any(a for _, a, _ in found)
                     rest = [(t, bool(d)) for t, a, d in found if not a or d]
-                    columns[0].append(heads_of(host, token_hashes([t for t, _ in rest])))
-                    columns[1].append(bare)
-                    columns[2].append([t for t, _ in rest] if bare else [])
-                    columns[3].append([d for _, d in rest] if bare else [])
-                kinds = [pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_())]
+                    columns[0].append(signed(host))
+                    columns[1].append(signed("\n".join(t for t, _, _ in found)))
+                    columns[2].append(heads_of(host, token_hashes([t for t, _ in rest])))
+                    columns[3].append(bare)
+                    columns[4].append([t for t, _ in rest] if bare else [])
+                    columns[5].append([d for _, d in rest] if bare else [])
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_())]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-                names = ["t1", "t2", "id", "url", "heads", "bare", "other", "marks"]
+                names = ["t1", "t2", "id", "url", "site", "content", "heads", "bare", "other", "marks"]
                 yield pa.RecordBatch.from_arrays([*own.columns[:4], *arrays], names)
 
-    schema = f"t1 bigint, t2 bigint, id {kind}, url string, heads array<bigint>, bare boolean"
+    schema = f"t1 bigint, t2 bigint, id {kind}, url string, site bigint, content bigint, heads array<bigint>, bare boolean"
     return pages.mapInArrow(run, f"{schema}, other array<string>, marks array<boolean>")
 
 
@@ -232,24 +241,24 @@ def article_texts(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
 
 
-def repeated_heads(known: DataFrame) -> DataFrame:
-    """(head): beginnings of suffixes that PAGES pages of a host share."""
-    heads = known.select(F.hash("t1", "t2").alias("page"), F.explode_outer(F.array_distinct("heads")).alias("head"))
-    shared = heads.where("head is not null").groupBy("head")
-    shared = shared.agg(F.count("*").alias("pages"), F.min("page").alias("lo"), F.max("page").alias("hi"))
-    return shared.where((F.col("pages") >= PAGES) & (F.col("lo") != F.col("hi"))).select("head")
+def often(known, content, values, share) -> DataFrame:
+    """(value): elements of the array ``values`` that PAGES distinct contents of a host, and a share of them, hold."""
+    pages = known.where(F.col(content).isNotNull()).select("site", content, values).dropDuplicates(["site", content])
+    number = pages.groupBy("site").agg(F.count("*").alias("of"))
+    each = pages.select("site", F.explode_outer(F.array_distinct(values)).alias("value")).where("value is not null")
+    found = each.groupBy("site", "value").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
+    return found.join(number, "site").where(F.col("pages") >= F.col("of") * share).select("value").distinct()
 
 
-def unique_runs(other, marks, places):
-    """What is left of the blocks that aren't declared boilerplate without covered tokens."""
+def uncovered(other, marks, places):
+    """The blocks that aren't declared boilerplate and hold a token that no repeated substring covers."""
     kept, at = [], 0
     covered = {p + i for p in places or () for i in range(RUN)}
     for text, mark in zip(other, marks):
-        words = text.split()
-        own = [w for i, w in enumerate(words, at) if i not in covered]
-        at += len(words)
-        if own and not mark:
-            kept.append(" ".join(own))
+        size = len(text.split())
+        if not mark and not covered.issuperset(range(at, at + size)):
+            kept.append(text)
+        at += size
     return "\n\n".join(kept)
 
 
@@ -259,7 +268,7 @@ def main_text(df: DataFrame, key="page_id", url="url", page="html") -> DataFrame
     Null and empty pages have an empty text; a null url is a host of its own. Character references are
     decoded, each run of white space is one space, blocks are joined by two line ends. Unclosed
     elements end where their parent ends, a paragraph also where the next block begins. Repeated rows
-    are all returned; alone they don't make their own text boilerplate. A page is parsed twice, which
+    are all returned; pages of one visible text count as one page of their host. A page is parsed twice, which
     costs less than storing its text.
     """
     text_batches(df.sparkSession)
@@ -269,7 +278,7 @@ def main_text(df: DataFrame, key="page_id", url="url", page="html") -> DataFrame
         F.xxhash64(F.col("id").cast("string"), "url").alias("t1"), F.xxhash64("html").alias("t2"), "id", "url", host.alias("host"), "html"
     )
     known = materialise(evidence(rows), "evidence")
-    shared = materialise(repeated_heads(known), "shared")
+    shared = materialise(often(known, "content", "heads", SHARE), "shared").withColumnRenamed("value", "head")
     bare = known.where("bare")
     heads = bare.select("t1", "t2", F.posexplode_outer("heads").alias("pos", "head"))
     places = heads.join(shared, "head").groupBy("t1", "t2").agg(F.collect_set("pos").alias("places"))
@@ -279,7 +288,7 @@ def main_text(df: DataFrame, key="page_id", url="url", page="html") -> DataFrame
     def run(batches):
         for batch in batches:
             rows = batch.select(["other", "marks", "places"]).to_pylist()
-            texts = [unique_runs(r["other"], r["marks"], r["places"]) for r in rows]
+            texts = [uncovered(r["other"], r["marks"], r["places"]) for r in rows]
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "url", "text", "n_chars"])
 

@@ -1,7 +1,9 @@
 """Main text of web pages, with the help of a suffix array over each host.
 
 A page becomes blocks of text. Blocks inside the article (or main) element are its text, except for
-what markup declares as something else. All other visible blocks of a host's pages are concatenated,
+what markup declares as something else and for template lines: suffixes that begin a block are grouped
+to the block's end, and a group with half of the host's distinct articles (PAGES at least) is a line of
+the template. Equal articles count once, so copies and quoted passages stay. All other visible blocks of a host's pages are concatenated,
 page by page, into token streams, and their suffixes are sorted; only their first RUN tokens
 matter, so suffixes that agree on them form a group, and a group with PAGES distinct pages is a
 substring that the host repeats, if these are a SHARE of the host's pages, too. Pages of the same visible
@@ -25,6 +27,7 @@ from codeloom.session import materialise
 RUN = 5  # tokens of the shortest repeated substring
 PAGES = 3  # distinct pages of the host that make a substring boilerplate, at least
 SHARE = 0.1  # of the host's distinct pages that make it so
+HALF = 0.5  # of the host's distinct articles that make a whole block of them a template line
 
 #: Fixed values of the markup language and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -188,10 +191,11 @@ def heads_of(host, tokens):
 
 
 def evidence(pages: DataFrame) -> DataFrame:
-    """(t1, t2, id, url, site, content, heads, bare, other, marks) of (t1, t2, id, url, host, html).
+    """(t1, t2, id, url, site, content, heads, bare, other, marks, story, keys) of (t1, t2, id, url, host, html).
 
     ``site`` and ``content`` are hashes of the host and of the visible text, ``heads`` those of the text outside
-    the article; the blocks themselves stay for pages without an article only.
+    the article; the blocks themselves stay for pages without an article only. ``story`` is a hash of an
+    article's text, null without one, and ``keys`` those of its blocks, told apart by host.
     """
     kind = pages.schema["id"].dataType.simpleString()
 
@@ -199,7 +203,7 @@ def evidence(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 own = batch.slice(first, 64)
-                columns = [[] for _ in range(6)]
+                columns = [[] for _ in range(8)]
                 for host, page in zip(own.column(4).to_pylist(), own.column(5).to_pylist()):
                     found = blocks(page)
                     bare = not any(a for _, a, _ in found)
@@ -210,32 +214,37 @@ def evidence(pages: DataFrame) -> DataFrame:
                     columns[3].append(bare)
                     columns[4].append([t for t, _ in rest] if bare else [])
                     columns[5].append([d for _, d in rest] if bare else [])
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_())]
+                    own_text = [t for t, a, d in found if a and not d]
+                    columns[6].append(signed("\n".join(own_text)) if own_text else None)
+                    columns[7].append([signed(f"{host}\0{t}") for t in own_text])
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int64()]
+                kinds.append(pa.list_(pa.int64()))
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-                names = ["t1", "t2", "id", "url", "site", "content", "heads", "bare", "other", "marks"]
+                names = ["t1", "t2", "id", "url", "site", "content", "heads", "bare", "other", "marks", "story", "keys"]
                 yield pa.RecordBatch.from_arrays([*own.columns[:4], *arrays], names)
 
     schema = f"t1 bigint, t2 bigint, id {kind}, url string, site bigint, content bigint, heads array<bigint>, bare boolean"
-    return pages.mapInArrow(run, f"{schema}, other array<string>, marks array<boolean>")
+    return pages.mapInArrow(run, f"{schema}, other array<string>, marks array<boolean>, story bigint, keys array<bigint>")
 
 
 def article_texts(pages: DataFrame) -> DataFrame:
-    """(id, url, text, n_chars) of the pages that have an article."""
+    """(id, url, text, n_chars) of the pages (id, url, html, lines) that have an article, without template lines."""
     kind = pages.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 own, rows, texts = batch.slice(first, 64), [], []
-                for i, page in enumerate(own.column(5).to_pylist()):
+                for i, (page, lines) in enumerate(zip(own.column(2).to_pylist(), own.column(3).to_pylist())):
                     found = blocks(page)
                     if any(a for _, a, _ in found):
                         rows.append(i)
-                        texts.append("\n\n".join(t for t, a, d in found if a and not d))
+                        gone = set(lines or ())
+                        texts.append("\n\n".join(t for k, t in enumerate(t for t, a, d in found if a and not d) if k not in gone))
                 kept = own.take(pa.array(rows, pa.int64()))
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column(2), kept.column(3), pa.array(texts, pa.string()), sizes], ["id", "url", "text", "n_chars"]
+                    [kept.column(0), kept.column(1), pa.array(texts, pa.string()), sizes], ["id", "url", "text", "n_chars"]
                 )
 
     return pages.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
@@ -293,4 +302,8 @@ def main_text(df: DataFrame, key="page_id", url="url", page="html") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "url", "text", "n_chars"])
 
     left = joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
-    return article_texts(rows).unionByName(left)
+    lines = materialise(often(known, "story", "keys", HALF), "lines").withColumnRenamed("value", "key")
+    keys = known.select("t1", "t2", F.posexplode_outer("keys").alias("pos", "key"))
+    lines = materialise(keys.join(lines, "key").groupBy("t1", "t2").agg(F.collect_set("pos").alias("lines")), "lines")
+    articles = rows.join(lines, ["t1", "t2"], "left").select("id", "url", "html", "lines")
+    return article_texts(articles).unionByName(left)

@@ -28,3 +28,14 @@ def test_repeated_contents_count_once(spark):
     other = texts(spark, pages[:4])
     assert all("one passage" in t for t in other.values())
     assert not any("one passage" in t for t in texts(spark, pages).values())
+
+
+def test_template_lines_inside_articles_go(spark):
+    draw = random.Random(4)
+    text = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    share, quote, copied = "Send this to a friend", text(30), [text(20), text(30)]
+    bodies = [[text(25), quote] if i < 4 else [text(25)] for i in range(12)]
+    bodies = [[*b, share] for b in bodies] + [copied] * 15
+    pages = [f"<article>{''.join(f'<p>{p}</p>' for p in b)}</article><footer>page {i}</footer>" for i, b in enumerate(bodies)]
+    got = texts(spark, pages)
+    assert got == {i: "\n\n".join(p for p in b if p != share) for i, b in enumerate(bodies)}

@@ -4,7 +4,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, exact, html, langid, licenses, near, paragraphs, repeats, toxicity
+from codeloom.llm import (
+    bpe,
+    decontaminate,
+    exact,
+    html,
+    langid,
+    licenses,
+    merkle,
+    near,
+    paragraphs,
+    repeats,
+    toxicity,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -166,3 +178,73 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.train(docs.where(remainder("doc_id", 4) != 2))
     held_out = F.coalesce(remainder("id", 4) == 2, F.lit(False))
     return langid.predict(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+def crc32_sql(text):
+    """The unsigned CRC-32 of a text's UTF-8 bytes (every byte, then eight shifts), which DuckDB lacks."""
+    return rf"""xor(4294967295, list_reduce(flatten(list_transform(
+        range(CAST(octet_length(encode({text})) AS BIGINT)),
+        lambda i: [CAST('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2] AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295))"""
+
+
+def written_sql(*columns):
+    """Fields as a leaf of a manifest holds them."""
+    return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+@query(
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, sha256({written_sql("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+            CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0
+                THEN sha256({written_sql("doc_id", "source", "lang", "(n_chars + 1)", "text")}) END AS claim,
+            dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+        FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+    nodes AS (
+        SELECT g, CAST(0 AS BIGINT) AS level, pos, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM placed
+        UNION ALL
+        SELECT g, any_value(level) + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos))
+        FROM nodes WHERE n > 1 GROUP BY g, pos // 2),
+    tops AS (
+        SELECT CAST(0 AS BIGINT) AS level, g AS pos, count(*) OVER () AS n, h FROM nodes WHERE n = 1
+        UNION ALL
+        SELECT any_value(level) + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos))
+        FROM tops WHERE n > 1 GROUP BY pos // 2),
+    sub AS (SELECT g, h AS subroot FROM nodes WHERE n = 1),
+    whole AS (SELECT h AS root FROM tops WHERE n = 1),
+    steps AS (
+        SELECT p.g, p.pos, list(CASE WHEN s.h IS NULL THEN '' WHEN (p.pos >> l.level) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END
+            ORDER BY l.level) AS steps
+        FROM placed AS p JOIN (SELECT DISTINCT g, level FROM nodes WHERE n > 1) AS l ON p.g = l.g
+        LEFT JOIN nodes AS s ON s.g = l.g AND s.level = l.level AND s.pos = xor(p.pos >> l.level, 1)
+        GROUP BY p.g, p.pos),
+    upper_steps AS (
+        SELECT b.g, list(CASE WHEN s.h IS NULL THEN '' WHEN (b.g >> l.level) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END
+            ORDER BY l.level) AS steps
+        FROM sub AS b JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) AS l ON true
+        LEFT JOIN tops AS s ON s.level = l.level AND s.pos = xor(b.g >> l.level, 1)
+        GROUP BY b.g),
+    ways AS (
+        SELECT p.doc_id, p.leaf, p.claim, p.g, list_concat(coalesce(s.steps, []), coalesce(u.steps, [])) AS steps
+        FROM placed AS p LEFT JOIN steps AS s ON p.g = s.g AND p.pos = s.pos LEFT JOIN upper_steps AS u ON p.g = u.g),
+    proved AS (
+        SELECT doc_id, leaf, subroot, root,
+            sha256(array_to_string(list_transform(list_filter(steps, lambda s: s <> ''), lambda s: s[2:]), '')) AS proof_sha256,
+            list_reduce(steps, lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END),
+                coalesce(claim, leaf)) AS folded_root
+        FROM ways JOIN sub USING (g) JOIN whole ON true)
+    SELECT *, folded_root = root AS verified FROM proved
+    """
+)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    more = F.col("n_chars").cast("decimal(38,0)") + 1  # the tampered count
+    tampered = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text"))
+    found = merkle.manifest(docs, claim=F.when(remainder("doc_id", 7) == 0, tampered))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        merkle.proof_digest("steps").alias("proof_sha256"),
+        merkle.folded(F.coalesce("claim", "leaf"), "steps").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

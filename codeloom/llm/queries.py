@@ -12,6 +12,7 @@ from codeloom.llm import (
     langid,
     licenses,
     merkle,
+    mixing,
     near,
     paragraphs,
     repeats,
@@ -180,6 +181,12 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def crc32_sql(text):
     """The unsigned CRC-32 of a text's UTF-8 bytes (every byte, then eight shifts), which DuckDB lacks."""
     return rf"""xor(4294967295, list_reduce(flatten(list_transform(

@@ -17,6 +17,7 @@ from codeloom.llm import (
     paragraphs,
     repeats,
     toxicity,
+    variants,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -200,6 +201,11 @@ def written_sql(*columns):
     return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
 
 
+@query()
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 @query(
     f"""
     WITH RECURSIVE leaves AS (

@@ -182,12 +182,6 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
 
 
-@query()
-def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, folder, "documents"))
-    return mixed.docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
-
-
 def crc32_sql(text):
     """The unsigned CRC-32 of a text's UTF-8 bytes (every byte, then eight shifts), which DuckDB lacks."""
     return rf"""xor(4294967295, list_reduce(flatten(list_transform(
@@ -196,12 +190,132 @@ def crc32_sql(text):
         lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295))"""
 
 
+def draw_sql(*names):
+    """``mixing.draw`` of names and numbers."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(names)})), 1, 15) AS BIGINT)"
+
+
+def permuted_sql(name, rows, x, n, *names):
+    """Two tables: ``name`` holds ``rows`` with ``y``, where ``mixing.permuted`` sends x."""
+    d = [draw_sql(*names, str(i), side) for i, side in enumerate(("r0", "l1", "r1", "l2"))]
+    return f"""{name}_walk AS (
+        SELECT *, CAST({x} AS BIGINT) AS y, 0 AS k, CAST({n} AS BIGINT) AS nn, CAST(ceil(sqrt({n})) AS BIGINT) AS a,
+            ({n} + a - 1) // a AS b FROM {rows}
+        UNION ALL
+        SELECT * EXCLUDE (l0, r0, l1, r1, l2, r2) REPLACE (l2 * b + r2 AS y, k + 1 AS k) FROM (
+            SELECT *, y // b AS l0, y % b AS r0, (l0 + {d[0]}) % a AS l1, (r0 + {d[1]}) % b AS r1,
+                (l1 + {d[2]}) % a AS l2, (r1 + {d[3]}) % b AS r2
+            FROM {name}_walk WHERE k = 0 OR y >= nn)),
+    {name} AS (SELECT * EXCLUDE (k, nn, a, b) FROM {name}_walk WHERE k > 0 AND y < nn)"""
+
+
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(
+    rf"""
+    WITH RECURSIVE sized AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size
+        FROM documents),
+    ranked AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank,
+            [5, 2, 1][rank % 3 + 1] AS weight, 2 * words AS room, room / weight AS ratio
+        FROM sized GROUP BY source),
+    levels AS (
+        SELECT *, (CAST(1.5 AS DOUBLE) * sum(words) OVER () - coalesce(sum(room) OVER (ORDER BY ratio, rank {EARLIER}), 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, rank {EARLIER}), 0)) AS level
+        FROM ranked),
+    found AS (SELECT coalesce(first(level ORDER BY ratio, rank), 0) AS found FROM levels WHERE level * weight <= room),
+    goals AS (
+        SELECT source, rank, words, least(found * weight, CAST(room AS DOUBLE)) AS target,
+            CAST(floor(target + 0.5) AS BIGINT) AS goal, (words + 127) // 128 AS blocks,
+            CASE WHEN goal > 0 THEN least((goal + 127) // 128 + 2, 2 * blocks) ELSE 0 END AS quota
+        FROM ranked, found),
+    spans AS (SELECT *, coalesce(CAST(sum(quota) OVER (ORDER BY rank {EARLIER}) AS BIGINT), 0) AS lo FROM goals),
+    total AS (SELECT CAST(sum(quota) AS BIGINT) AS total FROM goals),
+    points AS (
+        SELECT CAST(r.slot AS BIGINT) AS slot, {draw_sql("'draw'", "r.slot")} % total AS point
+        FROM total, range(0, total) AS r(slot)),
+    drawn AS (
+        SELECT slot, rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS nth
+        FROM points JOIN spans ON point >= lo AND point < lo + quota),
+    sums AS (
+        SELECT s.* EXCLUDE (lo), coalesce(d.drawn, 0) AS drawn FROM spans AS s
+        LEFT JOIN (SELECT rank, count(*) AS drawn FROM drawn GROUP BY rank) AS d USING (rank)),
+    dealt AS (
+        SELECT *, coalesce(CAST(sum(greatest(drawn - quota, 0)) OVER (ORDER BY rank {EARLIER}) AS BIGINT), 0) AS spare,
+            coalesce(CAST(sum(greatest(quota - drawn, 0)) OVER (ORDER BY rank {EARLIER}) AS BIGINT), 0) AS lack
+        FROM sums),
+    extra AS (SELECT CAST(sum(greatest(drawn - quota, 0)) AS BIGINT) AS extra FROM sums),
+    over_drawn AS (SELECT slot, d.rank, nth, drawn, quota, spare FROM drawn AS d JOIN dealt AS s ON d.rank = s.rank WHERE drawn > quota),
+    {permuted_sql("picked", "over_drawn", "nth", "drawn", "'keep'", "rank")},
+    moving AS (SELECT slot, spare + y - quota AS nth, extra FROM picked, extra WHERE y >= quota),
+    {permuted_sql("moved", "moving", "nth", "extra", "'spare'")},
+    placed AS (
+        SELECT slot, d.rank, nth AS place FROM drawn AS d JOIN dealt AS s ON d.rank = s.rank WHERE drawn <= quota
+        UNION ALL SELECT slot, rank, y FROM picked WHERE y < quota
+        UNION ALL SELECT slot, rank, drawn + y - lack FROM moved JOIN dealt ON y >= lack AND y < lack + greatest(quota - drawn, 0)),
+    turns AS (
+        SELECT slot, p.rank, place, place // blocks AS turn, place % blocks AS x, blocks, words, goal
+        FROM placed AS p JOIN dealt AS s ON p.rank = s.rank),
+    {permuted_sql("chosen", "turns", "x", "blocks", "'block'", "rank", "turn")},
+    slots AS (
+        SELECT c.rank, c.y AS index, least(c.goal - c.place * 128 + count(e.place) * (128 - c.words % 128), c.words - c.y * 128, 128) AS take
+        FROM chosen AS c LEFT JOIN chosen AS e
+            ON c.rank = e.rank AND e.y = e.blocks - 1 AND e.words % 128 > 0 AND e.place < c.place
+        GROUP BY c.slot, c.rank, c.place, c.y, c.goal, c.words),
+    packed AS (
+        SELECT doc_id, d.source, size, words AS source_size, target, rank,
+            coalesce(sum(size) OVER (PARTITION BY rank ORDER BY doc_id NULLS FIRST, size {EARLIER}), 0) AS start, row_number() OVER () AS row
+        FROM sized AS d JOIN goals AS s ON d.source IS NOT DISTINCT FROM s.source),
+    taken AS (
+        SELECT row, sum(greatest(least(start + size, index * 128 + take) - greatest(start, index * 128), 0)) AS taken
+        FROM packed JOIN slots ON packed.rank = slots.rank AND take > 0 AND start < index * 128 + take AND index * 128 < start + size
+        GROUP BY row)
+    SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM packed LEFT JOIN taken USING (row)
+    """
+)
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def written_sql(*columns):
     """Fields as a leaf of a manifest holds them."""
     return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, run, count(*) AS c FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+        GROUP BY doc_id, run),
+    marks AS (
+        SELECT run, c, {crc32_sql("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM runs WHERE length(run) >= 7),
+    words AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+            CAST(sum(c) AS BIGINT) AS n
+        FROM marks GROUP BY 1 HAVING sum(c) >= 2 AND length(word) >= 7),
+    holes AS (
+        SELECT word, n, substr(word, 1, i) || '?' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    shorter AS (SELECT DISTINCT h.word AS a, h.n AS na, w.word AS b, w.n AS nb FROM holes AS h JOIN words AS w ON h.rest = w.word),
+    near AS (
+        SELECT a.word, b.word AS other, b.n AS m FROM holes AS a JOIN holes AS b ON a.hole = b.hole AND a.word <> b.word
+        UNION ALL SELECT a, b, nb FROM shorter UNION ALL SELECT b, a, na FROM shorter),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+    forms AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+        FROM words LEFT JOIN best USING (word)),
+    chains AS (
+        SELECT word, word AS root, 0 AS step FROM forms
+        UNION ALL SELECT c.word, f.form, step + 1 FROM chains AS c JOIN forms AS f ON c.root = f.word WHERE f.form IS NOT NULL)
+    SELECT word, form, last.root, n, n_near, form_n
+    FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY word) AS last USING (word)
+    """
+)
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
 

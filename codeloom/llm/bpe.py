@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from codeloom.llm.common import text_batches, worker_state
+from codeloom.llm.common import free_name, text_batches, worker_state
 
 PIECE = 1 << 16  # characters encoded at once
 ROWS = 128  # texts of an output batch
@@ -127,7 +127,8 @@ def encode(df: DataFrame, ranks_path, pattern, text="text", ids="ids", offsets=N
     sizes = np.zeros(max(ranks, default=0) + 1, np.int64)
     sizes[list(ranks)] = [len(token) for token in ranks.values()]
     taken = [c for c in df.columns if c.lower() not in {ids.lower(), (offsets or ids).lower()} or c == text]
-    source = df.select(*taken, F.col(text).cast("string").alias("_text"))
+    source_name = free_name(df, "_text")
+    source = df.select(*taken, F.col(text).cast("string").alias(source_name))
     kept = [c for c in taken if c.lower() not in {ids.lower(), (offsets or ids).lower()}]
     schema = source.select(*kept).schema
     for name in [ids, offsets] if offsets else [ids]:
@@ -142,7 +143,7 @@ def encode(df: DataFrame, ranks_path, pattern, text="text", ids="ids", offsets=N
             for first in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(first, ROWS)
                 found, starts = [], []
-                for value in batch.column(batch.schema.get_field_index("_text")).to_pylist():
+                for value in batch.column(batch.schema.get_field_index(source_name)).to_pylist():
                     own = np.frombuffer(b"".join(map(known.__getitem__, pieces(value or ""))), np.int32)
                     found.append(own)
                     if offsets:

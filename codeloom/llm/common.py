@@ -76,6 +76,14 @@ def shares(df: DataFrame, rows: int) -> int:
     return max(1, math.ceil(df.count() / rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name``, with underscores after it if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text) of any table, whatever else it holds."""
     return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))

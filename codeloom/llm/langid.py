@@ -3,7 +3,8 @@
 Features are hashed character n-grams (one to three, with word edges) of the whole text, square
 roots of their counts, at unit length. A softmax regression tells families apart; within a family a
 support vector machine for each pair of languages votes. Training uses at most about PER_LANGUAGE
-documents of each language, drawn by a hash of the id; every prediction reads the whole text.
+documents of each language and SAMPLE in all, drawn by a hash of the id; every language is learned, and
+every prediction reads the whole text.
 """
 
 import itertools
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from codeloom.llm.common import text_batches
+from codeloom.llm.common import free_name, text_batches
 
 DIMENSIONS = 2048
 PER_LANGUAGE = 500  # expected number of training documents of a language
-LANGUAGES = 64  # the most frequent ones are learned
+SAMPLE = 32_000  # expected number of all training documents, at most
 CHUNK = 1 << 20  # characters counted at once
 UNKNOWN = "und"
 #: Families of language codes; a code that is in none is a family by itself.
@@ -121,16 +122,18 @@ def fit(x, languages):
 def train(df: DataFrame, key="doc_id", text="text", lang="lang", per_language=PER_LANGUAGE):
     """Model learned from the rows of ``df`` that have a language and a letter; None without any.
 
-    About ``per_language`` rows of each of the LANGUAGES most frequent languages are drawn by a hash
-    of the id; their feature vectors, at most LANGUAGES * per_language * 8 KB, go to the driver.
+    About ``per_language`` rows of each language, fewer where that would make more than SAMPLE in all,
+    are drawn by a hash of the id; their feature vectors, about SAMPLE * 8 KB at most, go to the driver.
+    A language with few rows gives all of them.
     """
     text_batches(df.sparkSession)
     rows = df.where(F.col(lang).isNotNull()).select(
         F.col(key).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")
     )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # one row per language
     if not sizes:
         return None
+    per_language = min(per_language, max(1, SAMPLE // len(sizes)))
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], per_language / r["count"])])
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.where(draw < share[F.col("lang")])
@@ -169,19 +172,21 @@ def classify(model, rows):
     return best, sure[np.arange(len(rows)), family] * np.where(alone, 1.0, closest)
 
 
-def predict(df: DataFrame, model, key="doc_id", text="text", keep=None) -> DataFrame:
+def predict(df: DataFrame, model, key="doc_id", text="text", keep=None, names=None) -> DataFrame:
     """(id, lang_pred, score) of every row of ``df``, from the whole text.
 
-    With ``keep``, a list of columns, these stay and lang_pred_ and score_ are added instead.
+    With ``keep``, a list of columns, these stay and two columns ``names`` (lang_pred_, score_) are added
+    instead, which must not be among them.
     ``und`` with score 0 for a text that is null or has no letter, and for all when nothing was
     learned. Rows are kept as they are, repeated ones too.
     """
     text_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     own = [F.col(key).alias("id")] if keep is None else [F.col(c) for c in keep]
-    names = ("lang_pred", "score") if keep is None else ("lang_pred_", "score_")
-    rows = df.select(*own, F.col(text).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add(names[0], StringType()).add(names[1], DoubleType())
+    names = names or (("lang_pred", "score") if keep is None else ("lang_pred_", "score_"))
+    last = free_name(df, "_text")
+    rows = df.select(*own, F.col(text).cast("string").alias(last))
+    schema = rows.drop(last).schema.add(names[0], StringType()).add(names[1], DoubleType())
 
     def run(batches):
         for batch in batches:

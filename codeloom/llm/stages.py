@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, decontaminate, exact, langid, near
+from codeloom.llm.common import free_name
 
 
 def language(spark, docs, sf_dir):
@@ -13,9 +14,10 @@ def language(spark, docs, sf_dir):
     without an id go.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
-    found = langid.predict(docs, langid.train(docs), keep=docs.columns)
-    lang = F.coalesce("lang", "lang_pred_").alias("lang")
-    letter = (F.col("lang_pred_") != langid.UNKNOWN) | F.col("text").rlike(r"\p{L}")
+    names = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.predict(docs, langid.train(docs), keep=docs.columns, names=names)
+    lang = F.coalesce("lang", names[0]).alias("lang")
+    letter = (F.col(names[0]) != langid.UNKNOWN) | F.col("text").rlike(r"\p{L}")
     return found.where(letter).select(*[lang if c == "lang" else F.col(c) for c in docs.columns])
 
 
@@ -35,11 +37,11 @@ def row_key(docs):
 
 def exact_copies(spark, docs, sf_dir):
     """Keeps the row with the smallest doc_id of equal texts; of rows repeated with that id and text, one."""
-    found = exact.exact_duplicates(docs)
-    keep = found.where("kept").select(F.col("id").alias("doc_id"), F.col("text_sha256").alias("_text")).distinct()
+    found, own = exact.exact_duplicates(docs), free_name(docs, "_text")
+    keep = found.where("kept").select(F.col("id").alias("doc_id"), F.col("text_sha256").alias(own)).distinct()
     digest = F.sha2(exact.normal(F.col("text").cast("string")).cast("binary"), 256)
-    rows = docs.withColumn("_text", digest).join(keep, ["doc_id", "_text"], "left_semi")
-    return rows.dropDuplicates(["_text"]).select(*docs.columns)
+    rows = docs.withColumn(own, digest).join(keep, ["doc_id", own], "left_semi")
+    return rows.dropDuplicates([own]).select(*docs.columns)
 
 
 def near_copies(spark, docs, sf_dir):
@@ -47,18 +49,20 @@ def near_copies(spark, docs, sf_dir):
 
     Different texts under one doc_id are documents of their own.
     """
-    rows = docs.withColumn("_row", row_key(docs))
-    found = near.near_duplicates(rows, key="_row", words=5, percent=80)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_row")).distinct()
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    own = free_name(docs, "_row")
+    rows = docs.withColumn(own, row_key(docs))
+    found = near.near_duplicates(rows, key=own, words=5, percent=80)
+    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(own)).distinct()
+    return rows.join(keep, own, "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark, docs, sf_dir):
     """Drops documents that hold a passage of the benchmark; other texts under their doc_id stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = docs.withColumn("_row", row_key(docs))
-    leaked = decontaminate.leaks(rows, benchmark, key="_row", pieces=False).select(F.col("id").alias("_row")).distinct()
-    return rows.join(leaked, "_row", "left_anti").select(*docs.columns)
+    own = free_name(docs, "_row")
+    rows = docs.withColumn(own, row_key(docs))
+    leaked = decontaminate.leaks(rows, benchmark, key=own).select(F.col("id").alias(own)).distinct()
+    return rows.join(leaked, own, "left_anti").select(*docs.columns)
 
 
 def tokens(spark, docs, sf_dir):

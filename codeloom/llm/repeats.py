@@ -11,7 +11,6 @@ the positions p with p mod 7 in {0, 1, 3}: for any two suffixes a shift below 7
 sample positions.
 """
 
-import functools
 import hashlib
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import mix, shares, text_batches
+from codeloom.llm.common import mix, shares, text_batches, worker_state
 from codeloom.session import materialise
 
 WIDTH, GRAM = 200, 64
@@ -32,13 +31,15 @@ BASE = 0xD6E8FEB86659FD93
 BYTE_VALUE = np.random.default_rng(4).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-@functools.cache
 def powers():
-    """BASE^i and its inverses, modulo 2^64."""
-    up = np.full(CHUNK + 1, BASE, np.uint64)
-    down = np.full(CHUNK + 1, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """BASE^i and its inverses, modulo 2^64; computed once in a worker."""
+    known = worker_state()
+    if "powers" not in known:
+        up = np.full(CHUNK + 1, BASE, np.uint64)
+        down = np.full(CHUNK + 1, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        known["powers"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return known["powers"]
 
 
 def slide(keys, width):

@@ -193,7 +193,8 @@ def in_blocks(mixed, found, words, percent, scheme) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.join(found, "id")
-    n = shares(mixed, ROWS_PER_SHARD)
+    dealt = mixed.agg(F.sum(blocks)).first()[0] or 0  # a member stands in a group with every block of its bucket
+    n = max(1, math.ceil(dealt / ROWS_PER_SHARD))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n)))
 
     def compare(keys, band, label, own, same):

@@ -139,7 +139,7 @@ def op7_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), pieces=False)
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
@@ -215,7 +215,8 @@ EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 @query(
     rf"""
     WITH RECURSIVE sized AS (
-        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size
         FROM documents),
     ranked AS (
         SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank,

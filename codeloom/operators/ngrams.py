@@ -112,7 +112,7 @@ class Bigrams:
         key = list(key)
         beam = prompts.select(
             *key,
-            F.element_at(words(F.col(prompt)), -1).alias("prev"),
+            F.try_element_at(words(F.col(prompt)), F.lit(-1)).alias("prev"),
             F.array().cast("array<string>").alias("path"),
             F.lit(0.0).alias("logp"),
         ).where(F.col("prev").isNotNull())

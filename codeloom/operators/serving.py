@@ -38,7 +38,7 @@ def suggestions(asked, model, row_id="event_id", n=params.STREAM_SUGGESTIONS):
         row_id,
         "language",
         keywords(F.col("prompt")).alias("keywords"),
-        F.element_at(words(F.col("prompt")), -1).alias("prev"),
+        F.try_element_at(words(F.col("prompt")), F.lit(-1)).alias("prev"),
     )
     light = materialise(light, "prompts")
     likely = model.continuations(after=light.select("prev").distinct())

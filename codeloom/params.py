@@ -110,3 +110,5 @@ RATE_LIMIT, RATE_PERIOD_S = 60, 60
 DEBOUNCE_MS = 300
 CACHE_SIZE = 100
 TOKEN_LIFETIME_S = 3600
+
+SESSION_IDLE_S = 90 * 86400  # a user without any event for so long is signed out

@@ -1,82 +1,31 @@
-"""Streaming twins of the batch operators, on event time with explicit watermarks.
+"""Streaming twins of the batch operators, on event time with explicit watermarks."""
 
-A stateful operator sees one key's rows of one micro-batch at a time; bound the micro-batch
-with ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` at the source.
-"""
-
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from codeloom import params
 from codeloom.operators.telemetry import event_name
 from codeloom.operators.traffic import SECOND
-
-
-def in_order(frames, order=("t", "event_id")):
-    return pd.concat(list(frames), ignore_index=True).sort_values(list(order))
-
-
-def windowed_queue(step, period):
-    """State function over one queue of past times per key; idle keys expire by event time."""
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        queue = deque(state.get[0] if state.exists else [])
-        rows = in_order(frames)
-        values = []
-        for t in rows["t"].tolist():
-            while queue and t - queue[0] >= period:
-                queue.popleft()
-            values.append(step(queue, t))
-        state.update((list(queue),))
-        expiry = (int(rows["t"].iloc[-1]) + period) // 1000 + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "value": values})
-
-    return run
-
-
-def queued(requests, key, step, period, kind, name, delay):
-    """Apply a queue step to a stream with (key, event_id, t, at)."""
-    grouped = requests.withWatermark("at", delay).select(key, "event_id", "t", "at").groupBy(key)
-    decided = grouped.applyInPandasWithState(
-        windowed_queue(step, period),
-        f"event_id bigint, value {kind}",
-        "times array<bigint>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return decided.withColumnRenamed("value", name)
+from codeloom.streaming.state import RateLimit, SessionGate, Throttle, decided
+from codeloom.streaming.tables import KeyedTable
 
 
 def rate_limit(requests, key="user_id", limit=params.RATE_LIMIT,
                period=params.RATE_PERIOD_S * SECOND, delay="1 hour"):
-    """(event_id, allowed); the state holds at most ``limit`` allowed times per key."""
+    """(event_id, allowed) of a stream with (key, event_id, t, at).
 
-    def step(queue, t):
-        if len(queue) < limit:
-            queue.append(t)
-            return True
-        return False
-
-    return queued(requests, key, step, period, "boolean", "allowed", delay)
+    A request is decided in the micro-batch that brings it, in (t, event_id) order; one that comes
+    after later ones were decided counts at the time of the newest of them. State is at most
+    ``limit`` allowed times per key, until the watermark is ``period`` past the key's newest row.
+    """
+    found = decided(requests, key, RateLimit(key, limit, period), "event_id bigint, allowed boolean", delay)
+    return found.select("event_id", "allowed")
 
 
 def throttle(requests, key="user_id", limit=params.THROTTLE_LIMIT,
              window=params.THROTTLE_WINDOW_S * SECOND, delay="1 hour"):
-    """(event_id, delay); the state holds the arrivals inside the window."""
-
-    def step(queue, t):
-        wait = window - (t - queue[0]) if len(queue) >= limit else 0
-        queue.append(t)
-        return wait
-
-    return queued(requests, key, step, window, "bigint", "delay", delay)
+    """(event_id, delay); the state holds the arrivals inside the window. Late rows as in ``rate_limit``."""
+    found = decided(requests, key, Throttle(key, limit, window), "event_id bigint, delay bigint", delay)
+    return found.select("event_id", "delay")
 
 
 def debounce(events, key="user_id", gap=params.DEBOUNCE_MS * 1000, delay="1 hour"):
@@ -87,41 +36,22 @@ def debounce(events, key="user_id", gap=params.DEBOUNCE_MS * 1000, delay="1 hour
     return sessions.select(key, "last.t", "last.event_id")
 
 
-def session_gate(events, key="user_id"):
-    """Requests served while their user is signed in; the state is the user's status.
+def session_gate(events, key="user_id", idle=params.SESSION_IDLE_S * SECOND, delay="1 hour"):
+    """(event_id, key, t) of requests served while their user is signed in.
 
-    ``kind`` is "in", "out" or "request".
+    ``kind`` is "in", "out" or "request". A user without any row for ``idle`` is signed out; the state
+    of idle users goes with the watermark.
     """
-
-    def run(key_values, frames, state):
-        status = state.get[0] if state.exists else "out"
-        served = []
-        rows = in_order(frames)
-        for kind, row_id, t in zip(rows["kind"], rows["event_id"], rows["t"]):
-            if kind != "request":
-                status = kind
-            elif status == "in":
-                served.append((row_id, key_values[0], t))
-        state.update((status,))
-        yield pd.DataFrame(served, columns=["event_id", key, "t"]).astype("int64")
-
-    return events.select(key, "event_id", "t", "kind").groupBy(key).applyInPandasWithState(
-        run, f"event_id bigint, {key} bigint, t bigint", "status string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    found = decided(events, key, SessionGate(key, idle), "event_id bigint, t bigint", delay)
+    return found.select("event_id", key, "t")
 
 
-def profile_changes(updates):
-    """Changed profile entries per batch: native aggregation state, one row per (user, key)."""
-    newest = F.max(F.struct("ts", "event_id", "value")).alias("newest")
-    return updates.groupBy("user_id", "dictionary", "key").agg(newest)
+PROFILE_SCHEMA = "user_id bigint, dictionary string, key string, value string, ts timestamp_ntz, event_id bigint"
 
 
-def current_profile(versions):
-    """The profile entries a log of changed entries amounts to."""
-    return versions.groupBy("user_id", "dictionary", "key").agg(
-        F.max("newest")["value"].alias("value")
-    )
+def profile_table(spark, path, buckets=16, schema=PROFILE_SCHEMA):
+    """The keyed table of profile entries: one row per (user, dictionary, key), the newest update."""
+    return KeyedTable(spark, path, schema, ["user_id", "dictionary", "key"], ["ts", "event_id"], buckets)
 
 
 def telemetry_windows(events, length="6 hours", slide=None, delay="1 hour"):
@@ -134,6 +64,36 @@ def telemetry_windows(events, length="6 hours", slide=None, delay="1 hour"):
     )
 
 
-def suggest_on_change(changes, candidates, key="doc_id"):
-    """Join every change with the precomputed ranked candidates of its document."""
-    return changes.join(candidates, key)
+def suggest_on_change(models, path, key="event_id", n=params.INLINE_SUGGESTIONS):
+    """A ``foreachBatch`` function: the ``n`` best continuations of every changed text.
+
+    ``models`` gives the newest version of the model at every micro-batch. Changes have ``key`` and
+    ``text``, the text before the cursor after the change; (key, rank, completion, version) goes to the
+    epoch's folder below ``path``.
+    """
+
+    def run(batch, epoch):
+        version, model = models.newest()
+        best = model.extend(batch.select(key, "text"), [key], "text", beams=n)
+        best = best.select(key, "rank", "completion", F.lit(version).alias("version"))
+        best.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return run
+
+
+def ingest(path, line="value", schema="event_id bigint, user_id bigint, event_type string"):
+    """A ``foreachBatch`` function: parsed lines go to ``path``/events, lines that do not parse to ``path``/rejects.
+
+    A line that is no JSON object, or has a value of another type, is rejected as a whole, with its
+    text. Both folders of an epoch are overwritten when it is run again.
+    """
+
+    def run(batch, epoch):
+        parsed = F.from_json(line, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+        rows = batch.select(line, parsed.alias("e")).persist()
+        bad = F.col("e").isNull() | F.col("e._bad").isNotNull()
+        rows.where(~bad).select("e.*").drop("_bad").write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
+        rows.where(bad).select(F.col(line).alias("line")).write.mode("overwrite").parquet(f"{path}/rejects/epoch={epoch}")
+        rows.unpersist()
+
+    return run

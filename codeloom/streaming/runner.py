@@ -1,7 +1,6 @@
 """Running a stream over everything available, into tables of the shared folder."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from codeloom.functions.text import micros
 from codeloom.session import run_dir
@@ -27,18 +26,7 @@ def run_append(df, name, timeout=600):
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
-def run_update(df, name, timeout=600):
-    """Run an update-mode stream; changed rows of every batch are kept under their batch number.
-
-    A batch that is run again overwrites its own folder, so the result does not depend on
-    failures. Returns all versions with the column ``epoch``.
-    """
+def run_batches(df, save, name, timeout=600):
+    """Run a stream through a ``foreachBatch`` function of (rows, epoch)."""
     path = run_dir(df.sparkSession, name)
-
-    def save(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
-
-    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{path}/rows/epoch=-1")  # no batch may come
-    finish(df.writeStream.outputMode("update").foreachBatch(save), path, timeout)
-    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("epoch", IntegerType())]))
-    return rows.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    finish(df.writeStream.foreachBatch(save), path, timeout)

@@ -10,7 +10,7 @@ from codeloom.operators.users import merge_updates, session_gate
 from codeloom.plans.users import updates
 from codeloom.sources.tables import read_table, stream_events, stream_json
 from codeloom.streaming import operators as live
-from codeloom.streaming.runner import run_append, run_update, with_event_time
+from codeloom.streaming.runner import run_append, run_batches, with_event_time
 
 HOUR = 3600 * 1000000
 
@@ -60,9 +60,10 @@ def test_debounce(spark, parts, batch):
     assert pairs(out, "event_id") == pairs(want.where(F.col("t") + HOUR <= closed), "event_id")
 
 
-def test_profile(spark, parts, batch):
-    changed = live.profile_changes(updates(stream_events(spark, parts, "*.parquet", files_per_trigger=1)))
-    out = live.current_profile(run_update(changed, "t_profile"))
+def test_profile(spark, parts, batch, tmp_path):
+    table = live.profile_table(spark, str(tmp_path / "profile"))
+    run_batches(updates(stream_events(spark, parts, "*.parquet", files_per_trigger=1)), table.merge, "t_profile")
+    out = table.read()
     columns = ("user_id", "dictionary", "key", "value")
     assert pairs(out, *columns) == pairs(merge_updates(updates(batch)), *columns)
 
@@ -113,10 +114,9 @@ def test_runs_can_be_cleared(spark):
     session.RUNS.extend(kept)
 
 
-def test_update_stream_without_rows(spark, tmp_path):
-    from codeloom.streaming.runner import run_update
-
-    spark.createDataFrame([], "user_id bigint, n int").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("user_id bigint, n int").parquet(str(tmp_path / "in"))
-    found = run_update(stream.groupBy("user_id").count(), "nothing")
-    assert found.count() == 0 and found.columns == ["user_id", "count", "epoch"]
+def test_stream_without_rows(spark, tmp_path):
+    spark.createDataFrame([], live.PROFILE_SCHEMA).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(live.PROFILE_SCHEMA).parquet(str(tmp_path / "in"))
+    table = live.profile_table(spark, str(tmp_path / "profile"))
+    run_batches(stream, table.merge, "nothing")
+    assert table.read().count() == 0 and table.read().columns == table.schema.names

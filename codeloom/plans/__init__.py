@@ -8,6 +8,7 @@ def load():
         analysis,
         corpus,
         ingest,
+        joins,
         retrieval,
         scoring,
         serving,

@@ -3,7 +3,7 @@
 A page becomes blocks of text. Blocks inside the article (or main) element are its text, except for
 what markup declares as something else and for template lines: suffixes that begin a block are grouped
 to the block's end, and a group with half of the host's distinct articles (PAGES at least) is a line of
-the template. Equal articles count once, so copies and quoted passages stay. All other visible blocks of a host's pages are concatenated,
+the template, unless it is a heading. Equal articles count once, so copies and quoted passages stay. All other visible blocks of a host's pages are concatenated,
 page by page, into token streams, and their suffixes are sorted; only their first RUN tokens
 matter, so suffixes that agree on them form a group, and a group with PAGES distinct pages is a
 substring that the host repeats, if these are a SHARE of the host's pages, too. Pages of the same visible
@@ -48,6 +48,12 @@ NAMES = frozenset(
     "pagination pager toolbar footer header masthead comment comments disqus respond reply replies share sharing social related "
     "recommended recommendations widget login search skip".split()
 )
+#: Words that may stand beside such a name in a class ("site-footer", "ad-slot") without giving it another meaning.
+BESIDE = frozenset(
+    "site page global main primary secondary top bottom left right inner outer wrap wrapper container box block area section "
+    "region panel slot unit zone bar strip row column list item items link links button buttons icon icons text title form "
+    "widget widgets post posts article articles stories news topics reading module mobile desktop sticky fixed floating js".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -61,105 +67,143 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+def named(token):
+    """What a class or id says its element is: "header", another name of NAMES, or None.
+
+    A name counts alone or beside words that don't change it: "no-sidebar", "content-with-sidebar" or
+    "related-work" declare nothing. A modifier after two hyphens is left out.
+    """
+    words = [w for w in re.split(r"[^a-z]+", token.partition("--")[0]) if w]
+    own = [w for w in words if w in NAMES]
+    if not own or any(w not in NAMES and w not in BESIDE for w in words):
+        return None
+    return "header" if own[-1] in ("header", "masthead") else own[-1]
+
+
 def declared(tag, rest):
-    """Whether an element's tag, role, name or style says that it isn't article text."""
+    """Whether an element's tag, role, name or style says that it isn't article text; "header" for a header."""
     if tag in DECLARED:
-        return True
+        return "header" if tag == "header" else True
     if not rest or rest.isspace() or "=" not in rest and "hidden" not in rest:
         return False
+    found = False
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), html.unescape("".join(values)).lower()
         if name in ("class", "id"):
             if tag in ("body", "html"):
                 continue
-            if tag in ("article", "main"):
-                if set(value.split()) & NAMES:
-                    return True
-            elif set(re.split(r"[^a-z]+", value)) & NAMES:
+            names = set(value.split()) & NAMES if tag in ("article", "main") else set(map(named, value.split())) - {None}
+            if names - {"header"}:
                 return True
+            found = found or ("header" if names else False)
         elif name == "role" and value.strip() in ROLES:
             return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    return False
+    return found
 
 
-def blocks(page):
-    """(text, in article, declared) of the visible blocks of a page, in order."""
-    found, text, stack = [], [], []  # stack: tag, article, declared, unseen
+class Open:
+    """An open element: its tag, whether it is in an article, declared, unseen, in a heading; ended if only its end tag was met."""
+
+    __slots__ = ("tag", "article", "mark", "unseen", "heading", "ended")
+
+    def __init__(self, tag, article, mark, unseen, heading):
+        self.tag, self.article, self.mark, self.unseen, self.heading, self.ended = tag, article, mark, unseen, heading, False
+
+
+def parsed(page):
+    """(text, in article, declared, heading) of the visible blocks of a page, in order.
+
+    Linear in the page, whatever its tags: the places of open elements are kept by tag, so an end tag
+    without its start costs nothing, and an element closed out of order only when it comes to the top.
+    """
+    found, text, stack, places, open_blocks = [], [], [], {}, []
 
     def flush():
         if text:
             value = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if value:
-                article, mark = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                found.append((value, article, mark))
-
-    def close(count):
+                top = stack[-1] if stack else None
+                found.append((value, bool(top and top.article), top.mark if top else False, bool(top and top.heading)))
+
+    def drop(count):
+        """Takes elements off the stack, down to ``count``, and ended ones below."""
+        while stack and (len(stack) > count or stack[-1].ended):
+            top = stack.pop()
+            if not top.ended:
+                places[top.tag].pop()
+                if top.tag in BLOCKS:
+                    open_blocks.pop()
+
+    def close(at):
         flush()
-        del stack[count:]
+        drop(at)
 
     def start(tag, rest):
         if tag in BLOCKS:
             flush()
-            if stack and stack[-1][0] == "p" or any(x[0] == "p" for x in stack[-4:]):
-                at = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if not any(x[0] in BLOCKS for x in stack[at + 1 :]):
-                    close(at)
-            if tag in CLOSED_BY and stack:
-                for i in range(len(stack) - 1, max(len(stack) - 6, -1), -1):
-                    if stack[i][0] in CLOSED_BY[tag]:
-                        close(i)
+            if open_blocks and stack[open_blocks[-1]].tag == "p":
+                drop(open_blocks[-1])
+            if tag in CLOSED_BY:
+                for at in reversed(open_blocks[-6:]):
+                    if stack[at].tag in CLOSED_BY[tag]:
+                        drop(at)
                         break
-                    if stack[i][0] in BLOCKS and stack[i][0] not in HEADINGS and stack[i][0] != "p":
+                    if stack[at].tag not in HEADINGS and stack[at].tag != "p":
                         break
         if tag in VOID:
             if tag in ("br", "hr", "wbr", "img", "input"):
                 text.append("" if tag == "wbr" else " ")
             return
-        article, mark, unseen = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, False, False)
+        top = stack[-1] if stack else Open("", False, False, False, False)
+        article, mark = top.article, top.mark
         own = declared(tag, rest)
         if tag in HEADINGS and article and mark == "header":
             mark = False
         if own and not mark and tag in BLOCKS:
-            mark = "header" if tag == "header" and article else True
+            mark = "header" if own == "header" and article else True
         if tag in ("article", "main") and not own and not mark or "role" in rest and re.search(r"role\s*=\s*[\"']?main", rest):
             article = True
-        inside = own and tag not in BLOCKS  # goes without ending the block around it
-        stack.append((tag, article, mark, unseen or inside or tag in UNSEEN))
+        inside = bool(own) and tag not in BLOCKS  # goes without ending the block around it
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Open(tag, article, mark, top.unseen or inside or tag in UNSEEN, top.heading or tag in HEADINGS))
 
     at, page = 0, page or ""
     while at < len(page):
         lt = page.find("<", at)
         if lt < 0:
             lt = len(page)
-        if lt > at and not (stack and stack[-1][3]):
+        seen = not (stack and stack[-1].unseen)
+        if lt > at and seen:
             text.append(page[at:lt])
         if lt == len(page):
             break
         token = TOKEN.match(page, lt)
         if not token:
-            if not (stack and stack[-1][3]):
+            if seen:
                 text.append("<")
             at = lt + 1
             continue
         at = token.end()
         tag = (token["tag"] or token["tag2"] or "").lower()
         if not tag:
-            if page.startswith("<![CDATA[", lt) and not (stack and stack[-1][3]):
+            if page.startswith("<![CDATA[", lt) and seen:
                 text.append(html.escape(token[0][9:].removesuffix("]]>"), False))
             continue
         rest = token["rest"] or token["rest2"] or ""
         if token["end"] or token["end2"]:
-            at_tag = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at_tag is not None:
+            if places.get(tag):
                 if tag in BLOCKS:
-                    close(at_tag)
+                    close(places[tag][-1])
                 else:
-                    del stack[at_tag]  # blocks opened inside it go on
+                    stack[places[tag].pop()].ended = True  # blocks opened inside it go on
+                    drop(len(stack))
             elif tag in BLOCKS:
                 flush()
             continue
@@ -171,6 +215,11 @@ def blocks(page):
     return found
 
 
+def blocks(page):
+    """(text, in article, declared) of the visible blocks of a page, in order."""
+    return [block[:3] for block in parsed(page)]
+
+
 def signed(text):
     """64-bit hash of a text as a signed number."""
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
@@ -205,7 +254,8 @@ def evidence(pages: DataFrame) -> DataFrame:
                 own = batch.slice(first, 64)
                 columns = [[] for _ in range(8)]
                 for host, page in zip(own.column(4).to_pylist(), own.column(5).to_pylist()):
-                    found = blocks(page)
+                    whole = parsed(page)
+                    found = [block[:3] for block in whole]
                     bare = not any(a for _, a, _ in found)
                     rest = [(t, bool(d)) for t, a, d in found if not a or d]
                     columns[0].append(signed(host))
@@ -214,9 +264,9 @@ def evidence(pages: DataFrame) -> DataFrame:
                     columns[3].append(bare)
                     columns[4].append([t for t, _ in rest] if bare else [])
                     columns[5].append([d for _, d in rest] if bare else [])
-                    own_text = [t for t, a, d in found if a and not d]
-                    columns[6].append(signed("\n".join(own_text)) if own_text else None)
-                    columns[7].append([signed(f"{host}\0{t}") for t in own_text])
+                    own_text = [(t, h) for t, a, d, h in whole if a and not d]
+                    columns[6].append(signed("\n".join(t for t, _ in own_text)) if own_text else None)
+                    columns[7].append([None if h else signed(f"{host}\0{t}") for t, h in own_text])  # headings stay
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int64()]
                 kinds.append(pa.list_(pa.int64()))
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -276,7 +326,8 @@ def main_text(df: DataFrame, key="page_id", url="url", page="html") -> DataFrame
 
     Null and empty pages have an empty text; a null url is a host of its own. Character references are
     decoded, each run of white space is one space, blocks are joined by two line ends. Unclosed
-    elements end where their parent ends, a paragraph also where the next block begins. Repeated rows
+    elements end where their parent ends, a paragraph also where the next block begins; end tags without
+    a start are passed over, in time linear in the page. Repeated rows
     are all returned; pages of one visible text count as one page of their host. A page is parsed twice, which
     costs less than storing its text.
     """

@@ -20,6 +20,13 @@ def article(page):
         ("<article><ul><li>1<li>2</ul><p>a < b &lt;p&gt; &#233;</p></article>", "1\n\n2\n\na < b <p> é"),
         ("<article><p>open <b>bold", "open bold"),
         ("<div class='ad'><article>inside an advert</article></div>", ""),
+        ('<div class="layout no-sidebar"><article>kept</article></div>', "kept"),
+        ('<article class="post"><div class="content-with-sidebar">kept</div><div class="site-footer box">gone</div></article>', "kept"),
+        ('<article><section class="related-work">kept</section><ul class="related-posts"><li>gone</ul></article>', "kept"),
+        ('<article><div class="post-header"><h1>T</h1>by us</div><p id="ad-slot-3">gone</p><p class="has-ads">kept</article>', "T\n\nkept"),
+        ('<article><p>a<div class="cookie-banner--dark">gone</div><p class="header">b</article>', "a"),
+        ("<article></i><p>a</i> <b><i>b</b> c</i></p></b><p>d</div>e", "a b c\n\nd\n\ne"),
+        ("<article><p><b><i><u><s>a<div>b</div>c</article>", "a\n\nb\n\nc"),
     ],
 )
 def test_article(page, text):
@@ -37,3 +44,20 @@ def test_host_repetition_and_odd_rows(spark):
     assert [g[1] for g in got] == ["q", said("a"), said("a"), said("b"), said("c"), "Home News Sport Weather Contact us", "", ""]
     assert all(g[2] == len(g[1]) for g in got)
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_tag_soup_takes_linear_time():
+    import time
+
+    for soup in ("<b></i>", "<i><b>", "</p></div>", "<p><b>", "<li><b></i>", "<div><i></div>", "<a <", "<table><tr><td><b>"):
+        page = "<article>" + soup * (1_000_000 // len(soup)) + "</i>" * 50_000 + "x</article>"
+        begun = time.process_time()
+        assert article(page).endswith("x")
+        assert time.process_time() - begun < 8
+
+
+def test_headings_of_a_host_stay(spark):
+    pages = [f"<article><h1>Dish {i}</h1><h2>Ingredients</h2><p>{i} eggs</p><h2>Method</h2><p>Stir {i} times</p><p>Print this</p></article>" for i in range(6)]
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    got = {r.id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Dish {i}\n\nIngredients\n\n{i} eggs\n\nMethod\n\nStir {i} times" for i in range(6)}

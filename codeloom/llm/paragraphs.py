@@ -4,10 +4,12 @@ A paragraph is a line of at least LINE words. Paragraphs whose five-word shingle
 linked (8 bands of 3 minima: a pair at similarity 0.8 shares none with a probability of 0.003),
 checked exactly, and joined into components; the first one of a component stays.
 
-A passage pasted into the middle of a line is no paragraph of its own. So lines are also cut where
-their content says so: before a word whose hash, with the next one's, is the smallest among REACH
-words on either side. The same passage is cut alike wherever it stands. Of cuts with equal words
-all but the first are repeated, and runs of repeated neighbours with RUN words or more are removed.
+A passage pasted into the middle of a line is no paragraph of its own. So texts also get anchors: of
+every WINDOW neighbouring runs of GRAM words the one of smallest hash. Texts that share RUN words in a
+row share an anchor among them, always. An anchor points to its first place; anchors that point to the same
+text at the same distance make one stretch, the words of that text around it are fetched, and the stretch is
+compared word by word: every run of RUN equal words or more, to its last equal word, is a repeated
+passage. A passage with some words changed is several such runs.
 """
 
 import hashlib
@@ -22,8 +24,10 @@ from codeloom.llm.near import Bands, near_groups
 from codeloom.llm.repeats import covered, cut_spans, slide
 from codeloom.session import materialise
 
-LINE, RUN, REACH, WORDS = 15, 20, 6, 5
-LINES, CUTS = ["lo", "hi", "size", "f1", "f2", "bands"], ["c", "cut_lo", "cut_hi", "words"]
+LINE, RUN, WORDS = 15, 20, 5
+GRAM, WINDOW = 12, 9  # GRAM + WINDOW - 1 = RUN
+ASKED = 512  # stretches served from one copy of a text
+LINES, ANCHORS = ["lo", "hi", "size", "f1", "f2", "bands"], ["c", "at"]
 SCHEME = Bands(8, 3, 24, 2)
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -61,20 +65,66 @@ def prefix_hash(values):
     return total, down
 
 
-def cuts_of(own, line, start, end):
-    """(hash, lo, hi, words) arrays of the cuts of a text, from its words' hashes, lines and spans."""
-    new = np.ones(len(own), bool)
-    np.not_equal(line[1:], line[:-1], out=new[1:])
-    if len(own) > 2 * REACH + 1:
-        pair = mix(own[:-1] + own[1:] * STEP)
-        low = slide(pair, 2 * REACH + 1)
-        new[REACH : REACH + len(low)] |= pair[REACH : REACH + len(low)] == low
-    first = np.flatnonzero(new)
-    after = np.append(first[1:], len(own))
+def anchors_of(own):
+    """(hash, word number) arrays of the anchors of a text, from its words' hashes."""
+    n = len(own) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     total, down = prefix_hash(own)
-    size = after - first
-    value = mix((total[after] - total[first]) * down[first] + size.astype(np.uint64)).view(np.int64)
-    return value, start[first], end[after - 1], size
+    value = mix((total[GRAM:] - total[:n]) * down[:n])
+    width = min(WINDOW, n)
+    low = ~slide(value, width)  # the largest of the windows' smallest values is a run's own if one chose it
+    pad = np.full(width - 1, np.iinfo(np.uint64).max, np.uint64)
+    chosen = value == ~slide(np.concatenate([pad, low, pad]), width)
+    chosen[1:] &= value[1:] != value[:-1]
+    at = np.flatnonzero(chosen)
+    return value[at].view(np.int64), at.astype(np.int32)
+
+
+def distinct_anchors(own):
+    """The first of each anchor of a text, and the places of the others: (hash, at, repeated at, its first place)."""
+    value, at = anchors_of(own)
+    _, first, back = np.unique(value, return_index=True, return_inverse=True)
+    later = np.setdiff1d(np.arange(len(value)), first, assume_unique=True)
+    first_of = first[back]  # unique gives the first index of each value
+    keep = np.sort(first)
+    return value[keep], at[keep], at[later], at[first_of[later]]
+
+
+def equal_runs(own, other, shift):
+    """Word spans (first, last + 1) of RUN words or more in which own[i] equals other[i - shift], ``other`` as (start, words)."""
+    start, words = other
+    lo, hi = max(0, start + shift), min(len(own), start + shift + len(words))
+    if hi - lo < RUN:
+        return []
+    same = np.zeros(hi - lo + 2, np.int8)
+    same[1:-1] = own[lo:hi] == words[lo - shift - start : hi - shift - start]
+    edge = np.diff(same)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return [(lo + f, lo + e) for f, e in zip(first.tolist(), last.tolist()) if e - f >= RUN]
+
+
+def own_repeats(own):
+    """Word spans of RUN words or more that stand before in the same text."""
+    _, _, later, first = distinct_anchors(own)
+    found, reach, n = [], -1, len(own)
+    for at, before in zip(later.tolist(), first.tolist()):
+        if at + GRAM <= reach:
+            continue
+        lo, hi, shift = at, at + GRAM, at - before
+        while lo > shift and own[lo - 1] == own[lo - 1 - shift]:
+            lo -= 1
+        while hi < n and own[hi] == own[hi - shift]:
+            hi += 1
+        reach = hi
+        if hi - lo >= RUN:
+            found.append((lo, hi))
+    return found
+
+
+def short(hashes):
+    """Word hashes as 32-bit numbers, to send and compare."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def lines_of(own, line, start, end):
@@ -100,17 +150,20 @@ def lines_of(own, line, start, end):
 
 
 def document_parts(rows: DataFrame) -> DataFrame:
-    """(t1, t2, id, n, sha, line columns, cut columns) of (t1, t2, id, text); columns are arrays."""
+    """(t1, t2, id, n, sha, own, line columns, anchor columns) of (t1, t2, id, text); columns are arrays.
+
+    ``own`` tells that a text repeats an anchor of its own.
+    """
     kind = rows.schema["id"].dataType.simpleString()
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    kinds += [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds += [pa.int64(), pa.int32()]
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 own = batch.slice(begin, 128)
-                n, sha, columns = [], [], [[] for _ in kinds]
+                n, sha, again, columns = [], [], [], [[] for _ in kinds]
                 for value in own.column(3).to_pylist():
                     data = (value or "").encode()
                     n.append(len(data))
@@ -118,16 +171,17 @@ def document_parts(rows: DataFrame) -> DataFrame:
                     start, end, line = words_of(data)
                     hashes = np.fromiter(map(cache.__getitem__, data.lower().split()), np.uint64, len(start))
                     lines = lines_of(hashes, line, start, end) if len(start) else None
-                    cuts = cuts_of(hashes, line, start, end) if len(start) else [[]] * 4
-                    for column, found in zip(columns, [*(lines or [[]] * 6), *cuts]):
+                    value, at, later, _ = distinct_anchors(hashes)
+                    again.append(len(later) > 0)
+                    for column, found in zip(columns, [*(lines or [[]] * 6), value, at]):
                         column.append(list(found) if column is columns[5] else found)
                 arrays = [pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds)]
-                names = ["t1", "t2", "id", "n", "sha", *LINES, *CUTS]
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(n, pa.int64()), pa.array(sha), *arrays], names)
+                names = ["t1", "t2", "id", "n", "sha", "own", *LINES, *ANCHORS]
+                known = [pa.array(n, pa.int64()), pa.array(sha), pa.array(again, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], *known, *arrays], names)
 
     lines = "lo array<int>, hi array<int>, size array<bigint>, f1 array<bigint>, f2 array<bigint>, bands array<array<bigint>>"
-    cuts = "c array<bigint>, cut_lo array<int>, cut_hi array<int>, words array<int>"
-    return rows.mapInArrow(run, f"t1 bigint, t2 bigint, id {kind}, n bigint, sha string, {lines}, {cuts}")
+    return rows.mapInArrow(run, f"t1 bigint, t2 bigint, id {kind}, n bigint, sha string, own boolean, {lines}, c array<bigint>, at array<int>")
 
 
 def line_texts(rows: DataFrame) -> DataFrame:
@@ -146,10 +200,10 @@ def line_texts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "wanted").mapInArrow(run, "id bigint, text string")
 
 
-def repeated_lines(rows, parts, cut_texts):
+def repeated_lines(rows, parts, asked_for):
     """(t1, t2, lo, hi) of the lines of a component that aren't its first one, and the texts concerned.
 
-    The texts of candidate lines and those of ``cut_texts`` (t1, t2) are fetched together, once.
+    The texts of candidate lines and those of ``asked_for`` (t1, t2, salt, ranges) are fetched together, once.
     """
     texts = []
 
@@ -163,8 +217,9 @@ def repeated_lines(rows, parts, cut_texts):
     def wanted_texts(names):
         places = flat("hi").select("t1", "t2", "lo", "hi", "name").join(names.withColumnRenamed("id", "name"), "name", "left_semi")
         asked = places.groupBy("t1", "t2").agg(F.collect_set(F.struct("name", "lo", "hi")).alias("wanted"))
-        asked = asked.join(cut_texts, ["t1", "t2"], "full")
-        texts.append(materialise(rows.join(asked, ["t1", "t2"]).select("t1", "t2", "text", "wanted"), "texts"))
+        asked = asked.withColumn("salt", F.lit(0)).join(asked_for, ["t1", "t2", "salt"], "full")
+        fetched = rows.join(asked, ["t1", "t2"]).select("t1", "t2", "salt", "text", "wanted", "ranges")
+        texts.append(materialise(fetched, "texts"))
         return line_texts(texts[0].where("wanted is not null")).distinct()
 
     groups = near_groups(marks, bands, wanted_texts, WORDS, 80, SCHEME)
@@ -183,52 +238,106 @@ def not_first(places, group, *columns):
     return both.where("t1 <> f1 or t2 <> f2 or lo <> at").select(*columns)
 
 
-def repeated_cuts(parts):
-    """(t1, t2, k, lo, hi, words) of the cuts, number k of their text, that also stand somewhere before."""
-    flat = parts.select("t1", "t2", "id", F.posexplode_outer(F.arrays_zip(*CUTS)).alias("k", "x"))
-    flat = flat.where("x is not null").select("t1", "t2", "id", "k", "x.c", F.col("x.cut_lo").alias("lo"), "x.cut_hi", "x.words")
-    many = flat.groupBy("c").agg(F.count("*").alias("times")).where("times > 1").select("c")
-    places = materialise(flat.join(materialise(many, "many"), "c"), "cuts")
-    return not_first(places, "c", "t1", "t2", "k", "lo", "cut_hi", "words")
+def stretches(parts):
+    """(t1, t2, f1, f2, shift, first, last): stretches of a text whose anchors first stand in another text; stored.
+
+    Word i of the text is word i - shift of the text (f1, f2); anchors lie between the words first and last.
+    """
+    flat = parts.select("t1", "t2", "id", F.inline_outer(F.arrays_zip(*ANCHORS))).where("c is not null")
+    place = F.struct(F.col("id").isNull(), "id", "t1", "t2", "at")
+    known = flat.groupBy("c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    known = materialise(known.select("c", F.col("first.t1").alias("f1"), F.col("first.t2").alias("f2"), F.col("first.at").alias("there")), "anchors")
+    found = flat.join(known, "c").where("t1 <> f1 or t2 <> f2").groupBy("t1", "t2", "f1", "f2", (F.col("at") - F.col("there")).alias("shift"))
+    return materialise(found.agg(F.min("at").alias("first"), (F.max("at") + GRAM).alias("last")), "stretches")
+
+
+def ranges_asked(found):
+    """(t1, t2, salt, ranges): the words that stretches need of the texts they point to; many in several portions.
+
+    A run of equal words reaches less than WINDOW words past its outer anchors.
+    """
+    salt = F.pmod(F.xxhash64("t1", "t2", "shift"), F.col("portions")).cast("int").alias("salt")
+    number = found.groupBy("f1", "f2").agg(F.ceil(F.count("*") / ASKED).alias("portions"))
+    lo = F.greatest(F.col("first") - F.col("shift") - WINDOW, F.lit(0)).alias("lo")
+    want = F.struct("t1", "t2", "shift", lo, (F.col("last") - F.col("shift") + WINDOW).alias("hi")).alias("want")
+    asked = found.join(number, ["f1", "f2"]).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), salt, want)
+    return asked.groupBy("g1", "g2", "salt").agg(F.collect_list("want").alias("ranges")).withColumnsRenamed({"g1": "t1", "g2": "t2"})
+
+
+def ranges_of(texts: DataFrame) -> DataFrame:
+    """(t1, t2, shift, lo, words): the words asked for, as 32-bit hashes, for the text (t1, t2) that asked."""
 
+    def run(batches):
+        cache = WordHashes()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 32):
+                out = []
+                for value, ranges in zip(*(c.to_pylist() for c in batch.slice(begin, 32).columns)):
+                    data = value.encode().lower().split()
+                    own = short(np.fromiter(map(cache.__getitem__, data), np.uint64, len(data)))
+                    out.extend((r["t1"], r["t2"], r["shift"], r["lo"], own[r["lo"] : r["hi"]]) for r in ranges)
+                columns = list(zip(*out)) or [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["t1", "t2", "shift", "lo", "words"])
+
+    asked = texts.where("ranges is not null").select("text", "ranges")
+    return asked.mapInArrow(run, "t1 bigint, t2 bigint, shift int, lo int, words array<int>")
 
-def long_runs(cuts):
-    """Byte spans of runs of neighbouring cuts (k, lo, hi, words) with RUN words or more."""
-    runs = []  # first byte, last byte, words, last number
-    for k, lo, hi, words in sorted(cuts):
-        if runs and k == runs[-1][3] + 1:
-            runs[-1][1:] = [hi, runs[-1][2] + words, k]
-        else:
-            runs.append([lo, hi, words, k])
-    return [(lo, hi) for lo, hi, words, _ in runs if words >= RUN]
+
+RANGES = "array<struct<t1: bigint, t2: bigint, shift: int, lo: int, hi: int>>"
+
+
+def repeated_spans(data, row, cache):
+    """Byte spans of the repeated runs of a text: with other texts (b), with itself (own), or all of it (copy)."""
+    if not (row["b"] or row["own"] or row["copy"]):
+        return set()
+    start, end, _ = words_of(data)
+    if row["copy"]:
+        return {(int(start[0]), int(end[-1]))} if len(start) >= RUN else set()
+    words = data.lower().split()
+    own = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    runs, brief = own_repeats(own) if row["own"] else [], short(own)
+    for x in row["b"] or []:
+        runs += equal_runs(brief, (x["lo"], np.array(x["words"], np.int32)), x["shift"])
+    return {(int(start[lo]), int(end[hi - 1])) for lo, hi in runs}
 
 
 def repeated_paragraphs(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``df``.
 
-    Of similar paragraphs and equal cuts the one with the smallest (id, place) stays; rows without an
-    id come last. Null counts as empty. A row that repeats another one with its id is the same
+    Of similar paragraphs and of runs of RUN equal words or more the one with the smallest (id, place)
+    stays; rows without an id come last. Null counts as empty. A row that repeats another one with its id is the same
     document. ``spans`` are the removed bytes (lo, hi) of the text in UTF-8.
     """
     text_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.select(F.xxhash64(F.col("id").cast("string")).alias("t1"), F.xxhash64("text").alias("t2"), "id", "text")
     parts = materialise(document_parts(rows), "parts")
-    cut = F.struct("k", "lo", F.col("cut_hi").alias("hi"), "words")
-    cuts = repeated_cuts(parts).groupBy("t1", "t2").agg(F.collect_set(cut).alias("b"))
-    cuts = materialise(cuts, "cuts")
-    lines, texts = repeated_lines(rows, parts, cuts.select("t1", "t2"))
+    found = stretches(parts)
+    copies = found.where("t2 = f2 and shift = 0").select("t1", "t2", F.lit(True).alias("copy")).distinct()
+    other = found.where("t2 <> f2")
+    asked = ranges_asked(other).unionByName(
+        other.select("t1", "t2").union(copies.select("t1", "t2")).union(parts.where("own").select("t1", "t2"))
+        .select("t1", "t2", F.lit(0).alias("salt"), F.lit(None).cast(RANGES).alias("ranges"))
+    )
+    # one row per text and portion: what is asked of it, or only that its text is wanted
+    asked = asked.groupBy("t1", "t2", "salt").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    asked = asked.withColumn("ranges", F.when(F.size("ranges") > 0, F.col("ranges")))
+    lines, texts = repeated_lines(rows, parts, materialise(asked, "asked"))
     lines = lines.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("a"))
-    found = materialise(lines.join(cuts, ["t1", "t2"], "full"), "found")
-    joined = texts.join(found, ["t1", "t2"]).select("t1", "t2", "text", "a", "b")
+    served = ranges_of(texts).groupBy("t1", "t2").agg(F.collect_list(F.struct("shift", "lo", "words")).alias("b"))
+    whole = copies.join(lines, ["t1", "t2"], "full").join(served, ["t1", "t2"], "full")
+    whole = whole.join(parts.where("own").select("t1", "t2", "own").distinct(), ["t1", "t2"], "full")
+    joined = texts.where("salt = 0").join(whole, ["t1", "t2"]).select("t1", "t2", "text", "a", "b", "copy", "own")
 
     def finish(batches):
+        cache = WordHashes()
         for batch in (b.slice(i, 128) for b in batches for i in range(0, max(b.num_rows, 1), 128)):
             out = []
             for row in batch.to_pylist():
                 data = row["text"].encode()
                 spans = {(s["lo"], s["hi"]) for s in row["a"] or []}
-                spans |= set(long_runs([tuple(c.values()) for c in row["b"] or []]))
+                spans |= repeated_spans(data, row, cache)
                 gone = covered(spans, len(data))
                 digest = hashlib.sha256(cut_spans(data, gone)).hexdigest()
                 pairs = [{"lo": lo, "hi": hi} for lo, hi in gone]

@@ -50,3 +50,36 @@ def test_added_snippets_keep_content_keys(spark):
     once = retrieval.encode_snippets(texts)
     twice = retrieval.add_snippets(once, texts)
     assert twice.count() == 4 and twice.select("snippet_id").distinct().count() == 2
+
+
+def test_pivots_prune_and_lose_nothing(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(40, 8)) * 30
+    rows = centres[draw.integers(0, 40, 6000)] + draw.normal(size=(6000, 8))
+    rows[:1500] = rows[0]  # a quarter of all rows are the same vector
+    asked = np.concatenate([rows[draw.integers(0, 6000, 60)] + 0.01, draw.normal(size=(5, 8)) * 100, rows[:2]])
+    snippets = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(9999, None)], "snippet_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)] + [(77, None)], "query_id long, embedding array<double>")
+    visits = []
+    found = retrieval.nearest(snippets.repartition(3), queries, k=4, pack_rows=150, visits=visits).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.snippet_id)
+    for i, v in enumerate(asked):
+        away = ((rows - v) ** 2).sum(axis=1)
+        assert got[i] == np.lexsort((np.arange(6000), away))[:4].tolist()
+    assert set(got) == set(range(len(asked)))
+    packs, number, sent = visits[0]
+    assert packs >= 40 and number == len(asked) and sent < 0.5 * packs * number
+
+
+def test_fewer_rows_than_asked_for_and_none(spark):
+    snippets = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "snippet_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    for rows in (2, 100):
+        got = retrieval.nearest(snippets, queries, k=9, pack_rows=rows).orderBy("rank").collect()
+        assert [r.snippet_id for r in got] == [1, 0, 2, 3, 4]
+        assert retrieval.nearest(snippets.limit(0), queries, k=2, pack_rows=rows).count() == 0
+        assert retrieval.nearest(snippets, queries.limit(0), k=2, pack_rows=rows).count() == 0

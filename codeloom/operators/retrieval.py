@@ -28,14 +28,25 @@ def with_embedding(texts, text="text", dim=params.EMBEDDING_DIM, out="embedding"
     bucket = lambda word: F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int") % dim
     hashed = F.transform(words(F.col(text)), bucket)
     ordered = F.sort_array(F.concat(hashed, F.sequence(F.lit(0), F.lit(dim))))  # every bucket once more than it occurs
-    last = F.transform("_ordered", lambda x, i: F.when(x != F.coalesce(F.get("_ordered", i + 1), F.lit(-1)), i))
-    ends = F.array_compact(last)
-    before = lambda i: F.when(i > 0, F.get("_ends", i - 1)).otherwise(-1)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.get("_ends", i) - before(i) - 1).cast("double"))
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
-    counted = texts.withColumn("_ordered", ordered).withColumn("_ends", ends).withColumn("_counts", counts).withColumn("_norm", norm)
-    unit = F.when(F.col("_norm") > 0, F.transform("_counts", lambda x: x / F.col("_norm")))
-    return counted.withColumn(out, unit).drop("_ordered", "_ends", "_counts", "_norm")
+
+    def ends_of(numbers):
+        differs = lambda x, i: x != F.coalesce(F.get(numbers, i + 1), F.lit(-1))
+        return F.array_compact(F.transform(numbers, lambda x, i: F.when(differs(x, i), i)))
+
+    def counts_of(ends):
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(-1)
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.get(ends, i) - before(i) - 1).cast("double"))
+
+    def unit_of(counts):
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+        return once(norm, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
+
+    return texts.withColumn(out, once(once(once(ordered, ends_of), counts_of), unit_of))
+
+
+def once(value, use):
+    """``use`` of a column that is worked out once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def embed(texts, key, text="text", dim=params.EMBEDDING_DIM, out="embedding"):

@@ -105,7 +105,9 @@ class Bigrams:
         """The ``beams`` most probable continuations of ``steps`` words per prompt.
 
         Every step joins the last word of each beam with at most ``k`` continuations, held as
-        one array per context, and keeps the best ``beams`` rows per prompt.
+        one array per context, and keeps the best ``beams`` rows per prompt. For more than two steps
+        the arrays of all contexts are stored once, instead of ranking those asked for at every step.
+        A beam that ends in a word without continuation is dropped.
         """
         if steps <= 0 or beams <= 0:
             raise ValueError("steps and beams must be positive")
@@ -116,11 +118,12 @@ class Bigrams:
             F.array().cast("array<string>").alias("path"),
             F.lit(0.0).alias("logp"),
         ).where(F.col("prev").isNotNull())
+        listed = lambda found: found.groupBy("prev").agg(F.collect_list(F.struct("tok", "p")).alias("next"))
+        whole = materialise(listed(self.continuations(k, p)), "continuations") if steps > 2 else None
         for step in range(steps):
             beam = materialise(beam, "beam") if step else beam
-            # Only the words that end a beam are looked up; the rest of the model is not ranked.
-            found = self.continuations(k, p, after=beam.select("prev").distinct())
-            per_context = found.groupBy("prev").agg(F.collect_list(F.struct("tok", "p")).alias("next"))
+            # In few steps only the words that end a beam are looked up; the rest of the model is not ranked.
+            per_context = listed(self.continuations(k, p, after=beam.select("prev").distinct())) if whole is None else whole
             grown = beam.join(per_context, "prev").select(
                 *key, "path", "logp", F.inline("next")
             )

@@ -68,25 +68,31 @@ def suggestions(asked, model, row_id="event_id", n=params.STREAM_SUGGESTIONS):
     )
 
 
-def with_issues(prompts, row_id="event_id"):
-    """Prompts with ``issues``: the messages of the whole-file analysis of the context, in order."""
-    found = analyse(prompts, "prompt", [row_id])
+def with_issues(prompts):
+    """Prompts with ``context``, a hash of the prompt, and ``issues``: the messages of its analysis, in order.
+
+    Equal prompts are analysed once.
+    """
+    keyed = prompts.withColumn("context", F.md5("prompt"))
+    different = keyed.groupBy("context").agg(F.first("prompt").alias("prompt"))
+    found = analyse(different, "prompt", ["context"])
     messages = F.array_join(F.transform("issues", lambda i: i["message"]), "\n")
-    return prompts.join(found.select(row_id, messages.alias("issues")), row_id)
+    return keyed.join(found.select("context", messages.alias("issues")), "context")
 
 
-def inline_completions(prompts, model, profile, cached, user="user_id", row_id="event_id",
-                       n=params.INLINE_SUGGESTIONS):
-    """(row_id, rank, completion, computes): the inline path of a suggestion request.
+CACHE_KEY = ["context", "issues"]
+
+
+def inline_lists(prompts, model, profile, cached, user="user_id", row_id="event_id", n=params.INLINE_SUGGESTIONS):
+    """(row_id, user, context, issues, found, computes): the list that each request of the inline path gets.
 
     The cache key is the user, the context and the context's issues; ``cached`` has these columns
     and ``found``, an array of (rank, completion). A key that it lacks is computed once, at its first
     request (``computes``): twice ``n`` candidates are generated, filtered and ranked, the user's
     accepted and rejected patterns move them, and ``n`` are kept for every request of the key.
     """
-    key = [user, "context", "issues"]
-    asked = with_issues(prompts, row_id).withColumn("context", F.md5("prompt"))
-    asked = materialise(asked.select(row_id, user, "context", "issues", "prompt", "language"), "requests")
+    key = [user, *CACHE_KEY]
+    asked = materialise(with_issues(prompts).select(row_id, *key, "prompt", "language"), "requests")
     empty = F.lit(None).cast(cached.schema["found"].dataType)
     looked = materialise(cache_lookup(asked, cached, key, [row_id], row_id, empty, "found"), "looked")
     wanted = looked.where("computes")
@@ -98,8 +104,20 @@ def inline_completions(prompts, model, profile, cached, user="user_id", row_id="
     )
     lists = moved.groupBy(*key).agg(F.collect_list(F.struct("rank", "completion")).alias("_fresh"))
     served = null_safe_join(looked, lists, key, "left")
-    best = F.coalesce("found", "_fresh")
-    return served.select(row_id, "computes", F.inline(best)).select(row_id, "rank", "completion", "computes")
+    none = F.array().cast(cached.schema["found"].dataType)  # a key without candidates is cached, too
+    return served.select(row_id, *key, F.coalesce("found", "_fresh", none).alias("found"), "computes")
+
+
+def cache_rows(lists, user="user_id"):
+    """What served requests add to the cache: each computed key once."""
+    return lists.where("computes").select(user, *CACHE_KEY, "found")
+
+
+def inline_completions(prompts, model, profile, cached, user="user_id", row_id="event_id",
+                       n=params.INLINE_SUGGESTIONS):
+    """(row_id, rank, completion, computes): the inline path of a suggestion request, one row per completion."""
+    lists = inline_lists(prompts, model, profile, cached, user, row_id, n)
+    return lists.select(row_id, "computes", F.inline("found")).select(row_id, "rank", "completion", "computes")
 
 
 def fixes_and_completions(files, model, key="doc_id", n=params.STREAM_SUGGESTIONS):

@@ -128,6 +128,24 @@ def two_tokens(spark, folder):
     return best.withColumn("logp", F.round("logp", 6))
 
 
+@query(
+    "long_completions",
+    f"""
+    WITH RECURSIVE {BIGRAM_SQL.strip()}, {CONTINUATIONS_SQL.strip()},
+    best AS (SELECT prev, tok, p FROM next QUALIFY row_number() OVER (PARTITION BY prev ORDER BY ln(p) DESC, tok) = 1),
+    grown AS (
+        SELECT item_id, list_extract({words_sql('text')}, -1) AS last, '' AS path, 0::double AS logp, 0 AS step FROM benchmark
+        UNION ALL SELECT item_id, tok, path || ' ' || tok, logp + ln(p), step + 1 FROM grown JOIN best ON last = prev WHERE step < 20)
+    SELECT item_id, 1::int AS rank, trim(path) AS completion, round(logp, 6) AS logp FROM grown WHERE step = 20
+    """,
+)
+def long_completions(spark, folder):
+    """The most probable twenty words after each benchmark item, one word after another."""
+    items = read_table(spark, folder, "benchmark")
+    best = model(spark, folder).extend(items, ["item_id"], "text", steps=20, beams=1)
+    return best.withColumn("logp", F.round("logp", 6))
+
+
 LOGITS_SQL = """
 x AS (SELECT l_suppkey AS request_id, l_linenumber AS pos, l_partkey AS token,
              sum(l_quantity) / 10 AS logit, bool_or(l_returnflag = 'R') AS is_target

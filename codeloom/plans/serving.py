@@ -74,7 +74,10 @@ def serve_completions(spark, folder):
     """,
 )
 def inline_completions(spark, folder):
-    """Signed-in clicks through language, issues, cache, profile, generation, filter and ranking."""
+    """Signed-in clicks through language, issues, cache, profile, generation, filter and ranking.
+
+    The later half of the clicks finds the lists of the earlier half in the cache.
+    """
     docs = documents(spark, folder).withColumn(
         "line", F.floor(F.size(lines(F.col("text"))) / 2).cast("int")
     )
@@ -82,8 +85,14 @@ def inline_completions(spark, folder):
         "event_id", "user_id", F.from_json("props", "k long")["k"].alias("doc_id"), F.col("user_id").cast("int").alias("character")
     )
     prompts = materialise(serving.contexts(clicks, docs), "contexts")
+    learned, profile = model(spark, folder), profile_rows(spark, folder)
+    half = prompts.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
     nothing = spark.createDataFrame([], "user_id bigint, context string, issues string, found array<struct<rank:int,completion:string>>")
-    return serving.inline_completions(prompts, model(spark, folder), profile_rows(spark, folder), nothing)
+    first = materialise(serving.inline_lists(prompts.where(F.col("event_id") <= half), learned, profile, nothing), "lists")
+    cached = serving.cache_rows(first)
+    second = serving.inline_lists(prompts.where(F.col("event_id") > half), learned, profile, cached)
+    lists = first.unionByName(second)
+    return lists.select("event_id", "computes", F.inline("found")).select("event_id", "rank", "completion", "computes")
 
 
 @query(

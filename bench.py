@@ -22,7 +22,8 @@ HEADLINE = (
     "personal_rerank throttle_delay debounce rate_limit cache_split telemetry_sliding ingest_pylint "
     "ingest_bandit serve_completions stream_rate_limit stream_debounce inline_completions append_snippets "
     "two_token_candidates retrieve_snippets stream_suggest_on_change stream_throttle throttle_default "
-    "rate_limit_hourly token_permission_check"
+    "rate_limit_hourly token_permission_check token_ranges relevant_pairs rule_table_fixes user_table_jobs "
+    "stream_session_gate stream_profile stream_ingest long_completions"
 ).split()
 
 

@@ -11,6 +11,7 @@ def load():
         joins,
         retrieval,
         scoring,
+        secrets,
         serving,
         streams,
         text,

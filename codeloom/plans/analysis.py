@@ -8,10 +8,11 @@ from codeloom.functions.language import with_language
 from codeloom.functions.text import is_relevant, surrounding_lines
 from codeloom.operators import analysis as rules
 from codeloom.operators.features import feature_table, of_kind, python_features, register_functions
+from codeloom.plans.ingest import BANDIT_SQL, bandit
 from codeloom.plans.registry import query, text_literal
 from codeloom.plans.sql import CODE, ISSUES, PARSED, PYTHON, PYTHON_PARSED, words_sql
 from codeloom.plans.text import corpus
-from codeloom.sources.corpus import code_corpus
+from codeloom.sources.corpus import TEMPLATES, code_corpus
 from codeloom.sources.tables import documents
 
 
@@ -36,8 +37,8 @@ def joined(column):
     "py_syntax",
     f"""
     WITH {CODE}
-    SELECT doc_id, t NOT IN (9, 10) AS valid,
-           CASE WHEN t IN (9, 10) THEN 'SyntaxError' END AS error_class,
+    SELECT doc_id, t NOT IN (9, 10, 26) AS valid,
+           CASE WHEN t IN (9, 10) THEN 'SyntaxError' WHEN t = 26 THEN 'MemoryError' END AS error_class,
            (CASE t WHEN 9 THEN 1 WHEN 10 THEN 2 END)::int AS error_line,
            (CASE t WHEN 9 THEN 8 + l WHEN 10 THEN 6 + l END)::int AS error_col
     FROM code WHERE t IN {PYTHON}
@@ -52,8 +53,8 @@ def syntax(spark, folder):
 IMPORTS = f"""
     WITH {CODE}, e AS (
       SELECT doc_id, unnest(CASE
-        WHEN t = 1 THEN ['os', 'sys'] WHEN t = 2 THEN ['pickle.loads, dumps'] WHEN t = 3 THEN ['pickle']
-        WHEN t = 5 THEN ['io'] WHEN t IN (6, 7) THEN ['re'] WHEN t IN (8, 11, 22) THEN ['os']
+        WHEN t = 1 THEN ['os', 'sys'] WHEN t = 2 THEN ['pickle.loads, dumps'] WHEN t IN (3, 24) THEN ['pickle']
+        WHEN t = 5 THEN ['io'] WHEN t IN (6, 7) THEN ['re'] WHEN t IN (8, 11, 22, 25) THEN ['os']
         WHEN t = 14 THEN ['functools'] ELSE [] END) AS module FROM code)
     SELECT doc_id, module, 1 AS line FROM e
 """
@@ -134,7 +135,7 @@ def context_of(kind, node):
 @query(
     "node_at_position",
     f"""
-    WITH {CODE}, p AS (SELECT *, ((doc_id // 24) % 2)::int AS line FROM code WHERE t IN {PYTHON_PARSED})
+    WITH {CODE}, p AS (SELECT *, ((doc_id // {len(TEMPLATES)}) % 2)::int AS line FROM code WHERE t IN {PYTHON_PARSED})
     SELECT doc_id, line, node_type, (line + 1)::int AS node_line, col AS node_col,
            array_to_string(list_slice(string_split(text, chr(10)), 1, line + 3), chr(10)) AS surrounding_code,
            imports,
@@ -154,12 +155,14 @@ def context_of(kind, node):
       (12, 0, 'FunctionDef', 0, '', 'h_'), (12, 1, 'For', 4, '', NULL),
       (13, 0, 'ClassDef', 0, '', NULL), (13, 1, 'Expr', 4, '', NULL),
       (14, 0, 'Import', 0, 'functools', NULL), (14, 1, 'Call', 1, 'functools', NULL),
-      (22, 0, 'Import', 0, 'os', NULL), (22, 1, 'If', 0, 'os', NULL)
+      (22, 0, 'Import', 0, 'os', NULL), (22, 1, 'If', 0, 'os', NULL),
+      (24, 0, 'Import', 0, 'pickle', NULL), (24, 1, 'Assign', 0, 'pickle', NULL),
+      (25, 0, 'Import', 0, 'os', NULL), (25, 1, 'Try', 0, 'os', NULL)
     ) n(t, line, node_type, col, imports, fname) USING (t, line)
     """,
 )
 def node_position(spark, folder):
-    line = F.expr("cast(floor(doc_id / 24) % 2 as int)")
+    line = F.expr(f"cast(floor(doc_id / {len(TEMPLATES)}) % 2 as int)")
     facts = python_facts(spark, folder, "text").where("valid").withColumn("at_line", line)
     found = facts.withColumn("node", node_at(F.col("at_line"), F.lit(4))).where("node is not null")
     node = F.col("node")
@@ -296,28 +299,35 @@ def dictionary(spark, folder):
 @query(
     "diagnostics",
     f"""
-    WITH {CODE}, {ISSUES}
-    SELECT doc_id, place::int AS place, (line - 1)::int AS start_line, (col - 1)::int AS start_character,
-           (line - 1)::int AS end_line, col::int AS end_character, 'Warning' AS severity
-    FROM issues
+    WITH {CODE}, {ISSUES}, shown AS (
+      SELECT doc_id, source, place, line, col, message FROM issues
+      UNION ALL SELECT doc_id, 'bandit', NULL, line, col, message FROM ({BANDIT_SQL}))
+    SELECT doc_id, source, place::int AS place, (line - 1)::int AS start_line, (col - 1)::int AS start_character,
+           (line - 1)::int AS end_line, col::int AS end_character, message,
+           CASE WHEN starts_with(message, 'Error') THEN 'Error' ELSE 'Warning' END AS severity
+    FROM shown
     """,
 )
 def diagnostics(spark, folder):
-    long = rules.issue_table(analysed(spark, folder))
-    shown = long.select(
-        "doc_id",
-        "place",
-        rules.diagnostic(F.col("line"), F.col("col"), F.col("message")).alias("d"),
-    )
-    return shown.select("doc_id", "place", "d.*").drop("message")
+    """Issues of the rules and of the security tool's reports as ranges in the editor.
+
+    The text of a syntax error depends on the Python version and is left out.
+    """
+    columns = ["doc_id", "source", "place", "line", "col", "message"]
+    reported = bandit(spark, folder).withColumns({"source": F.lit("bandit"), "place": F.lit(None).cast("int")})
+    long = rules.issue_table(analysed(spark, folder)).select(columns).unionByName(reported.select(columns))
+    d = rules.diagnostic(F.col("line"), F.col("col"), F.col("message"))
+    shown = long.select("doc_id", "source", "place", d.alias("d")).select("doc_id", "source", "place", "d.*")
+    return shown.withColumn("message", F.when(F.col("source") != "syntax", F.col("message")))
 
 
 FIXES_SQL = f"""
 fixes AS (
   SELECT doc_id, 0 AS place, 'Review the line for typos or missing colons' AS fix FROM code WHERE t = 9
   UNION ALL SELECT doc_id, 0, 'Check for unclosed parentheses, brackets, or quotes' FROM code WHERE t = 10
-  UNION ALL SELECT doc_id, 0, 'Specify an exception to catch on line 4, e.g., ''except Exception:''' FROM code WHERE t = 4
-  UNION ALL SELECT doc_id, 0, 'Add a specific exception to catch on line 2' FROM code WHERE t = 5)
+  UNION ALL SELECT doc_id, 0, 'Specify an exception to catch on line 4, e.g., ''except Exception:''' FROM code WHERE t IN (4, 25)
+  UNION ALL SELECT doc_id, 0, 'Add a specific exception to catch on line 2' FROM code WHERE t = 5
+  UNION ALL SELECT doc_id, 1, 'Add a specific exception to catch on line 5' FROM code WHERE t = 25)
 """
 
 
@@ -373,11 +383,13 @@ def fixes_completions(spark, folder):
 
 
 REPORT_SQL = f"""
-    WITH {CODE}, {ISSUES}, s AS (SELECT * FROM issues WHERE category = 'security_issues')
+    WITH {CODE}, {ISSUES}, n AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS number FROM issues WHERE category = 'security_issues'),
+    s AS (
+      SELECT doc_id, count(*) AS total, string_agg(number || '. ' || issue_type || ' (Line ' || line || ', Column ' || col || '):'
+        || chr(10) || '   ' || message || chr(10) || chr(10), '' ORDER BY number) AS entries FROM n GROUP BY doc_id)
     SELECT doc_id, CASE WHEN s.doc_id IS NULL THEN '{params.REPORT_EMPTY}' ELSE
-      'Security Analysis Report:' || chr(10) || chr(10) || '1. ' || issue_type || ' (Line ' || line
-      || ', Column ' || col || '):' || chr(10) || '   ' || message || chr(10) || chr(10)
-      || 'Total issues found: 1' END AS report
+      'Security Analysis Report:' || chr(10) || chr(10) || entries || 'Total issues found: ' || total END AS report
     FROM code LEFT JOIN s USING (doc_id)
 """
 
@@ -393,7 +405,7 @@ SCORE_SQL = f"""
 scored AS (
   SELECT code.doc_id, code.source, code.t,
     CASE WHEN code.t NOT IN {PARSED} THEN 0.0::double
-    ELSE (CASE WHEN code.t IN (6, 7) THEN 2.0 WHEN code.t IN (11, 22) THEN 2.5 WHEN code.t = 23 THEN 3.5 ELSE 3.0 END)::double
+    ELSE (CASE WHEN code.t IN (6, 7, 24) THEN 2.0 WHEN code.t IN (11, 22) THEN 2.5 WHEN code.t = 23 THEN 3.5 ELSE 3.0 END)::double
        + (CASE WHEN length(code.text) < 100 THEN 0.5 ELSE 0.0 END)::double
        + (CASE WHEN list_has_any({words_sql('d.text')}, {words_sql('code.text')}) THEN 1.0 ELSE 0.0 END)::double END AS score
   FROM code JOIN documents d USING (doc_id))

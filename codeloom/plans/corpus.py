@@ -11,8 +11,8 @@ from codeloom.plans.sql import CODE, ISSUES, PYTHON, PYTHON_PARSED
     f"""
     WITH {CODE}, e AS (
       SELECT doc_id, unnest(CASE
-        WHEN t = 1 THEN ['os', 'sys'] WHEN t = 2 THEN ['pickle.loads, dumps'] WHEN t = 3 THEN ['pickle']
-        WHEN t = 5 THEN ['io'] WHEN t IN (6, 7) THEN ['re'] WHEN t IN (8, 11, 22) THEN ['os']
+        WHEN t = 1 THEN ['os', 'sys'] WHEN t = 2 THEN ['pickle.loads, dumps'] WHEN t IN (3, 24) THEN ['pickle']
+        WHEN t = 5 THEN ['io'] WHEN t IN (6, 7) THEN ['re'] WHEN t IN (8, 11, 22, 25) THEN ['os']
         WHEN t = 14 THEN ['functools'] ELSE [] END) AS module FROM code)
     SELECT module, count(DISTINCT doc_id) AS files, count(*) AS statements
     FROM e GROUP BY module ORDER BY files DESC, module LIMIT 20
@@ -26,8 +26,8 @@ def import_usage(spark, folder):
     "syntax_failure_rate",
     f"""
     WITH {CODE}
-    SELECT source, count(*) AS files, count(*) FILTER (t IN (9, 10)) AS failed,
-           avg((t IN (9, 10))::int) AS rate
+    SELECT source, count(*) AS files, count(*) FILTER (t IN (9, 10, 26)) AS failed,
+           avg((t IN (9, 10, 26))::int) AS rate
     FROM code WHERE t IN {PYTHON} GROUP BY source
     """,
 )
@@ -38,8 +38,8 @@ def syntax_failure_rate(spark, folder):
 @query(
     "syntax_error_classes",
     f"""
-    WITH {CODE} SELECT 'SyntaxError' AS error_class, count(*) AS files FROM code
-    WHERE t IN (9, 10) HAVING count(*) > 0
+    WITH {CODE} SELECT CASE t WHEN 26 THEN 'MemoryError' ELSE 'SyntaxError' END AS error_class, count(*) AS files
+    FROM code WHERE t IN (9, 10, 26) GROUP BY 1
     """,
 )
 def syntax_error_classes(spark, folder):
@@ -106,7 +106,7 @@ def score_distribution(spark, folder):
 
 @query(
     "unsafe_files",
-    f"SELECT doc_id, path, report FROM ({REPORT_SQL}) JOIN (WITH {CODE} SELECT doc_id, path, t FROM code) USING (doc_id) WHERE t IN (3, 6, 7)",
+    f"SELECT doc_id, path, report FROM ({REPORT_SQL}) JOIN (WITH {CODE} SELECT doc_id, path, t FROM code) USING (doc_id) WHERE t IN (3, 6, 7, 24)",
 )
 def unsafe_files(spark, folder):
     return jobs.unsafe_files(analysed(spark, folder, "path"))

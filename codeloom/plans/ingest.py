@@ -133,9 +133,7 @@ BANDIT_RAW = """CASE WHEN doc_id % 5 = 0 THEN '{"results": []}'
 BANDIT_STDERR = "CASE WHEN doc_id % 5 = 4 THEN 'cannot run on ' || source ELSE '' END"
 
 
-@query(
-    "ingest_bandit",
-    f"""
+BANDIT_SQL = f"""
     WITH r AS (SELECT doc_id, {BANDIT_RAW} AS raw, {BANDIT_STDERR} AS err FROM documents),
     ok AS (SELECT doc_id, unnest(from_json(raw, '{{"results": [{{"issue_text": "VARCHAR", "line_number": "INTEGER"}}]}}').results) AS x
            FROM r WHERE json_valid(raw))
@@ -144,8 +142,10 @@ BANDIT_STDERR = "CASE WHEN doc_id % 5 = 4 THEN 'cannot run on ' || source ELSE '
     SELECT doc_id, 'security_issues', CASE WHEN err <> '' THEN '{params.BANDIT_ERROR}' ELSE '{params.BANDIT_PARSING_ERROR}' END, 0, 0,
            CASE WHEN err <> '' THEN '{params.BANDIT_ERROR_TEXT}' || err ELSE '{params.BANDIT_PARSING_TEXT}' END
     FROM r WHERE NOT json_valid(raw)
-    """,
-)
+    """
+
+
+@query("ingest_bandit", BANDIT_SQL)
 def bandit(spark, folder):
     reports = read_table(spark, folder, "documents").selectExpr(
         "doc_id", f"{BANDIT_RAW} AS raw", f"{BANDIT_STDERR} AS error"

@@ -17,15 +17,15 @@ code AS (
 """
 
 # Templates a Python reader accepts, and those whose language is detected as Python.
-PARSED = "(0,1,2,3,4,5,6,7,8,11,12,13,14,20,22,23)"
-PYTHON = "(0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,22)"
-PYTHON_PARSED = "(0,1,2,3,4,5,6,7,8,11,12,13,14,22)"
+PARSED = "(0,1,2,3,4,5,6,7,8,11,12,13,14,20,22,23,24,25)"
+PYTHON = "(0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,22,24,25,26)"
+PYTHON_PARSED = "(0,1,2,3,4,5,6,7,8,11,12,13,14,22,24,25)"
 
 
 
-def _security(template, source, kind, line, col, message):
+def _security(template, source, kind, line, col, message, place=0):
     return (
-        f"SELECT doc_id, 0, 'security_issues', {text_literal(source)}, {text_literal(kind)}, "
+        f"SELECT doc_id, {place}, 'security_issues', {text_literal(source)}, {text_literal(kind)}, "
         f"{line}, {col}, {text_literal(message)} FROM code WHERE t = {template}"
     )
 
@@ -50,8 +50,11 @@ ISSUES = (
             "SELECT doc_id, 0, 'errors', 'syntax', 'SyntaxError', "
             "CASE t WHEN 9 THEN 1 ELSE 2 END, CASE t WHEN 9 THEN 8 + l ELSE 6 + l END, "
             "NULL::varchar FROM code WHERE t IN (9, 10)",
+            "SELECT doc_id, 0, 'errors', 'syntax', 'MemoryError', NULL, NULL, NULL FROM code WHERE t = 26",
             _error(4, 0, "except", 4, 4, params.BARE_EXCEPT),
             _error(5, 0, "except", 2, 0, params.EMPTY_EXCEPT),
+            _error(25, 0, "except", 4, 0, params.BARE_EXCEPT),
+            _error(25, 1, "except", 5, 4, params.EMPTY_EXCEPT),
             _error(15, 0, "var", 2, 6, params.UNINITIALISED_VARIABLE % "x"),
             _error(15, 1, "catch", 3, 15, params.CATCH_WITHOUT_PARAMETER),
             _error(16, 0, "try", 2, 13, params.EMPTY_TRY),
@@ -59,6 +62,9 @@ ISSUES = (
             _security(6, "call", params.UNSAFE_CALL_ISSUE, 2, "5 + l", _EVAL),
             _security(7, "call", params.UNSAFE_CALL_ISSUE, 3, 0, _EXEC),
             _security(8, "string", params.LARGE_STRING_ISSUE, 2, 0, params.LARGE_STRING_TEXT),
+            _security(24, "import", params.UNSAFE_IMPORT_ISSUE, 1, 0, _PICKLE),
+            _security(24, "string", params.LARGE_STRING_ISSUE, 2, 0, params.LARGE_STRING_TEXT, 1),
+            _security(24, "call", params.UNSAFE_CALL_ISSUE, 3, "5 + l", _EVAL, 2),
         ]
     )
     + ")"

@@ -6,7 +6,7 @@ A file is a template followed by the whole text of its document, as line comment
 
 from pyspark.sql import functions as F
 
-# Document ``d`` becomes TEMPLATES[d % 24] with {id} replaced by d.
+# Document ``d`` becomes TEMPLATES[d % 27] with {id} replaced by d.
 TEMPLATES = [
     "def f_{id}(x):\n    return x + 1\n",
     "import os, sys\nv_{id} = os.sep\n",
@@ -32,9 +32,12 @@ TEMPLATES = [
     "Plain words number {id} about nothing.\n",
     "import os\nif os.a:\n    pass\nelif os.b:\n    pass\nelif os.c_{id}:\n    pass\n",
     "    # only a comment {id}\n",
+    "import pickle\nb_{id} = '" + "a" * 101 + "'\nc_{id} = eval('2')\n",
+    "import os\ntry:\n    v_{id} = 1\nexcept:\n    try:\n        pass\n    finally:\n        pass\n",
+    "import os\nv_{id} = " + "-" * 7000 + "1\n",
 ]
 # What begins each line of the document's text after the template.
-COMMENTS = ["# "] * 15 + ["// "] * 2 + ["# "] + ["// "] * 2 + ["# ", "", "# ", "    # "]
+COMMENTS = ["# "] * 15 + ["// "] * 2 + ["# "] + ["// "] * 2 + ["# ", "", "# ", "    # "] + ["# "] * 3
 EXTENSIONS = [".py", ".js", ".java", ".rb", ".go", ".rs", ".txt"]
 
 

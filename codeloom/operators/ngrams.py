@@ -158,13 +158,13 @@ def truncate(weights, group, weight, item, k=params.TOP_K, p=params.TOP_P):
     return kept.select(*group, item, (F.col(weight) / F.sum(weight).over(whole)).alias("p"))
 
 
-def log_softmax(logits, group, logit, spread, out="logp"):
+def log_softmax(logits, group, logit, out="logp"):
     """Log-softmax within each group, without a group window.
 
     The logits are stored once. Peak and scaled sum are one aggregate each, combined per task before
     the shuffle: sums are taken per step of LOGIT_STEP, within which exp cannot overflow, and the
-    few steps of a group are scaled to its highest one afterwards. ``spread`` is kept for callers;
-    adaptive execution splits a hot group's part of the join.
+    few steps of a group are scaled to its highest one afterwards. For a hot group,
+    adaptive execution splits its part of the join.
     """
     group = list(group)
     logits = materialise(logits, "logits")

@@ -169,7 +169,7 @@ def token_logps(spark, folder):
             F.bool_or(F.col("l_returnflag") == "R").alias("is_target"),
         )
     )
-    return log_softmax(logits, ["request_id", "pos"], "logit", ["token"])
+    return log_softmax(logits, ["request_id", "pos"], "logit")
 
 
 @query(

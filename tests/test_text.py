@@ -98,7 +98,7 @@ def test_truncation(spark):
 
 def test_log_softmax(spark):
     rows = spark.createDataFrame([(1, "a", 800.0), (1, "b", 801.0), (2, "a", -5.0)], "g int, tok string, x double")
-    out = {(r["g"], r["tok"]): r["logp"] for r in log_softmax(rows, ["g"], "x", ["tok"]).collect()}
+    out = {(r["g"], r["tok"]): r["logp"] for r in log_softmax(rows, ["g"], "x").collect()}
     assert math.isclose(out[1, "a"], -1 - math.log(1 + math.exp(-1)), rel_tol=1e-9)
     assert out[2, "a"] == 0.0
 

@@ -149,36 +149,97 @@ def lines_of(own, line, start, end):
     return start[first], end[after - 1], count, *prints, SCHEME.keys_of_groups(mark, at)
 
 
+def chosen_anchors(own, base):
+    """(hash, word number, text) of the anchors of many texts at once; text t has the words base[t] to base[t + 1].
+
+    The same as ``anchors_of`` each: no window of runs reaches from one text into another, since GRAM - 1 runs
+    between them belong to neither and a window holds fewer.
+    """
+    n, size = len(own) - GRAM + 1, np.diff(base)
+    text = np.repeat(np.arange(len(size)), size)
+    chosen = np.zeros(max(n, 0), bool)
+    if n >= WINDOW:
+        total, down = prefix_hash(own)
+        within = text[GRAM - 1 :] == text[:n]
+        value = np.where(within, mix((total[GRAM:] - total[:n]) * down[:n]), np.iinfo(np.uint64).max)
+        low = ~slide(value, WINDOW)
+        low[~(within[: n - WINDOW + 1] & within[WINDOW - 1 :])] = np.iinfo(np.uint64).max
+        pad = np.full(WINDOW - 1, np.iinfo(np.uint64).max, np.uint64)
+        chosen = within & (value == ~slide(np.concatenate([pad, low, pad]), WINDOW))
+        chosen[1:] &= value[1:] != value[:-1]
+    values, places = [value[chosen].view(np.int64)] if n >= WINDOW else [], [np.flatnonzero(chosen)]
+    for t in np.flatnonzero((size >= GRAM) & (size < GRAM + WINDOW - 1)).tolist():  # fewer runs than a window
+        brief, at = anchors_of(own[base[t] : base[t + 1]])
+        values.append(brief)
+        places.append(at + base[t])
+    value, place = np.concatenate(values or [np.zeros(0, np.int64)]), np.concatenate(places)
+    if len(places) > 1:
+        order = np.argsort(place)
+        value, place = value[order], place[order]
+    text = text[place]
+    return value, place - base[text], text
+
+
+def parts_of(texts, cache):
+    """Parts of many texts, worked out together: (sha, own, line counts, line columns, anchor counts, anchor columns)."""
+    begin = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    joined = b"\n".join(texts)  # the end of a text ends its last line and word
+    start, end, line = words_of(joined)
+    own = np.fromiter(map(cache.__getitem__, joined.lower().split()), np.uint64, len(start))
+    base = np.searchsorted(start, begin)
+    lines = lines_of(own, line, start, end) if len(own) else None
+    if lines is None:
+        lines = (*[np.zeros(0, np.int64)] * 5, np.zeros((0, SCHEME.bands), np.int64))
+    of = np.searchsorted(begin, lines[0], "right") - 1
+    lo, hi = lines[0] - begin[of], lines[1] - begin[of]
+    value, at, text = chosen_anchors(own, base)
+    order = np.lexsort((value, text))  # stable: the first of equal anchors is the first in its text
+    repeat = (value[order][1:] == value[order][:-1]) & (text[order][1:] == text[order][:-1])
+    keep = np.ones(len(value), bool)
+    keep[order[1:][repeat]] = False
+    again = np.bincount(text[~keep], minlength=len(texts)) > 0
+    sha = [hashlib.sha256(x).hexdigest() for x in texts]
+    count = np.bincount(text[keep], minlength=len(texts))
+    return sha, again, np.bincount(of, minlength=len(texts)), (lo, hi, *lines[2:]), count, (value[keep], at[keep])
+
+
+def listed(counts, values):
+    """An Arrow array of lists of ``counts`` values each."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values)
+
+
+def portions(batch, column, rows=128, size=1 << 19):
+    """(slice of the batch, its texts in UTF-8): up to ``rows`` rows or about ``size`` bytes at a time."""
+    begin, data, held = 0, [], 0
+    for value in batch.column(column):
+        data.append((value.as_py() or "").encode())
+        held += len(data[-1])
+        if len(data) == rows or held >= size:
+            yield batch.slice(begin, len(data)), data
+            begin, data, held = begin + len(data), [], 0
+    if data:
+        yield batch.slice(begin), data
+
+
 def document_parts(rows: DataFrame) -> DataFrame:
     """(t1, t2, id, n, sha, own, line columns, anchor columns) of (t1, t2, id, text); columns are arrays.
 
     ``own`` tells that a text repeats an anchor of its own.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    kinds += [pa.int64(), pa.int32()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["t1", "t2", "id", "n", "sha", "own", *LINES, *ANCHORS]
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 128):
-                own = batch.slice(begin, 128)
-                n, sha, again, columns = [], [], [], [[] for _ in kinds]
-                for value in own.column(3).to_pylist():
-                    data = (value or "").encode()
-                    n.append(len(data))
-                    sha.append(hashlib.sha256(data).hexdigest())
-                    start, end, line = words_of(data)
-                    hashes = np.fromiter(map(cache.__getitem__, data.lower().split()), np.uint64, len(start))
-                    lines = lines_of(hashes, line, start, end) if len(start) else None
-                    value, at, later, _ = distinct_anchors(hashes)
-                    again.append(len(later) > 0)
-                    for column, found in zip(columns, [*(lines or [[]] * 6), value, at]):
-                        column.append(list(found) if column is columns[5] else found)
-                arrays = [pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds)]
-                names = ["t1", "t2", "id", "n", "sha", "own", *LINES, *ANCHORS]
-                known = [pa.array(n, pa.int64()), pa.array(sha), pa.array(again, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], *known, *arrays], names)
+            for part, texts in portions(batch, 3):
+                sha, again, n_lines, lines, n_anchors, (value, at) = parts_of(texts, cache)
+                known = [pa.array([len(x) for x in texts], pa.int64()), pa.array(sha), pa.array(again, pa.bool_())]
+                arrays = [listed(n_lines, pa.array(c, k)) for c, k in zip(lines, kinds)]
+                bands = listed([SCHEME.bands] * len(lines[5]), pa.array(lines[5].ravel(), pa.int64()))
+                arrays += [listed(n_lines, bands), listed(n_anchors, pa.array(value, pa.int64())), listed(n_anchors, pa.array(at, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *known, *arrays], names)
 
     lines = "lo array<int>, hi array<int>, size array<bigint>, f1 array<bigint>, f2 array<bigint>, bands array<array<bigint>>"
     return rows.mapInArrow(run, f"t1 bigint, t2 bigint, id {kind}, n bigint, sha string, own boolean, {lines}, c array<bigint>, at array<int>")

@@ -132,3 +132,24 @@ def test_exact_runs_against_brute_force(spark, monkeypatch):
         assert own <= expected[r.id]
         wrong += len(expected[r.id] - own)
     assert wrong <= 0.01 * sum(map(len, expected.values())) and sum(map(len, expected.values())) > 250_000
+
+
+def test_texts_worked_out_together_equal_each_alone():
+    draw, cache = random.Random(5), WordHashes()
+    sizes = [0, 1, 11, 12, 13, 19, 20, 21, 0, 40, 5000, 14, 0] * 4
+    texts = [" ".join(words(draw, n)).encode() for n in sizes]
+    texts += [b" \n ", b"x " * 60, b"y", texts[9] + b"\n" + texts[9], texts[9]] + [b"a b"] * 9
+    draw.shuffle(texts)
+    for group in (texts, texts[:3], texts[:1], [b""], [b"one two"]):
+        sha, again, n_lines, lines, n_anchors, anchors = paragraphs.parts_of(group, cache)
+        for i, data in enumerate(group):
+            start, end, line = paragraphs.words_of(data)
+            own = np.fromiter(map(cache.__getitem__, data.lower().split()), np.uint64, len(start))
+            value, at, later, _ = paragraphs.distinct_anchors(own)
+            part = slice(sum(n_anchors[:i]), sum(n_anchors[: i + 1]))
+            assert (anchors[0][part] == value).all() and (anchors[1][part] == at).all() and len(value) == n_anchors[i]
+            assert again[i] == (len(later) > 0) and sha[i] == hashlib.sha256(data).hexdigest()
+            alone = paragraphs.lines_of(own, line, start, end) if len(own) else None
+            assert n_lines[i] == (len(alone[0]) if alone else 0)
+            part = slice(sum(n_lines[:i]), sum(n_lines[: i + 1]))
+            assert alone is None or all(np.array_equal(a, b[part]) for a, b in zip(alone, lines))

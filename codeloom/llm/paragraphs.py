@@ -9,7 +9,8 @@ every WINDOW neighbouring runs of GRAM words the one of smallest hash. Texts tha
 row share an anchor among them, always. An anchor points to its first place; anchors that point to the same
 text at the same distance make one stretch, the words of that text around it are fetched, and the stretch is
 compared word by word: every run of RUN equal words or more, to its last equal word, is a repeated
-passage. A passage with some words changed is several such runs.
+passage. It goes on past single words that differ, at most EDGE words past the outer anchors, while at least
+four of five words of what is added are equal, so a passage with some words changed is one.
 """
 
 import hashlib
@@ -26,6 +27,8 @@ from codeloom.session import materialise
 
 LINE, RUN, WORDS = 15, 20, 5
 GRAM, WINDOW = 12, 9  # GRAM + WINDOW - 1 = RUN
+EDGE = 2 * RUN  # words past its outer anchors in which a stretch may still grow
+COST, DROP = 4, 12  # a word that differs outweighs four equal ones: spans at four fifths or more
 ASKED = 512  # stretches served from one copy of a text
 LINES, ANCHORS = ["lo", "hi", "size", "f1", "f2", "bands"], ["c", "at"]
 SCHEME = Bands(8, 3, 24, 2)
@@ -91,8 +94,26 @@ def distinct_anchors(own):
     return value[keep], at[keep], at[later], at[first_of[later]]
 
 
-def equal_runs(own, other, shift):
-    """Word spans (first, last + 1) of RUN words or more in which own[i] equals other[i - shift], ``other`` as (start, words)."""
+def grown(first, last, i, step):
+    """The furthest equal run, going ``step`` from run i, that ends a stretch in which few enough words differ."""
+    j, reach, score, best = i, i, 0, 0
+    while 0 <= j + step < len(first):
+        score -= COST * (first[j + 1] - last[j] if step > 0 else first[j] - last[j - 1])
+        if best - score > DROP:
+            break
+        j += step
+        score += last[j] - first[j]
+        if score > best:
+            reach, best = j, score
+    return reach
+
+
+def similar_runs(own, other, shift):
+    """Word spans (first, last + 1) in which own[i] equals other[i - shift] mostly, ``other`` as (start, words).
+
+    Each holds RUN equal words in a row; from there it grows over words that differ as long as it gains more
+    than COST equal words for each, and never over more than DROP / COST of them without such a gain.
+    """
     start, words = other
     lo, hi = max(0, start + shift), min(len(own), start + shift + len(words))
     if hi - lo < RUN:
@@ -100,8 +121,14 @@ def equal_runs(own, other, shift):
     same = np.zeros(hi - lo + 2, np.int8)
     same[1:-1] = own[lo:hi] == words[lo - shift - start : hi - shift - start]
     edge = np.diff(same)
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return [(lo + f, lo + e) for f, e in zip(first.tolist(), last.tolist()) if e - f >= RUN]
+    first, last = (np.flatnonzero(edge == 1) + lo).tolist(), (np.flatnonzero(edge == -1) + lo).tolist()
+    found, i = [], 0
+    while i < len(first):
+        if last[i] - first[i] >= RUN:
+            begin, i = grown(first, last, i, -1), grown(first, last, i, 1)
+            found.append((first[begin], last[i]))
+        i += 1
+    return found
 
 
 def own_repeats(own):
@@ -315,12 +342,12 @@ def stretches(parts):
 def ranges_asked(found):
     """(t1, t2, salt, ranges): the words that stretches need of the texts they point to; many in several portions.
 
-    A run of equal words reaches less than WINDOW words past its outer anchors.
+    A run of equal words reaches less than WINDOW words past its outer anchors, a stretch EDGE words.
     """
     salt = F.pmod(F.xxhash64("t1", "t2", "shift"), F.col("portions")).cast("int").alias("salt")
     number = found.groupBy("f1", "f2").agg(F.ceil(F.count("*") / ASKED).alias("portions"))
-    lo = F.greatest(F.col("first") - F.col("shift") - WINDOW, F.lit(0)).alias("lo")
-    want = F.struct("t1", "t2", "shift", lo, (F.col("last") - F.col("shift") + WINDOW).alias("hi")).alias("want")
+    lo = F.greatest(F.col("first") - F.col("shift") - EDGE, F.lit(0)).alias("lo")
+    want = F.struct("t1", "t2", "shift", lo, (F.col("last") - F.col("shift") + EDGE).alias("hi")).alias("want")
     asked = found.join(number, ["f1", "f2"]).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), salt, want)
     return asked.groupBy("g1", "g2", "salt").agg(F.collect_list("want").alias("ranges")).withColumnsRenamed({"g1": "t1", "g2": "t2"})
 
@@ -359,14 +386,14 @@ def repeated_spans(data, row, cache):
     own = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     runs, brief = own_repeats(own) if row["own"] else [], short(own)
     for x in row["b"] or []:
-        runs += equal_runs(brief, (x["lo"], np.array(x["words"], np.int32)), x["shift"])
+        runs += similar_runs(brief, (x["lo"], np.array(x["words"], np.int32)), x["shift"])
     return {(int(start[lo]), int(end[hi - 1])) for lo, hi in runs}
 
 
 def repeated_paragraphs(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``df``.
 
-    Of similar paragraphs and of runs of RUN equal words or more the one with the smallest (id, place)
+    Of similar paragraphs and of passages with RUN equal words or more in a row the one with the smallest (id, place)
     stays; rows without an id come last. Null counts as empty. A row that repeats another one with its id is the same
     document. ``spans`` are the removed bytes (lo, hi) of the text in UTF-8.
     """

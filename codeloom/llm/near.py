@@ -258,10 +258,11 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", words=5, percent=8
     return near_groups(marks.drop("bands"), bands, lambda ids: items.join(ids, "id", "left_semi"), words, percent, scheme)
 
 
-def near_groups(marks, bands, texts_of, words, percent, scheme) -> DataFrame:
+def near_groups(marks, bands, texts_of, words, percent, scheme, sign=None) -> DataFrame:
     """(id, n_shingles, component_id) from stored marks (id, n, f1, f2) and band keys (id, bands).
 
-    ``texts_of`` gives (id, text) for a table of ids; it is asked for candidates only.
+    ``texts_of`` gives (id, text) for a table of ids; it is asked for candidates only. ``sign`` turns that into
+    (id, bands, text), with the same band keys; without it they are those of ``signatures``.
     """
     sets = marks.where("n > 0 and id is not null")
     first = materialise(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "sets")
@@ -270,8 +271,8 @@ def near_groups(marks, bands, texts_of, words, percent, scheme) -> DataFrame:
     shared = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     members = materialise(members.join(shared.where("leader <> last"), "key").select("key", "id", "leader"), "members")
     wanted = members.select("id").distinct()
-    found = signatures(texts_of(wanted), words, scheme, keep_text=True)
-    found = materialise(found.where("n > 0").select("id", "bands", "text"), "candidates")
+    sign = sign or (lambda items: signatures(items, words, scheme, keep_text=True).where("n > 0"))
+    found = materialise(sign(texts_of(wanted)).select("id", "bands", "text"), "candidates")
 
     def check(pairs):
         return materialise(verify(pairs, found, words, percent, scheme), "edges")

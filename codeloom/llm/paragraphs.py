@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import STEP, WordHashes, mix, shingles, text_batches, worker_state
+from codeloom.llm.common import STEP, mix, shingles, text_batches, worker_state
 from codeloom.llm.near import Bands, near_groups
 from codeloom.llm.repeats import covered, cut_spans, slide
 from codeloom.session import materialise
@@ -30,6 +30,7 @@ GRAM, WINDOW = 12, 9  # GRAM + WINDOW - 1 = RUN
 EDGE = 2 * RUN  # words past its outer anchors in which a stretch may still grow
 COST, DROP = 4, 12  # a word that differs outweighs four equal ones: spans at four fifths or more
 ASKED = 512  # stretches served from one copy of a text
+BLOCK = 1 << 16  # bytes whose words are hashed together
 LINES, ANCHORS = ["lo", "hi", "size", "f1", "f2", "bands"], ["c", "at"]
 SCHEME = Bands(8, 3, 24, 2)
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -68,6 +69,17 @@ def prefix_hash(values):
     return total, down
 
 
+def hashes_of(data, start, end):
+    """Hashes of the words data[start:end] of a text, A-Z lower-cased; equal words are equal wherever they stand."""
+    points, out = np.frombuffer(data.lower(), np.uint8), np.empty(len(start), np.uint64)
+    edge = np.unique([*np.searchsorted(start, np.arange(0, len(points), BLOCK)), len(start)]).tolist()
+    for i, j in zip(edge[:-1], edge[1:]):
+        total, down = prefix_hash(points[start[i] : end[j - 1]].astype(np.uint64) + np.uint64(1))
+        lo, hi = start[i:j] - start[i], end[i:j] - start[i]
+        out[i:j] = mix((total[hi] - total[lo]) * down[lo])
+    return out
+
+
 def anchors_of(own):
     """(hash, word number) arrays of the anchors of a text, from its words' hashes."""
     n = len(own) - GRAM + 1
@@ -207,12 +219,12 @@ def chosen_anchors(own, base):
     return value, place - base[text], text
 
 
-def parts_of(texts, cache):
+def parts_of(texts):
     """Parts of many texts, worked out together: (sha, own, line counts, line columns, anchor counts, anchor columns)."""
     begin = np.cumsum([0, *(len(x) + 1 for x in texts)])
     joined = b"\n".join(texts)  # the end of a text ends its last line and word
     start, end, line = words_of(joined)
-    own = np.fromiter(map(cache.__getitem__, joined.lower().split()), np.uint64, len(start))
+    own = hashes_of(joined, start, end)
     base = np.searchsorted(start, begin)
     lines = lines_of(own, line, start, end) if len(own) else None
     if lines is None:
@@ -258,10 +270,9 @@ def document_parts(rows: DataFrame) -> DataFrame:
     names = ["t1", "t2", "id", "n", "sha", "own", *LINES, *ANCHORS]
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             for part, texts in portions(batch, 3):
-                sha, again, n_lines, lines, n_anchors, (value, at) = parts_of(texts, cache)
+                sha, again, n_lines, lines, n_anchors, (value, at) = parts_of(texts)
                 known = [pa.array([len(x) for x in texts], pa.int64()), pa.array(sha), pa.array(again, pa.bool_())]
                 arrays = [listed(n_lines, pa.array(c, k)) for c, k in zip(lines, kinds)]
                 bands = listed([SCHEME.bands] * len(lines[5]), pa.array(lines[5].ravel(), pa.int64()))
@@ -288,6 +299,21 @@ def line_texts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "wanted").mapInArrow(run, "id bigint, text string")
 
 
+def line_bands(rows: DataFrame) -> DataFrame:
+    """(id, bands, text) of lines (id, text): the band keys that their documents' parts hold."""
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in portions(batch, 1, 1024):
+                joined = b"\n".join(texts)
+                start, end, line = words_of(joined)
+                bands = lines_of(hashes_of(joined, start, end), line, start, end)[5]
+                bands = listed([SCHEME.bands] * len(texts), pa.array(bands.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), bands, part.column(1)], ["id", "bands", "text"])
+
+    return rows.mapInArrow(run, "id bigint, bands array<bigint>, text string")
+
+
 def repeated_lines(rows, parts, asked_for):
     """(t1, t2, lo, hi) of the lines of a component that aren't its first one, and the texts concerned.
 
@@ -310,7 +336,7 @@ def repeated_lines(rows, parts, asked_for):
         texts.append(materialise(fetched, "texts"))
         return line_texts(texts[0].where("wanted is not null")).distinct()
 
-    groups = near_groups(marks, bands, wanted_texts, WORDS, 80, SCHEME)
+    groups = near_groups(marks, bands, wanted_texts, WORDS, 80, SCHEME, line_bands)
     groups = materialise(groups.select(F.col("id").alias("name"), "component_id").distinct(), "groups")
     sizes = groups.where("name <> component_id").select("component_id").distinct()  # a lone line is its own component
     groups = groups.join(materialise(sizes, "sizes"), "component_id", "left_semi")
@@ -356,13 +382,12 @@ def ranges_of(texts: DataFrame) -> DataFrame:
     """(t1, t2, shift, lo, words): the words asked for, as 32-bit hashes, for the text (t1, t2) that asked."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 32):
                 out = []
                 for value, ranges in zip(*(c.to_pylist() for c in batch.slice(begin, 32).columns)):
-                    data = value.encode().lower().split()
-                    own = short(np.fromiter(map(cache.__getitem__, data), np.uint64, len(data)))
+                    data = value.encode()
+                    own = short(hashes_of(data, *words_of(data)[:2]))
                     out.extend((r["t1"], r["t2"], r["shift"], r["lo"], own[r["lo"] : r["hi"]]) for r in ranges)
                 columns = list(zip(*out)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
@@ -375,15 +400,14 @@ def ranges_of(texts: DataFrame) -> DataFrame:
 RANGES = "array<struct<t1: bigint, t2: bigint, shift: int, lo: int, hi: int>>"
 
 
-def repeated_spans(data, row, cache):
+def repeated_spans(data, row):
     """Byte spans of the repeated runs of a text: with other texts (b), with itself (own), or all of it (copy)."""
     if not (row["b"] or row["own"] or row["copy"]):
         return set()
     start, end, _ = words_of(data)
     if row["copy"]:
         return {(int(start[0]), int(end[-1]))} if len(start) >= RUN else set()
-    words = data.lower().split()
-    own = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    own = hashes_of(data, start, end)
     runs, brief = own_repeats(own) if row["own"] else [], short(own)
     for x in row["b"] or []:
         runs += similar_runs(brief, (x["lo"], np.array(x["words"], np.int32)), x["shift"])
@@ -419,13 +443,12 @@ def repeated_paragraphs(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     joined = texts.where("salt = 0").join(whole, ["t1", "t2"]).select("t1", "t2", "text", "a", "b", "copy", "own")
 
     def finish(batches):
-        cache = WordHashes()
         for batch in (b.slice(i, 128) for b in batches for i in range(0, max(b.num_rows, 1), 128)):
             out = []
             for row in batch.to_pylist():
                 data = row["text"].encode()
                 spans = {(s["lo"], s["hi"]) for s in row["a"] or []}
-                spans |= repeated_spans(data, row, cache)
+                spans |= repeated_spans(data, row)
                 gone = covered(spans, len(data))
                 digest = hashlib.sha256(cut_spans(data, gone)).hexdigest()
                 pairs = [{"lo": lo, "hi": hi} for lo, hi in gone]

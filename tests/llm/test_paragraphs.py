@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 from codeloom.llm import paragraphs
-from codeloom.llm.common import WordHashes, shingle_set
+from codeloom.llm.common import shingles
 
 
 def words(draw, n):
@@ -14,16 +14,44 @@ def words(draw, n):
 
 
 def test_line_signatures_match_those_of_each_line():
-    draw, cache = random.Random(1), WordHashes()
+    draw = random.Random(1)
     data = "\n".join(" ".join(words(draw, draw.randint(0, 40)) * draw.randint(1, 2)) for _ in range(30)).encode()
     start, end, line = paragraphs.words_of(data)
-    own = np.fromiter(map(cache.__getitem__, data.lower().split()), np.uint64, len(start))
+    own = paragraphs.hashes_of(data, start, end)
     lo, hi, n, _, _, bands = paragraphs.lines_of(own, line, start, end)
     for i in range(len(lo)):
-        found = shingle_set(data[lo[i] : hi[i]].decode(), 5, cache)
+        part = data[lo[i] : hi[i]]
+        found = np.unique(shingles(paragraphs.hashes_of(part, *paragraphs.words_of(part)[:2]), 5))
         assert len(found) <= n[i] and (paragraphs.SCHEME.keys(found) == bands[i]).all()
 
 
+def test_equal_words_have_equal_hashes_across_blocks():
+    draw = random.Random(2)
+    known = words(draw, 4000)
+    long = "z" * (paragraphs.BLOCK + 5)
+    parts = [draw.choice(known) for _ in range(40_000)] + ["A\0", "a", "a\0\0", "\0", "É", "é", long, long + "z", long.upper()]
+    draw.shuffle(parts)
+    hash_of = {}
+    for data in (" ".join(parts).encode(), b"\t\n" + " \r".join(reversed(parts)).encode() + b"\x0b", b"", b" \n ", b"one"):
+        start, end, _ = paragraphs.words_of(data)
+        found, expected = paragraphs.hashes_of(data, start, end).tolist(), data.lower().split()
+        assert len(found) == len(expected)
+        assert all(hash_of.setdefault(w, h) == h for w, h in zip(expected, found))
+    assert len(set(hash_of.values())) == len(hash_of) > 3800  # short random words repeat
+
+
+def test_fetched_lines_have_the_keys_of_their_texts(spark):
+    draw = random.Random(4)
+    lines = [" ".join(words(draw, draw.randint(paragraphs.LINE, 60))) for _ in range(3000)] + ["É\x0bb\x0c " * 9]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id bigint, text string").repartition(3)
+    got = {r.id: r for r in paragraphs.line_bands(rows).collect()}
+    data = "\n".join(lines).encode()
+    start, end, line = paragraphs.words_of(data)
+    bands = paragraphs.lines_of(paragraphs.hashes_of(data, start, end), line, start, end)[5]
+    assert len(got) == len(lines) == len(bands)
+    assert all(got[i].text == lines[i] and got[i].bands == bands[i].tolist() for i in range(len(lines)))
+
+
 def test_passages_lines_and_odd_rows(spark):
     draw = random.Random(8)
     text = lambda n: " ".join(words(draw, n))
@@ -59,8 +87,12 @@ def test_passages_lines_and_odd_rows(spark):
 
 
 def test_texts_that_share_a_run_share_an_anchor():
-    draw, cache = random.Random(3), WordHashes()
-    hashes = lambda w: np.fromiter(map(cache.__getitem__, (x.encode() for x in w)), np.uint64, len(w))
+    draw = random.Random(3)
+
+    def hashes(row):
+        data = " ".join(row).encode()
+        return paragraphs.hashes_of(data, *paragraphs.words_of(data)[:2])
+
     for _ in range(300):
         shared, n = words(draw, paragraphs.RUN), draw.randrange(40)
         one, other = words(draw, n) + shared + words(draw, 5), words(draw, draw.randrange(3)) + shared + words(draw, draw.randrange(30))
@@ -135,16 +167,16 @@ def test_exact_runs_against_brute_force(spark, monkeypatch):
 
 
 def test_texts_worked_out_together_equal_each_alone():
-    draw, cache = random.Random(5), WordHashes()
+    draw = random.Random(5)
     sizes = [0, 1, 11, 12, 13, 19, 20, 21, 0, 40, 5000, 14, 0] * 4
     texts = [" ".join(words(draw, n)).encode() for n in sizes]
     texts += [b" \n ", b"x " * 60, b"y", texts[9] + b"\n" + texts[9], texts[9]] + [b"a b"] * 9
     draw.shuffle(texts)
     for group in (texts, texts[:3], texts[:1], [b""], [b"one two"]):
-        sha, again, n_lines, lines, n_anchors, anchors = paragraphs.parts_of(group, cache)
+        sha, again, n_lines, lines, n_anchors, anchors = paragraphs.parts_of(group)
         for i, data in enumerate(group):
             start, end, line = paragraphs.words_of(data)
-            own = np.fromiter(map(cache.__getitem__, data.lower().split()), np.uint64, len(start))
+            own = paragraphs.hashes_of(data, start, end)
             value, at, later, _ = paragraphs.distinct_anchors(own)
             part = slice(sum(n_anchors[:i]), sum(n_anchors[: i + 1]))
             assert (anchors[0][part] == value).all() and (anchors[1][part] == at).all() and len(value) == n_anchors[i]

@@ -358,9 +358,10 @@ def stretches(parts):
     Word i of the text is word i - shift of the text (f1, f2); anchors lie between the words first and last.
     """
     flat = parts.select("t1", "t2", "id", F.inline_outer(F.arrays_zip(*ANCHORS))).where("c is not null")
-    place = F.struct(F.col("id").isNull(), "id", "t1", "t2", "at")
-    known = flat.groupBy("c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    known = materialise(known.select("c", F.col("first.t1").alias("f1"), F.col("first.t2").alias("f2"), F.col("first.at").alias("there")), "anchors")
+    place = F.struct(F.col("id").isNull(), "id", "t2", "at")  # t1 is the hash of the id
+    known = flat.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1")
+    known = known.select("c", F.xxhash64(F.col("first.id").cast("string")).alias("f1"), F.col("first.t2").alias("f2"), F.col("first.at").alias("there"))
+    known = materialise(known, "anchors")
     found = flat.join(known, "c").where("t1 <> f1 or t2 <> f2").groupBy("t1", "t2", "f1", "f2", (F.col("at") - F.col("there")).alias("shift"))
     return materialise(found.agg(F.min("at").alias("first"), (F.max("at") + GRAM).alias("last")), "stretches")
 

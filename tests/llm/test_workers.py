@@ -22,7 +22,7 @@ for name in {names!r}:
 """
 
 
-@pytest.mark.parametrize("names", [["op4_repeated_strings"], ["op12_spelling_variants", "op13_merkle_manifest"]])
+@pytest.mark.parametrize("names", [["op4_repeated_strings"], ["op5_repeated_paragraphs"], ["op12_spelling_variants", "op13_merkle_manifest"]])
 def test_without_the_package(tmp_path, folder, names):
     script = tmp_path / "run.py"
     script.write_text(SCRIPT.format(root=ROOT, shared=str(tmp_path / "shared"), names=names, folder=folder))

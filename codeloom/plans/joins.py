@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import micros, words
+from codeloom import params
+from codeloom.functions.text import micros
 from codeloom.operators.intervals import live_tokens
 from codeloom.operators.matching import fixes_by_table, relevant_pairs
 from codeloom.plans.registry import query
@@ -72,7 +73,8 @@ def relevant(spark, folder):
 )
 def rule_table(spark, folder):
     """A rule per document (its first word, the beginning of its second) against all turns of conversations."""
-    docs = documents(spark, folder).select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 2)
+    start = F.array_remove(F.split(F.lower("text"), params.NON_WORD_PATTERN, 4), "")  # two words and what follows
+    docs = documents(spark, folder).select("doc_id", start.alias("w")).where(F.size("w") >= 2)
     fragments = F.array_distinct(F.array(F.get("w", F.lit(0)), F.substring(F.get("w", F.lit(1)), 1, 4)))
     template = F.concat(F.lit("line {line}: see "), F.col("doc_id").cast("string"))
     rules = docs.select(F.col("doc_id").alias("ord"), fragments.alias("fragments"), template.alias("template"))

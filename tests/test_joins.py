@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import matching
 from codeloom.operators.intervals import interval_join, live_tokens
 from codeloom.operators.matching import first_fitting, fixes_by_table, relevant_pairs
 from codeloom.sources.users import UserTable
@@ -98,6 +99,25 @@ def test_rules_with_short_missing_and_no_fragments(spark):
     assert first_fitting(issues, df.limit(0)).count() == 0 and first_fitting(issues.limit(0), df).count() == 0
 
 
+def test_rules_in_rounds_store_no_runs(spark, monkeypatch):
+    """No stored table is longer than messages and rules; later rounds see what is left."""
+    draw, stored = random.Random(5), []
+    letters = "abcdefgh"
+    word = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    messages = [" ".join(word(draw.randint(2, 6)) for _ in range(60)) for _ in range(120)]
+    rules = [(i, [word(draw.randint(2, 5)), word(2)], f"t{i}") for i in range(400)]
+    rules += [(1000 + i, list(reversed(f)), "later") for i, f, _ in rules] + [(None, ["a"], "no ord")]
+    expected = {m: min((o, t) for o, f, t in rules if o is not None and all(x in m for x in f)) for m in messages}
+    kept = matching.materialise
+    monkeypatch.setattr(matching, "materialise", lambda df, name: stored.append((name, kept(df, name))) or stored[-1][1])
+    monkeypatch.setattr(matching, "FIRST_RULES", 5, raising=False)
+    found = first_fitting(spark.createDataFrame([(m,) for m in messages], "message string"), spark.createDataFrame(rules, RULES))
+    assert {r.message: (r.ord, r.template) for r in found.collect()} == expected
+    assert len({o for o, _ in expected.values()}) > 5 and max(o for o, _ in expected.values()) > 5
+    assert max(df.count() for _, df in stored) <= max(len(rules), len(letters) ** 3 * 2)
+    assert sum(name == "decided" for name, _ in stored) > 1
+
+
 def test_user_table(spark, tmp_path):
     schema, path = "username string, secret_digest string", str(tmp_path / "users")
     jobs = [[(1, "ann"), (2, "bob"), (3, "ann"), (4, None)], [(5, "bob"), (6, "cid"), (7, None)], []]

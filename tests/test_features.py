@@ -1,9 +1,10 @@
 """The Python feature pass and whole-file analysis."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codeloom.operators.analysis import analyse, issue_dictionary, issue_table
-from codeloom.operators.features import feature_table, parse, python_features
+from codeloom.operators.features import SLICE_BYTES, SLICE_ROWS, feature_table, parse, python_features, slices
 
 
 def facts(code, kind):
@@ -91,3 +92,18 @@ def test_text_rules_read_code_only(spark):
     found = rows.select("id", F.explode(text_rule_issues(F.col("text"), F.col("language"))).alias("i"))
     got = sorted((r["id"], r["line"], r["col"], r["source"]) for r in found.select("id", "i.*").collect())
     assert got == [(1, 4, 20, "var"), (1, 5, 0, "try"), (1, 7, 5, "var")]
+
+
+def test_a_worker_holds_the_facts_of_few_files(spark):
+    """Large batches are taken in slices by rows and bytes, in order."""
+    sizes = [10] * 600 + [400_000] * 6 + [0] * 5
+    batch = pa.RecordBatch.from_pydict({"text": ["#" * n for n in sizes]})
+    parts = [p.column("text").to_pylist() for p in slices(batch, "text")]
+    assert [len(t) for p in parts for t in p] == sizes
+    assert max(len(p) for p in parts) <= SLICE_ROWS and max(sum(map(len, p)) for p in parts) <= SLICE_BYTES
+    assert not list(slices(batch.slice(0, 0), "text"))
+    assert [len(p) for p in slices(pa.RecordBatch.from_pydict({"text": ["#" * SLICE_BYTES * 2] * 3}), "text")] == [1, 1, 1]
+    code = F.concat(F.lit("x = 'é"), F.col("id").cast("string"), F.lit("'\nimport a, b"))
+    files = spark.range(3000, numPartitions=1).withColumn("text", code).withColumn("at", F.timestamp_seconds("id"))
+    found = feature_table(python_features(files, keep=["at", "id"]), ["at", "id"]).where("kind = 'import'")
+    assert found.where(F.col("at") == F.timestamp_seconds("id")).groupBy("id").agg(F.sort_array(F.collect_list("name")).alias("n")).where("n = array('a', 'b')").count() == 3000

@@ -9,7 +9,7 @@ from codeloom.plans.scoring import BIGRAM_SQL, CONTINUATIONS_SQL
 from codeloom.plans.sql import words_sql
 from codeloom.plans.traffic import DAY, HOUR, limit_sql, throttle_sql
 from codeloom.plans.users import PROFILE_SQL, updates
-from codeloom.session import run_dir
+from codeloom.session import materialise, run_dir
 from codeloom.sources.tables import documents, notification, read_table, stream_events
 from codeloom.streaming import operators as live
 from codeloom.streaming.runner import run_append, run_batches, with_event_time
@@ -20,23 +20,37 @@ CLOSED = "(SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM events)"
 
 
 BATCHES = 3
+FILE_ROWS = 100000  # rows that one task writes, and reads in a micro-batch
+
+
+def part_files(spark, path):
+    """Number of data files in a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sum(s.getPath().getName().startswith("part-") for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
 
 
 def paced(spark, rows, write, *columns):
-    """A folder into which rows are written in BATCHES files of increasing time, for one micro-batch each."""
+    """(folder, files): rows written in BATCHES parts of increasing time, ``files`` files each, for one micro-batch each.
+
+    A part with rows for fewer files is filled up with empty ones.
+    """
     path = run_dir(spark, "arrivals")
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    first, last, n = rows.agg(F.min("ts"), F.max("ts"), F.count("ts")).first()
+    files = max(1, -(-n // (BATCHES * FILE_ROWS)))
     for i in range(BATCHES):
         lo, hi = (first + (last - first) * k / BATCHES for k in (i, i + 1)) if first else (None, None)
         part = rows.where((F.col("ts") >= F.lit(lo)) & ((F.col("ts") < F.lit(hi)) | F.lit(i == BATCHES - 1)))
-        write(part.select(*columns or part.columns).coalesce(1).write.mode("append"), path)
-    return path
+        part = part.select(*columns or part.columns)
+        write((part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append"), path)
+        for _ in range(files * (i + 1) - part_files(spark, path)):
+            write(part.limit(0).coalesce(1).write.mode("append"), path)
+    return path, files
 
 
 def event_stream(spark, folder):
     """The event table as it arrives: three micro-batches."""
-    path = paced(spark, read_table(spark, folder, "events"), lambda writer, path: writer.parquet(path))
-    return stream_events(spark, path, "*.parquet", files_per_trigger=1)
+    path, files = paced(spark, read_table(spark, folder, "events"), lambda writer, path: writer.parquet(path))
+    return stream_events(spark, path, "*.parquet", files_per_trigger=files)
 
 
 def events(spark, folder):
@@ -125,9 +139,9 @@ def ingest(spark, folder):
     line = F.concat(
         F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "user_id": '), user, F.lit(', "event_type": "'), "event_type", end
     )
-    arrivals = paced(spark, rows.withColumn("value", line), lambda writer, path: writer.text(path), "value")
+    arrivals, files = paced(spark, rows.withColumn("value", line), lambda writer, path: writer.text(path), "value")
     path = run_dir(spark, "ingested")
-    run_batches(spark.readStream.option("maxFilesPerTrigger", 1).text(arrivals), live.ingest(path), "ingest-run")
+    run_batches(spark.readStream.option("maxFilesPerTrigger", files).text(arrivals), live.ingest(path), "ingest-run")
     found = per_epoch(spark, f"{path}/events", "event_id bigint, user_id bigint, event_type string")
     return found.unionByName(per_epoch(spark, f"{path}/rejects", "line string"), allowMissingColumns=True)
 
@@ -217,8 +231,9 @@ def suggest_on_change(spark, folder):
     docs = documents(spark, folder)
     models = Versions(spark, run_dir(spark, "models"), Bigrams.load)
     models.publish(Bigrams.train(docs, store=False))
-    path = paced(spark, edits(read_table(spark, folder, "events"), docs), lambda writer, path: writer.parquet(path))
-    stream = stream_events(spark, path, "*.parquet", "event_id bigint, ts timestamp_ntz, message string", 1)
+    changed = materialise(edits(read_table(spark, folder, "events"), docs), "edits")
+    path, files = paced(spark, changed, lambda writer, path: writer.parquet(path))
+    stream = stream_events(spark, path, "*.parquet", "event_id bigint, ts timestamp_ntz, message string", files)
     parsed = stream.select("event_id", F.from_json("message", CHANGE_SCHEMA).alias("m"))
     changed = parsed.select("event_id", F.element_at("m.contentChanges", -1)["text"].alias("text"))
     offers = run_dir(spark, "offers")

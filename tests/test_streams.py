@@ -7,6 +7,7 @@ from codeloom.functions.text import micros
 from codeloom.operators import traffic
 from codeloom.operators.telemetry import telemetry, windowed_counts
 from codeloom.operators.users import merge_updates, session_gate
+from codeloom.plans import streams
 from codeloom.plans.users import updates
 from codeloom.sources.tables import read_table, stream_events, stream_json
 from codeloom.streaming import operators as live
@@ -120,3 +121,20 @@ def test_stream_without_rows(spark, tmp_path):
     table = live.profile_table(spark, str(tmp_path / "profile"))
     run_batches(stream, table.merge, "nothing")
     assert table.read().count() == 0 and table.read().columns == table.schema.names
+
+
+def test_a_micro_batch_is_many_files(spark, tmp_path, monkeypatch):
+    """Parts of any size come as one micro-batch each, of as many files; no task writes or reads a whole part."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    day = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, {})"
+    for name, second in (("even", "id"), ("early", "case when id < 897 then id / 100 else id end")):
+        rows = spark.range(0, 900, 1, 4).selectExpr("id as event_id", day.format(second) + " as ts", "id % 7 as user_id")
+        path, files = streams.paced(spark, rows, lambda writer, path: writer.parquet(path))
+        seen = []
+        stream = stream_events(spark, path, "*.parquet", "event_id bigint, ts timestamp_ntz, user_id bigint", files)
+        run_batches(stream, lambda batch, epoch: seen.append([r[0] for r in batch.select("event_id").collect()]), f"t_paced_{name}")
+        assert files == 6 and sorted(x for part in seen for x in part) == list(range(900))
+        parts = [part for part in seen if part]
+        assert len(parts) == (3 if name == "even" else 2) and all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+        largest = max(r[0] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().select("count").collect())
+        assert largest < len(max(parts, key=len)) / 2

@@ -21,18 +21,20 @@ SLOTS = 256  # time slots a key's rows of one micro-batch are parked in, about
 class StoredQueue:
     """First-in first-out queue of numbers in the state store; memory holds its two end chunks.
 
-    A map from chunk number to numbers, and where the queue begins and ends. ``save`` must be
-    called when the rows of a key are done.
+    A map from chunk number to numbers, and where the queue begins and ends; the numbers of a queue of
+    one chunk are kept with the latter, so that a short queue is read and written in one call of the
+    store each. ``save`` must be called when the rows of a key are done.
     """
 
     def __init__(self, handle, name):
         self.chunks = handle.getMapState(f"{name}_chunks", "chunk long", "numbers array<bigint>")
-        self.ends = handle.getValueState(f"{name}_ends", "first long, at long, last long, size long")
+        self.ends = handle.getValueState(f"{name}_ends", "first long, at long, last long, size long, numbers array<bigint>")
 
     def load(self):
-        self.first, self.at, self.last, self.size = self.ends.get() if self.ends.exists() else (0, 0, 0, 0)
-        self.head = self.read(self.first)
-        self.tail = self.head if self.last == self.first else self.read(self.last)
+        self.first, self.at, self.last, self.size, numbers = self.ends.get() or (0, 0, 0, 0, [])
+        one = self.first == self.last
+        self.head = list(numbers) if one else self.read(self.first)
+        self.tail = self.head if one else self.read(self.last)
 
     def read(self, chunk):
         return list(self.chunks.getValue((chunk,))[0]) if self.chunks.containsKey((chunk,)) else []
@@ -65,9 +67,12 @@ class StoredQueue:
         self.head = self.tail if self.first == self.last else self.read(self.first)
 
     def save(self):
+        if self.first == self.last:
+            self.ends.update((self.first, 0, self.last, self.size, self.head[self.at :]))
+            return
         for chunk, numbers in {self.first: self.head, self.last: self.tail}.items():
             self.chunks.updateValue((chunk,), (numbers,))
-        self.ends.update((self.first, self.at, self.last, self.size))
+        self.ends.update((self.first, self.at, self.last, self.size, []))
 
     def clear(self):
         self.chunks.clear()
@@ -89,7 +94,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         fields = ", ".join(f"{name} array<{kind}>" for name, kind in (("t", "bigint"), ("event_id", "bigint"), *self.values))
         self.parked = handle.getMapState("parked", "slot long, part long", fields)
-        self.newest = handle.getValueState("newest", "t long")
+        self.newest = handle.getValueState("newest", "t long, due long")  # and when the timer is due
         self.open(handle)
 
     def close(self):
@@ -98,13 +103,17 @@ class InOrder(StatefulProcessor):
     def columns(self):
         return ["t", "event_id", *[name for name, _ in self.values]]
 
+    @staticmethod
+    def ordered(frame):
+        return frame.iloc[np.lexsort((frame["event_id"].to_numpy(), frame["t"].to_numpy()))]
+
     def slots(self, frames):
         """Frames of increasing time slots, each in order; at most one batch and one slot in memory."""
         first = next(frames, None)
         second = next(frames, None)
         if second is None:
             if first is not None and len(first):
-                yield first.sort_values(["t", "event_id"])
+                yield self.ordered(first)
             return
         width, parts = None, {}
         for frame in self.chain(first, second, frames):
@@ -121,7 +130,7 @@ class InOrder(StatefulProcessor):
             for part in range(parts[slot] + 1):
                 pieces.append(pd.DataFrame(dict(zip(self.columns(), self.parked.getValue((int(slot), part))))))
                 self.parked.removeKey((int(slot), part))
-            yield pd.concat(pieces, ignore_index=True).sort_values(["t", "event_id"])
+            yield self.ordered(pd.concat(pieces, ignore_index=True))
 
     @staticmethod
     def chain(first, second, rest):
@@ -130,11 +139,12 @@ class InOrder(StatefulProcessor):
         yield from rest
 
     def handleInputRows(self, key, rows, timerValues):
-        late = newest = self.newest.get()[0] if self.newest.exists() else None
+        late, timer = self.newest.get() or (None, None)
+        newest = late
         self.load()
         for frame in self.slots(iter(rows)):
             found = []
-            for row in frame[self.columns()].itertuples(index=False, name=None):
+            for row in zip(*[frame[c].tolist() for c in self.columns()]):
                 t = row[0] if late is None else max(row[0], late)
                 newest = t if newest is None else max(newest, t)
                 value = self.step(t, row)
@@ -144,11 +154,12 @@ class InOrder(StatefulProcessor):
                 yield pd.DataFrame(found, columns=self.out)
         if newest is None:
             return
-        self.newest.update((newest,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = self.save(newest) // 1000 + 1
-        self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+        due = max(self.save(newest) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)
+        self.newest.update((newest, due))
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.newest.clear()
@@ -157,17 +168,17 @@ class InOrder(StatefulProcessor):
 
 
 class RateLimit(InOrder):
-    """(key, event_id, allowed): fewer than ``limit`` allowed rows in the last ``period``; list state of allowed times."""
+    """(key, event_id, allowed): fewer than ``limit`` allowed rows in the last ``period``; the allowed times are state."""
 
     def __init__(self, key, limit, period):
         self.limit, self.period = limit, period
         self.out = [key, "event_id", "allowed"]
 
     def open(self, handle):
-        self.times = handle.getListState("times", "t long")
+        self.times = handle.getValueState("times", "t array<bigint>")
 
     def load(self):
-        self.queue = [t for (t,) in self.times.get()] if self.times.exists() else []
+        self.queue = list((self.times.get() or ([],))[0])
 
     def step(self, t, row):
         while self.queue and t - self.queue[0] >= self.period:
@@ -178,10 +189,7 @@ class RateLimit(InOrder):
         return row[1], allowed
 
     def save(self, newest):
-        if self.queue:
-            self.times.put([(t,) for t in self.queue])
-        else:
-            self.times.clear()
+        self.times.update((self.queue,))
         return newest + self.period
 
     def clear(self):
@@ -236,7 +244,7 @@ class SessionGate(InOrder):
         self.status = handle.getValueState("status", "kind string, seen long")
 
     def load(self):
-        self.kind, self.seen = self.status.get() if self.status.exists() else ("out", None)
+        self.kind, self.seen = self.status.get() or ("out", None)
 
     def step(self, t, row):
         if self.seen is not None and t - self.seen >= self.idle:

@@ -208,3 +208,53 @@ def test_lines_are_events_or_rejects(spark, tmp_path, lines):
     rejects = per_epoch(spark, str(tmp_path / "out" / "rejects"), "line string").collect()
     assert [tuple(r) for r in events] == ([(1, 2, "x"), (None, None, None)] if lines else [])
     assert sorted(r.line for r in rejects) == (sorted(["", "[1]", '{"event_id": "x"}', "{"]) if lines else [])
+
+
+class Calls(Handle):
+    """Counts the calls that a processor makes to the store."""
+
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def counted(self, state):
+        for name in ("exists", "get", "update", "updateValue", "getValue", "containsKey", "removeKey", "put"):
+            if hasattr(state, name):
+                setattr(state, name, lambda *a, f=getattr(state, name), n=name: self.calls.append(n) or f(*a))
+        return state
+
+    def getMapState(self, *_):
+        return self.counted(Map())
+
+    def getValueState(self, *_):
+        return self.counted(Value())
+
+    getListState = getValueState
+
+    def listTimers(self):
+        self.calls.append("listTimers")
+        return sorted(self.timers)
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+        self.timers.remove(at)
+
+
+class Times:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("made", [state.RateLimit("u", 3, HOUR), state.Throttle("u", 3, HOUR), state.SessionGate("u", HOUR)], ids=["rate", "throttle", "session"])
+def test_a_key_with_few_rows_takes_few_calls_of_the_store(made):
+    handle = Calls()
+    made.init(handle)
+    for batch in range(3):
+        rows = {"t": [batch * HOUR + 5, batch * HOUR + 2], "event_id": [batch * 2 + 1, batch * 2], "kind": ["request", "in"]}
+        handle.calls.clear()
+        (found,) = made.handleInputRows((7,), iter([pd.DataFrame(rows)]), Times())
+        assert found["event_id"].tolist()[-1] == batch * 2 + 1 and set(found["u"]) == {7}
+        assert len(handle.calls) <= 6 and len(handle.timers) == 1

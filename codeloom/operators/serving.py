@@ -15,12 +15,32 @@ from codeloom.session import materialise
 from codeloom.skew import null_safe_join
 
 
+REQUESTS_PER_COPY = 64  # requests that share one copy of the document they name
+
+
+def place_requests(requests, documents, key="doc_id", row_id="event_id", per_copy=REQUESTS_PER_COPY):
+    """Requests joined with their documents, spread over the tasks by request, not by document.
+
+    A document is copied once per ``per_copy`` of its requests, so one that many requests name, or a few
+    such that lie side by side in the table, is many tasks' work. Copies and requests are dealt by a fixed
+    number of tasks, as adaptive execution merges them by what they hold, not by the work they make.
+    """
+    spark = requests.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    asked = materialise(requests, "asked")
+    copies = asked.groupBy(key).agg(F.ceil(F.count("*") / F.lit(per_copy)).alias("_copies"))
+    dealt = asked.join(copies, key).withColumn("_copy", F.pmod(F.xxhash64(row_id), F.col("_copies")))
+    copied = documents.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    sides = [side.drop("_copies").repartition(tasks, key, "_copy") for side in (dealt, copied)]
+    return sides[0].join(sides[1], [key, "_copy"]).drop("_copy")
+
+
 def contexts(requests, documents, key="doc_id", row_id="event_id"):
     """Requests with the text before the cursor and its language.
 
     ``line`` and ``character`` of the cursor may come from either side.
     """
-    placed = requests.join(documents, key)
+    placed = place_requests(requests, documents, key, row_id)
     cut = placed.withColumn(
         "prompt", prefix_context(F.col("text"), F.col("line"), F.col("character"))
     ).drop("text")

@@ -2,12 +2,14 @@
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from codeloom.functions import scoring
 from codeloom.functions.text import is_relevant, keywords, prefix_context, surrounding_lines, words
 from codeloom.operators.analysis import diagnostic, issue_label, report, suggested_fix, text_rule_issues
+from codeloom.operators import serving
 from codeloom.operators.candidates import rank
 from codeloom.operators.ngrams import Bigrams, log_softmax, truncate
 from codeloom.operators.users import merged_map, profile_vector
@@ -137,3 +139,18 @@ def test_notifications(spark, tmp_path):
     (text,) = [p.read_bytes() for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
     assert text.endswith(b"\r\n")
     assert json.loads(text) == {"jsonrpc": "2.0", "method": "log", "params": {"n": 1, "label": "x"}}
+
+
+def test_requests_are_spread(spark):
+    texts = spark.createDataFrame([(1, "a b\nc d"), (1, "e\nf"), (2, "g"), (3, "h"), (None, "i")], "doc_id long, text string").coalesce(1)
+    asked = [(i, 1) for i in range(3000)] + [(3000, 2), (3001, None), (3002, 9), (None, 1), (None, 1)]
+    requests = spark.createDataFrame(asked, "event_id long, doc_id long")
+    placed = serving.place_requests(requests, texts).withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((r["event_id"], r["doc_id"], r["text"]) for r in placed) == Counter(
+        (e, d, t) for e, d in asked for n, t in [(1, "a b\nc d"), (1, "e\nf"), (2, "g")] if n == d
+    )
+    per_task = Counter(r["task"] for r in placed)
+    assert max(per_task.values()) < len(placed) / 4
+    cursors = requests.withColumn("line", F.lit(1)).withColumn("character", F.lit(1))
+    cut = serving.contexts(cursors, texts).groupBy("prompt", "language").count().collect()
+    assert {(r["prompt"], r["count"]) for r in cut} == {("a b\nc", 3002), ("e\nf", 3002), ("g", 1)}

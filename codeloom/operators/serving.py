@@ -18,20 +18,28 @@ from codeloom.skew import null_safe_join
 REQUESTS_PER_COPY = 64  # requests that share one copy of the document they name
 
 
+def dealt(df, *key):
+    """Rows dealt by ``key`` to a fixed number of tasks.
+
+    Adaptive execution merges small partitions by the bytes they hold, not by the work they make; it
+    leaves these as they are.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *key)
+
+
 def place_requests(requests, documents, key="doc_id", row_id="event_id", per_copy=REQUESTS_PER_COPY):
     """Requests joined with their documents, spread over the tasks by request, not by document.
 
     A document is copied once per ``per_copy`` of its requests, so one that many requests name, or a few
-    such that lie side by side in the table, is many tasks' work. Copies and requests are dealt by a fixed
-    number of tasks, as adaptive execution merges them by what they hold, not by the work they make.
+    such that lie side by side in the table, is many tasks' work.
     """
-    spark = requests.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     asked = materialise(requests, "asked")
     copies = asked.groupBy(key).agg(F.ceil(F.count("*") / F.lit(per_copy)).alias("_copies"))
-    dealt = asked.join(copies, key).withColumn("_copy", F.pmod(F.xxhash64(row_id), F.col("_copies")))
+    numbered = asked.join(copies, key).withColumn("_copy", F.pmod(F.xxhash64(row_id), F.col("_copies")))
     copied = documents.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    sides = [side.drop("_copies").repartition(tasks, key, "_copy") for side in (dealt, copied)]
+    sides = [dealt(side.drop("_copies"), key, "_copy") for side in (numbered, copied)]
     return sides[0].join(sides[1], [key, "_copy"]).drop("_copy")
 
 
@@ -114,7 +122,8 @@ def inline_lists(prompts, model, profile, cached, user="user_id", row_id="event_
     key = [user, *CACHE_KEY]
     asked = materialise(with_issues(prompts).select(row_id, *key, "prompt", "language"), "requests")
     empty = F.lit(None).cast(cached.schema["found"].dataType)
-    looked = materialise(cache_lookup(asked, cached, key, [row_id], row_id, empty, "found"), "looked")
+    looked = cache_lookup(asked, cached, key, [row_id], row_id, empty, "found")
+    looked = materialise(dealt(looked, row_id), "looked")  # few keys meet in few tasks; what follows is work per request
     wanted = looked.where("computes")
     fresh = suggestions(wanted.select(row_id, "prompt", "language"), model, row_id, n)
     fresh = fresh.join(wanted.select(row_id, *key), row_id)

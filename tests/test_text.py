@@ -154,3 +154,26 @@ def test_requests_are_spread(spark):
     cursors = requests.withColumn("line", F.lit(1)).withColumn("character", F.lit(1))
     cut = serving.contexts(cursors, texts).groupBy("prompt", "language").count().collect()
     assert {(r["prompt"], r["count"]) for r in cut} == {("a b\nc", 3002), ("e\nf", 3002), ("g", 1)}
+
+
+def stored_frames(monkeypatch, module):
+    """What ``module`` stores from now on, by name."""
+    stored, store = {}, module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: stored.update({name: store(df, name)}) or stored[name])
+    return stored
+
+
+def test_inline_requests_are_spread(spark, monkeypatch):
+    stored = stored_frames(monkeypatch, serving)
+    asked = [(i, i % 3, "x = 1\na") for i in range(2000)]
+    prompts = spark.createDataFrame(asked, "event_id long, user_id long, prompt string").withColumn("language", F.lit("python"))
+    model = Bigrams.train(spark.createDataFrame([("a b a b a c",)], "text string"))
+    profile = spark.createDataFrame([], "user_id long, preferences map<string,string>, coding_patterns map<string,string>")
+    cached = spark.createDataFrame([], "user_id long, context string, issues string, found array<struct<rank:int,completion:string>>")
+    found = serving.inline_completions(prompts, model, profile, cached).collect()
+    assert sorted((r["event_id"], r["rank"], r["completion"]) for r in found) == [
+        (i, n, c) for i in range(2000) for n, c in [(1, "b"), (2, "c")]
+    ]
+    assert sorted({r["event_id"] for r in found if r["computes"]}) == [0, 1, 2]
+    per_task = stored["looked"].groupBy(F.col("_metadata.file_path")).count().collect()
+    assert max(r["count"] for r in per_task) < 500

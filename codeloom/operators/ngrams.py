@@ -76,7 +76,7 @@ class Bigrams:
         # Add-one smoothing: ln((c + 1) / (n + V)) is ln(c + 1) - ln((n + V) / V) - ln(V). The
         # first two are zero for what the corpus has not seen, so an inner join finds them all,
         # and it may broadcast either side: a short list of candidates leaves the model in place.
-        contexts = self.contexts()
+        contexts = materialise(self.contexts(), "words")  # read for the size and for the terms
         size = contexts.agg(F.count("*").cast("double")).scalar()
         known = self.counts.select("prev", "tok", F.ln(F.col("c") + 1.0).alias("term")).unionByName(
             contexts.where("n > 0").select(
@@ -85,7 +85,9 @@ class Bigrams:
                 (-F.ln((F.col("n") + size) / size)).alias("term"),
             )
         )
-        found = wanted.join(known, ["prev", "tok"])
+        # A hash before the two words: rows are sorted by a number, words are compared only where it is equal.
+        hashed = [side.withColumn("_hash", F.xxhash64("prev", "tok")) for side in (wanted, known)]
+        found = hashed[0].join(hashed[1], ["_hash", "prev", "tok"])
         sums = found.select(*key, "term", F.lit(0).alias("n")).unionByName(
             pairs.select(*key, F.lit(0.0).alias("term"), F.lit(1).alias("n"))
         )
@@ -106,7 +108,8 @@ class Bigrams:
 
         Every step joins the last word of each beam with at most ``k`` continuations, held as
         one array per context, and keeps the best ``beams`` rows per prompt. For more than two steps
-        the arrays of all contexts are stored once, instead of ranking those asked for at every step.
+        the arrays of all contexts are stored once, instead of ranking those asked for at every step;
+        of a context they hold its ``beams`` most probable words, as no more of them can be kept.
         A beam that ends in a word without continuation is dropped.
         """
         if steps <= 0 or beams <= 0:

@@ -177,3 +177,10 @@ def test_inline_requests_are_spread(spark, monkeypatch):
     assert sorted({r["event_id"] for r in found if r["computes"]}) == [0, 1, 2]
     per_task = stored["looked"].groupBy(F.col("_metadata.file_path")).count().collect()
     assert max(r["count"] for r in per_task) < 500
+
+
+def test_score_reads_the_counts_once_for_their_words(spark):
+    model = Bigrams.train(spark.createDataFrame([("a b a b a c",)], "text string"))
+    scored = model.score(spark.createDataFrame([(1, "a b")], "id int, text string"), ["id"], "text")
+    assert scored._jdf.queryExecution().executedPlan().toString().count("/bigrams-") == 1
+    assert math.isclose(scored.first()["score"], math.log((2 + 1) / (3 + 3)))

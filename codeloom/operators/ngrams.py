@@ -121,7 +121,8 @@ class Bigrams:
             F.array().cast("array<string>").alias("path"),
             F.lit(0.0).alias("logp"),
         ).where(F.col("prev").isNotNull())
-        listed = lambda found: found.groupBy("prev").agg(F.collect_list(F.struct("tok", "p")).alias("next"))
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("cost"), "tok", "p"))), 1, beams)
+        listed = lambda found: found.groupBy("prev").agg(F.transform(best, lambda c: F.struct(c["tok"], c["p"])).alias("next"))
         whole = materialise(listed(self.continuations(k, p)), "continuations") if steps > 2 else None
         for step in range(steps):
             beam = materialise(beam, "beam") if step else beam
